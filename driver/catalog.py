@@ -1,6 +1,6 @@
 """All registered queries, by inventory section."""
 
-from driver import q_scalars  # noqa: F401
+from driver import q_scalars, q_tables  # noqa: F401
 from driver.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

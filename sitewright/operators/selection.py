@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewright import rules
@@ -33,7 +33,7 @@ def points_in_radius(features: DataFrame, sites: DataFrame, feature_id: str, mar
     """
     boxes = _site_boxes(sites, margin_m)
     p = points_in_boxes(features, boxes, cell=cell_deg, point_id=[feature_id], x="lon", y="lat", levels=2)
-    d = crs.haversine_m(F.col("center_lat"), F.col("center_lon"), F.col("lat"), F.col("lon"))
+    d = crs.haversine_m(F.col("center_lon"), F.col("center_lat"), F.col("lon"), F.col("lat"))
     return p.drop(*BOX).withColumn("distance_m", d).where(F.col("distance_m") <= F.col("radius_m") + margin_m)
 
 
@@ -108,3 +108,22 @@ def circle_ring(sites: DataFrame, corners: int = 64) -> DataFrame:
     a = F.col("k") * (2.0 * math.pi / corners)
     s = s.withColumns({"x": F.col("cx") + F.col("radius_m") * F.cos(a), "y": F.col("cy") + F.col("radius_m") * F.sin(a)})
     return crs.msk_to_lonlat(s).select("site_id", "k", "lon", "lat")
+
+
+def parcels_near(parcels: DataFrame, points: DataFrame, half_deg: float = 0.01, page: int = 100) -> DataFrame:
+    """Numbered parcels in a fixed box around each point, the first ``page`` by id.
+
+    The page is the interface's own limit. Per point only the lowest ids survive each step: first
+    inside blocks of ids, then among the blocks' survivors.
+    """
+    p = parcels.where(F.col("number").isNotNull())
+    b = points.withColumns({
+        "minx": F.col("center_lon") - half_deg, "maxx": F.col("center_lon") + half_deg,
+        "miny": F.col("center_lat") - half_deg, "maxy": F.col("center_lat") + half_deg,
+    })
+    hit = points_in_boxes(p, b, cell=2 * half_deg, point_id=["id"], x="lon", y="lat", levels=2)
+    near = (F.abs(F.col("lon") - F.col("center_lon")) <= half_deg) & (F.abs(F.col("lat") - F.col("center_lat")) <= half_deg)
+    hit = hit.where(near).withColumn("_blk", F.pmod(F.xxhash64("id"), F.lit(64)))
+    for keys in (["site_id", "_blk"], ["site_id"]):
+        hit = hit.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("_rn") <= page)
+    return hit.drop("_rn", "_blk", *BOX)

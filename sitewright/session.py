@@ -18,6 +18,7 @@ def local_session(cores: str = "8", app: str = "sitewright", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SITEWRIGHT_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )

@@ -26,13 +26,17 @@ def require_valid(df: DataFrame) -> DataFrame:
     return df.where(F.coalesce(F.assert_true(F.col("reject_reason").isNull(), F.col("reject_reason")).isNull(), F.lit(True)))
 
 
-def zones_from_geojson(spark: SparkSession, path: str, default_status: str = rules.OFFICIAL_ZONE) -> DataFrame:
-    """FeatureCollection files to zone rows; each feature is exploded out of its file."""
+def zones_from_geojson(spark: SparkSession, path: str, default_status: str = rules.OFFICIAL_ZONE, multi_line: bool = True) -> DataFrame:
+    """FeatureCollections to zone rows. ``multi_line=False`` reads one collection per line, which
+    splits large inputs; a pretty-printed file needs the other form and is one task."""
     schema = (
         "features array<struct<geometry:struct<type:string,coordinates:array<array<array<double>>>>,"
         "properties:struct<zone_type:string,status:string,regime:string,registry_number:string,document_basis:string>>>"
     )
-    files = spark.read.schema(schema).json(path, multiLine=True)
+    return _zone_rows(spark.read.schema(schema).json(path, multiLine=multi_line), default_status)
+
+
+def _zone_rows(files: DataFrame, default_status: str) -> DataFrame:
     f = files.select(F.explode("features").alias("f"))
     ring = F.transform(F.get(F.col("f.geometry.coordinates"), F.lit(0)), lambda p: F.struct(
         F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")
