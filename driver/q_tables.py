@@ -139,7 +139,7 @@ def s10(spark, d):
         "regime": F.lit(None).cast("string"), "document_basis": F.when(F.col("id") % 2 == 0, F.concat(F.lit("doc "), F.col("id").cast("string"))),
         "data_timestamp": F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600),
     })
-    return tables.write_and_read(tables.zone_export(z), "zone-export", fmt="csv", header="true")
+    return tables.write_and_read(tables.zone_export(z), "zone-export", fmt="csv", header="true", nullValue="\\N")
 
 
 @query("s11_parcel_upsert", """WITH t AS (SELECT p_partkey % 50 AS job_id, '59:' || CAST(p_partkey AS VARCHAR) AS number, p_name AS address, 1 AS touched FROM part WHERE p_partkey % 2 = 0),
