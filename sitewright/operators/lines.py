@@ -99,7 +99,7 @@ def at_profile(points: DataFrame, profile: DataFrame, key: str, point_id: Sequen
     lo = F.least(F.floor("_f").cast("bigint"), F.col("n") - 1)
     p = p.withColumn("_lo", lo).withColumn("i", F.explode(F.array(lo, lo + 1)))
     prof = profile.select(key, "i", F.col(z).alias("_z"))
-    j = salted_join(p, prof, [key, "i"], list(point_id), how="left")
+    j = p.join(prof, [key, "i"], "left")
     rest = [c for c in points.columns if c not in (*point_id, key)]
     g = j.groupBy(*point_id, key).agg(
         F.any_value(F.struct("_f", "_lo", *rest)).alias("_p"),
@@ -257,7 +257,7 @@ def node_graph(ways: DataFrame, way_id: str = "way_id") -> tuple[DataFrame, Data
 def lane_attributes(lanes: DataFrame, ways: DataFrame, lane_id: str = "lane_id") -> DataFrame:
     """Surface and network of a lane from the first of its ways that carries the tag; verges are grass."""
     l = lanes.select(lane_id, "lane_type", F.posexplode("way_ids").alias("pos", "way_id"))
-    j = salted_join(l, ways.select("way_id", "surface", "highway"), ["way_id"], [lane_id, "pos"], how="left")
+    j = l.join(ways.select("way_id", "surface", "highway"), "way_id", "left")
     full = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     g = j.groupBy(lane_id).agg(
         F.any_value("lane_type").alias("lane_type"),

@@ -60,7 +60,7 @@ def sample(points: DataFrame, cells: DataFrame, grid: DataFrame, key: Sequence[s
     p = p.withColumn("_k", F.explode(F.when(F.coalesce(inside, F.lit(False)), four).otherwise(none)))
     p = p.select("source_id", *key, *rest, "_fc", "_fr", F.col("_k.k").alias("_k"), F.col("_k.r").alias("r"), F.col("_k.c").alias("c"))
     z = cells.select("source_id", F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), F.col("z").alias("_z"))
-    joined = salted_join(p, z, ["source_id", "r", "c"], key, how="left")
+    joined = p.join(z, ["source_id", "r", "c"], "left")  # hot cells: adaptive execution splits the point side
     keep = F.any_value(F.struct("source_id", "_fc", "_fr", *rest)).alias("_p")
     corners = [F.max(F.when(F.col("_k") == k, F.col("_z"))).alias(f"_z{k}") for k in range(4)]
     g = joined.groupBy(*key).agg(keep, *corners)
@@ -98,7 +98,7 @@ def cut_fill(areas: DataFrame, cells: DataFrame, grid: DataFrame, key: str, desi
     z = cells.select("source_id", F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), "z")
     diff = F.col(design) - F.col("z")
     px2 = F.col("px") * F.col("px")
-    sums = salted_join(inside, z, ["source_id", "r", "c"], [key]).groupBy(key).agg(
+    sums = inside.join(z, ["source_id", "r", "c"]).groupBy(key).agg(
         F.sum(F.greatest(-diff, F.lit(0.0)) * px2).alias("cut_m3"), F.sum(F.greatest(diff, F.lit(0.0)) * px2).alias("fill_m3")
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
@@ -320,7 +320,7 @@ def flatten_pad(cells: DataFrame, grid: DataFrame, pads: DataFrame, walls: DataF
     signed = F.when(F.col("_in"), dist).otherwise(-dist)
     alpha = geom.clamp01((signed + F.col("width_m") / 2.0) / F.col("width_m"))
     z = cells.select("source_id", F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), "z")
-    w = salted_join(w.withColumn("alpha", alpha), z, ["source_id", "r", "c"], [key])
+    w = w.withColumn("alpha", alpha).join(z, ["source_id", "r", "c"])
     return w.select(
         key, "r", "c", "alpha", (F.col("alpha") * F.col("design_z") + (1.0 - F.col("alpha")) * F.col("z")).alias("z")
     )
@@ -358,7 +358,7 @@ def degenerate_faces(face_table: DataFrame, vertices: DataFrame, eps_m2: float =
     Corners are exploded to one join with the vertex table instead of three.
     """
     corners = face_table.select("face_id", F.posexplode(F.array("v0", "v1", "v2")).alias("k", "v"))
-    hit = salted_join(corners, vertices, ["v"], ["face_id"]).groupBy("face_id").agg(
+    hit = corners.join(vertices, "v").groupBy("face_id").agg(
         *[F.max(F.when(F.col("k") == k, F.col(a))).alias(f"{a}{k}") for k in range(3) for a in ("x", "y")]
     )
     c = F.col

@@ -2,8 +2,8 @@
 
 * Boxes live on the grid level whose cell is at least as large as the box, so each covers at most
   four cells; points carry one cell per level. A pair meets exactly once.
-* Hot cells (one cell may hold a third of all rows) are split by a salt on the many side; the other
-  side is repeated for those cells only.
+* A hot cell (one cell may hold a third of all rows) is split: by a salt where the other side is
+  small, else by adaptive skew handling, which cuts the hot partition of the left side at run time.
 * Exact predicates run right behind the join, inside the same stage.
 """
 
@@ -16,26 +16,25 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import geom
 
-HOT_ROWS = 1_000_000
-FAN = 32
+FAN = 16
 BOX = ("minx", "miny", "maxx", "maxy")
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str], how: str = "inner",
-                hot_rows: int = HOT_ROWS, fan: int = FAN) -> DataFrame:
-    """Equi-join that splits keys with more than ``hot_rows`` rows on the left side.
-
-    At most ``rows / hot_rows`` keys are hot, so the broadcast of hot keys is bounded by
-    construction: a trillion left rows give at most a million keys.
+                fan: int = FAN) -> DataFrame:
+    """Equi-join whose left rows of one key are spread over ``fan`` tasks.
+
+    The right side is repeated ``fan`` times, so this is for a right side that is small next to the
+    left: zones, sites, one summary row per key. With ``fan=1`` it is a plain join, for two large
+    sides or a right side unique per key such as raster cells; there adaptive execution splits the
+    left partitions of a hot key at run time (``spark.sql.adaptive.skewJoin``), as it also does with
+    what a salt leaves over. ``salt_by`` must identify left rows, so that copies spread as well.
     """
     keys = list(keys)
-    hot = F.broadcast(
-        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    )
-    part = F.pmod(F.xxhash64(*salt_by), F.lit(fan)).cast("int")
-    left = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), part).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))
-    right = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    if fan <= 1:
+        return left.join(right, keys, how)
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(fan)).cast("int"))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -57,15 +56,13 @@ def _size(level: Column, cell: float) -> Column:
 
 def _explode_cells(df: DataFrame, box: Sequence[str], size: Column, reach) -> DataFrame:
     x0, y0, x1, y1 = (F.col(b) for b in box)
-    df = df.withColumns({"_r": F.lit(reach).cast("double") if not isinstance(reach, Column) else reach})
-    df = df.withColumn("_cx", F.explode(F.sequence(_cell(x0 - F.col("_r"), size), _cell(x1 + F.col("_r"), size))))
-    df = df.withColumn("_cy", F.explode(F.sequence(_cell(y0 - F.col("_r"), size), _cell(y1 + F.col("_r"), size))))
-    return df.drop("_r")
+    span = lambda a, b: F.sequence(_cell(a - reach, size), _cell(b + reach, size))
+    return df.withColumn("_cx", F.explode(span(x0, x1))).withColumn("_cy", F.explode(span(y0, y1)))
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, *, cell: float, point_id: Sequence[str],
                     by: Sequence[str] = (), x: str = "x", y: str = "y", box: Sequence[str] = BOX,
-                    reach=0.0, levels: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
+                    reach=0.0, levels: int = 3, fan: int = FAN) -> DataFrame:
     """Every (point, box) pair with the point in the box grown by ``reach``, each pair once.
 
     Column names of the two sides must differ, except ``by``.
@@ -78,7 +75,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, *, cell: float, point_i
     b = boxes.withColumns({"_lv": _level(box, cell, levels, reach), "_reach": reach})
     b = _explode_cells(b, box, size, F.col("_reach"))
     keys = [*by, "_lv", "_cx", "_cy"]
-    pairs = salted_join(p, b, keys, point_id, hot_rows=hot_rows)
+    pairs = salted_join(p, b, keys, point_id, fan=fan)
     r = F.col("_reach")
     inside = (
         (F.col(x) >= F.col(box[0]) - r) & (F.col(x) <= F.col(box[2]) + r)
@@ -89,7 +86,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, *, cell: float, point_i
 
 def box_pairs(left: DataFrame, right: DataFrame, *, cell: float, left_id: Sequence[str], by: Sequence[str] = (),
               lbox: Sequence[str], rbox: Sequence[str], reach: float = 0.0, levels: int = 3,
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              fan: int = 1) -> DataFrame:
     """Every pair of boxes within ``reach`` of each other (box distance per axis), each pair once.
 
     Pairs meet on the coarser of their two levels, in the cell of the lower-left corner of the
@@ -111,8 +108,8 @@ def box_pairs(left: DataFrame, right: DataFrame, *, cell: float, left_id: Sequen
     r_native = cells(r, rl, rbox, 0.0, None)
     l_native = cells(l, ll, lbox, reach, None)
     r_above = cells(r, rl, rbox, 0.0, rl + 1)
-    pairs = salted_join(l_up, r_native, keys, left_id, hot_rows=hot_rows).unionByName(
-        salted_join(l_native, r_above, keys, left_id, hot_rows=hot_rows)
+    pairs = salted_join(l_up, r_native, keys, left_id, fan=fan).unionByName(
+        salted_join(l_native, r_above, keys, left_id, fan=fan)
     )
     ax0, ay0, ax1, ay1 = (F.col(c) for c in lbox)
     bx0, by0, bx1, by1 = (F.col(c) for c in rbox)
@@ -125,15 +122,10 @@ def box_pairs(left: DataFrame, right: DataFrame, *, cell: float, left_id: Sequen
     return pairs.where(meet & once).drop("_lv", "_cx", "_cy", "_ll", "_rl")
 
 
-def distinct_places(df: DataFrame, place: Sequence[str], carry: Column) -> DataFrame:
-    """One row per place before a nearest or existence join: copies at one spot collapse to the smallest ``carry``."""
-    return df.groupBy(*place).agg(F.min(carry).alias("carry"))
-
-
 def nearest_path(queries: DataFrame, paths: DataFrame, *, query_id: Sequence[str], by: Sequence[str],
                  query_path: str, path: str, path_order: Column, carry: Sequence[str],
                  distance=geom.path_path_dist, coarse: float = 1600.0, fine: float = 200.0,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+                 fan: int = 1) -> DataFrame:
     """Nearest path per query with no distance limit, exact, without all pairs.
 
     ``by`` groups cover a bounded territory (a site), hence few coarse cells. Bounds shrink in two
@@ -155,7 +147,6 @@ def nearest_path(queries: DataFrame, paths: DataFrame, *, query_id: Sequence[str
     coarse_cells = fine_cells.groupBy(*by, F.floor(F.col("_cx") / k).alias("_kx"), F.floor(F.col("_cy") / k).alias("_ky")).agg(
         F.min("_rep").alias("_rep")
     ).select(*by, "_rep")
-    head = F.get(F.col(query_path), F.lit(0))
     q = queries.select(*query_id, *by, F.col(query_path).alias("_q")).withColumns(
         {"_qx": F.get(F.col("_q"), F.lit(0)).x, "_qy": F.get(F.col("_q"), F.lit(0)).y}
     )
@@ -164,12 +155,12 @@ def nearest_path(queries: DataFrame, paths: DataFrame, *, query_id: Sequence[str
     box = ["_minx", "_miny", "_maxx", "_maxy"]
     spot = q.select(*ids, "_qx", "_qy", *box)
     rep_d = geom.length_between(F.col("_qx"), F.col("_qy"), F.col("_rep.vx"), F.col("_rep.vy"))
-    bound1 = salted_join(spot, coarse_cells, by, query_id, hot_rows=hot_rows).groupBy(*ids, "_qx", "_qy", *box).agg(F.min(rep_d).alias("_u"))
+    bound1 = salted_join(spot, coarse_cells, by, query_id).groupBy(*ids, "_qx", "_qy", *box).agg(F.min(rep_d).alias("_u"))
 
     def around(df):
         return _explode_cells(df, box, F.lit(fine), F.col("_u"))
 
-    bound2 = salted_join(around(bound1), fine_cells, [*by, "_cx", "_cy"], query_id, hot_rows=hot_rows).groupBy(
+    bound2 = salted_join(around(bound1), fine_cells, [*by, "_cx", "_cy"], query_id, fan=fan).groupBy(
         *ids, "_qx", "_qy", *box
     ).agg(F.min(rep_d).alias("_u"))
     # segments put a path into every cell it passes; a long segment covers its box of cells
@@ -179,7 +170,7 @@ def nearest_path(queries: DataFrame, paths: DataFrame, *, query_id: Sequence[str
         "_sy0": F.least("_s.y0", "_s.y1"), "_sy1": F.greatest("_s.y0", "_s.y1"),
     })
     in_cells = _explode_cells(segs, ["_sx0", "_sy0", "_sx1", "_sy1"], F.lit(fine), 0.0).select(*by, "_best", "_s", "_cx", "_cy")
-    near = salted_join(around(bound2).join(q.select(*ids, "_q"), ids), in_cells, [*by, "_cx", "_cy"], query_id, hot_rows=hot_rows)
+    near = salted_join(around(bound2).join(q.select(*ids, "_q"), ids), in_cells, [*by, "_cx", "_cy"], query_id, fan=fan)
     seg_path = F.array(geom.point(F.col("_s.x0"), F.col("_s.y0")), geom.point(F.col("_s.x1"), F.col("_s.y1")))
     return near.groupBy(*ids).agg(
         F.min(F.struct(distance(F.col("_q"), seg_path).alias("dist"), F.col("_best").alias("hit"))).alias("nearest")
