@@ -1,6 +1,6 @@
 """All registered queries, by inventory section."""
 
-from driver import q_joins, q_scalars, q_tables  # noqa: F401
+from driver import q_joins, q_relief, q_scalars, q_tables  # noqa: F401
 from driver.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -358,3 +358,13 @@ def rebuilt_axes(roads: DataFrame, edits: DataFrame, key: str) -> DataFrame:
         "reject_reason": reason, "new_length_m": F.when(reason.isNull(), length),
         "new_area_m2": F.when(reason.isNull(), ribbon_area(F.col("new_path"), F.col("width_m"))),
     })
+
+
+def max_deviation(lines: DataFrame, cells: DataFrame, grid: DataFrame, key: str, target: Column, step: float = 2.0) -> DataFrame:
+    """Largest difference between relief and a target height along each line; samples without either are skipped.
+
+    ``target`` is a Column over the sample's x, y and the line's columns.
+    """
+    pts = profile_points(lines, step).withColumn("_target", target).select(key, "source_id", "i", "x", "y", "_target")
+    z = sample(pts, cells, grid, [key, "i"])
+    return z.groupBy(key).agg(F.coalesce(F.max(F.abs(F.col("z") - F.col("_target"))), F.lit(0.0)).alias("max_deviation_m"))

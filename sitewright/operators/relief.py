@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sitewright import rules
 from sitewright.functions import geom
 from sitewright.operators.chunks import haloed, own_rows
-from sitewright.operators.spatial import salted_join
+from sitewright.operators.spatial import BOX, points_in_boxes, salted_join
 
 CHUNK = 4096
 
@@ -58,9 +58,9 @@ def sample(points: DataFrame, cells: DataFrame, grid: DataFrame, key: Sequence[s
     none = F.array(corner(0, spread, F.lit(-1).cast("bigint")))
     p = p.withColumns({"_fc": F.col("_cf") - F.floor("_cf"), "_fr": F.col("_rf") - F.floor("_rf")})
     p = p.withColumn("_k", F.explode(F.when(F.coalesce(inside, F.lit(False)), four).otherwise(none)))
-    p = p.select("source_id", *key, *rest, "_fc", "_fr", F.col("_k.k").alias("_k"), F.col("_k.r").alias("r"), F.col("_k.c").alias("c"))
-    z = cells.select("source_id", F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), F.col("z").alias("_z"))
-    joined = p.join(z, ["source_id", "r", "c"], "left")  # hot cells: adaptive execution splits the point side
+    p = p.select("source_id", *key, *rest, "_fc", "_fr", F.col("_k.k").alias("_k"), F.col("_k.r").alias("_r"), F.col("_k.c").alias("_c"))
+    z = cells.select("source_id", F.col("r").cast("bigint").alias("_r"), F.col("c").cast("bigint").alias("_c"), F.col("z").alias("_z"))
+    joined = p.join(z, ["source_id", "_r", "_c"], "left")  # hot cells: adaptive execution splits the point side
     keep = F.any_value(F.struct("source_id", "_fc", "_fr", *rest)).alias("_p")
     corners = [F.max(F.when(F.col("_k") == k, F.col("_z"))).alias(f"_z{k}") for k in range(4)]
     g = joined.groupBy(*key).agg(keep, *corners)
@@ -364,3 +364,25 @@ def degenerate_faces(face_table: DataFrame, vertices: DataFrame, eps_m2: float =
     c = F.col
     area = F.abs((c("x1") - c("x0")) * (c("y2") - c("y0")) - (c("x2") - c("x0")) * (c("y1") - c("y0"))) / 2.0
     return hit.select("face_id", area.alias("area_m2")).where(F.col("area_m2") <= eps_m2)
+
+
+def outside_areas(points: DataFrame, areas: DataFrame, point_id: Sequence[str], cell: float = 250.0, ring: str = "ring") -> DataFrame:
+    """Points neither inside nor on the edge of any area; equal areas count once. areas: ring, bbox columns."""
+    spots = areas.groupBy(ring, *BOX).agg(F.lit(1).alias("_1")).drop("_1")
+    hit = points_in_boxes(points.select(*point_id, "x", "y"), spots, cell=cell, point_id=list(point_id))
+    hit = hit.where(geom.covers(F.col("x"), F.col("y"), F.col(ring))).groupBy(*point_id).agg(F.lit(1).alias("_1")).drop("_1")
+    return points.join(hit, list(point_id), "left_anti")
+
+
+def deduped_points(points: DataFrame, by: Sequence[str] = (), tol: float = 0.01) -> DataFrame:
+    """One point per ``tol`` cell: building over water over road over terrain, the earlier one among equals.
+
+    points: x, y, z, source, seq.
+    """
+    rank = F.lit(0)
+    for name, p in rules.POINT_SOURCE_PRIORITY.items():
+        rank = F.when(F.col("source") == name, -p).otherwise(rank)
+    g = points.groupBy(*by, F.rint(F.col("x") / tol).alias("_kx"), F.rint(F.col("y") / tol).alias("_ky")).agg(
+        F.min(F.struct(rank.alias("rank"), "seq", "x", "y", "z", "source")).alias("_b")
+    )
+    return g.select(*by, "_b.seq", "_b.x", "_b.y", "_b.z", "_b.source")
