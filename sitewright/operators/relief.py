@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,12 +71,19 @@ def sample(points: DataFrame, cells: DataFrame, grid: DataFrame, key: Sequence[s
     return g.select(*key, *carried, (top * (1.0 - fr) + bottom * fr).alias(out))
 
 
-def ring_minimum(rings: DataFrame, cells: DataFrame, grid: DataFrame, key: str, ring: str = "ring") -> DataFrame:
-    """Lowest height over the ring's vertices; 0 when no vertex is covered."""
+def ring_minimum_by(rings: DataFrame, elevation: Callable[[DataFrame], DataFrame], key: str, ring: str = "ring") -> DataFrame:
+    """Lowest height over the ring's vertices; 0 when no vertex is covered.
+
+    ``elevation`` adds z to rows with (key, _i, source_id, x, y): the raster sample or anything else.
+    """
     v = rings.select(key, "source_id", F.posexplode(ring).alias("_i", "_p")).select(
         key, "source_id", "_i", F.col("_p.x").alias("x"), F.col("_p.y").alias("y")
     )
-    return sample(v, cells, grid, [key, "_i"]).groupBy(key).agg(F.coalesce(F.min("z"), F.lit(0.0)).alias("base_z"))
+    return elevation(v).groupBy(key).agg(F.coalesce(F.min("z"), F.lit(0.0)).alias("base_z"))
+
+
+def ring_minimum(rings: DataFrame, cells: DataFrame, grid: DataFrame, key: str, ring: str = "ring") -> DataFrame:
+    return ring_minimum_by(rings, lambda v: sample(v, cells, grid, [key, "_i"]), key, ring)
 
 
 def covered_cells(areas: DataFrame, grid: DataFrame, key: Sequence[str], ring: str = "ring") -> DataFrame:

@@ -127,3 +127,9 @@ def parcels_near(parcels: DataFrame, points: DataFrame, half_deg: float = 0.01,
     for keys in (["site_id", "_blk"], ["site_id"]):
         hit = hit.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("_rn") <= page)
     return hit.drop("_rn", "_blk", *BOX)
+
+
+def control_errors(points: DataFrame, x: str, y: str, target_x: str, target_y: str) -> DataFrame:
+    """Planimetric differences of projected points against their targets."""
+    dx, dy = F.col(x) - F.col(target_x), F.col(y) - F.col(target_y)
+    return points.withColumns({"dx": dx, "dy": dy, "error_m": F.sqrt(dx * dx + dy * dy)})

@@ -1,0 +1,33 @@
+"""Named steps that each write one table; a rerun skips the finished ones."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+Step = tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]
+
+
+def _done(spark: SparkSession, path: str) -> bool:
+    """A table counts as finished once its commit marker is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    marker = hadoop.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def run_steps(spark: SparkSession, steps: Sequence[Step], folder: str) -> tuple[dict[str, DataFrame], list[str]]:
+    """Run steps in order; each reads the tables before it and writes its own under ``folder``.
+
+    A written table cuts the lineage, so a lost executor costs at most the running step. Returns the
+    tables and the names that were really run.
+    """
+    out: dict[str, DataFrame] = {}
+    ran: list[str] = []
+    for name, fn in steps:
+        path = f"{folder.rstrip('/')}/{name}"
+        if not _done(spark, path):
+            fn(dict(out)).write.mode("overwrite").parquet(path)
+            ran.append(name)
+        out[name] = spark.read.parquet(path)
+    return out, ran
