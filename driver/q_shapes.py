@@ -20,6 +20,13 @@ from sitewright.operators import audit, lines, objects, relief, selection, sitin
 from sitewright.plans import site_selection, steps
 from sitewright.sources import tables
 
+
+
+def off_tie(c: str, name: str):
+    """Four decimals; heights in eighths and hundredths often sit exactly on a rounding tie, so both sides shift first."""
+    return F.round(F.col(c) + 3.7e-7, 4).alias(name)
+
+
 # --- envelope, bridges, siting ----------------------------------------------------------------
 
 ENV = """bs AS (SELECT osm_id, cx - hx AS minx, cy - hy AS miny, cx + hx AS maxx, cy + hy AS maxy, osm_id % 3 AS pr FROM v_buildings),
@@ -174,7 +181,7 @@ def w03(spark, d):
 
 @query("g08_wire_points", f"""WITH {SPANS}, pz AS (SELECT pole_id, coalesce(z, 0) AS z FROM {sampled('pl', 'pole_id')})
 SELECT line_id, pole_id, b_id, k AS strand, CAST(i AS INT) AS i, round(x - (b_y - y) / span * off + i / 8.0::DOUBLE * (bx - x), 4) + 0.0 AS wx, round(y + (bx - x) / span * off + i / 8.0::DOUBLE * (b_y - y), 4) + 0.0 AS wy,
- round(a.z + height_m * 0.9::DOUBLE + i / 8.0::DOUBLE * (b.z + bh * 0.9::DOUBLE - a.z - height_m * 0.9::DOUBLE) - span * 0.03::DOUBLE * 4 * (i / 8.0::DOUBLE) * (1 - i / 8.0::DOUBLE), 4) AS wz
+ round(a.z + height_m * 0.9::DOUBLE + i / 8.0::DOUBLE * (b.z + bh * 0.9::DOUBLE - a.z - height_m * 0.9::DOUBLE) - span * 0.03::DOUBLE * 4 * (i / 8.0::DOUBLE) * (1 - i / 8.0::DOUBLE) + 3.7e-7, 4) AS wz
 FROM st JOIN pz a USING (pole_id) JOIN pz b ON b.pole_id = st.b_id, range(0, 9) t(i)""")
 def g08(spark, d):
     v = V(spark, d)
@@ -188,7 +195,7 @@ def g08(spark, d):
     s = s.withColumns({"za": F.col("g") + F.col("height_m") * ratio, "zb": F.col("bg") + F.col("b_height_m") * ratio})
     w = lines.wire_points(lines.strands(s))
     r4 = lambda c: (F.round(c, 4) + 0.0).alias(c)
-    return w.select("line_id", "pole_id", "b_id", "strand", F.col("k").alias("i"), r4("wx"), r4("wy"), F.round("wz", 4).alias("wz"))
+    return w.select("line_id", "pole_id", "b_id", "strand", F.col("k").alias("i"), r4("wx"), r4("wy"), off_tie("wz", "wz"))
 
 
 def profile_sql(step: float, half: int, src: str) -> str:
@@ -204,7 +211,7 @@ pr AS (SELECT c.osm_id, c.n, c.len, c.i, c.d, c.x, c.y, sum(CASE WHEN k < 0 THEN
 ROADS = "(SELECT * FROM v_lines WHERE layer = 'osm_roads')"
 
 
-@query("g13_road_edge_points", f"""WITH {profile_sql(5.0, 3, ROADS)} SELECT pr.osm_id, pr.i, CAST(s AS INT) AS side, round(pr.x - s * (y1 - y0) / pr.len * w / 2, 4) + 0.0 AS x, round(pr.y + s * (x1 - x0) / pr.len * w / 2, 4) + 0.0 AS y, round(zs, 4) AS z
+@query("g13_road_edge_points", f"""WITH {profile_sql(5.0, 3, ROADS)} SELECT pr.osm_id, pr.i, CAST(s AS INT) AS side, round(pr.x - s * (y1 - y0) / pr.len * w / 2, 4) + 0.0 AS x, round(pr.y + s * (x1 - x0) / pr.len * w / 2, 4) + 0.0 AS y, round(zs + 3.7e-7, 4) AS z
 FROM pr JOIN (SELECT *, CASE WHEN osm_id % 3 > 0 THEN (osm_id % 3) * 3.0 ELSE 6.0 END AS w FROM v_lines) l ON l.osm_id = pr.osm_id, range(-1, 2) t(s)""")
 def g13(spark, d):
     v = V(spark, d)
@@ -212,7 +219,7 @@ def g13(spark, d):
     prof = lines.line_profile(l, v.cells(), v.grid(), "osm_id", 5.0, 30.0)
     e = lines.edge_points(prof, l, "osm_id")
     r4 = lambda c: (F.round(c, 4) + 0.0).alias(c)
-    return e.select("osm_id", "i", "side", r4("x"), r4("y"), F.round("z_smooth", 4).alias("z"))
+    return e.select("osm_id", "i", "side", r4("x"), r4("y"), off_tie("z_smooth", "z"))
 
 
 @query("c18_ribbons", f"""WITH l AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len, CAST({WIDTH_SQL} AS DOUBLE) AS w FROM v_lines WHERE layer = 'osm_roads'),
@@ -263,11 +270,11 @@ axl AS (SELECT osm_id, CASE WHEN maxx - minx >= maxy - miny THEN minx ELSE (minx
 fl AS (SELECT osm_id, coalesce(min(z), 0) AS level FROM {sampled('q2', 'osm_id, pos')} GROUP BY osm_id), {profile_sql(5.0, 5, 'axl')},
 vp AS (SELECT q2.osm_id, q2.pos, greatest(0, least(l.len, ((q2.x - x0) * (x1 - x0) + (q2.y - y0) * (y1 - y0)) / l.len)) / l.len * l.n AS f, l.n FROM q2 JOIN ln2 l ON l.osm_id = q2.osm_id),
 lv AS (SELECT v.osm_id, min(a.zs + (b.zs - a.zs) * (f - a.i)) AS level FROM vp v JOIN pr a ON a.osm_id = v.osm_id AND a.i = least(floor(f), v.n - 1) JOIN pr b ON b.osm_id = v.osm_id AND b.i = a.i + 1 GROUP BY v.osm_id)
-SELECT osm_id, CASE WHEN lo >= 3 * sh THEN 'elongated' ELSE 'compact' END AS shape, round(CASE WHEN lo >= 3 * sh THEN lv.level ELSE fl.level END, 4) AS level_z FROM ar LEFT JOIN fl USING (osm_id) LEFT JOIN lv USING (osm_id)""")
+SELECT osm_id, CASE WHEN lo >= 3 * sh THEN 'elongated' ELSE 'compact' END AS shape, round(CASE WHEN lo >= 3 * sh THEN lv.level ELSE fl.level END + 3.7e-7, 4) AS level_z FROM ar LEFT JOIN fl USING (osm_id) LEFT JOIN lv USING (osm_id)""")
 def c20(spark, d):
     v = V(spark, d)
     a = v.zones().select(F.col("id").alias("osm_id"), one_source(), "ring")
-    return surfaces.water_levels(a, v.cells(), v.grid(), "osm_id").select("osm_id", "shape", F.round("level_z", 4).alias("level_z"))
+    return surfaces.water_levels(a, v.cells(), v.grid(), "osm_id").select("osm_id", "shape", off_tie("level_z", "level_z"))
 
 
 LANE_AXIS = """lx AS (SELECT osm_id, CASE WHEN hx >= hy THEN cx - hx ELSE cx END AS x0, CASE WHEN hx >= hy THEN cy ELSE cy - hy END AS y0, CASE WHEN hx >= hy THEN cx + hx ELSE cx END AS x1, CASE WHEN hx >= hy THEN cy ELSE cy + hy END AS y1
@@ -278,7 +285,7 @@ LANE_AXIS = """lx AS (SELECT osm_id, CASE WHEN hx >= hy THEN cx - hx ELSE cx END
 vp AS (SELECT p.osm_id, greatest(0, least(l.len, ((p.x - x0) * (x1 - x0) + (p.y - y0) * (y1 - y0)) / l.len)) / l.len * l.n AS f, l.n, CASE WHEN hx >= hy THEN hy / 4 ELSE hx / 2 END AS off FROM pt p JOIN ln2 l ON l.osm_id = p.osm_id),
 lv AS (SELECT v.osm_id, a.zs + (b.zs - a.zs) * (f - a.i) - 0.02::DOUBLE * off + 0.03::DOUBLE AS z FROM vp v JOIN pr a ON a.osm_id = v.osm_id AND a.i = least(floor(f), v.n - 1) JOIN pr b ON b.osm_id = v.osm_id AND b.i = a.i + 1),
 fl AS (SELECT osm_id, z + 0.03::DOUBLE AS z FROM {sampled('(SELECT * FROM pt WHERE NOT ok)', 'osm_id')}), al AS (SELECT * FROM lv UNION ALL SELECT * FROM fl)
-SELECT osm_id, round(z, 4) AS pavement_z, round(z + 0.005::DOUBLE, 4) AS marking_z FROM al""")
+SELECT osm_id, round(z + 3.7e-7, 4) AS pavement_z, round(z + 0.005::DOUBLE + 3.7e-7, 4) AS marking_z FROM al""")
 def c21(spark, d):
     v = V(spark, d)
     c = F.col
@@ -286,12 +293,12 @@ def c21(spark, d):
     lanes = b.select("osm_id", one_source(), "ring")
     pts = b.select("osm_id", c("osm_id").alias("pid"), (c("cx") + c("hx") / 2).alias("x"), (c("cy") + c("hy") / 4).alias("y"))
     h = surfaces.pavement_heights(lanes, pts, v.cells(), v.grid(), "osm_id", "pid")
-    return h.select("osm_id", F.round("pavement_z", 4).alias("pavement_z"), F.round("marking_z", 4).alias("marking_z"))
+    return h.select("osm_id", off_tie("pavement_z", "pavement_z"), off_tie("marking_z", "marking_z"))
 
 
 @query("c22_profile_lookup", f"""WITH {profile_sql(5.0, 5, ROADS)}, pt AS (SELECT osm_id, k, x0 + (k * 0.57::DOUBLE - 0.2::DOUBLE) * (x1 - x0) - 0.05::DOUBLE * (y1 - y0) AS x, y0 + (k * 0.57::DOUBLE - 0.2::DOUBLE) * (y1 - y0) + 0.05::DOUBLE * (x1 - x0) AS y, x0, y0, x1, y1, len, n FROM ln2, range(0, 3) t(k)),
 vp AS (SELECT osm_id, k, n, greatest(0, least(len, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / len)) / len * n AS f FROM pt)
-SELECT v.osm_id, CAST(k AS INT) AS k, round(a.zs + (b.zs - a.zs) * (f - a.i), 4) AS z FROM vp v JOIN pr a ON a.osm_id = v.osm_id AND a.i = least(floor(f), v.n - 1) JOIN pr b ON b.osm_id = v.osm_id AND b.i = a.i + 1""")
+SELECT v.osm_id, CAST(k AS INT) AS k, round(a.zs + (b.zs - a.zs) * (f - a.i) + 3.7e-7, 4) AS z FROM vp v JOIN pr a ON a.osm_id = v.osm_id AND a.i = least(floor(f), v.n - 1) JOIN pr b ON b.osm_id = v.osm_id AND b.i = a.i + 1""")
 def c22(spark, d):
     v = V(spark, d)
     prof = road_profile(v)
@@ -302,7 +309,7 @@ def c22(spark, d):
     pos = geom.project_along(F.col("x0") + t * dx - 0.05 * dy, F.col("y0") + t * dy + 0.05 * dx, F.col("path"))
     n = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("line_len") / 5.0).cast("bigint"))
     p = l.select("osm_id", "k", pos.alias("pos"), "line_len", n.alias("n"))
-    return lines.at_profile(p, prof, "osm_id", ["k"]).select("osm_id", "k", F.round("profile_z", 4).alias("z"))
+    return lines.at_profile(p, prof, "osm_id", ["k"]).select("osm_id", "k", off_tie("profile_z", "z"))
 
 
 @query("c32_road_rebuild", f"""WITH e AS (SELECT *, CASE WHEN highway IN ('primary', 'tertiary_link') THEN 'backbone road is not editable' WHEN osm_id % 3 = 0 THEN 'road has no single axis' WHEN osm_id % 5 = 0 THEN 'new axis has no length' END AS reject_reason,

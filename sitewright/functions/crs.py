@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewright import rules
+from sitewright.functions import geom
 
 _ARCSEC = math.pi / (180.0 * 3600.0)
 
@@ -112,11 +113,13 @@ def lonlat_to_msk(df: DataFrame, lon: str = "lon", lat: str = "lat", zone: str =
         k = 2.0 * j
         xi = xi + a * F.sin(k * c("xi")) * F.cosh(k * c("eta"))
         eta = eta + a * F.cos(k * c("xi")) * F.sinh(k * c("eta"))
-    df = df.withColumns({
-        out[0]: _zone_value(F.col(zone), 2) + ell.rect * eta,
-        out[1]: _zone_value(F.col(zone), 3) + ell.rect * xi,
+    return _fenced(df, t, {
+        out[0]: _zone_value(F.col(zone), 2) + ell.rect * eta, out[1]: _zone_value(F.col(zone), 3) + ell.rect * xi,
     })
-    return df.drop(*[x for x in df.columns if x.startswith(t)])
+
+
+def _fenced(df: DataFrame, temp: str, result: dict[str, Column]) -> DataFrame:
+    return geom.fenced(df, **result).drop(*[c for c in df.columns if c.startswith(temp)])
 
 
 def msk_to_lonlat(df: DataFrame, x: str = "x", y: str = "y", zone: str = "zone",
@@ -146,8 +149,7 @@ def msk_to_lonlat(df: DataFrame, x: str = "x", y: str = "y", zone: str = "zone",
     sx, sy, sz = _shift(c("X"), c("Y"), c("Z"), inverse=False)
     df = df.withColumns({t + "sx": sx, t + "sy": sy, t + "sz": sz})
     lon, lat = _to_geodetic(c("sx"), c("sy"), c("sz"), WGS84)
-    df = df.withColumns({out[0]: F.degrees(lon), out[1]: F.degrees(lat)})
-    return df.drop(*[n for n in df.columns if n.startswith(t)])
+    return _fenced(df, t, {out[0]: F.degrees(lon), out[1]: F.degrees(lat)})
 
 
 def path_to_msk(df: DataFrame, path: str, zone: str, key: list[str]) -> DataFrame:

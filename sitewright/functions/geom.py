@@ -22,6 +22,11 @@ def rect_ring(minx, miny, maxx, maxy) -> Column:
     return F.array(point(minx, miny), point(maxx, miny), point(maxx, maxy), point(minx, maxy), point(minx, miny))
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once inside an expression, so that a large one is not repeated at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def segments(path: Column) -> Column:
     n = F.greatest(F.size(path) - 1, F.lit(0))
     return F.zip_with(
@@ -52,6 +57,13 @@ def bbox(path: Column) -> dict[str, Column]:
     return {"minx": F.array_min(xs), "miny": F.array_min(ys), "maxx": F.array_max(xs), "maxy": F.array_max(ys)}
 
 
+def fenced(df, **columns: Column):
+    """Add columns behind a one-row generator: later filters on them stay above, so the optimizer does not
+    copy a long expression (or a Python call) to every reference."""
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def with_bbox(df, path_col: str, prefix: str = ""):
     return df.withColumns({prefix + k: v for k, v in bbox(F.col(path_col)).items()})
 
@@ -277,8 +289,12 @@ def repair_ring(ring: Column, min_area: float = 1.0, tol: float = 1e-9) -> Colum
 
     head = F.array(point(F.get(ring, F.lit(0)).x, F.get(ring, F.lit(0)).y))
     deduped = F.aggregate(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), head, keep_new)
-    turned = F.when(signed_area(deduped) < 0, F.reverse(deduped)).otherwise(deduped)
-    return F.when((F.size(deduped) >= 4) & (area(deduped) >= min_area), turned)
+
+    def checked(r):
+        a = signed_area(r)
+        return F.when((F.size(r) >= 4) & (F.abs(a) >= min_area), F.when(a < 0, F.reverse(r)).otherwise(r))
+
+    return let(deduped, checked)
 
 
 def self_crossing(ring: Column) -> Column:
@@ -300,13 +316,14 @@ def chaikin(path: Column, closed: bool, rounds: int = 2) -> Column:
         )
         return F.flatten(F.transform(segs, pair))
 
+    def one_round(p):
+        if closed:
+            return let(cut(segments(p)), lambda c: F.concat(c, F.slice(c, F.lit(1), F.lit(1))))
+        return F.concat(F.slice(p, F.lit(1), F.lit(1)), cut(segments(p)), F.slice(p, F.lit(-1), F.lit(1)))
+
     out = path
     for _ in range(rounds):
-        cuts = cut(segments(out))
-        if closed:
-            out = F.concat(cuts, F.slice(cuts, F.lit(1), F.lit(1)))
-        else:
-            out = F.concat(F.slice(out, F.lit(1), F.lit(1)), cuts, F.slice(out, F.lit(-1), F.lit(1)))
+        out = let(out, one_round)
     enough = F.size(path) >= (4 if closed else 3)
     return F.when(enough, out).otherwise(path)
 

@@ -145,20 +145,20 @@ def hull_rows(key: str):
     """mapInPandas function: hull vertices per key inside each Arrow batch (a map-side combine)."""
     def run(batches):
         for pdf in batches:
-            rows = [
-                (k, x, y)
-                for k, g in pdf.groupby(key, sort=False)
-                for x, y in hull(list(zip(g["x"].astype(float), g["y"].astype(float))))
-            ]
+            points: dict = {}
+            for k, x, y in zip(pdf[key], pdf["x"], pdf["y"]):
+                points.setdefault(k, []).append((float(x), float(y)))
+            rows = [(k, x, y) for k, pts in points.items() for x, y in hull(pts)]
             yield pd.DataFrame(rows, columns=[key, "x", "y"])
 
     return run
 
 
-def hull_of_group(key: str):
-    def run(keys, pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = hull(list(zip(pdf["x"].astype(float), pdf["y"].astype(float))))
-        ring = [{"x": x, "y": y} for x, y in pts + pts[:1]]
-        return pd.DataFrame({key: [keys[0]], "ring": [ring]})
+@pandas_udf(_PATH_T)
+def hull_udf(points: pd.Series) -> pd.Series:
+    """Closed convex ring of each point list."""
+    def one(ps):
+        pts = hull(_points(ps))
+        return [{"x": x, "y": y} for x, y in pts + pts[:1]]
 
-    return run
+    return pd.Series([one(p) for p in points])

@@ -11,6 +11,7 @@ from sitewright import rules
 from sitewright.functions import geom
 from sitewright.functions import tags as tg
 from sitewright.operators.chunks import sequenced
+from sitewright.operators.spatial import spread
 
 
 def within_boundary(elements: DataFrame, ring, x: str = "x", y: str = "y") -> DataFrame:
@@ -78,7 +79,7 @@ def scatter(areas: DataFrame, area_id: str, count: str, seed: int = 0, ring: str
     splits the work. A very large area is cut into blocks of indexes; the first ``count`` hits are
     found from running block totals.
     """
-    a = geom.with_bbox(areas, ring, "_").where(F.col(count) > 0)
+    a = spread(geom.with_bbox(areas, ring, "_").where(F.col(count) > 0), area_id)
     a = a.withColumn("_nb", F.ceil(F.col(count) * tries / float(block)).cast("bigint"))
     a = a.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)))
     top = F.least((F.col("_b") + 1) * block, F.col(count) * tries)

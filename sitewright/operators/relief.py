@@ -39,18 +39,16 @@ def sample(points: DataFrame, cells: DataFrame, grid: DataFrame, key: Sequence[s
     neighbours are an equi-join on (row, col); points stay the exploded side, never the raster.
     """
     rest = [c for c in points.columns if c not in key and c != "source_id"]
-    p = points.join(F.broadcast(grid), "source_id", "left")  # one row per source: bounded by the source registry
-    p = p.withColumns({
-        "_cf": (F.col(x) - F.col("x0")) / F.col("px") - 0.5, "_rf": (F.col("y0") - F.col(y)) / F.col("px") - 0.5,
-    })
-    inside = (
-        (F.col("_cf") >= 0) & (F.col("_rf") >= 0) & (F.col("_cf") <= F.col("width") - 1) & (F.col("_rf") <= F.col("height") - 1)
-    )
+    g = {n: F.col(f"_g_{n}") for n in ("x0", "y0", "px", "width", "height")}
+    head = grid.select("source_id", *[F.col(n).alias(f"_g_{n}") for n in g])
+    p = points.join(F.broadcast(head), "source_id", "left")  # one row per source: bounded by the source registry
+    p = p.withColumns({"_cf": (F.col(x) - g["x0"]) / g["px"] - 0.5, "_rf": (g["y0"] - F.col(y)) / g["px"] - 0.5})
+    inside = (F.col("_cf") >= 0) & (F.col("_rf") >= 0) & (F.col("_cf") <= g["width"] - 1) & (F.col("_rf") <= g["height"] - 1)
     # points off the grid get spread-out negative rows: they match nothing and do not pile up in one partition
     spread = -1 - F.pmod(F.xxhash64(*key), F.lit(1 << 20))
     c0, r0 = F.floor("_cf").cast("bigint"), F.floor("_rf").cast("bigint")
     corner = lambda k, r, c: F.struct(F.lit(k).alias("k"), r.alias("r"), c.alias("c"))
-    last_r, last_c = F.col("height") - 1, F.col("width") - 1
+    last_r, last_c = g["height"] - 1, g["width"] - 1
     four = F.array(
         corner(0, r0, c0), corner(1, r0, F.least(c0 + 1, last_c)),
         corner(2, F.least(r0 + 1, last_r), c0), corner(3, F.least(r0 + 1, last_r), F.least(c0 + 1, last_c)),
@@ -63,12 +61,12 @@ def sample(points: DataFrame, cells: DataFrame, grid: DataFrame, key: Sequence[s
     joined = p.join(z, ["source_id", "_r", "_c"], "left")  # hot cells: adaptive execution splits the point side
     keep = F.any_value(F.struct("source_id", "_fc", "_fr", *rest)).alias("_p")
     corners = [F.max(F.when(F.col("_k") == k, F.col("_z"))).alias(f"_z{k}") for k in range(4)]
-    g = joined.groupBy(*key).agg(keep, *corners)
+    out_rows = joined.groupBy(*key).agg(keep, *corners)
     fc, fr = F.col("_p._fc"), F.col("_p._fr")
     top = F.col("_z0") * (1.0 - fc) + F.col("_z1") * fc
     bottom = F.col("_z2") * (1.0 - fc) + F.col("_z3") * fc
     carried = [F.col(f"_p.{c}").alias(c) for c in ["source_id", *rest]]
-    return g.select(*key, *carried, (top * (1.0 - fr) + bottom * fr).alias(out))
+    return out_rows.select(*key, *carried, (top * (1.0 - fr) + bottom * fr).alias(out))
 
 
 def ring_minimum_by(rings: DataFrame, elevation: Callable[[DataFrame], DataFrame], key: str, ring: str = "ring") -> DataFrame:

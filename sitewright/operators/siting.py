@@ -65,11 +65,10 @@ def footprints(vertices: DataFrame, building: str = "building", salts: int = 16)
     pts = vertices.select(building, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     schema = f"{building} {dict(pts.dtypes)[building]}, x double, y double"
     small = pts.mapInPandas(kernels.hull_rows(building), schema)
+    spot = F.struct("x", "y")
     salted = small.withColumn("_s", F.pmod(F.xxhash64("x", "y"), F.lit(salts)))
-    part_t = f"{building} {dict(pts.dtypes)[building]}, ring {geom.PATH_T}"
-    parts = salted.groupBy(building, "_s").applyInPandas(kernels.hull_of_group(building), part_t)
-    corners = parts.select(building, F.explode("ring").alias("p")).select(building, "p.x", "p.y")
-    return corners.groupBy(building).applyInPandas(kernels.hull_of_group(building), part_t)
+    parts = salted.groupBy(building, "_s").agg(F.collect_set(spot).alias("p")).withColumn("p", kernels.hull_udf("p"))
+    return parts.groupBy(building).agg(F.flatten(F.collect_list("p")).alias("p")).select(building, kernels.hull_udf("p").alias("ring"))
 
 
 def match_entrances(buildings: DataFrame, entrances: DataFrame, building_id: str, entrance_id: str,

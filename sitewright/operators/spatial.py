@@ -38,6 +38,13 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even out rows before each of them is exploded into very many: a fixed partition number keeps
+    adaptive execution from merging the small input into one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def _cell(v: Column, size: Column) -> Column:
     return F.floor(v / size).cast("bigint")
 

@@ -13,7 +13,7 @@ from sitewright.operators.relief import ring_minimum, sample
 
 def with_long_axis(areas: DataFrame, ring: str = "ring") -> DataFrame:
     """Adds obb and the axis through the middles of the short sides."""
-    a = areas.withColumn("obb", kernels.oriented_box_udf(F.col(ring)))
+    a = geom.fenced(areas, obb=kernels.oriented_box_udf(F.col(ring)))
     half = F.col("obb.length") / 2.0
     end = lambda s: geom.point(F.col("obb.cx") + s * half * F.col("obb.ax"), F.col("obb.cy") + s * half * F.col("obb.ay"))
     return a.withColumn("axis", F.array(end(-1.0), end(1.0)))
@@ -47,7 +47,7 @@ def water_levels(areas: DataFrame, cells: DataFrame, grid: DataFrame, key: str)
 
     Outlines are corner-cut first, as they are drawn. areas: key, source_id, ring.
     """
-    a = areas.withColumn("ring", geom.chaikin(F.col("ring"), closed=True))
+    a = geom.fenced(areas, ring=geom.chaikin(F.col("ring"), closed=True))
     a = with_long_axis(a)
     long_ones, compact = a.where(elongated(rules.WATER_ELONGATION_RATIO)), a.where(~elongated(rules.WATER_ELONGATION_RATIO))
     flat = ring_minimum(compact.select(key, "source_id", "ring"), cells, grid, key).select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitewright import rules
 from sitewright.functions import geom
 from sitewright.operators.chunks import sequenced
-from sitewright.operators.spatial import BOX, box_pairs, points_in_boxes
+from sitewright.operators.spatial import BOX, box_pairs, points_in_boxes, spread
 
 
 def versions(zones: DataFrame, number: str = "registry_number", seq: str = "load_seq", chunk_size: int = 1_000_000) -> DataFrame:
@@ -149,11 +149,13 @@ def envelope(sites: DataFrame, regulations: DataFrame, obstacles: DataFrame, *,
         F.min(F.struct(F.col("limit_m"), F.col("_o.zone_id").alias("zid"), F.col("_o.label").alias("label"))).alias("_z")
     )
     k = lambda v: F.floor(v / step_m).cast("bigint")
-    grid = s.withColumn("i", F.explode(F.sequence(k(F.col("sminx")), k(F.col("smaxx"))))).withColumn(
+    grid = spread(s.select(site_id, "ring", "setback_m", "sminx", "sminy", "smaxx", "smaxy"), site_id).withColumn("i", F.explode(F.sequence(k(F.col("sminx")), k(F.col("smaxx"))))).withColumn(
         "j", F.explode(F.sequence(k(F.col("sminy")), k(F.col("smaxy"))))
     )
     cx, cy = (F.col("i") + 0.5) * step_m, (F.col("j") + 0.5) * step_m
-    kept = grid.where(geom.contains(cx, cy, F.col("ring")) & (geom.dist_to_path(cx, cy, F.col("ring")) >= F.col("setback_m")))
+    # a positive distance to the outline also rules out centres on it
+    d = geom.dist_to_path(cx, cy, F.col("ring"))
+    kept = grid.where(geom.inside_even_odd(cx, cy, F.col("ring")) & (d >= F.col("setback_m")) & (d > 0))
     taken = hits.select(site_id, "zring", "minx", "miny", "maxx", "maxy", "sminx", "sminy", "smaxx", "smaxy")
     lo = lambda a, b: k(F.greatest(F.col(a), F.col(b)))
     hi = lambda a, b: k(F.least(F.col(a), F.col(b)))
