@@ -110,32 +110,33 @@ def with_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     }).drop("_r")
 
 
-def held_alerts(states: DataFrame, *, key: str, ts: str, bad: str, hold_s: int, chunk_s: int = 86_400) -> DataFrame:
-    """Runs of consecutive bad samples lasting at least ``hold_s`` seconds (gaps and islands).
+def bad_runs(samples: DataFrame, key: str, chunk_s: int = 86_400) -> DataFrame:
+    """Runs of consecutive bad samples (gaps and islands): key, t0, t1, n_samples. samples: key, t (us), bad, n.
 
-    Islands are built per (key, time chunk); runs touching a chunk border are then merged on a table
-    of one row per run and chunk.
+    Islands are built per (key, time chunk). A run inside its chunk is complete; only the first and
+    last run of a chunk can go on across the border, so merging sees at most two rows per chunk.
     """
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    s = states.select(key, us.alias("t"), F.col(bad).alias("bad")).groupBy(key, "t").agg(F.bool_or("bad").alias("bad"))
+    s = samples.groupBy(key, "t").agg(F.bool_or("bad").alias("bad"), F.sum("n").alias("n"))
     s = s.withColumn("ck", F.floor(F.col("t") / (chunk_s * 1_000_000)).cast("bigint"))
     w = Window.partitionBy(key, "ck").orderBy("t")
     marked = s.withColumn("run", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(w))
     runs = marked.groupBy(key, "ck", "run").agg(
         F.min(F.when(F.col("bad"), F.col("t"))).alias("t0"), F.max(F.when(F.col("bad"), F.col("t"))).alias("t1"),
-        F.bool_or(~F.col("bad")).alias("starts_good"), F.count_if("bad").alias("n_bad"),
+        F.bool_or(~F.col("bad")).alias("starts_good"), F.sum(F.when(F.col("bad"), F.col("n"))).alias("n_samples"),
     )
-    # a run inside its chunk is complete; only the first and last run of a chunk can go on across the border
     runs = runs.withColumn("last", F.max("run").over(Window.partitionBy(key, "ck")))
     open_run = (F.col("run") == 0) | (F.col("run") == F.col("last"))
-    inner = runs.where(~open_run).select(key, "t0", "t1", F.col("n_bad").alias("n_samples"))
-    over = Window.partitionBy(key).orderBy("ck", "run")  # at most two rows per chunk
+    inner = runs.where(~open_run).select(key, "t0", "t1", "n_samples")
+    over = Window.partitionBy(key).orderBy("ck", "run")
     border = runs.where(open_run).withColumn("island", F.sum(F.when(F.col("starts_good"), 1).otherwise(0)).over(over))
-    merged = border.groupBy(key, "island").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("n_bad").alias("n_samples"))
-    out = inner.unionByName(merged.drop("island"))
-    return out.where((F.col("t1") - F.col("t0")) >= hold_s * 1_000_000).select(
-        key, "t0", "t1", "n_samples", ((F.col("t1") - F.col("t0")) / 1e6).alias("held_s")
-    )
+    merged = border.groupBy(key, "island").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("n_samples").alias("n_samples"))
+    return inner.unionByName(merged.drop("island")).where(F.col("t0").isNotNull())
+
+
+def held_alerts(states: DataFrame, *, key: str, ts: str, bad: str, hold_s: int) -> DataFrame:
+    """Bad runs lasting at least ``hold_s`` seconds."""
+    s = states.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(bad).alias("bad"), F.lit(1).cast("bigint").alias("n"))
+    return bad_runs(s, key).where((F.col("t1") - F.col("t0")) >= hold_s * 1_000_000)
 
 
 def ordered_steps(events: DataFrame, key: str, ts: str, event_id: str, chunk_s: int = 86_400) -> DataFrame:
