@@ -125,7 +125,8 @@ def w04(spark, d):
 @query("w05_box_smoothing", """SELECT a.r, a.c, round(sum(b.z) / count(b.z), 6) AS z_smooth FROM v_cells a, v_grid g, range(-2, 3) dr(i), range(-2, 3) dc(j), v_cells b
  WHERE b.r = least(greatest(a.r + i, 0), g.h - 1) AND b.c = least(greatest(a.c + j, 0), g.w - 1) GROUP BY a.r, a.c""")
 def w05(spark, d):
-    return relief.smooth(V(spark, d).cells(), 4, chunk=16).select("r", "c", r6("z_smooth", "z_smooth"))
+    v = V(spark, d)
+    return relief.smooth(relief.full_grid(v.cells(), v.grid()), 4, chunk=16).select("r", "c", r6("z_smooth", "z_smooth"))
 
 
 @query("w06_point_dedup", """WITH p AS (SELECT osm_id AS seq, (osm_id % 40) * 0.003::DOUBLE AS x, (osm_id % 37) * 0.003::DOUBLE AS y, CASE osm_id % 4 WHEN 0 THEN 'terrain' WHEN 1 THEN 'road' WHEN 2 THEN 'water' ELSE 'building' END AS source FROM v_features)

@@ -281,10 +281,10 @@ LANE_AXIS = """lx AS (SELECT osm_id, CASE WHEN hx >= hy THEN cx - hx ELSE cx END
  FROM v_buildings WHERE greatest(hx, hy) >= 1.5 * least(hx, hy))"""
 
 
-@query("c21_pavement_height", f"""WITH {LANE_AXIS}, pt AS (SELECT osm_id, cx + hx / 2 AS x, cy + hy / 4 AS y, hx, hy, greatest(hx, hy) >= 1.5 * least(hx, hy) AS ok FROM v_buildings), {profile_sql(1.0, 7, 'lx')},
+@query("c21_pavement_height", f"""WITH {LANE_AXIS}, pt AS (SELECT osm_id, cx + hx / 2 AS x, cy + hy / 4 AS y, hx, hy, greatest(hx, hy) >= 1.5 * least(hx, hy) AS long_lane FROM v_buildings), {profile_sql(1.0, 7, 'lx')},
 vp AS (SELECT p.osm_id, greatest(0, least(l.len, ((p.x - x0) * (x1 - x0) + (p.y - y0) * (y1 - y0)) / l.len)) / l.len * l.n AS f, l.n, CASE WHEN hx >= hy THEN hy / 4 ELSE hx / 2 END AS off FROM pt p JOIN ln2 l ON l.osm_id = p.osm_id),
 lv AS (SELECT v.osm_id, a.zs + (b.zs - a.zs) * (f - a.i) - 0.02::DOUBLE * off + 0.03::DOUBLE AS z FROM vp v JOIN pr a ON a.osm_id = v.osm_id AND a.i = least(floor(f), v.n - 1) JOIN pr b ON b.osm_id = v.osm_id AND b.i = a.i + 1),
-fl AS (SELECT osm_id, z + 0.03::DOUBLE AS z FROM {sampled('(SELECT * FROM pt WHERE NOT ok)', 'osm_id')}), al AS (SELECT * FROM lv UNION ALL SELECT * FROM fl)
+fl AS (SELECT osm_id, z + 0.03::DOUBLE AS z FROM {sampled('(SELECT * FROM pt WHERE NOT long_lane)', 'osm_id')}), al AS (SELECT * FROM lv UNION ALL SELECT * FROM fl)
 SELECT osm_id, round(z + 3.7e-7, 4) AS pavement_z, round(z + 0.005::DOUBLE + 3.7e-7, 4) AS marking_z FROM al""")
 def c21(spark, d):
     v = V(spark, d)

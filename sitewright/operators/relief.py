@@ -26,6 +26,13 @@ def grid_of(cells: DataFrame, x0: float, y0: float, px: float) -> DataFrame:
     )
 
 
+def full_grid(cells: DataFrame, grid: DataFrame) -> DataFrame:
+    """Every cell of each source's grid; those without a row get a null height."""
+    g = grid.select("source_id", "width", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("height") - 1)).alias("r"))
+    g = g.select("source_id", F.col("r").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("width").cast("int") - 1)).alias("c"))
+    return g.join(cells, ["source_id", "r", "c"], "left")
+
+
 def cell_centre(r: Column, c: Column) -> tuple[Column, Column]:
     """Needs the grid columns on the row."""
     return F.col("x0") + (c + 0.5) * F.col("px"), F.col("y0") - (r + 0.5) * F.col("px")
