@@ -122,7 +122,7 @@ def w04(spark, d):
     return road_profile(V(spark, d)).select("osm_id", "i", r6("d", "d"), F.round("z_smooth", 5).alias("z_smooth"))
 
 
-@query("w05_box_smoothing", """SELECT a.r, a.c, round(sum(b.z) / count(b.z), 6) AS z_smooth FROM v_cells a, v_grid g, range(-2, 3) dr(i), range(-2, 3) dc(j), v_cells b
+@query("w05_box_smoothing", """SELECT a.r, a.c, round(sum(b.z) / count(b.z), 6) AS z_smooth FROM (SELECT CAST(y.r AS INT) AS r, CAST(x.c AS INT) AS c FROM v_grid, LATERAL (SELECT unnest(range(0, h)) AS r) y, LATERAL (SELECT unnest(range(0, w)) AS c) x) a, v_grid g, range(-2, 3) dr(i), range(-2, 3) dc(j), v_cells b
  WHERE b.r = least(greatest(a.r + i, 0), g.h - 1) AND b.c = least(greatest(a.c + j, 0), g.w - 1) GROUP BY a.r, a.c""")
 def w05(spark, d):
     v = V(spark, d)

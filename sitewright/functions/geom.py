@@ -145,7 +145,8 @@ def dist_to_path(x: Column, y: Column, path: Column) -> Column:
 
 
 def dist_to_area(x: Column, y: Column, ring: Column) -> Column:
-    return F.when(covers(x, y, ring), F.lit(0.0)).otherwise(dist_to_path(x, y, ring))
+    """0 inside; a point on the outline has distance 0 to it anyway."""
+    return F.when(inside_even_odd(x, y, ring), F.lit(0.0)).otherwise(dist_to_path(x, y, ring))
 
 
 def project_along(x: Column, y: Column, path: Column) -> Column:

@@ -32,8 +32,15 @@ def zone_overlaps(buildings: DataFrame, zones: DataFrame, building_id: str, ring
 def network_clearances(buildings: DataFrame, segments: DataFrame, building_id: str, *, min_m: float = rules.NETWORK_CLEARANCE_M,
                        ring: str = "ring", path: str = "path") -> DataFrame:
     """Networks closer than the minimum (strictly)."""
-    p = area_pairs(buildings, segments, building_id, ring, path, reach=min_m)
-    return p.withColumn("distance_m", geom.path_area_dist(F.col(path), F.col(ring))).where(F.col("distance_m") < min_m)
+    # the outline lies within half its box diagonal of the box centre: one cheap distance drops most pairs
+    box = geom.bbox(F.col(ring))
+    b = buildings.withColumns({
+        "_mx": (box["minx"] + box["maxx"]) / 2, "_my": (box["miny"] + box["maxy"]) / 2,
+        "_half": geom.length_between(box["minx"], box["miny"], box["maxx"], box["maxy"]) / 2,
+    })
+    p = area_pairs(b, segments, building_id, ring, path, reach=min_m)
+    p = p.where(geom.dist_to_path(F.col("_mx"), F.col("_my"), F.col(path)) < F.col("_half") + min_m).drop("_mx", "_my", "_half")
+    return geom.fenced(p, distance_m=geom.path_area_dist(F.col(path), F.col(ring))).where(F.col("distance_m") < min_m)
 
 
 def envelope_violations(buildings: DataFrame, building_id: str, ring: str = "ring", envelope: str = "envelope") -> DataFrame:

@@ -118,7 +118,7 @@ def near_points(points: DataFrame, zones: DataFrame, *, point_id: str, max_dista
     """Zones within a distance of each point; inside counts as 0."""
     pairs = points_in_boxes(points, zones, cell=cell, point_id=[point_id], reach=max_distance_m)
     d = geom.dist_to_area(F.col("x"), F.col("y"), F.col(ring))
-    return pairs.withColumn("distance_m", d).where(F.col("distance_m") <= max_distance_m)
+    return geom.fenced(pairs, distance_m=d).where(F.col("distance_m") <= max_distance_m)
 
 
 def rank_by_distance(near: DataFrame, *, point_id: str, zone_id: str, band_m: float = 25.0) -> DataFrame:

@@ -15,6 +15,8 @@ def local_session(cores: str = "8", app: str = "sitewright", shuffle_partitions:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # geometry tests cost far more CPU per byte than the default merge size assumes
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         # call-site capture costs several JVM round trips per Column; plans here hold hundreds
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
