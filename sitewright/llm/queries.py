@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.llm.common import table
+from sitewright.llm.licenses import scan
 from sitewright.llm.packing import pack
 from sitewright.llm.tokens import attribute_tokens
 
@@ -28,6 +29,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("license")
+    return scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", x["n_words"].alias("n_words"), x["n_base"].alias("n_base"), x["first_word"].alias("first_word"), x["last_word"].alias("last_word"),
+        F.array_join(x["base_labels"], ",").alias("base_labels"), F.array_join(x["labels"], ",").alias("labels"), x["score"].alias("score"),
+    )
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), content="crc32").select(
