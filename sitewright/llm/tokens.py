@@ -35,12 +35,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(vocabulary_file(vocabulary))
-        self.full.encode_special_tokens = True
-        self.fast = None
+        self.vocabulary, self._full, self.fast = vocabulary, None, None
         if ranks is not None:
             import public_tokenizers
             import tiktoken
@@ -49,6 +44,17 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @property
+    def full(self):
+        """The vocabulary's own library, loaded when a text first needs it."""
+        if self._full is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._full = Tokenizer.from_file(vocabulary_file(self.vocabulary))
+            self._full.encode_special_tokens = True
+        return self._full
+
     def ids(self, raw: bytes) -> np.ndarray:
         if not raw:
             return np.zeros(0, np.uint32)
