@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 
 PIECE = 1 << 20  # bytes of text handled at once
+ROWS_PER_FILE = 100_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
 
@@ -37,10 +38,15 @@ def fresh_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write to a fresh shared folder and read back: cuts lineage, and a lost executor costs no recomputation."""
+def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write to a fresh shared folder and read back: cuts lineage, and a lost executor costs no recomputation.
+
+    ``rows``: where the number of rows is about known, no more files than it needs.
+    """
     spark = df.sparkSession
     path = fresh_folder(spark, tag)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_PER_FILE)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -168,7 +174,7 @@ def connected_components(edges: DataFrame, tag: str = "components", max_rounds:
         e = written(
             large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
             .select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(),
-            tag,
+            tag, rows=seen[0] if seen else None,
         )
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
         if tuple(state) == seen:

@@ -149,7 +149,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     same length are interchangeable, ties go by (task, place in the task).
     """
     pieces = written(token_pieces(docs, key, text, capacity, end_id, content, **how), "pieces")
-    counts = written(pieces.groupBy("length", "chunk").agg(F.count("*").alias("n")), "piece-counts")
+    counts = pieces.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     before = counts.select(
         "length", "chunk",
         (F.sum("n").over(W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("before"),

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.llm.common import table
+from sitewright.llm.decontamination import contaminated, find_phrases, hit_words
+from sitewright.llm.html_text import extract
 from sitewright.llm.licenses import scan
 from sitewright.llm.packing import pack
 from sitewright.llm.tokens import attribute_tokens
@@ -29,6 +31,20 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"), keep=("page_id", "url"), name="text").withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query
+def op8_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("contamination")
+    return find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=("doc_id",)).select(
+        "doc_id", found["n_words"].alias("n_words"), hit_words().alias("n_hit"), F.size(found["items"]).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(found["items"], ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
+    )
+
+
 @query
 def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("license")
