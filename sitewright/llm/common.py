@@ -97,7 +97,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _piece_words(raw: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece_words(raw: np.ndarray, lut: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     low = lut[raw]
     edge = np.diff((low != 0).view(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -105,14 +105,19 @@ def _piece_words(raw: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarr
     sums = np.empty(len(raw) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(low.astype(np.uint64) * p[: len(raw)], out=sums[1:])
-    h = (sums[end] - sums[start]) * inv[start]
-    return start, end, mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    salt, back = np.uint64(0xD6E8FEB86659FD93), inv[start]
+    h = mix((sums[end] - sums[start]) * back + (end - start).astype(np.uint64) * salt)
+    heads = (mix((sums[np.minimum(start + n, end)] - sums[start]) * back + np.uint64(((n << 32 | 1) * 0xD6E8FEB86659FD93) & _M64)) for n in prefixes)
+    return start, end, h, *heads
 
 
-def word_hashes(raw: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words of a byte array, piece by piece so that long texts need little memory."""
+def word_hashes(raw: np.ndarray, lut: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Starts, ends and 64-bit hashes of the words of a byte array, and of their first bytes for each number in ``prefixes``.
+
+    Works piece by piece, so that long texts need little memory.
+    """
     if len(raw) <= PIECE:
-        return _piece_words(raw, lut)
+        return _piece_words(raw, lut, prefixes)
     out, at = [], 0
     while at < len(raw):
         stop = min(at + PIECE, len(raw))
@@ -122,8 +127,8 @@ def word_hashes(raw: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 stop += int(gap[0])
                 break
             stop = min(stop + 4096, len(raw))
-        s, e, h = _piece_words(raw[at:stop], lut)
-        out.append((s + at, e + at, h))
+        s, e, *h = _piece_words(raw[at:stop], lut, prefixes)
+        out.append((s + at, e + at, *h))
         at = stop
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

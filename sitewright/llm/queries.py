@@ -9,8 +9,13 @@ from sitewright.llm.common import table
 from sitewright.llm.decontamination import contaminated, find_phrases, hit_words
 from sitewright.llm.html_text import extract
 from sitewright.llm.licenses import scan
+from sitewright.llm.neardup import near_duplicates
 from sitewright.llm.packing import pack
+from sitewright.llm.sharding import assign
 from sitewright.llm.tokens import attribute_tokens
+from sitewright.llm.topk import top_k
+from sitewright.llm.toxicity import held_out, score, train
+from sitewright.llm.warc import archive
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -21,6 +26,19 @@ def query(fn):
     return fn
 
 
+@query
+def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")), keep=("doc_id",), name="score").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query
+def op2_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = attribute_tokens(table(spark, sf_dir, "documents"))
@@ -31,6 +49,23 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op5_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return found.select(F.col("query_id").cast("bigint"), "rank", F.col("id").cast("bigint").alias("vec_id"), "score")
+
+
+@query
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign(table(spark, sf_dir, "documents"), ("lang", "source", "n_chars"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op7_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"), keep=("page_id", "url"), name="text").withColumn("n_chars", F.length("text").cast("bigint"))
