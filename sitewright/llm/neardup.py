@@ -31,7 +31,7 @@ from sitewright.llm.common import BLANK_WORDS, connected_components, mix, runs,
 K = 128
 MISS = 1e-8
 BATCH_BYTES = 2 << 20
-BLOCK_SHINGLES = 1 << 19  # full sets of one block: about 4 MB
+BLOCK_SHINGLES, BLOCK_DOCS = 1 << 19, 512  # of one block of a family: full sets of about 4 MB, overlap counts of about 1 MB
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     leaders = lists.groupBy("value").agg(F.min("id").alias("leader"))
     families = connected_components(lists.join(leaders, "value").select(F.col("id").alias("a"), F.col("leader").alias("b")), "families")
     placed = lists.select("id", "n").distinct().join(families, "id")
-    blocks = placed.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = placed.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"))
     own = placed.join(blocks, "component").select("id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = own.select("id", "component", "own", other.alias("x")).select(
