@@ -1,11 +1,45 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input.
+
+Every stage works on the whole texts of what the stage before kept, and all but the last return the columns they were given.
+Null texts count as empty: they are not toxic, duplicate nothing, hold no benchmark words and pack to the end id alone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitewright.llm.common import fresh_folder, table
+from sitewright.llm.common import free_name, fresh_folder, table, written
+from sitewright.llm.decontamination import contaminated, find_phrases
+from sitewright.llm.neardup import near_duplicates
 from sitewright.llm.packing import pack
+from sitewright.llm.toxicity import score, train
+
+TOXIC = 0.5  # score from which a document is rejected
+SHINGLE, PERCENT = 5, 80
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject. It learns from the labels of these documents that are not held out."""
+    name = free_name(docs, "toxicity")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")), name=name).where(F.col(name) < TOXIC).drop(name)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id; of rows repeated with id and text, one."""
+    found = near_duplicates(docs, size=SHINGLE, percent=PERCENT)
+    kept = written(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("__rows")), "kept")
+    once, more = kept.where("__rows = 1").select("doc_id"), kept.where("__rows > 1").select("doc_id")
+    out = docs.join(once, "doc_id", "left_semi")
+    if not more.isEmpty():
+        out = out.union(docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.union(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose share of words inside benchmark passages stays below the limit."""
+    name = free_name(docs, "contamination")
+    return find_phrases(docs, table(spark, sf_dir, "benchmark"), name=name).where(~contaminated(F.col(name))).drop(name)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, content="crc32").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("packing", packing)]
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
 #: tokens and learned scores are beyond SQL; tests/llm holds the stages against brute-force versions
 ORACLE_SQL = None

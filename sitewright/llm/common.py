@@ -55,6 +55,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def others(df: DataFrame, keep: tuple[str, ...] | None, name: str) -> tuple[str, ...]:
+    """Columns to return beside a new column ``name``, which replaces one that has the name already."""
+    return tuple(c for c in (df.columns if keep is None else keep) if c.lower() != name.lower())
+
+
 # ---- words of UTF-8 bytes ------------------------------------------------------------------------------------------
 
 

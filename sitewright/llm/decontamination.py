@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import ALNUM_WORDS, runs, text_buffers, word_hashes
+from sitewright.llm.common import ALNUM_WORDS, free_name, others, quoted, runs, text_buffers, word_hashes
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20  # text of one index; a longer document is indexed in pieces that overlap by a phrase
@@ -248,26 +248,26 @@ FOUND_TYPE = "struct<n_words: bigint, spans: array<struct<start: bigint, end: bi
 
 def find_phrases(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None, item: str = "item_id", item_text: str = "text",
-    size: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_chars: int = BLOCK_CHARS,
+    size: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_chars: int = BLOCK_CHARS, name: str = "contamination",
 ) -> DataFrame:
-    """Adds struct column ``contamination``: n_words, spans (half-open, in words and in UTF-8 bytes), items (ids as strings, sorted).
+    """Adds struct column ``name``: n_words, spans (half-open, in words and in UTF-8 bytes), items (ids as strings, sorted).
 
     A phrase is a window of ``size`` consecutive words of an item; an item with fewer words, but not none, is one phrase. Words
-    are runs of ASCII letters, digits and anything beyond ASCII, A-Z lower-cased. ``keep`` names the columns to return (all).
+    are runs of ASCII letters, digits and anything beyond ASCII, A-Z lower-cased. ``keep`` names the columns to return (all); an older
+    column ``name`` is replaced.
     Null and empty texts have 0 words and no spans; null item texts and items without words are not searched; repeated rows
     are each answered; an empty benchmark finds nothing. Nothing is shuffled: phrases go to the documents in blocks of bounded
     size (only one item's text must fit), the index of a shard lives in its task.
     """
-    keep = tuple(docs.columns if keep is None else keep)
-    if "contamination" in keep:
-        raise ValueError("the documents already have a column contamination")
+    keep = others(docs, keep, name)
+    body = free_name(docs, "__text")
     sc = docs.sparkSession.sparkContext
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     n = len(keep)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"contamination {FOUND_TYPE}"])
-    out = docs.select(*keep, F.col(text).alias("__text"), F.lit(None).cast(FOUND_TYPE).alias("contamination"))
+    columns = [f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep]
+    out = docs.select(*map(quoted, keep), F.col(text).alias(body), F.lit(None).cast(FOUND_TYPE).alias(name))
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().collect()
         shared = sc.broadcast(Phrases([(r["i"], r["t"]) for r in mine], size))
@@ -291,10 +291,10 @@ def find_phrases(
                     made.append({"n_words": words, "spans": [dict(zip(("start", "end", "from_byte", "to_byte"), s, strict=True)) for s in spans], "items": sorted(names)})
                 text_column = [] if last else [batch.column(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:n], *text_column, pa.array(made, FOUND)], [*keep, *([] if last else ["__text"]), "contamination"]
+                    [*batch.columns[:n], *text_column, pa.array(made, FOUND)], [*keep, *([] if last else [body]), name]
                 )
 
-        out = out.mapInArrow(run, schema if last else schema.replace(", contamination ", ", __text string, contamination ") if keep else schema)
+        out = out.mapInArrow(run, ", ".join([*columns, *([] if last else [f"{quoted(body)} string"]), f"{quoted(name)} {FOUND_TYPE}"]))
     return out
 
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitewright.llm.common import free_name, others, quoted
+
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
@@ -278,11 +280,9 @@ def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] | None =
     """Adds string column ``name``: main text of the whole page.
 
     Null and empty pages and pages without text give the empty string; broken markup is read as far as it goes; repeated rows
-    stay. ``keep`` names the columns to return (all but the page). One row is one unit of work, nothing is shuffled.
+    stay. ``keep`` names the columns to return (all but the page); an older column ``name`` is replaced. One row is one unit of work, nothing is shuffled.
     """
-    keep = tuple(c for c in pages.columns if c != page) if keep is None else tuple(keep)
-    if name in keep:
-        raise ValueError(f"there is already a column {name}")
+    keep = others(pages, tuple(c for c in pages.columns if c != page) if keep is None else keep, name)
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,5 +291,5 @@ def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] | None =
                 part = b.slice(a, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array([main_text(x.as_py()) for x in part.column(n)], pa.string())], [*keep, name])
 
-    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep), f"`{name}` string"])
-    return pages.select(*keep, F.col(page).alias("__page")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"{quoted(c)} {pages.schema[c].dataType.simpleString()}" for c in keep), f"{quoted(name)} string"])
+    return pages.select(*map(quoted, keep), F.col(page).alias(free_name(pages, "__page"))).mapInArrow(run, schema)

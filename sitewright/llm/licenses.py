@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewright.llm.common import free_name
+
 #: label: (keywords of which one must occur, pattern of the name in normalised text)
 NAMES: dict[str, tuple[str, str]] = {
     "afl-3.0": ("academic", r"academic free license(?: version| v)? ?3(?: 0)?"),
@@ -174,7 +176,7 @@ def _resolve(detections: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds struct column ``license``: n_words, n_base, first_word, last_word, base_labels, labels (arrays, sorted), score.
+    """Adds struct column ``license`` (an older one is replaced): n_words, n_base, first_word, last_word, base_labels, labels (arrays, sorted), score.
 
     n_base counts the places of the base phrases, first_word and last_word are their smallest and largest word index. labels
     holds the base labels and those of the rules' detections that stay; score is the best confidence among them (a base phrase
@@ -199,10 +201,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         )))
 
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(raw, UPPER, LOWER), SEPARATORS, " ")), F.lit(" "))
-    seen = docs.withColumns({"__n": F.regexp_count(raw, F.lit(WORD)).cast("bigint"), "__d": F.when(raw.rlike(GATE), let(norm, detail))})
-    n, d = F.col("__n"), F.col("__d")
+    number, found = free_name(docs, "__n"), free_name(docs, "__d")
+    seen = docs.withColumns({number: F.regexp_count(raw, F.lit(WORD)).cast("bigint"), found: F.when(raw.rlike(GATE), let(norm, detail))})
+    n, d = F.col(number), F.col(found)
     return seen.withColumn("license", F.struct(
         n.alias("n_words"), F.coalesce(d["n_base"], F.lit(0).cast("bigint")).alias("n_base"), d["first_word"].alias("first_word"),
         (n - d["tail_words"]).alias("last_word"), F.coalesce(d["base_labels"], empty).alias("base_labels"),
         F.coalesce(d["labels"], empty).alias("labels"), F.coalesce(d["score"], F.lit(0.0)).alias("score"),
-    )).drop("__n", "__d")
+    )).drop(number, found)

@@ -241,16 +241,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     Links join texts whose sets of distinct ``size``-word shingles have 100 * intersection >= percent * union; component_id is
     the smallest key reachable, kept marks the document that has it. Null texts and texts without words have the empty set, are
-    linked with nothing and are kept. Rows with the same key are one node: their classes join, each row is returned. Keys must
-    be integers and not null. An empty table gives no rows; other columns are not read. Texts are hashed whole.
+    linked with nothing and are kept. Rows with the same key are one node: their classes join, each row is returned. Rows with
+    a null key take no part and are kept with a null component. An empty table gives no rows; other columns are not read. Texts are hashed whole.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
     found = written(sketches(docs, key, text, size, k), "sketches")
-    classes = found.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    member = written(found.where("n > 0").join(classes, "digest").select("id", "rep", "n"), "classes")
+    sets = found.where("n > 0 and id is not null")
+    classes = sets.groupBy("digest").agg(F.min("id").alias("rep"))
+    member = written(sets.join(classes, "digest").select("id", "rep", "n"), "classes")
     reps = written(member.where("id = rep").select("id").distinct(), "representatives")
-    lists = written(rare_lists(retained(found.where("n > 0").join(reps, "id", "left_semi").dropDuplicates(["id", "digest"])), k, percent), "lists")
+    lists = written(rare_lists(retained(sets.join(reps, "id", "left_semi").dropDuplicates(["id", "digest"])), k, percent), "lists")
     leaders = lists.groupBy("value").agg(F.min("id").alias("leader"))
     families = connected_components(lists.join(leaders, "value").select(F.col("id").alias("a"), F.col("leader").alias("b")), "families")
     placed = lists.select("id", "n").distinct().join(families, "id")

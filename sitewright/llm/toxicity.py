@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import ALNUM_WORDS, runs, text_buffers, word_hashes, written
+from sitewright.llm.common import ALNUM_WORDS, free_name, others, quoted, runs, text_buffers, word_hashes, written
 
 BITS = 19
 PREFIXES = (4, 5, 6)  # bytes: words of one stem share these features
@@ -157,11 +157,9 @@ def score(docs: DataFrame, classifier: Classifier, text: str = "text", keep: tup
     """Adds column ``name``: 0 to 1, higher where the text is likelier toxic.
 
     Null and empty texts get the score of a text without words. Repeated rows get equal scores; every text is read whole;
-    nothing is shuffled. ``keep`` names the columns to return (all).
+    nothing is shuffled. ``keep`` names the columns to return (all); an older column ``name`` is replaced.
     """
-    keep = tuple(docs.columns if keep is None else keep)
-    if name in keep:
-        raise ValueError(f"there is already a column {name}")
+    keep = others(docs, keep, name)
     model = docs.sparkSession.sparkContext.broadcast(classifier)  # 4 MB
     n = len(keep)
 
@@ -169,5 +167,5 @@ def score(docs: DataFrame, classifier: Classifier, text: str = "text", keep: tup
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(model.value.scores(*text_buffers(b.column(n))), pa.float64())], [*keep, name])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{name}` double"])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep), f"{quoted(name)} double"])
+    return docs.select(*map(quoted, keep), F.col(text).alias(free_name(docs, "__text"))).mapInArrow(run, schema)

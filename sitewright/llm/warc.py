@@ -264,10 +264,10 @@ def read_captures(requests: DataFrame, folder: str, parts: list[tuple], payload:
 def archive(pages: DataFrame, least: int = LEAST_REVISIT, payload: bool = False, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Write the pages to archives, index them, and read every page back through the index.
 
-    page_id must be an integer and not null; a null html is an empty payload; a null url is left out of the record. Of equal
+    page_id must be an integer; rows without one are not archived; a null html is an empty payload; a null url is left out of the record. Of equal
     payloads of at least ``least`` bytes the smallest page_id is the response; rows repeated under that id are responses too.
     Repeated rows each have a record. An empty table gives no rows and no files. Other columns are not archived.
     """
-    folder = fresh_folder(pages.sparkSession, "warc")
+    folder, pages = fresh_folder(pages.sparkSession, "warc"), pages.where("page_id is not null")
     captures = write_archives(pages, folder, least)
     return read_captures(pages, folder, build_index(captures, folder, block_lines), payload)

@@ -66,9 +66,11 @@ def test_equals_brute_force(spark, monkeypatch, size, percent, k, block):
 
 
 def test_repeated_rows_and_empty_table(spark):
-    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (7, "other words stand here now"), (3, "other words stand here now"), (9, None), (9, None)]
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (7, "other words stand here now"), (3, "other words stand here now"), (9, None), (9, None), (None, "a b c d e f"), (None, "a b c d e f")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(df).collect())
+    rows = near_duplicates(df).collect()
+    assert [(r["component_id"], r["kept"]) for r in rows if r["doc_id"] is None] == [(None, True)] * 2
+    got = sorted((r["doc_id"], r["component_id"]) for r in rows if r["doc_id"] is not None)
     assert got == [(3, 3), (3, 3), (5, 3), (5, 3), (7, 3), (9, 9), (9, 9)]
     assert near_duplicates(df.limit(0)).count() == 0
     with pytest.raises(ValueError):

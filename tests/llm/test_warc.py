@@ -70,6 +70,8 @@ def test_repeated_rows_and_empty_tables(spark, pages):
     twice = rows(archive(pages.union(pages)))
     assert twice == sorted(brute(PAGES) * 2)
     assert archive(pages.limit(0)).count() == 0
+    none = spark.createDataFrame([(None, "http://a/", "x", "y")], pages.schema)
+    assert rows(archive(pages.union(none))) == brute(PAGES)
 
 
 def test_index_finds_single_keys(spark, pages):
