@@ -134,10 +134,13 @@ def power_inputs(v: V):
     return l, p
 
 
-@query("j08_lines_without_poles", f"WITH {POLES} SELECT osm_id AS line_id FROM ln WHERE osm_id NOT IN (SELECT line_id FROM onl WHERE pole_id % 8 = 6)")
+@query("j08_lines_without_poles", f"WITH {POLES} SELECT osm_id AS line_id FROM ln WHERE osm_id NOT IN (SELECT line_id FROM onl WHERE pole_id IN (SELECT osm_id FROM v_features WHERE layer = 'osm_power'))")
 def j08(spark, d):
-    l, p = power_inputs(V(spark, d))
-    return lines.lines_without_poles(l, p.where("pole_id % 8 = 6"), "line_id").select("line_id")
+    """Poles are the point elements of the power layer."""
+    v = V(spark, d)
+    l, p = power_inputs(v)
+    p = p.join(v.features().where("layer = 'osm_power'").select(F.col("osm_id").alias("pole_id")), "pole_id", "left_semi")
+    return lines.lines_without_poles(l, p, "line_id").select("line_id")
 
 
 @query("j09_poles_on_line", f"""WITH {POLES}, n AS (SELECT line_id, pole_id, pos, row_number() OVER (PARTITION BY line_id ORDER BY pos, pole_id) AS pos_no, count(*) OVER (PARTITION BY line_id) AS c FROM onl)
@@ -250,13 +253,15 @@ def j14(spark, d):
 
 
 @query("j15_access_road", f"""WITH r AS (SELECT * FROM v_lines WHERE layer = 'osm_roads'), s AS (SELECT id AS site_id, (minx + maxx) / 2 AS cx, (miny + maxy) / 2 AS cy, (maxx - minx) / 2 AS hx, (maxy - miny) / 2 AS hy FROM v_zones),
-d AS (SELECT site_id, r.osm_id AS road_id, highway, CASE WHEN {line_meets_rect_sql('r.', 's.')} THEN 0 ELSE {line_rect_sql('r.', 's.')} END AS dist FROM s, r)
-SELECT site_id, road_id, CASE WHEN highway IN ('primary', 'tertiary_link') THEN 'каркасная' ELSE 'внутриквартальная' END AS network, round(dist, 6) AS distance_m, highway IN ('primary', 'tertiary_link') AS needs_confirmation
-FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY dist, road_id) AS rn FROM d) WHERE rn = 1""")
+d AS (SELECT site_id, r.osm_id AS road_id, highway, CASE WHEN {line_meets_rect_sql('r.', 's.')} THEN 0 ELSE {line_rect_sql('r.', 's.')} END AS dist FROM s, r WHERE r.osm_id // 4 % 2 = site_id % 3),
+n AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY dist, road_id) AS rn FROM d)
+SELECT s.site_id, road_id, CASE WHEN road_id IS NOT NULL THEN CASE WHEN highway IN ('primary', 'tertiary_link') THEN 'каркасная' ELSE 'внутриквартальная' END END AS network, round(dist, 6) AS distance_m, coalesce(highway IN ('primary', 'tertiary_link'), FALSE) AS needs_confirmation
+FROM s LEFT JOIN n ON n.site_id = s.site_id AND rn = 1""")
 def j15(spark, d):
     v = V(spark, d)
-    s = v.zones().select(F.lit(0).alias("town"), F.col("id").alias("site_id"), "ring")
-    r = v.lines().where("layer = 'osm_roads'").select(F.lit(0).alias("town"), F.col("osm_id").alias("road_id"), "path", at.road_network(F.col("highway")).alias("network"))
+    # three towns, the last without a road
+    s = v.zones().select((F.col("id") % 3).alias("town"), F.col("id").alias("site_id"), "ring")
+    r = v.lines().where("layer = 'osm_roads'").select((F.floor(F.col("osm_id") / 4) % 2).alias("town"), F.col("osm_id").alias("road_id"), "path", at.road_network(F.col("highway")).alias("network"))
     o = v.buildings().select(F.col("ring").alias("oring"))
     return siting.access_roads(s, r, o, "site_id", "road_id", by=["town"]).select("site_id", "road_id", "network", r6("distance_m", "distance_m"), "needs_confirmation")
 

@@ -306,9 +306,9 @@ def c28(spark, d):
 
 
 @query("c36_request_deadlines", """WITH r AS (SELECT id, CAST(MAX(user_id) AS BIGINT) AS n, MAX(ts) AS at FROM (SELECT event_id * 7 % 15000 AS id, user_id, ts FROM events WHERE event_type = 'signup') GROUP BY id),
-t AS (SELECT q.id, sent_at, CAST(sent_at + INTERVAL 30 DAY AS DATE) AS deadline, CASE WHEN r.id IS NOT NULL THEN 'received' ELSE status END AS st, r.id IS NOT NULL AS answered FROM v_requests q LEFT JOIN r ON r.id = q.id)
+t AS (SELECT q.id, sent_at, CAST(sent_at + INTERVAL 30 DAY AS DATE) AS deadline, CASE WHEN r.id IS NOT NULL THEN 'получен' ELSE status END AS st, r.id IS NOT NULL AS answered FROM v_requests q LEFT JOIN r ON r.id = q.id)
 SELECT id, strftime(sent_at, '%Y-%m-%d') AS sent_at, strftime(deadline, '%Y-%m-%d') AS deadline,
- CASE WHEN st = 'sent' AND deadline < DATE '1998-06-15' THEN 'overdue' ELSE st END AS status, answered FROM t""")
+ CASE WHEN st = 'отправлен' AND deadline < DATE '1998-06-15' THEN 'просрочен' ELSE st END AS status, answered FROM t""")
 def c36(spark, d):
     v = V(spark, d)
     resp = v.table("events").where("event_type = 'signup'").select(

@@ -128,10 +128,10 @@ def a24(spark, d):
     return z.select("id", at.planting_count(a, at.forest_density(leaf)).alias("trees"), at.planting_count(a, F.lit(rules.SHRUB_DENSITY_PER_HA)).alias("shrubs"))
 
 
-@query("a25_tile_content", f"""WITH {SITE_TILES}, t7 AS (SELECT tx, ty, lod FROM lod WHERE site_id = 4), te AS (SELECT CAST(floor((-1500 + (c + 0.5) * 25) / 250) AS BIGINT) AS tx, CAST(floor((1500 - (r + 0.5) * 25) / 250) AS BIGINT) AS ty, z FROM v_cells WHERE z IS NOT NULL),
-bu AS (SELECT t.tx, t.ty, 100.0 + osm_id % 9 AS lo, CASE WHEN lod = 'LOD0' THEN 'footprint' WHEN lod = 'LOD1' OR osm_id % 3 = 0 THEN 'block' ELSE 'roof' END AS form, hx FROM v_buildings b JOIN t7 t ON t.tx = floor(cx / 250) AND t.ty = floor(cy / 250)),
-al AS (SELECT tx, ty, z AS lo, z AS hi, 0 AS f, 0 AS k, 0 AS o FROM te UNION ALL SELECT tx, ty, lo, lo + CASE WHEN form = 'footprint' THEN 0 ELSE hx END, (form = 'footprint')::INT, (form = 'block')::INT, (form = 'roof')::INT FROM bu)
-SELECT t.tx, t.ty, lod, min(lo)::DOUBLE AS z_min, max(hi)::DOUBLE AS z_max, sum(f)::BIGINT AS n_footprint, sum(k)::BIGINT AS n_block, sum(o)::BIGINT AS n_roof FROM t7 t JOIN al ON al.tx = t.tx AND al.ty = t.ty GROUP BY ALL""")
+@query("a25_tile_content", f"""WITH {SITE_TILES}, t7 AS (SELECT site_id, tx, ty, lod FROM lod), te AS (SELECT CAST(floor((-1500 + (c + 0.5) * 25) / 250) AS BIGINT) AS tx, CAST(floor((1500 - (r + 0.5) * 25) / 250) AS BIGINT) AS ty, z FROM v_cells WHERE z IS NOT NULL),
+bu AS (SELECT t.site_id, t.tx, t.ty, 100.0 + osm_id % 9 AS lo, CASE WHEN lod = 'LOD0' THEN 'footprint' WHEN lod = 'LOD1' OR osm_id % 3 = 0 THEN 'block' ELSE 'roof' END AS form, hx FROM v_buildings b JOIN t7 t ON t.tx = floor(cx / 250) AND t.ty = floor(cy / 250)),
+al AS (SELECT site_id, t7.tx, t7.ty, z AS lo, z AS hi, 0 AS f, 0 AS k, 0 AS o FROM te JOIN t7 ON t7.tx = te.tx AND t7.ty = te.ty UNION ALL SELECT site_id, tx, ty, lo, lo + CASE WHEN form = 'footprint' THEN 0 ELSE hx END, (form = 'footprint')::INT, (form = 'block')::INT, (form = 'roof')::INT FROM bu)
+SELECT t.site_id, t.tx, t.ty, lod, min(lo)::DOUBLE AS z_min, max(hi)::DOUBLE AS z_max, sum(f)::BIGINT AS n_footprint, sum(k)::BIGINT AS n_block, sum(o)::BIGINT AS n_roof FROM t7 t JOIN al ON al.tx = t.tx AND al.ty = t.ty AND al.site_id = t.site_id GROUP BY ALL""")
 def a25(spark, d):
     v = V(spark, d)
     k = F.col("osm_id")
@@ -140,7 +140,7 @@ def a25(spark, d):
         F.when(k % 3 == 0, "flat").otherwise("gabled").alias("roof_shape"),
     )
     t = v.cells().select(tilemath.tile_of(-1500 + (F.col("c") + 0.5) * 25).alias("tx"), tilemath.tile_of(1500 - (F.col("r") + 0.5) * 25).alias("ty"), "z")
-    return tiles.tile_content(t, b, site_tiles(v).where("site_id = 4").select("tx", "ty", "lod"))
+    return tiles.tile_content(t, b, site_tiles(v).select("site_id", "tx", "ty", "lod"))
 
 
 # --- lines ------------------------------------------------------------------------------------

@@ -78,12 +78,15 @@ def r05_batch(spark, d):
     return jobs.held_alerts(down(V(spark, d).table("events")), key="job_id", ts="ts", bad="bad", hold_s=7200)
 
 
-@query("r06_overdue_reminders", """SELECT id, strftime(sent_at, '%Y-%m-%d') AS sent_at FROM v_requests WHERE status = 'sent' AND sent_at + INTERVAL 30 DAY < (SELECT max(sent_at) FROM v_requests)""")
+@query("r06_overdue_reminders", """SELECT id, strftime(sent_at, '%Y-%m-%d') AS sent_at FROM v_requests WHERE status = 'отправлен' AND sent_at + INTERVAL 30 DAY < (SELECT max(sent_at) FROM v_requests)""")
 def r06(spark, d):
     v = V(spark, d)
     table, ck = places(spark)
     v.table = lambda name: stream_of(V(spark, d), name)
-    r = feeds.reminders(v.requests(), path=table, checkpoint=ck, days=rules.TU_DEADLINE_DAYS)
+    # every request is sent first; an answer follows, often in the same micro-batch
+    now = v.requests().withColumn("event_no", F.lit(1))
+    first = now.withColumns({"status": F.lit(rules.TU_SENT), "event_no": F.lit(0)})
+    r = feeds.reminders(now.union(first), path=table, checkpoint=ck, days=rules.TU_DEADLINE_DAYS, order="event_no")
     return r.select("id", F.date_format("sent_at", "yyyy-MM-dd").alias("sent_at"))
 
 

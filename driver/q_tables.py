@@ -305,13 +305,13 @@ def site_tiles(v: V):
     return tiles.with_lod(tiles.covering_circle(s))
 
 
-@query("s21_tileset_index", f"""WITH {SITE_TILES}, z AS (SELECT l.*, b.z_min, b.z_max FROM lod l JOIN (SELECT CAST(floor(cx / 250) AS BIGINT) AS tx, CAST(floor(cy / 250) AS BIGINT) AS ty, min(hx) AS z_min, max(hx + hy) AS z_max FROM v_buildings GROUP BY ALL) b ON b.tx = l.tx AND b.ty = l.ty WHERE site_id = 7)
-SELECT tx, ty, lod, CAST(CASE lod WHEN 'LOD2' THEN 1 WHEN 'LOD1' THEN 5 ELSE 15 END AS DOUBLE) AS geometric_error, tx * 250 + 125 - cx AS bx, ty * 250 + 125 - cy AS by, (z_min + z_max) / 2 AS bz, 125::DOUBLE AS hx, 125::DOUBLE AS hy, greatest((z_max - z_min) / 2, 0.5) AS hz FROM z
-UNION ALL SELECT NULL, NULL, 'root', CAST(CASE WHEN count(*) > 0 THEN 15 ELSE 0 END AS DOUBLE), (min(tx * 250 - cx) + max(tx * 250 + 250 - cx)) / 2, (min(ty * 250 - cy) + max(ty * 250 + 250 - cy)) / 2, (min(z_min) + max(z_max)) / 2, (max(tx * 250 + 250 - cx) - min(tx * 250 - cx)) / 2, (max(ty * 250 + 250 - cy) - min(ty * 250 - cy)) / 2, greatest((max(z_max) - min(z_min)) / 2, 0.5) FROM z""")
+@query("s21_tileset_index", f"""WITH {SITE_TILES}, z AS (SELECT l.*, b.z_min, b.z_max FROM lod l JOIN (SELECT CAST(floor(cx / 250) AS BIGINT) AS tx, CAST(floor(cy / 250) AS BIGINT) AS ty, min(hx) AS z_min, max(hx + hy) AS z_max FROM v_buildings GROUP BY ALL) b ON b.tx = l.tx AND b.ty = l.ty)
+SELECT site_id, tx, ty, lod, CAST(CASE lod WHEN 'LOD2' THEN 1 WHEN 'LOD1' THEN 5 ELSE 15 END AS DOUBLE) AS geometric_error, tx * 250 + 125 - cx AS bx, ty * 250 + 125 - cy AS by, (z_min + z_max) / 2 AS bz, 125::DOUBLE AS hx, 125::DOUBLE AS hy, greatest((z_max - z_min) / 2, 0.5) AS hz FROM z
+UNION ALL SELECT site_id, NULL, NULL, 'root', CAST(CASE WHEN count(*) > 0 THEN 15 ELSE 0 END AS DOUBLE), (min(tx * 250 - cx) + max(tx * 250 + 250 - cx)) / 2, (min(ty * 250 - cy) + max(ty * 250 + 250 - cy)) / 2, (min(z_min) + max(z_max)) / 2, (max(tx * 250 + 250 - cx) - min(tx * 250 - cx)) / 2, (max(ty * 250 + 250 - cy) - min(ty * 250 - cy)) / 2, greatest((max(z_max) - min(z_min)) / 2, 0.5) FROM z GROUP BY site_id""")
 def s21(spark, d):
     v = V(spark, d)
     b = v.buildings().groupBy(tilemath.tile_of(F.col("cx")).alias("tx"), tilemath.tile_of(F.col("cy")).alias("ty")).agg(F.min("hx").alias("z_min"), F.max(F.col("hx") + F.col("hy")).alias("z_max"))
-    return tiles.index_rows(site_tiles(v).where("site_id = 7").join(b, ["tx", "ty"]))
+    return tiles.index_rows(site_tiles(v).join(b, ["tx", "ty"]), ["site_id"])
 
 
 @query("s22_exchange_export", """WITH w AS (SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 3 = 0), i AS (SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_linenumber = 2)
@@ -443,10 +443,10 @@ def f12(spark, d):
 
 @query("f13_parcel_search", """WITH q AS (SELECT site_id, 56.25 + sx * 0.0000169::DOUBLE AS lon, 58.0 + sy * 0.000009::DOUBLE AS lat FROM v_sites),
 p AS (SELECT osm_id AS id, 56.25 + cx * 0.0000169::DOUBLE AS lon, 58.0 + cy * 0.000009::DOUBLE AS lat, coalesce(CASE WHEN osm_id % 4 = 0 THEN 'A' || osm_id END, CASE WHEN osm_id % 3 = 0 THEN 'B' || osm_id END) AS number FROM v_buildings),
-h AS (SELECT q.site_id, p.id, p.number, row_number() OVER (PARTITION BY q.site_id ORDER BY p.id) AS rn FROM q JOIN p ON abs(p.lon - q.lon) <= 0.01 AND abs(p.lat - q.lat) <= 0.01 WHERE p.number IS NOT NULL)
-SELECT site_id, id, number FROM h WHERE rn <= 100""")
+h AS (SELECT q.site_id, p.id, p.number FROM q JOIN p ON abs(p.lon - q.lon) <= 0.01 AND abs(p.lat - q.lat) <= 0.01 WHERE p.number IS NOT NULL)
+SELECT site_id, id, number FROM h""")
 def f13(spark, d):
-    """Box around each point, rows with a number, the first 100 by id (the interface's own page size)."""
+    """Box around each point, all rows with a number."""
     v = V(spark, d)
     lon, lat = lonlat(F.col("cx"), F.col("cy"))
     k = F.col("osm_id")
@@ -486,9 +486,9 @@ def w08(spark, d):
 
 
 @query("w09_next_step", """SELECT job_id, CASE WHEN min(CASE WHEN status = 'failed' THEN step_order END) IS NULL THEN min(CASE WHEN status <> 'done' THEN step_order END) END AS next_order,
- min(CASE WHEN status = 'failed' THEN step_order END) AS retry_order FROM v_steps WHERE step_order < 4 GROUP BY job_id""")
+ min(CASE WHEN status = 'failed' THEN step_order END) AS retry_order FROM v_steps GROUP BY job_id""")
 def w09(spark, d):
-    return jobs.next_step(V(spark, d).steps().where("step_order < 4"))
+    return jobs.next_step(V(spark, d).steps())
 
 
 @query("l01_priority_order", "SELECT id, source_name, priority, row_number() OVER (ORDER BY priority, id) AS pos FROM v_zones")
@@ -549,13 +549,14 @@ def u04(spark, d):
 
 
 @query("a01_counts_in_radius", f"""WITH {GEO}, d AS (SELECT site_id, layer, osm_id, radius_m, {HAV.format(lat='lat', lon='lon')} AS m FROM s, g),
-n AS (SELECT layer, count(*) AS n FROM d WHERE site_id = 3 AND m <= radius_m + 50 GROUP BY layer)
-SELECT l.layer, coalesce(n.n, 0)::BIGINT AS n FROM (SELECT unnest({list(rules.LAYERS)}) AS layer) l LEFT JOIN n ON n.layer = l.layer""")
+n AS (SELECT site_id, layer, count(*) AS n FROM d WHERE m <= radius_m + 50 GROUP BY site_id, layer)
+SELECT v_sites.site_id, l.layer, coalesce(n.n, 0)::BIGINT AS n FROM v_sites, (SELECT unnest({list(rules.LAYERS)}) AS layer) l LEFT JOIN n ON n.layer = l.layer AND n.site_id = v_sites.site_id""")
 def a01(spark, d):
     v = V(spark, d)
-    sites = v.sites().where("site_id = 3").select("site_id", "center_lon", "center_lat", "radius_m")
+    sites = v.sites().select("site_id", "center_lon", "center_lat", "radius_m")
     hit = selection.points_in_radius(geo_features(v).select("osm_id", "layer", "lon", "lat"), sites, "osm_id")
-    return audit.zero_filled(hit.groupBy("layer").agg(F.count(F.lit(1)).alias("n")), rules.LAYERS)
+    counts = hit.groupBy("site_id", "layer").agg(F.count(F.lit(1)).alias("n"))
+    return audit.zero_filled(counts, rules.LAYERS, groups=sites.select("site_id"))
 
 
 REPORT = f"""{ELEMENT_SQL}, rep AS (SELECT 'buildings_with_levels' AS label, count(*) FILTER (k IN (1, 15)) AS total, count(*) FILTER (k = 1) AS complete FROM e
@@ -601,14 +602,14 @@ def a21(spark, d):
 
 
 @query("a22_job_status", """SELECT job_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_and(status = 'done') THEN 'done' WHEN bool_or(status <> 'pending') THEN 'running' ELSE 'pending' END AS job_status,
- arg_min(error_message, step_order) FILTER (status = 'failed') AS first_error, count(*) AS n_steps FROM v_steps WHERE step_order < 3 GROUP BY job_id""")
+ arg_min(error_message, step_order) FILTER (status = 'failed') AS first_error, count(*) AS n_steps FROM v_steps GROUP BY job_id""")
 def a22(spark, d):
-    return jobs.job_status(V(spark, d).steps().where("step_order < 3"))
+    return jobs.job_status(V(spark, d).steps())
 
 
-@query("a23_tiles_by_lod", f"WITH {SITE_TILES} SELECT l AS lod, count(tx) AS n_tiles FROM (VALUES ('LOD2'), ('LOD1'), ('LOD0')) v(l) LEFT JOIN (SELECT * FROM lod WHERE site_id % 2 = 0) t ON t.lod = l GROUP BY l")
+@query("a23_tiles_by_lod", f"WITH {SITE_TILES} SELECT s.site_id, l AS lod, count(tx) AS n_tiles FROM (SELECT DISTINCT site_id FROM lod) s, (VALUES ('LOD2'), ('LOD1'), ('LOD0')) v(l) LEFT JOIN lod t ON t.lod = l AND t.site_id = s.site_id GROUP BY ALL")
 def a23(spark, d):
-    return tiles.lod_counts(site_tiles(V(spark, d)).where("site_id % 2 = 0"))
+    return tiles.lod_counts(site_tiles(V(spark, d)), ["site_id"])
 
 
 @query("g14_job_plan", """WITH j AS (SELECT o_orderkey AS job_id, CAST(400 + (o_orderkey * 17) % 2800 AS DOUBLE) AS radius_m, 50.0 + (o_orderkey * 7) % 12 AS lon FROM orders),

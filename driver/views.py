@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitewright import rules
 from sitewright.functions import geom
 
 VIEW_SQL = {
@@ -64,7 +65,7 @@ VIEW_SQL = {
     "v_samples": """SELECT event_id, user_id AS job_id, ts, CAST(floor(value * 1024) AS BIGINT) AS rss_kb, event_type <> 'error' AS up FROM events""",
     "v_imports": "SELECT event_id AS id, event_type AS source_name, ts AS data_timestamp, props AS notes FROM events",
     "v_requests": """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS sent_at,
-  CASE o_orderstatus WHEN 'F' THEN 'received' ELSE 'sent' END AS status FROM orders""",
+  CASE o_orderstatus WHEN 'F' THEN 'получен' ELSE 'отправлен' END AS status FROM orders""",
     "v_sites": """SELECT CAST(n_nationkey AS BIGINT) AS site_id, CAST((n_nationkey * 617) % 4001 - 2000 AS DOUBLE) AS sx,
   CAST((n_nationkey * 911) % 4001 - 2000 AS DOUBLE) AS sy, CAST(500 + (n_nationkey * 373) % 2501 AS DOUBLE) AS radius_m FROM nation""",
 }
@@ -197,7 +198,7 @@ class V:
     def requests(self) -> DataFrame:
         return self.table("orders").select(
             F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("sent_at"),
-            F.when(F.col("o_orderstatus") == "F", "received").otherwise("sent").alias("status"),
+            F.when(F.col("o_orderstatus") == "F", rules.TU_RECEIVED).otherwise(rules.TU_SENT).alias("status"),
         )
 
     def sites(self) -> DataFrame:

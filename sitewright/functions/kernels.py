@@ -117,7 +117,7 @@ def _open(ring):
 
 @pandas_udf(_DOUBLE)
 def overlap_area_udf(p: pd.Series, q: pd.Series) -> pd.Series:
-    return pd.Series([overlap_area(_open(a), _open(b)) for a, b in zip(p, q)], dtype="float64")
+    return pd.Series([overlap_area(_open(a), _open(b)) if a is not None and b is not None and len(a) and len(b) else None for a, b in zip(p, q)], dtype="float64")
 
 
 @pandas_udf(_OBB_T)
@@ -130,6 +130,8 @@ def oriented_box_udf(ring: pd.Series) -> pd.DataFrame:
 def clip_to_circle_udf(ring: pd.Series, cx: pd.Series, cy: pd.Series, r: pd.Series) -> pd.Series:
     """Ring clipped to a 64-corner circle; null when nothing is left."""
     def one(ring_, x, y, rad):
+        if ring_ is None or len(ring_) == 0:
+            return None
         circle = [
             (x + rad * math.cos(2 * math.pi * k / 64), y + rad * math.sin(2 * math.pi * k / 64)) for k in range(64)
         ]
@@ -156,8 +158,10 @@ def hull_rows(key: str):
 
 @pandas_udf(_PATH_T)
 def hull_udf(points: pd.Series) -> pd.Series:
-    """Closed convex ring of each point list."""
+    """Closed convex ring of each point list; null for none."""
     def one(ps):
+        if ps is None or len(ps) == 0:
+            return None
         pts = hull(_points(ps))
         return [{"x": x, "y": y} for x, y in pts + pts[:1]]
 

@@ -23,9 +23,12 @@ def label_table(spark: SparkSession, labels: Sequence[str], name: str = "layer")
     return spark.range(1).select(F.explode(F.array(*map(F.lit, labels))).alias(name))
 
 
-def zero_filled(counts: DataFrame, labels: Sequence[str], name: str = "layer", value: str = "n") -> DataFrame:
-    """Counts for every label of a fixed short list."""
-    return label_table(counts.sparkSession, labels, name).join(counts, name, "left").withColumn(value, F.coalesce(value, F.lit(0)).cast("bigint"))
+def zero_filled(counts: DataFrame, labels: Sequence[str], name: str = "layer", value: str = "n", groups: DataFrame | None = None) -> DataFrame:
+    """Counts for every label of a fixed short list, for each row of ``groups`` (such as sites) where given."""
+    every = label_table(counts.sparkSession, labels, name)
+    if groups is not None:
+        every = groups.withColumn(name, F.explode(F.array(*map(F.lit, labels))))
+    return every.join(counts, every.columns, "left").withColumn(value, F.coalesce(value, F.lit(0)).cast("bigint"))
 
 
 def completeness(elements: DataFrame, key: Sequence[str] = (), tags: str = "tags") -> DataFrame:
@@ -66,23 +69,27 @@ def against_reference(report: DataFrame, reference: DataFrame) -> DataFrame:
     })
 
 
-def layer_summary(features: DataFrame) -> DataFrame:
-    """Features per layer plus the total row (null layer)."""
-    return features.rollup("layer").agg(F.count(F.lit(1)).alias("n"))
+def layer_summary(features: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Features per layer plus the total row (null layer), within each ``by`` group where given."""
+    rows = features.select(*by, F.explode(F.array(F.struct(F.col("layer").alias("layer"), F.lit(0).alias("g")), F.struct(F.lit(None).cast("string").alias("layer"), F.lit(1).alias("g")))).alias("r"))
+    return rows.groupBy(*by, "r.layer", "r.g").agg(F.count(F.lit(1)).alias("n")).drop("g") if by else features.rollup("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def scatter(areas: DataFrame, area_id: str, count: str, seed: int = 0, ring: str = "ring", tries: int = rules.SCATTER_TRIES,
-            block: int = 10_000) -> DataFrame:
-    """Up to ``count`` points inside each area out of ``tries`` candidates per point wanted.
+def scatter(areas: DataFrame, area_id: str, count: str, seed: int = 0, ring: str = "ring", block: int = 10_000) -> DataFrame:
+    """``count`` points inside each area that has an inside.
 
-    Candidates come from a hash of (area, index, seed), so the result does not depend on how Spark
-    splits the work. A very large area is cut into blocks of indexes; the first ``count`` hits are
-    found from running block totals.
+    Candidates in the box come from a hash of (area, index, seed), so the result does not depend on
+    how Spark splits the work. Their number follows from the share of the box that the area fills,
+    with ten standard deviations to spare, so thin and angular areas get all their points too. A very
+    large area is cut into blocks of indexes; the first ``count`` hits are found from block totals.
     """
-    a = spread(geom.with_bbox(areas, ring, "_").where(F.col(count) > 0), area_id)
-    a = a.withColumn("_nb", F.ceil(F.col(count) * tries / float(block)).cast("bigint"))
+    a = geom.with_bbox(areas, ring, "_").where(F.col(count) > 0)
+    share = geom.area(F.col(ring)) / ((F.col("_maxx") - F.col("_minx")) * (F.col("_maxy") - F.col("_miny")))
+    a = spread(a.withColumn("_share", share).where(F.col("_share") > 0), area_id)
+    tries = F.ceil((F.col(count) + 10 * F.sqrt(F.col(count)) + 50) / F.least("_share", F.lit(1.0)))
+    a = a.withColumn("_tries", tries.cast("bigint")).withColumn("_nb", F.ceil(F.col("_tries") / float(block)).cast("bigint"))
     a = a.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)))
-    top = F.least((F.col("_b") + 1) * block, F.col(count) * tries)
+    top = F.least((F.col("_b") + 1) * block, F.col("_tries"))
     a = a.withColumn("i", F.explode(F.sequence(F.col("_b") * block, top - 1)))
     unit = lambda salt: F.pmod(F.xxhash64(F.col(area_id), F.col("i"), F.lit(seed), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
     a = a.withColumns({

@@ -96,8 +96,8 @@ def with_deadline(requests: DataFrame, days: int = rules.TU_DEADLINE_DAYS) -> Da
 
 def overdue(requests: DataFrame, as_of) -> DataFrame:
     """Sent requests past their deadline; the deadline day itself is not overdue."""
-    late = (F.col("status") == "sent") & (F.col("deadline") < as_of)
-    return requests.withColumn("status", F.when(late, "overdue").otherwise(F.col("status")))
+    late = (F.col("status") == rules.TU_SENT) & (F.col("deadline") < as_of)
+    return requests.withColumn("status", F.when(late, rules.TU_OVERDUE).otherwise(F.col("status")))
 
 
 def with_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def with_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     last = responses.groupBy("id").agg(F.max(F.struct("received_at", "incoming_number")).alias("_r"))
     out = requests.join(last, "id", "left")
     return out.withColumns({
-        "status": F.when(F.col("_r").isNotNull(), "received").otherwise(F.col("status")),
+        "status": F.when(F.col("_r").isNotNull(), rules.TU_RECEIVED).otherwise(F.col("status")),
         "received_at": F.col("_r.received_at"), "incoming_number": F.col("_r.incoming_number"),
     }).drop("_r")
 

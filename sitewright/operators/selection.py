@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewright import rules
@@ -110,12 +110,8 @@ def circle_ring(sites: DataFrame, corners: int = 64) -> DataFrame:
     return crs.msk_to_lonlat(s).select("site_id", "k", "lon", "lat")
 
 
-def parcels_near(parcels: DataFrame, points: DataFrame, half_deg: float = 0.01, page: int = 100) -> DataFrame:
-    """Numbered parcels in a fixed box around each point, the first ``page`` by id.
-
-    The page is the interface's own limit. Per point only the lowest ids survive each step: first
-    inside blocks of ids, then among the blocks' survivors.
-    """
+def parcels_near(parcels: DataFrame, points: DataFrame, half_deg: float = 0.01) -> DataFrame:
+    """Every numbered parcel in a fixed box around each point; a page of them is the caller's business."""
     p = parcels.where(F.col("number").isNotNull())
     b = points.withColumns({
         "minx": F.col("center_lon") - half_deg, "maxx": F.col("center_lon") + half_deg,
@@ -123,10 +119,7 @@ def parcels_near(parcels: DataFrame, points: DataFrame, half_deg: float = 0.01,
     })
     hit = points_in_boxes(p, b, cell=2 * half_deg, point_id=["id"], x="lon", y="lat", levels=2)
     near = (F.abs(F.col("lon") - F.col("center_lon")) <= half_deg) & (F.abs(F.col("lat") - F.col("center_lat")) <= half_deg)
-    hit = hit.where(near).withColumn("_blk", F.pmod(F.xxhash64("id"), F.lit(64)))
-    for keys in (["site_id", "_blk"], ["site_id"]):
-        hit = hit.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("_rn") <= page)
-    return hit.drop("_rn", "_blk", *BOX)
+    return hit.where(near).drop(*BOX)
 
 
 def control_errors(points: DataFrame, x: str, y: str, target_x: str, target_y: str) -> DataFrame:

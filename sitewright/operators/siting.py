@@ -106,7 +106,9 @@ def access_roads(sites: DataFrame, roads: DataFrame, obstacles: DataFrame, site_
                  ring: str = "ring", path: str = "path") -> DataFrame:
     """Straight connection to the nearest road: end points, confirmation flag, obstacle flag.
 
-    Equal distances go to the lowest road id. obstacles: oring.
+    Every site has a row; where its group has no road, the road's columns are null and the flags
+    false. Equal distances go to the lowest road id. An obstacle counts when the connection runs
+    through its inside, not when it only touches. obstacles: oring.
     """
     near = nearest_path(
         sites, roads.select(*by, road_id, path, "network"), query_id=[site_id], by=by, query_path=ring, path=path,
@@ -118,24 +120,23 @@ def access_roads(sites: DataFrame, roads: DataFrame, obstacles: DataFrame, site_
     j = j.withColumn("_line", F.array(geom.point(F.col("_np.ax"), F.col("_np.ay")), geom.point(F.col("_np.bx"), F.col("_np.by"))))
     spots = obstacles.groupBy("oring").agg(F.lit(1).alias("_1")).select("oring")
     p = area_pairs(j.select(site_id, "_line"), spots, site_id, "_line", "oring")
-    hit = p.where(geom.paths_touch(F.col("_line"), F.col("oring")) | geom.contains(F.col("_line")[0].x, F.col("_line")[0].y, F.col("oring")))
+    hit = p.where(_pieces(F.col("_line"), F.col("oring"))["inside"])
     blocked = hit.groupBy(site_id).agg(F.lit(True).alias("crosses_obstacle"))
-    return j.join(blocked, site_id, "left").select(
-        site_id, road_id, "network", "distance_m", (F.col("network") == rules.NETWORK_BACKBONE).alias("needs_confirmation"),
+    found = j.join(blocked, site_id, "left").select(site_id, road_id, "network", "distance_m", "crosses_obstacle")
+    return sites.select(site_id).join(found, site_id, "left").select(
+        site_id, road_id, "network", "distance_m", F.coalesce(F.col("network") == rules.NETWORK_BACKBONE, F.lit(False)).alias("needs_confirmation"),
         F.coalesce("crosses_obstacle", F.lit(False)).alias("crosses_obstacle"),
     )
 
 
 def sight_blocked(ring: Column, x0, y0, x1, y1) -> Column:
-    """A segment that has points both inside and outside the area, or runs through it."""
+    """A segment with pieces both inside and outside the area; the outline may be concave."""
     seg = F.array(geom.point(x0, y0), geom.point(x1, y1))
-    a, b = F.get(seg, F.lit(0)), F.get(seg, F.lit(1))
-    inside_a, inside_b = geom.contains(a.x, a.y, ring), geom.contains(b.x, b.y, ring)
-    return geom.paths_touch(seg, ring) & (inside_a | inside_b | _runs_inside(seg, ring)) & ~(inside_a & inside_b)
+    return geom.paths_touch(seg, ring) & geom.let(_pieces(seg, ring), lambda p: p["inside"] & p["outside"])
 
 
-def _runs_inside(seg: Column, ring: Column) -> Column:
-    """True when some piece between two boundary hits lies inside: test midpoints of sorted hit parameters."""
+def _pieces(seg: Column, ring: Column) -> Column:
+    """Whether some piece between boundary hits lies inside, and some outside: midpoints of sorted hit parameters."""
     s = F.get(geom.segments(seg), F.lit(0))
     dx, dy = s.x1 - s.x0, s.y1 - s.y0
     len2 = dx * dx + dy * dy
@@ -144,7 +145,10 @@ def _runs_inside(seg: Column, ring: Column) -> Column:
     ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), ts)))
     n = F.size(ts) - 1
     mids = F.zip_with(F.slice(ts, F.lit(1), n), F.slice(ts, F.lit(2), n), lambda p, q: (p + q) / 2.0)
-    return F.when(len2 > 0, F.exists(mids, lambda t: geom.contains(s.x0 + t * dx, s.y0 + t * dy, ring))).otherwise(False)
+    at = lambda t: (s.x0 + t * dx, s.y0 + t * dy)
+    inside = F.exists(mids, lambda t: geom.contains(*at(t), ring))
+    outside = F.exists(mids, lambda t: ~geom.covers(*at(t), ring))
+    return F.struct(((len2 > 0) & inside).alias("inside"), ((len2 > 0) & outside).alias("outside"))
 
 
 def view_points(targets: DataFrame, walks: DataFrame, obstacles: DataFrame, target_id: str, walk_id: str, *,

@@ -2,8 +2,8 @@
 
 * Boxes live on the grid level whose cell is at least as large as the box, so each covers at most
   four cells; points carry one cell per level. A pair meets exactly once.
-* A hot cell (one cell may hold a third of all rows) is split: by a salt where the other side is
-  small, else by adaptive skew handling, which cuts the hot partition of the left side at run time.
+* A hot cell (one cell may hold a third of all rows) is split by adaptive skew handling, which cuts
+  the hot partition at run time; nothing is repeated for keys that are not hot.
 * Exact predicates run right behind the join, inside the same stage.
 """
 
@@ -16,19 +16,17 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import geom
 
-FAN = 16
 BOX = ("minx", "miny", "maxx", "maxy")
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str], how: str = "inner",
-                fan: int = FAN) -> DataFrame:
+                fan: int = 1) -> DataFrame:
     """Equi-join whose left rows of one key are spread over ``fan`` tasks.
 
-    The right side is repeated ``fan`` times, so this is for a right side that is small next to the
-    left: zones, sites, one summary row per key. With ``fan=1`` it is a plain join, for two large
-    sides or a right side unique per key such as raster cells; there adaptive execution splits the
-    left partitions of a hot key at run time (``spark.sql.adaptive.skewJoin``), as it also does with
-    what a salt leaves over. ``salt_by`` must identify left rows, so that copies spread as well.
+    By default it is a plain join: adaptive execution splits the partitions of a hot key at run time
+    (``spark.sql.adaptive.skewJoin``). A larger ``fan`` repeats the right side that many times, so it
+    is only for a right side known to be tiny, with few distinct keys, such as the coarse cells of a
+    group. ``salt_by`` must identify left rows, so that copies spread as well.
     """
     keys = list(keys)
     if fan <= 1:
@@ -69,7 +67,7 @@ def _explode_cells(df: DataFrame, box: Sequence[str], size: Column, reach) -> Da
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, *, cell: float, point_id: Sequence[str],
                     by: Sequence[str] = (), x: str = "x", y: str = "y", box: Sequence[str] = BOX,
-                    reach=0.0, levels: int = 3, fan: int = FAN) -> DataFrame:
+                    reach=0.0, levels: int = 3, fan: int = 1) -> DataFrame:
     """Every (point, box) pair with the point in the box grown by ``reach``, each pair once.
 
     Column names of the two sides must differ, except ``by``.
@@ -162,7 +160,7 @@ def nearest_path(queries: DataFrame, paths: DataFrame, *, query_id: Sequence[str
     box = ["_minx", "_miny", "_maxx", "_maxy"]
     spot = q.select(*ids, "_qx", "_qy", *box)
     rep_d = geom.length_between(F.col("_qx"), F.col("_qy"), F.col("_rep.vx"), F.col("_rep.vy"))
-    bound1 = salted_join(spot, coarse_cells, by, query_id).groupBy(*ids, "_qx", "_qy", *box).agg(F.min(rep_d).alias("_u"))
+    bound1 = salted_join(spot, coarse_cells, by, query_id, fan=16).groupBy(*ids, "_qx", "_qy", *box).agg(F.min(rep_d).alias("_u"))
 
     def around(df):
         return _explode_cells(df, box, F.lit(fine), F.col("_u"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +41,11 @@ def with_lod(tiles: DataFrame, size: float = SIZE) -> DataFrame:
     return t.where(F.col("lod").isNotNull())
 
 
-def lod_counts(tiles: DataFrame) -> DataFrame:
-    """Tile count per LOD in one row set, zero where a ring is empty."""
+def lod_counts(tiles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Tile count per LOD in one row set, for each ``by`` group where given; zero where a ring is empty."""
     rings = [n for n, _ in rules.LOD_LIMITS_M]
-    g = tiles.agg(*[F.count_if(F.col("lod") == n).alias(n) for n in rings])
-    return g.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rings)), F.array(*map(F.col, rings)))).alias("lod", "n_tiles"))
+    g = tiles.groupBy(*by).agg(*[F.count_if(F.col("lod") == n).alias(n) for n in rings])
+    return g.select(*by, F.explode(F.map_from_arrays(F.array(*map(F.lit, rings)), F.array(*map(F.col, rings)))).alias("lod", "n_tiles"))
 
 
 def boundary_points(tiles: DataFrame, step: float, size: float = SIZE) -> DataFrame:
@@ -105,49 +107,52 @@ def first_by_rank(rows: DataFrame, keys: list[str], digits: int = 6) -> DataFram
 def tile_content(terrain: DataFrame, buildings: DataFrame, tiles: DataFrame) -> DataFrame:
     """Height range and building count per tile over terrain and buildings; empty tiles drop out.
 
-    terrain: tx, ty, z; buildings: tx, ty, base_z, height_m, roof_shape; tiles: tx, ty, lod.
-    Far tiles show footprints without height, middle ones and flat roofs blocks.
+    terrain: tx, ty, z; buildings: tx, ty, base_z, height_m, roof_shape; tiles: tx, ty, lod and any
+    group such as a site, in which a tile may have another lod. Far tiles show footprints without
+    height, middle ones and flat roofs blocks. What a tile holds is summed once per lod.
     """
-    b = salted_join(buildings, tiles.select("tx", "ty", "lod").distinct(), ["tx", "ty"], ["building_id"])
+    lods = tiles.select("tx", "ty", "lod").distinct()
+    b = salted_join(buildings, lods, ["tx", "ty"], ["building_id"])
     form = F.when(F.col("lod") == "LOD0", "footprint").when(
         (F.col("lod") == "LOD1") | (F.col("roof_shape") == "flat"), "block"
     ).otherwise("roof")
     b = b.withColumn("form", form)
     top = F.when(F.col("form") == "footprint", F.col("base_z")).otherwise(F.col("base_z") + F.col("height_m"))
     b = b.select(
-        "tx", "ty", F.col("base_z").alias("lo"), top.alias("hi"),
+        "tx", "ty", "lod", F.col("base_z").alias("lo"), top.alias("hi"),
         *[(F.col("form") == f).cast("int").alias("n_" + f) for f in ("footprint", "block", "roof")],
     )
     t = terrain.where(F.col("z").isNotNull()).select(
         "tx", "ty", F.col("z").alias("lo"), F.col("z").alias("hi"), *[F.lit(0).alias("n_" + f) for f in ("footprint", "block", "roof")]
     )
-    g = t.unionByName(b).groupBy("tx", "ty").agg(
+    t = t.groupBy("tx", "ty").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.max("n_" + f).alias("n_" + f) for f in ("footprint", "block", "roof")]).join(lods, ["tx", "ty"])
+    g = t.unionByName(b).groupBy("tx", "ty", "lod").agg(
         F.min("lo").alias("z_min"), F.max("hi").alias("z_max"), *[F.sum("n_" + f).alias("n_" + f) for f in ("footprint", "block", "roof")]
     )
-    return tiles.join(g, ["tx", "ty"])
+    return tiles.join(g, ["tx", "ty", "lod"])
 
 
-def index_rows(content: DataFrame, size: float = SIZE) -> DataFrame:
-    """Leaf boxes (centre, half axes, at least 0.5 high) with geometric error, plus the root row; an empty set gives zeros.
+def index_rows(content: DataFrame, by: Sequence[str] = (), size: float = SIZE) -> DataFrame:
+    """Leaf boxes (centre, half axes, at least 0.5 high) with geometric error, plus a root row per ``by`` group.
 
-    content: tx, ty, lod, cx, cy, z_min, z_max.
+    Without ``by`` there is one root, and an empty set gives zeros. content: tx, ty, lod, cx, cy, z_min, z_max.
     """
     b = tilemath.tile_bounds(F.col("tx"), F.col("ty"), size)
     leaf = content.select(
-        "tx", "ty", "lod", (b["minx"] - F.col("cx")).alias("minx"), (b["miny"] - F.col("cy")).alias("miny"),
+        *by, "tx", "ty", "lod", (b["minx"] - F.col("cx")).alias("minx"), (b["miny"] - F.col("cy")).alias("miny"),
         (b["maxx"] - F.col("cx")).alias("maxx"), (b["maxy"] - F.col("cy")).alias("maxy"), "z_min", "z_max",
         tilemath.lod_step(F.col("lod")).alias("geometric_error"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     top = max(rules.LOD_STEP_M.values())
-    root = leaf.agg(
+    root = leaf.groupBy(*by).agg(
         *[zero(F.min(n)).alias(n) for n in ("minx", "miny")], *[zero(F.max(n)).alias(n) for n in ("maxx", "maxy")],
         zero(F.min("z_min")).alias("z_min"), zero(F.max("z_max")).alias("z_max"),
         F.when(F.count(F.lit(1)) > 0, top).otherwise(0.0).alias("geometric_error"),
-    ).select(F.lit(None).cast("bigint").alias("tx"), F.lit(None).cast("bigint").alias("ty"), F.lit("root").alias("lod"), "*")
+    ).withColumns({"tx": F.lit(None).cast("bigint"), "ty": F.lit(None).cast("bigint"), "lod": F.lit("root")})
     c = F.col
     return leaf.unionByName(root).select(
-        "tx", "ty", "lod", "geometric_error", ((c("minx") + c("maxx")) / 2).alias("bx"), ((c("miny") + c("maxy")) / 2).alias("by"),
+        *by, "tx", "ty", "lod", "geometric_error", ((c("minx") + c("maxx")) / 2).alias("bx"), ((c("miny") + c("maxy")) / 2).alias("by"),
         ((c("z_min") + c("z_max")) / 2).alias("bz"), ((c("maxx") - c("minx")) / 2).alias("hx"), ((c("maxy") - c("miny")) / 2).alias("hy"),
         F.greatest((c("z_max") - c("z_min")) / 2, F.lit(0.5)).alias("hz"),
     )

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 Step = tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]
 
 
 def _done(spark: SparkSession, path: str) -> bool:
-    """A table counts as finished once its commit marker is there."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    marker = hadoop.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    """A table counts as finished once it can be read: files of a job that did not commit are hidden."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:  # no such path, or no table in it
+        return False
+    return True
 
 
 def run_steps(spark: SparkSession, steps: Sequence[Step], folder: str) -> tuple[dict[str, DataFrame], list[str]]:

@@ -116,7 +116,6 @@ FOREST_DENSITY_PER_HA = {"needleleaved": 500.0, "mixed": 400.0, "broadleaved": 3
 FOREST_DENSITY_DEFAULT_PER_HA = 400.0
 SHRUB_DENSITY_PER_HA = 1500.0
 SHRUB_HEIGHT_M = 1.2
-SCATTER_TRIES = 20
 FENCE_HEIGHT_M = 1.5
 WALL_HEIGHT_M = 2.0
 WALL_THICKNESS_M = 0.2

@@ -33,12 +33,16 @@ def local_session(cores: str = "8", app: str = "sitewright", shuffle_partitions:
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) is a fresh folder made.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session that is one process (``local``)
+    may do without: it gets a fresh folder. Anywhere else a missing setting is an error, as executors
+    would each write to a disk of their own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     # one fresh folder per session: a later session must not meet folders of an ended one
     app = spark.sparkContext.applicationId
     if _LOCAL.get("app") != app:
