@@ -56,25 +56,36 @@ def s02(spark, d):
     return osm.read_layers(spark, path, ["osm_buildings", "osm_roads"]).select("layer", "osm_id", "levels_tag")
 
 
-@query("s03_zone_ingest", """SELECT id, CASE WHEN t IS NULL THEN 'rejected' WHEN st = 'официально' AND registry_number IS NULL THEN 'rejected' ELSE 'valid' END AS part, st AS status,
- CASE WHEN t IS NULL THEN 'no zone_type' WHEN st = 'официально' AND registry_number IS NULL THEN 'official zone without registry number' END AS reject_reason, maxx - minx AS width
-FROM (SELECT *, CASE WHEN id % 9 > 0 THEN zone_type END AS t, CASE WHEN id % 4 = 1 THEN 'официально' WHEN status = 'официально' THEN 'официально' ELSE status END AS st FROM v_zones)""")
+@query("s03_zone_ingest", """SELECT id, CAST(k AS INT) AS part_no, CASE WHEN t IS NULL OR (st = 'официально' AND registry_number IS NULL) OR id % 7 = 6 THEN 'rejected' ELSE 'valid' END AS part, st AS status,
+ CASE WHEN t IS NULL THEN 'no zone_type' WHEN st = 'официально' AND registry_number IS NULL THEN 'official zone without registry number' WHEN id % 7 = 6 THEN 'no polygon geometry' END AS reject_reason,
+ CASE WHEN id % 7 < 6 THEN maxx - minx END AS width, CASE WHEN id % 7 < 6 THEN (maxx - minx) * (maxy - miny) * CASE WHEN id % 3 = 1 THEN 0.75 ELSE 1 END END AS area_m2
+FROM (SELECT *, CASE WHEN id % 9 > 0 THEN zone_type END AS t, CASE WHEN id % 4 = 1 THEN 'официально' WHEN status = 'официально' THEN 'официально' ELSE status END AS st FROM v_zones), range(1, 3) x(k)
+WHERE k = 1 OR (id % 3 = 2 AND id % 7 < 6)""")
 def s03(spark, d):
-    """Zones go out as GeoJSON collections (one file per part) and come back through the loader."""
+    """Zones go out as GeoJSON collections and come back through the loader: plain, with a hole of a
+    quarter of the area, in two parts, and as lines, which are no zones."""
     z = V(spark, d).zones()
     k = F.col("id")
-    coords = F.array(F.transform("ring", lambda p: F.array(p.x, p.y)))
+    corners = lambda r: F.transform(r, lambda p: F.array(p.x, p.y))
+    w4, h4 = (F.col("maxx") - F.col("minx")) / 4, (F.col("maxy") - F.col("miny")) / 4
+    hole = geom.rect_ring(F.col("minx") + w4, F.col("miny") + h4, F.col("maxx") - w4, F.col("maxy") - h4)
+    plain, pierced = F.array(corners("ring")), F.array(corners("ring"), corners(hole))
+    twice = F.array(plain, F.array(corners(geom.translate(F.col("ring"), F.lit(1000.0), F.lit(0.0)))))
+    kind = F.when(k % 7 == 6, "LineString").when(k % 3 == 2, "MultiPolygon").otherwise("Polygon")
+    coords = F.when(k % 7 == 6, F.to_json(corners("ring"))).when(k % 3 == 2, F.to_json(twice)).when(k % 3 == 1, F.to_json(pierced)).otherwise(F.to_json(plain))
     props = F.struct(
         F.when(k % 9 > 0, F.col("zone_type")).alias("zone_type"), F.when(k % 4 != 1, F.col("status")).alias("status"),
         F.col("id").cast("string").alias("regime"), "registry_number",
     )
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")).alias("geometry"), props.alias("properties"))
-    one = z.select(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features")).alias("fc")).select(F.to_json("fc").alias("value"))
+    one = z.select(F.concat(
+        F.lit('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"'), kind, F.lit('","coordinates":'), coords,
+        F.lit('},"properties":'), F.to_json(props), F.lit("}]}"),
+    ).alias("value"))
     path = tables.fresh_path(spark, "zones")
     one.write.text(path)
     back = tables.zones_from_geojson(spark, path, multi_line=False)
     w = F.array_max(F.transform("ring", lambda p: p.x)) - F.array_min(F.transform("ring", lambda p: p.x))
-    return back.select(F.col("regime").cast("bigint").alias("id"), "part", "status", "reject_reason", w.alias("width"))
+    return back.select(F.col("regime").cast("bigint").alias("id"), "part_no", "part", "status", "reject_reason", w.alias("width"), geom.area(F.col("ring")).alias("area_m2"))
 
 
 @query("s04_regulation_load", """SELECT id, 'Ж-' || CAST(priority + 1 AS VARCHAR) AS zone_code, CAST(2 + id % 3 AS INT) AS n_uses, CAST(1 AS INT) AS n_polygons, CAST(3 + id % 4 AS DOUBLE) AS setback_m,

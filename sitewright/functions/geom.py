@@ -270,6 +270,18 @@ def nearest_pair(p: Column, q: Column) -> Column:
     return F.array_min(F.concat(from_p, from_q))
 
 
+def with_holes(outer: Column, holes: Column) -> Column:
+    """One ring for an outline and its holes: holes run the other way round and hang on the first corner.
+
+    The links to a hole are walked twice in opposite directions, so even-odd tests, signed areas and
+    overlaps of the ring are those of the area without its holes. Links count as outline in distance
+    and boundary tests: a point exactly on one is covered, not contained.
+    """
+    turn = lambda r, sign: F.when(signed_area(r) * sign < 0, F.reverse(r)).otherwise(r)
+    first = F.slice(outer, 1, 1)
+    return F.concat(turn(outer, 1), F.flatten(F.transform(holes, lambda h: F.concat(turn(h, -1), first))))
+
+
 def translate(path: Column, dx: Column, dy: Column) -> Column:
     return F.transform(path, lambda p: point(p.x + dx, p.y + dy))
 

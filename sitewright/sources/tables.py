@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright import rules
+from sitewright.functions import geom
 from sitewright.session import shared_dir
 
 
@@ -28,9 +29,14 @@ def require_valid(df: DataFrame) -> DataFrame:
 
 def zones_from_geojson(spark: SparkSession, path: str, default_status: str = rules.OFFICIAL_ZONE, multi_line: bool = True) -> DataFrame:
     """FeatureCollections to zone rows. ``multi_line=False`` reads one collection per line, which
-    splits large inputs; a pretty-printed file needs the other form and is one task."""
+    splits large inputs; a pretty-printed file needs the other form and is one task.
+
+    A Polygon is one row, a MultiPolygon one row per part (``part_no`` from 1). ``ring`` is the outline
+    with its holes cut in (``geom.with_holes``), ``n_holes`` counts them. Other geometries, and those
+    without a closed outline, are rejected rows without a ring.
+    """
     schema = (
-        "features array<struct<geometry:struct<type:string,coordinates:array<array<array<double>>>>,"
+        "features array<struct<geometry:struct<type:string,coordinates:string>,"
         "properties:struct<zone_type:string,status:string,regime:string,registry_number:string,document_basis:string>>>"
     )
     return _zone_rows(spark.read.schema(schema).json(path, multiLine=multi_line), default_status)
@@ -38,20 +44,27 @@ def zones_from_geojson(spark: SparkSession, path: str, default_status: str = rul
 
 def _zone_rows(files: DataFrame, default_status: str) -> DataFrame:
     f = files.select(F.explode("features").alias("f"))
-    ring = F.transform(F.get(F.col("f.geometry.coordinates"), F.lit(0)), lambda p: F.struct(
-        F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")
-    ))
-    rows = f.select("f.properties.*", ring.alias("ring"))
-    return checked_zones(rows, default_status)
+    kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    one = "array<array<array<double>>>"
+    parts = F.when(kind == "Polygon", F.array(F.from_json(raw, one))).when(kind == "MultiPolygon", F.from_json(raw, f"array<{one}>"))
+    f = f.select("f.properties.*", kind.alias("geometry_type"), F.posexplode_outer(parts).alias("part_no", "_part"))
+    points = lambda r: F.transform(r, lambda p: geom.point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+    whole = lambda r: (F.size(r) >= 4) & F.forall(r, lambda p: p.x.isNotNull() & p.y.isNotNull())
+    f = f.withColumn("_rings", F.transform("_part", points))
+    outer, holes = F.get("_rings", F.lit(0)), F.filter(F.slice("_rings", 2, F.greatest(F.size("_rings") - 1, F.lit(0))), whole)
+    f = f.withColumns({"ring": F.when(whole(outer), geom.with_holes(outer, holes)), "n_holes": F.size(holes), "part_no": F.coalesce(F.col("part_no") + 1, F.lit(1))})
+    return checked_zones(f.drop("_part", "_rings"), default_status)
 
 
 def checked_zones(rows: DataFrame, default_status: str = rules.OFFICIAL_ZONE) -> DataFrame:
-    """Default status; a zone needs a type, an official zone needs a registry number."""
+    """Default status; a zone needs a type and an outline, an official zone needs a registry number."""
     rows = rows.withColumn("status", F.coalesce("status", F.lit(default_status)))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    shape = [(F.col("ring").isNull(), "no polygon geometry")] if "ring" in rows.columns else []
     return split_valid(rows, [
         (blank("zone_type"), "no zone_type"),
         ((F.col("status") == rules.OFFICIAL_ZONE) & blank("registry_number"), "official zone without registry number"),
+        *shape,
     ])
 
 

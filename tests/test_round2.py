@@ -112,3 +112,34 @@ def test_alerts_over_many_files_with_late_rows(spark, tmp_path):
     want = jobs.held_alerts(spark.read.parquet(f"{tmp_path}/in"), key="k", ts="ts", bad="bad", hold_s=3600)
     assert sorted(map(tuple, got.select("k", "t0", "t1", "n_samples").collect())) == sorted(map(tuple, want.select("k", "t0", "t1", "n_samples").collect()))
     assert want.count() > 3
+
+
+def test_holes_hold_in_every_predicate(spark):
+    from sitewright.sources import tables
+
+    def square(x, y, s):
+        return [[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]]
+
+    import json
+
+    zone = {"zone_type": "t", "status": "s", "registry_number": "1"}
+    features = [
+        {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [square(0, 0, 40), square(10, 10, 10), square(25, 25, 10)[::-1]]}, "properties": zone | {"regime": "a"}},
+        {"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [[square(0, 0, 2)], [square(9, 9, 3), square(10, 10, 1)]]}, "properties": zone | {"regime": "b"}},
+        {"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": zone | {"regime": "c"}},
+        {"type": "Feature", "geometry": None, "properties": zone | {"regime": "d"}},
+    ]
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        with open(f"{folder}/z.json", "w") as f:
+            json.dump({"type": "FeatureCollection", "features": features}, f)
+        z = tables.zones_from_geojson(spark, f"{folder}/z.json").cache()
+        z.count()
+    got = {(r["regime"], r["part_no"]): (r["part"], r["n_holes"], r["a"]) for r in z.select("*", geom.area(F.col("ring")).alias("a")).collect()}
+    assert got[("a", 1)] == ("valid", 2, 1400.0) and got[("b", 1)] == ("valid", 0, 4.0) and got[("b", 2)] == ("valid", 1, 8.0)
+    assert got[("c", 1)][0] == got[("d", 1)][0] == "rejected" and z.where("ring is null").count() == 2
+    a = z.where("regime = 'a'")
+    inside = lambda x, y: geom.contains(F.lit(float(x)), F.lit(float(y)), F.col("ring"))
+    row = a.select(inside(5, 3), inside(15, 14), inside(30, 29), inside(22, 21), inside(50, 5), kernels.overlap_area_udf("ring", SQUARE(5, 5, 20)), geom.dist_to_area(F.lit(15.0), F.lit(14.0), F.col("ring"))).first()
+    assert list(row)[:5] == [True, False, False, True, False] and row[5] == pytest.approx(300.0) and 0 < row[6] <= 4
