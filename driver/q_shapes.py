@@ -16,7 +16,7 @@ from sitewright import rules
 from sitewright.functions import attributes as at
 from sitewright.functions import crs, geom, kernels, numbers, tilemath
 from sitewright.functions import tags as tg
-from sitewright.operators import audit, lines, objects, relief, selection, siting, surfaces, tiles, zones
+from sitewright.operators import audit, builders, lines, objects, relief, selection, siting, surfaces, tiles, zones
 from sitewright.plans import site_selection, steps
 from sitewright.sources import tables
 
@@ -605,6 +605,66 @@ def x03(spark, d):
     return f.select("osm_id", "layer", F.col("name_length.value").alias("name_length"), F.col("type.value").alias("type"))
 
 
+# --- composed builders ------------------------------------------------------------------------
+
+
+@query("u01_real_and_calculated", f"""WITH {POLES}, real AS (SELECT osm_id AS pole_id, x, y FROM v_features WHERE layer = 'osm_power'),
+bare AS (SELECT *, greatest(1, CAST(ceil(len / 60) AS BIGINT)) AS k FROM ln WHERE len > 0 AND osm_id NOT IN (SELECT line_id FROM onl WHERE pole_id IN (SELECT pole_id FROM real)))
+SELECT pole_id, NULL::BIGINT AS line_id, NULL::BIGINT AS i, round(x, 6) AS x, round(y, 6) AS y, 'факт' AS source FROM real
+UNION ALL SELECT NULL, osm_id, i, round(x0 + (least(i * (len / k), len) / len) * (x1 - x0), 6), round(y0 + (least(i * (len / k), len) / len) * (y1 - y0), 6), 'умолчание' FROM bare, LATERAL (SELECT unnest(range(0, k + 1)) AS i)""")
+def u01(spark, d):
+    """Real poles, and calculated ones where a line has none."""
+    v = V(spark, d)
+    l = v.lines().where("layer = 'osm_power'").select(F.col("osm_id").alias("line_id"), "path")
+    p = v.features().where("layer = 'osm_power'").select(F.col("osm_id").alias("pole_id"), "x", "y")
+    return builders.all_poles(l, p, "line_id", "pole_id").select("pole_id", "line_id", "i", r6("x", "x"), r6("y", "y"), "source")
+
+
+def barrier_lines(v: V):
+    kind = V._pick(F.col("osm_id") % 3, ["wall", "fence"], "hedge")
+    return v.lines().select("osm_id", "path", kind.alias("kind"))
+
+
+@query("c18_barriers", """WITH l AS (SELECT osm_id, CASE osm_id % 3 WHEN 0 THEN 'wall' WHEN 1 THEN 'fence' END AS kind, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len FROM v_lines)
+SELECT osm_id, kind, CASE kind WHEN 'wall' THEN 2.0 ELSE 1.5 END::DOUBLE AS height_m, round(len * CASE kind WHEN 'wall' THEN 0.2 ELSE 0.05 END::DOUBLE, 6) AS area_m2,
+ CASE WHEN kind = 'fence' THEN greatest(1, CAST(ceil(len / 2.5) AS BIGINT)) + 1 ELSE 0 END::BIGINT AS n_posts FROM l WHERE kind IS NOT NULL AND len > 0""")
+def c18_barriers(spark, d):
+    l = barrier_lines(V(spark, d))
+    posts = builders.fence_posts(l, "osm_id").groupBy("osm_id").agg(F.count(F.lit(1)).alias("n"))
+    return builders.barriers(l, "osm_id").join(posts, "osm_id", "left").select("osm_id", "kind", "height_m", r6("area_m2", "area_m2"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_posts"))
+
+
+@query("c18_platforms", """SELECT osm_id, 3.0::DOUBLE AS width_m, round(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) * 3, 6) AS area_m2, 0.3::DOUBLE AS height_m FROM v_lines WHERE layer = 'osm_railways' AND (x1 <> x0 OR y1 <> y0)
+UNION ALL SELECT -osm_id, NULL, 4 * hx * hy, 0.3 FROM v_buildings WHERE is_part""")
+def c18_platforms(spark, d):
+    v = V(spark, d)
+    l = v.lines().where("layer = 'osm_railways'").select("osm_id", "path", F.lit("line").alias("geometry"))
+    a = v.buildings().where("is_part").select((-F.col("osm_id")).alias("osm_id"), F.col("ring").alias("path"), F.lit("area").alias("geometry"))
+    return builders.platforms(l.unionByName(a), "osm_id").select("osm_id", "width_m", r6("area_m2", "area_m2"), "height_m")
+
+
+@query("c18_power_corridors", """SELECT osm_id, kv AS voltage_kv, w AS half_width_m, round(len * 2 * w, 6) AS area_m2 FROM (SELECT *, CASE voltage_tag WHEN '10000' THEN 10 ELSE 20 END::DOUBLE AS w, CAST(voltage_tag AS DOUBLE) / 1000 AS kv, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len
+ FROM v_lines WHERE layer = 'osm_power' AND voltage_tag IS NOT NULL) WHERE len > 0""")
+def c18_power_corridors(spark, d):
+    l = V(spark, d).lines().where("layer = 'osm_power'")
+    return builders.power_corridors(l, "osm_id", F.col("voltage_tag").try_cast("double") / 1000).select("osm_id", "voltage_kv", "half_width_m", r6("area_m2", "area_m2"))
+
+
+@query("c18_waterway_ribbons", """SELECT osm_id, 3.0::DOUBLE AS width_m, round(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) * 3, 6) AS area_m2 FROM v_lines WHERE layer = 'osm_waterways' AND (x1 <> x0 OR y1 <> y0)""")
+def c18_waterway_ribbons(spark, d):
+    """Two-point axes keep their length under corner cutting; levels along them are C20's."""
+    v = V(spark, d)
+    l = v.lines().where("layer = 'osm_waterways'").select("osm_id", "path")
+    ribbons, _ = builders.waterway_ribbons(l, v.cells(), v.grid(), "osm_id", rules.WATER_PROFILE_STEP_M, 50.0)
+    return ribbons.select("osm_id", "width_m", r6("area_m2", "area_m2"))
+
+
+@query("g04_shrubs", """SELECT id, CAST(round_even((maxx - minx) * (maxy - miny) / 10000.0 * 1500, 0) AS BIGINT) AS n_shrubs, 1.2::DOUBLE AS height_m FROM v_zones""")
+def g04_shrubs(spark, d):
+    s = builders.shrubs(V(spark, d).zones().select("id", "ring"), "id", seed=3)
+    return s.groupBy("id", "height_m").agg(F.count(F.lit(1)).alias("n_shrubs"))
+
+
 @query("x04_resumable_steps", "SELECT layer, count(*) AS n, CAST(2 AS INT) AS ran_first, CAST(0 AS INT) AS ran_again FROM v_features GROUP BY layer")
 def x04(spark, d):
     """Two named steps, run twice over one folder: the second run finds both tables finished."""

@@ -533,15 +533,6 @@ def l04(spark, d):
     return top.select("id", "source_name", F.unix_micros(F.col("data_timestamp").cast("timestamp")).alias("newest_us"))
 
 
-@query("u01_real_and_calculated", """SELECT osm_id, x, y, 'факт' AS source, CAST(NULL AS BIGINT) AS idx FROM v_features WHERE layer = 'osm_power'
-UNION ALL SELECT NULL, x0, y0, 'умолчание', osm_id FROM v_lines WHERE layer = 'osm_power'""")
-def u01(spark, d):
-    v = V(spark, d)
-    real = v.features().where("layer = 'osm_power'").select("osm_id", "x", "y", F.lit(rules.FACT).alias("source"))
-    calc = v.lines().where("layer = 'osm_power'").select(F.col("x0").alias("x"), F.col("y0").alias("y"), F.lit(rules.DEFAULT).alias("source"), F.col("osm_id").alias("idx"))
-    return real.unionByName(calc, allowMissingColumns=True)
-
-
 @query("u03_missing_tiles", f"WITH {TILE_SQL} SELECT tx, ty, layer FROM t EXCEPT SELECT tx, ty, layer FROM cache")
 def u03(spark, d):
     f = V(spark, d).features().withColumns({"tx": tilemath.tile_of(F.col("x")), "ty": tilemath.tile_of(F.col("y"))})

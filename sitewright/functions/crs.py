@@ -57,6 +57,12 @@ def pick_zone(lon: Column) -> Column:
     return F.when(dist.d <= rules.MSK_MAX_OFFSET_DEG, dist.zone)
 
 
+def zones_in_reach(lon: Column, reach_deg: float) -> Column:
+    """All zones that a site within ``reach_deg`` of this longitude may have."""
+    near = [F.when(F.abs(lon - lon0) <= rules.MSK_MAX_OFFSET_DEG + reach_deg, F.lit(z)) for z, lon0, _, _ in rules.MSK_ZONES]
+    return F.filter(F.array(*near), lambda z: z.isNotNull())
+
+
 def _zone_value(zone: Column, index: int) -> Column:
     out = None
     for row in rules.MSK_ZONES:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +27,15 @@ def _site_boxes(sites: DataFrame, margin_m: float) -> DataFrame:
 
 
 def points_in_radius(features: DataFrame, sites: DataFrame, feature_id: str, margin_m: float = rules.SELECTION_MARGIN_M,
-                     cell_deg: float = 0.05) -> DataFrame:
+                     cell_deg: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
     """Point features (lon, lat) within radius + margin of each site, by great-circle distance.
 
+    ``by`` names columns that must agree, such as the zone a feature is projected in.
+
     The box test comes first: it is an equi-join on cells, and on a stored table it prunes row groups.
     """
     boxes = _site_boxes(sites, margin_m)
-    p = points_in_boxes(features, boxes, cell=cell_deg, point_id=[feature_id], x="lon", y="lat", levels=2)
+    p = points_in_boxes(features, boxes, cell=cell_deg, point_id=[feature_id], by=by, x="lon", y="lat", levels=2)
     d = crs.haversine_m(F.col("center_lon"), F.col("center_lat"), F.col("lon"), F.col("lat"))
     return p.drop(*BOX).withColumn("distance_m", d).where(F.col("distance_m") <= F.col("radius_m") + margin_m)
 

@@ -20,14 +20,17 @@ def select_points(features: DataFrame, sites: DataFrame, *, feature_id: str = "o
     """Point features of many sites at once.
 
     features: feature_id, layer, lon, lat, tags. sites: site_id, center_lon, center_lat, radius_m.
-    The radius test runs on lon/lat before anything is projected, so only surviving rows pay for it.
+    A feature is normalised once and projected once per zone that a site in reach may use, before it
+    meets the sites; behind the join only the distance tests are left.
     """
     framed = selection.with_site_frame(sites.select("site_id", "center_lon", "center_lat", "radius_m"))
-    hit = selection.points_in_radius(features, framed, feature_id, margin_m)
-    hit = crs.lonlat_to_msk(hit, "lon", "lat", "zone", ("px", "py"))
-    local = selection.clip_points(hit)
+    reach = framed.agg(F.max((F.col("radius_m") + margin_m) / selection.DEG_M * 1.01 / F.cos(F.radians("center_lat")))).first()[0]
     attrs = tg.normalized_attributes(F.col("layer"), F.col("tags"), registry, types)
-    return local.withColumns(attrs).select("site_id", "zone", "layer", feature_id, "x", "y", *attrs)
+    ready = features.select(feature_id, "layer", "lon", "lat", *(c.alias(n) for n, c in attrs.items()))
+    ready = ready.withColumn("zone", F.explode(crs.zones_in_reach(F.col("lon"), reach or 0.0)))
+    ready = crs.lonlat_to_msk(ready, "lon", "lat", "zone", ("px", "py"))
+    hit = selection.points_in_radius(ready, framed, feature_id, margin_m, by=["zone"])
+    return selection.clip_points(hit).select("site_id", "zone", "layer", feature_id, "x", "y", *attrs)
 
 
 def select_shapes(features: DataFrame, sites: DataFrame, *, feature_id: str = "osm_id", margin_m: float = rules.SELECTION_MARGIN_M) -> DataFrame:
