@@ -654,7 +654,7 @@ def c18_power_corridors(spark, d):
 def c18_waterway_ribbons(spark, d):
     """Two-point axes keep their length under corner cutting; levels along them are C20's."""
     v = V(spark, d)
-    l = v.lines().where("layer = 'osm_waterways'").select("osm_id", "path")
+    l = v.lines().where("layer = 'osm_waterways'").select(one_source(), "osm_id", "path")
     ribbons, _ = builders.waterway_ribbons(l, v.cells(), v.grid(), "osm_id", rules.WATER_PROFILE_STEP_M, 50.0)
     return ribbons.select("osm_id", "width_m", r6("area_m2", "area_m2"))
 
