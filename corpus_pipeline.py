@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import free_name, fresh_folder, table, written
+from sitewright.llm.common import free_name, fresh_folder, quoted, table, written
 from sitewright.llm.decontamination import contaminated, find_phrases
 from sitewright.llm.neardup import near_duplicates
 from sitewright.llm.packing import pack
@@ -27,13 +27,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id; of rows repeated with id and text, one."""
-    found = near_duplicates(docs, size=SHINGLE, percent=PERCENT)
-    kept = written(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("__rows")), "kept")
-    once, more = kept.where("__rows = 1").select("doc_id"), kept.where("__rows > 1").select("doc_id")
-    out = docs.join(once, "doc_id", "left_semi")
+    found = near_duplicates(docs, size=SHINGLE, percent=PERCENT).where("doc_id is not null")
+    rows = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    away = written(rows.where("not kept or n > 1"), "copies")  # fewer than those that stay, so the texts seldom have to move
+    out = docs.join(away.select("doc_id"), "doc_id", "left_anti")
+    more = away.where("kept").select("doc_id")
     if not more.isEmpty():
-        out = out.union(docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out.union(docs.where("doc_id is null")).select(*docs.columns)
+        out = out.union(docs.join(more, "doc_id", "left_semi").select(*out.columns).dropDuplicates(["doc_id", "text"]))
+    return out.select(*map(quoted, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
