@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_SENT: list[tempfile.TemporaryDirectory] = []
 
 PIECE = 1 << 20  # bytes of text handled at once
 ROWS_PER_FILE = 100_000
@@ -51,7 +54,34 @@ def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session that can't import it (once per session)."""
+    app = spark.sparkContext.applicationId
+    if _LOCAL.get("shipped") == app:
+        return
+    package = __name__.partition(".")[0]
+
+    def there(batches):
+        import importlib.util
+
+        import pyarrow
+
+        for b in batches:
+            yield pyarrow.RecordBatch.from_pydict({"there": [importlib.util.find_spec(package) is not None] * b.num_rows})
+
+    if not spark.range(1, numPartitions=1).mapInArrow(there, "there boolean").first()[0]:
+        home = Path(__file__).resolve().parents[1]
+        _SENT.append(tempfile.TemporaryDirectory())  # the driver serves the file as long as it lives
+        name = f"{_SENT[-1].name}/{package}.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f"{package}/{f.relative_to(home)}")
+        spark.sparkContext.addPyFile(name)
+    _LOCAL["shipped"] = app
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -154,6 +184,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column; nulls are empty."""
     import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()  # what the batch before has left
     column = column.cast(pa.large_string()).fill_null("") if column.null_count else column.cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
