@@ -336,9 +336,9 @@ def c15(spark, d):
 
 
 @query("c16_ring_repair", """SELECT osm_id, osm_id % 6 > 1 AS kept, CASE WHEN osm_id % 6 > 1 THEN CAST(5 AS INT) END AS n_points, CASE WHEN osm_id % 6 > 1 THEN 4 * hx * hy END AS area_m2, osm_id % 6 = 5 AS crossing FROM v_buildings WHERE osm_id % 6 < 5
-UNION ALL SELECT osm_id, FALSE, NULL, NULL, TRUE FROM v_buildings WHERE osm_id % 6 = 5""")
+UNION ALL SELECT osm_id, TRUE, 4, round(hx * hy, 6), TRUE FROM v_buildings WHERE osm_id % 6 = 5""")
 def c16(spark, d):
-    """Good, clockwise, stuttering, collapsed, tiny and bow-tie rings."""
+    """Good, clockwise, stuttering, collapsed, tiny and bow-tie rings; of a bow-tie the larger loop stays."""
     b = V(spark, d).buildings()
     k, c, r = F.col("osm_id") % 6, F.col, F.col("ring")
     flat = F.array(r[0], r[1], r[0])
@@ -346,10 +346,12 @@ def c16(spark, d):
     bow = F.array(r[0], r[2], r[1], r[3], r[0])
     stutter = F.flatten(F.transform(r, lambda p: F.array(p, p)))
     ring = F.when(k == 0, flat).when(k == 1, tiny).when(k == 2, F.reverse(r)).when(k == 3, stutter).when(k == 5, bow).otherwise(r)
-    b = b.withColumn("in_ring", ring).withColumn("fixed", geom.repair_ring(F.col("in_ring")))
-    b = b.withColumn("crossing", geom.self_crossing(F.col("in_ring")))
-    ok = F.col("fixed").isNotNull() & ~F.col("crossing")
-    return b.select("osm_id", ok.alias("kept"), F.when(ok, F.size("fixed")).alias("n_points"), F.when(ok, geom.signed_area(F.col("fixed"))).alias("area_m2"), "crossing")
+    b = b.withColumn("in_ring", ring).withColumn("crossing", geom.self_crossing(F.col("in_ring")))
+    whole = b.where(~F.col("crossing")).withColumn("fixed", geom.repair_ring(F.col("in_ring")))
+    cut = b.where("crossing").withColumn("loop", kernels.untangled_udf(F.col("in_ring"))).withColumn("fixed", geom.repair_ring(F.col("loop"))).drop("loop")
+    b = whole.unionByName(cut)
+    ok = F.col("fixed").isNotNull()
+    return b.select("osm_id", ok.alias("kept"), F.when(ok, F.size("fixed")).alias("n_points"), F.when(ok, r6(geom.signed_area(F.col("fixed")), "a")).alias("area_m2"), "crossing")
 
 
 CLIP = """cl AS (SELECT s.site_id, l.osm_id, x0 - sx AS ax, y0 - sy AS ay, x1 - x0 AS dx, y1 - y0 AS dy, radius_m FROM v_sites s, v_lines l),

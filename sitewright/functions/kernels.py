@@ -115,6 +115,49 @@ def _open(ring):
     return pts[:-1] if len(pts) > 1 and pts[0] == pts[-1] else pts
 
 
+def _first_crossing(pts):
+    """Edges i < j that properly cross, and the point; None for a simple ring."""
+    n = len(pts)
+    for i in range(n):
+        (ax, ay), (bx, by) = pts[i], pts[(i + 1) % n]
+        for j in range(i + 2, n - (i == 0)):
+            (cx, cy), (dx, dy) = pts[j], pts[(j + 1) % n]
+            den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+            if den:
+                t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den
+                u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
+                if 0 < t < 1 and 0 < u < 1:
+                    return i, j, (ax + t * (bx - ax), ay + t * (by - ay))
+    return None
+
+
+def largest_loop(points):
+    """A self-crossing ring falls apart at its crossings; the loop of largest area, open, or None."""
+    todo, best = [list(points)], None
+    while todo:
+        pts = todo.pop()
+        if len(pts) < 3:
+            continue
+        hit = _first_crossing(pts)
+        if hit is None:
+            if best is None or abs(shoelace(pts)) > abs(shoelace(best)):
+                best = pts
+        else:
+            i, j, x = hit
+            todo += [pts[: i + 1] + [x] + pts[j + 1 :], [x] + pts[i + 1 : j + 1]]
+    return best
+
+
+@pandas_udf(_PATH_T)
+def untangled_udf(ring: pd.Series) -> pd.Series:
+    """The largest simple loop of a ring, closed; null for none."""
+    def one(r):
+        pts = largest_loop(_open(r)) if r is not None and len(r) else None
+        return [{"x": a, "y": b} for a, b in pts + pts[:1]] if pts else None
+
+    return pd.Series([one(r) for r in ring])
+
+
 @pandas_udf(_DOUBLE)
 def overlap_area_udf(p: pd.Series, q: pd.Series) -> pd.Series:
     return pd.Series([overlap_area(_open(a), _open(b)) if a is not None and b is not None and len(a) and len(b) else None for a, b in zip(p, q)], dtype="float64")

@@ -143,3 +143,14 @@ def test_holes_hold_in_every_predicate(spark):
     inside = lambda x, y: geom.contains(F.lit(float(x)), F.lit(float(y)), F.col("ring"))
     row = a.select(inside(5, 3), inside(15, 14), inside(30, 29), inside(22, 21), inside(50, 5), kernels.overlap_area_udf("ring", SQUARE(5, 5, 20)), geom.dist_to_area(F.lit(15.0), F.lit(14.0), F.col("ring"))).first()
     assert list(row)[:5] == [True, False, False, True, False] and row[5] == pytest.approx(300.0) and 0 < row[6] <= 4
+
+
+def test_self_crossing_rings_keep_their_largest_loop(spark):
+    assert kernels.largest_loop([(0, 0), (10, 10), (10, 0), (0, 10)]) is not None
+    eight = [(0, 0), (4, 4), (8, 0), (8, 8), (4, 4.5), (0, 8)]
+    assert sorted(kernels.largest_loop(eight)) == sorted(eight)
+    big = kernels.largest_loop([(0, 0), (10, 0), (10, 10), (4, -2), (2, -2)])
+    assert abs(kernels.shoelace(big)) > 20 and kernels._first_crossing(big) is None
+    df = spark.createDataFrame([(ring((0, 0), (10, 10), (10, 0), (0, 10), (0, 0)),), (None,), ([],)], f"r {RING_T}")
+    got = df.select(geom.area(kernels.untangled_udf("r"))).collect()
+    assert got[0][0] == pytest.approx(25.0)
