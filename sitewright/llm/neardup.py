@@ -248,8 +248,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         raise ValueError("percent must be 50 to 100")
     found = written(sketches(docs, key, text, size, k), "sketches")
     sets = found.where("n > 0 and id is not null")
-    classes = sets.groupBy("digest").agg(F.min("id").alias("rep"))
-    member = written(sets.join(classes, "digest").select("id", "rep", "n"), "classes")
+    copied = written(sets.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "copied")
+    member = written(sets.join(copied, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"), "n"), "classes")
     reps = written(member.where("id = rep").select("id").distinct(), "representatives")
     lists = written(rare_lists(retained(sets.join(reps, "id", "left_semi").dropDuplicates(["id", "digest"])), k, percent), "lists")
     leaders = lists.groupBy("value").agg(F.min("id").alias("leader"))
