@@ -41,15 +41,18 @@ def fresh_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, tag: str, rows: int | None = None, files: int | None = None) -> DataFrame:
     """Write to a fresh shared folder and read back: cuts lineage, and a lost executor costs no recomputation.
 
-    ``rows``: where the number of rows is about known, no more files than it needs.
+    ``rows``: where the number of rows is about known and little work is left to do, no more tasks and files than it needs.
+    ``files``: rows are dealt to so many files in a step of its own, for results far smaller than what they come from.
     """
     spark = df.sparkSession
     path = fresh_folder(spark, tag)
     if rows is not None:
         df = df.coalesce(1 + rows // ROWS_PER_FILE)
+    if files is not None:
+        df = df.repartition(files)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -209,14 +212,15 @@ def runs(sizes: np.ndarray, budget: int) -> Iterator[tuple[int, int]]:
 # ---- connected components ------------------------------------------------------------------------------------------
 
 
-def connected_components(edges: DataFrame, tag: str = "components", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, tag: str = "components", max_rounds: int = 60, files: int | None = None) -> DataFrame:
     """Rows (id, component): for every id in ``edges`` (a, b) the smallest id it is connected with.
 
     Alternates large-star and small-star steps; every step is one aggregation and one join on the nodes, so a node with very
-    many neighbours is combined before the shuffle and its join partition can be split. Each round is written.
+    many neighbours is combined before the shuffle and its join partition can be split. Each round is written; ``files`` says how
+    many files the edges are worth.
     """
     e = written(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), tag
+        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), tag, files=files
     )
     seen = None
     for _ in range(max_rounds):

@@ -31,6 +31,7 @@ from sitewright.llm.common import BLANK_WORDS, connected_components, mix, runs,
 K = 128
 MISS = 1e-8
 BATCH_BYTES = 2 << 20
+DOCS_PER_FILE = 20_000  # of the small tables between steps
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 19, 512  # of one block of a family: full sets of about 4 MB, overlap counts of about 1 MB
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -247,13 +248,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
     found = written(sketches(docs, key, text, size, k), "sketches")
+    files = 1 + found.count() // DOCS_PER_FILE
     sets = found.where("n > 0 and id is not null")
-    copied = written(sets.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "copied")
-    member = written(sets.join(copied, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"), "n"), "classes")
-    reps = written(member.where("id = rep").select("id").distinct(), "representatives")
-    lists = written(rare_lists(retained(sets.join(reps, "id", "left_semi").dropDuplicates(["id", "digest"])), k, percent), "lists")
+    copied = written(sets.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "copied", files=files)
+    member = written(sets.join(copied, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"), "n"), "classes", files=files)
+    reps = written(member.where("id = rep").select("id").distinct(), "representatives", files=files)
+    lists = written(rare_lists(retained(sets.join(reps, "id", "left_semi").dropDuplicates(["id", "digest"])), k, percent), "lists", files=files)
     leaders = lists.groupBy("value").agg(F.min("id").alias("leader"))
-    families = connected_components(lists.join(leaders, "value").select(F.col("id").alias("a"), F.col("leader").alias("b")), "families")
+    families = connected_components(lists.join(leaders, "value").select(F.col("id").alias("a"), F.col("leader").alias("b")), "families", files=files)
     placed = lists.select("id", "n").distinct().join(families, "id")
     blocks = placed.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"))
     own = placed.join(blocks, "component").select("id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
@@ -265,9 +267,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     groups = ("component", "i", "j")
     work = pairs.join(texts, "id").select(*groups, "own", "id", "text").repartition(*groups).sortWithinPartitions(*groups)
     links = _links(work, size, k, percent)
-    edges = links.union(member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    components = connected_components(edges, "links")
-    return found.select("id", "n").join(components, "id", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"),
+    # copies of a set need no links: they have their representative's component; a key with several sets joins their classes
+    own_rep = member.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+    several = own_rep.where("rep <> last").select("id")
+    edges = links.union(member.join(several, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    components = connected_components(edges, "links", files=files).withColumnRenamed("id", "rep")
+    out = found.select("id", "n").join(own_rep.drop("last"), "id", "left").join(components, "rep", "left")
+    component = F.coalesce("component", "rep", "id")
+    return out.select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
