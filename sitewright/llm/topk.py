@@ -20,7 +20,7 @@ from sitewright.llm.common import written
 
 BLOCK_BYTES = 16 << 20  # of one block's vectors, eight bytes a component
 MAX_ROWS, MAX_QUERIES = 16_384, 2_048
-LEAF = 48
+LEAF, CENTERS = 48, 64
 NOTHING = np.iinfo(np.int64).min + 1  # its negative is a number too
 
 
@@ -38,7 +38,8 @@ class Node:
 def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
     """Cover tree of the rows of ``x``: the children of a node at scale s are a net of its points at scale s / 2, its own centre
     first (nesting), every point within s / 2 of its child's centre (covering), centres further apart than that (separation)."""
-    norms = np.linalg.norm(x, axis=1)
+    squares = np.einsum("ij,ij->i", x, x)
+    norms = np.sqrt(squares)
     root_distance = np.linalg.norm(x - x[0], axis=1)
     root = Node(x[0], np.arange(len(x)), float(root_distance.max()), float(norms.max()))
     todo = [(root, root_distance)]
@@ -47,24 +48,26 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
         if len(node.points) <= leaf or node.radius == 0:
             continue
         half = 2.0 ** (math.ceil(math.log2(node.radius)) - 1)
-        rest, at = node.points, distance
-        groups = []
-        center = node.center
-        while len(rest):
-            inside = at <= half
-            if not inside.any():
-                inside[0] = True
-            groups.append((center, rest[inside], at[inside]))
-            rest = rest[~inside]
-            if len(rest):
-                center = x[rest[0]]
-                at = np.linalg.norm(x[rest] - center, axis=1)
+        inside = distance <= half
+        groups = [(node.center, node.points[inside], distance[inside])] if inside.any() else []
+        rest = node.points[~inside]
+        while len(rest):  # the first points left are tried as centres, distances to all of them at once
+            tried = rest[:CENTERS]
+            d2 = squares[rest][:, None] + squares[tried][None, :] - 2 * (x[rest] @ x[tried].T)
+            left = np.ones(len(rest), bool)
+            for j in range(len(tried)):
+                if left[j]:
+                    inside = left & (d2[:, j] <= half * half)
+                    inside[j] = True
+                    groups.append((x[tried[j]], rest[inside], np.sqrt(np.maximum(d2[inside, j], 0.0))))
+                    left &= ~inside
+            rest = rest[left]
         if len(groups) == 1:
             continue
         # neighbours with few points share a leaf: a node for each would cost more than its points' scores
         small = [g for g in groups if len(g[1]) <= leaf // 4]
         for c, points, d in [g for g in groups if len(g[1]) > leaf // 4]:
-            child = Node(c, points, float(d.max()), float(norms[points].max()))
+            child = Node(c, points, float(d.max()) * (1 + 1e-9) + 1e-9, float(norms[points].max()))
             node.children.append(child)
             todo.append((child, d))
         while small:
