@@ -7,14 +7,12 @@ to the nearest sampled suffix position; overlapping occurrences merge into remov
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import ALNUM_WORDS, free_name, others, quoted, runs, text_buffers, word_hashes
+from sitewright.llm.common import ALNUM_WORDS, others, quoted, runs, text_buffers, word_hashes
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20  # text of one index; a longer document is indexed in pieces that overlap by a phrase
@@ -241,11 +239,43 @@ def search_long(text: bytes, phrases: Phrases, size: int, piece: int) -> tuple[i
     return total, merged(spans), items
 
 
-SPAN = pa.struct([(k, pa.int64()) for k in ("start", "end", "from_byte", "to_byte")])
+SPAN_FIELDS = ("start", "end", "from_byte", "to_byte")
+SPAN = pa.struct([(k, pa.int64()) for k in SPAN_FIELDS])
 FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(SPAN)), ("items", pa.list_(pa.string()))])
 FOUND_TYPE = "struct<n_words: bigint, spans: array<struct<start: bigint, end: bigint, from_byte: bigint, to_byte: bigint>>, items: array<string>>"
 
 
+def _search_functions(shared, size: int, shard_bytes: int):
+    """Column functions that search one block of phrases: in texts, and in texts with what earlier blocks have found."""
+
+    def search(texts: pa.Array, before: pa.Array | None) -> pa.Array:
+        phrases = shared.value
+        raw, off = text_buffers(texts)
+        known = before.to_pylist() if before is not None else [None] * len(texts)
+        rows = []
+        for a, b in runs(np.diff(off), shard_bytes):
+            part = [raw[off[i] : off[i + 1]].tobytes() for i in range(a, b)]
+            rows += [search_long(part[0], phrases, size, shard_bytes)] if b - a == 1 and len(part[0]) > shard_bytes else search_shard(part, phrases, size)
+        made = []
+        for (words, spans, items), old in zip(rows, known, strict=True):
+            names = {phrases.names[i] for i in items}
+            if old is not None:
+                spans = merged(spans + [tuple(s[k] for k in SPAN_FIELDS) for s in old["spans"]])
+                names |= set(old["items"])
+            made.append({"n_words": words, "spans": [dict(zip(SPAN_FIELDS, s, strict=True)) for s in spans], "items": sorted(names)})
+        return pa.array(made, FOUND)
+
+    @F.arrow_udf(FOUND_TYPE)
+    def first(texts: pa.Array) -> pa.Array:
+        return search(texts, None)
+
+    @F.arrow_udf(FOUND_TYPE)
+    def further(texts: pa.Array, before: pa.Array) -> pa.Array:
+        return search(texts, before)
+
+    return first, further
+
+
 def find_phrases(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None, item: str = "item_id", item_text: str = "text",
     size: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_chars: int = BLOCK_CHARS, name: str = "contamination",
@@ -260,42 +290,16 @@ def find_phrases(
     size (only one item's text must fit), the index of a shard lives in its task.
     """
     keep = others(docs, keep, name)
-    body = free_name(docs, "__text")
     sc = docs.sparkSession.sparkContext
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    n = len(keep)
-    columns = [f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep]
-    out = docs.select(*map(quoted, keep), F.col(text).alias(body), F.lit(None).cast(FOUND_TYPE).alias(name))
+    found = F.lit(None).cast(FOUND_TYPE)
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().collect()
-        shared = sc.broadcast(Phrases([(r["i"], r["t"]) for r in mine], size))
-        last = block == blocks - 1
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            phrases = shared.value
-            for batch in batches:
-                raw, off = text_buffers(batch.column(n))
-                known = batch.column(n + 1).to_pylist() if batch.column(n + 1).null_count < batch.num_rows else [None] * batch.num_rows
-                rows = []
-                for a, b in runs(np.diff(off), shard_bytes):
-                    texts = [raw[off[i] : off[i + 1]].tobytes() for i in range(a, b)]
-                    rows += [search_long(texts[0], phrases, size, shard_bytes)] if b - a == 1 and len(texts[0]) > shard_bytes else search_shard(texts, phrases, size)
-                made = []
-                for (words, spans, found), old in zip(rows, known, strict=True):
-                    names = {phrases.names[i] for i in found}
-                    if old is not None:
-                        spans = merged(spans + [tuple(s[k] for k in ("start", "end", "from_byte", "to_byte")) for s in old["spans"]])
-                        names |= set(old["items"])
-                    made.append({"n_words": words, "spans": [dict(zip(("start", "end", "from_byte", "to_byte"), s, strict=True)) for s in spans], "items": sorted(names)})
-                text_column = [] if last else [batch.column(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:n], *text_column, pa.array(made, FOUND)], [*keep, *([] if last else [body]), name]
-                )
-
-        out = out.mapInArrow(run, ", ".join([*columns, *([] if last else [f"{quoted(body)} string"]), f"{quoted(name)} {FOUND_TYPE}"]))
-    return out
+        first, further = _search_functions(sc.broadcast(Phrases([(r["i"], r["t"]) for r in mine], size)), size, shard_bytes)
+        found = first(F.col(text)) if block == 0 else further(F.col(text), found)
+    return docs.select(*map(quoted, keep), found.alias(name))
 
 
 def hit_words(found=None):

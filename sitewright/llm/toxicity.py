@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import ALNUM_WORDS, free_name, others, quoted, runs, text_buffers, word_hashes, written
+from sitewright.llm.common import ALNUM_WORDS, others, quoted, runs, text_buffers, word_hashes, written
 
 BITS = 19
 PREFIXES = (4, 5, 6)  # bytes: words of one stem share these features
@@ -115,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     kind = docs.schema[key].dataType.simpleString()
     chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("__text")).join(bound, "k").select("k", "p", "u", "__text")
-    bags = written(chosen.mapInArrow(run, f"k {kind}, p boolean, u boolean, buckets binary"), "bags", rows=max_positive + max_unlabelled)
+    bags = chosen.mapInArrow(run, f"k {kind}, p boolean, u boolean, buckets binary")
+    bags = written(bags.repartition(1 + (max_positive + max_unlabelled) // 5_000), "bags")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,11 +162,9 @@ def score(docs: DataFrame, classifier: Classifier, text: str = "text", keep: tup
     """
     keep = others(docs, keep, name)
     model = docs.sparkSession.sparkContext.broadcast(classifier)  # 4 MB
-    n = len(keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(model.value.scores(*text_buffers(b.column(n))), pa.float64())], [*keep, name])
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array(model.value.scores(*text_buffers(texts)), pa.float64())
 
-    schema = ", ".join([*(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep), f"{quoted(name)} double"])
-    return docs.select(*map(quoted, keep), F.col(text).alias(free_name(docs, "__text"))).mapInArrow(run, schema)
+    return docs.select(*map(quoted, keep), scores(F.col(text)).alias(name))
