@@ -360,7 +360,7 @@ ct AS (SELECT *, greatest(0, (-b - sqrt(b * b - 4 * a * c)) / (2 * a)) AS t0, le
 
 
 @query("c17_circle_clip", f"""WITH {CLIP} SELECT 'line' AS kind, site_id, osm_id, round(ax + t0 * dx, 4) + 0.0 AS x0, round(ay + t0 * dy, 4) + 0.0 AS y0, round(ax + t1 * dx, 4) + 0.0 AS x1, round(ay + t1 * dy, 4) + 0.0 AS y1 FROM ct WHERE t0 < t1
-UNION ALL SELECT 'point', site_id, osm_id, x - sx, y - sy, NULL, NULL FROM v_features, v_sites WHERE (x - sx) * (x - sx) + (y - sy) * (y - sy) <= radius_m * radius_m AND layer = 'osm_power'""")
+UNION ALL SELECT 'point', site_id, osm_id, x - sx, y - sy, NULL, NULL FROM v_features, v_sites WHERE (x - sx) * (x - sx) + (y - sy) * (y - sy) <= radius_m * radius_m""")
 def c17(spark, d):
     from sitewright.operators.spatial import box_pairs, points_in_boxes
 
@@ -368,7 +368,7 @@ def c17(spark, d):
     c = F.col
     s = v.sites().select("site_id", c("sx").alias("cx"), c("sy").alias("cy"), "radius_m")
     s = s.withColumns({"minx": c("cx") - c("radius_m"), "maxx": c("cx") + c("radius_m"), "miny": c("cy") - c("radius_m"), "maxy": c("cy") + c("radius_m")})
-    p = points_in_boxes(v.features().where("layer = 'osm_power'").select("osm_id", "x", "y"), s, cell=1000.0, point_id=["osm_id"])
+    p = points_in_boxes(v.features().select("osm_id", "x", "y"), s, cell=1000.0, point_id=["osm_id"])
     p = selection.clip_points(p.withColumnsRenamed({"x": "px", "y": "py"}))
     l = geom.with_bbox(v.lines().select("osm_id", "path"), "path", "l")
     pairs = box_pairs(l, s, cell=500.0, left_id=["osm_id"], lbox=("lminx", "lminy", "lmaxx", "lmaxy"), rbox=("minx", "miny", "maxx", "maxy"), levels=4)
@@ -380,15 +380,29 @@ def c17(spark, d):
     )
 
 
-@query("c17_area_clip_shares")
+@query("c17_area_clip_shares", """WITH p AS (SELECT site_id, osm_id, cx - sx AS x, cy - sy AS y, hx, hy, radius_m AS r FROM v_sites JOIN v_buildings ON abs(cx - sx) <= radius_m + hx AND abs(cy - sy) <= radius_m + hy),
+k AS (SELECT *, sqrt((abs(x) + hx) * (abs(x) + hx) + (abs(y) + hy) * (abs(y) + hy)) <= r * cos(pi() / 64) AS whole FROM p),
+e AS (SELECT k.*, r * cos(pi() * i / 32) AS ax, r * sin(pi() * i / 32) AS ay, r * cos(pi() * (i + 1) / 32) AS bx, r * sin(pi() * (i + 1) / 32) AS b_y FROM k, range(0, 64) t(i) WHERE NOT whole),
+c AS (SELECT k.*, x + u * hx AS vx, y + w * hy AS vy FROM k, (VALUES (-1, -1), (-1, 1), (1, -1), (1, 1)) q(u, w) WHERE NOT whole),
+v AS (SELECT site_id, osm_id, ax AS vx, ay AS vy FROM e WHERE abs(ax - x) <= hx AND abs(ay - y) <= hy
+ UNION ALL SELECT site_id, osm_id, vx, vy FROM c WHERE sqrt(vx * vx + vy * vy) * cos(fmod(atan2(vy, vx) + 2 * pi(), pi() / 32) - pi() / 64) <= r * cos(pi() / 64)
+ UNION ALL SELECT site_id, osm_id, vx, vy FROM (SELECT *, x + u * hx AS vx, ay + (x + u * hx - ax) / (bx - ax) * (b_y - ay) AS vy FROM e, (VALUES (-1), (1)) q(u) WHERE bx <> ax) WHERE vx BETWEEN least(ax, bx) AND greatest(ax, bx) AND abs(vy - y) <= hy
+ UNION ALL SELECT site_id, osm_id, vx, vy FROM (SELECT *, y + u * hy AS vy, ax + (y + u * hy - ay) / (b_y - ay) * (bx - ax) AS vx FROM e, (VALUES (-1), (1)) q(u) WHERE b_y <> ay) WHERE vy BETWEEN least(ay, b_y) AND greatest(ay, b_y) AND abs(vx - x) <= hx),
+o AS (SELECT v.*, atan2(vy - avg(vy) OVER g, vx - avg(vx) OVER g) AS a FROM v WINDOW g AS (PARTITION BY site_id, osm_id)),
+n AS (SELECT *, coalesce(lead(vx) OVER g, first_value(vx) OVER g) AS nx, coalesce(lead(vy) OVER g, first_value(vy) OVER g) AS ny FROM o WINDOW g AS (PARTITION BY site_id, osm_id ORDER BY a)),
+s AS (SELECT site_id, osm_id, abs(sum(vx * ny - nx * vy)) / 2 AS m2 FROM n GROUP BY ALL)
+SELECT k.site_id, k.osm_id, round(CASE WHEN whole THEN 1 ELSE m2 / (4 * hx * hy) END, 6) AS share FROM k LEFT JOIN s ON s.site_id = k.site_id AND s.osm_id = k.osm_id WHERE whole OR m2 > 1e-6""")
 def c17_area(spark, d):
-    """Areas cut by the circle keep a positive part no larger than themselves."""
-    v = V(spark, d)
-    c = F.col
-    b = v.buildings().select("osm_id", "ring", geom.area(c("ring")).alias("full_m2"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), F.lit(1500.0).alias("radius_m"))
-    k = selection.clip_areas(b)
+    """Share of every building inside the circles of all sites."""
+    from sitewright.operators.spatial import box_pairs
+
+    v, c = V(spark, d), F.col
+    s = v.sites().select("site_id", c("sx").alias("cx"), c("sy").alias("cy"), "radius_m")
+    s = s.withColumns({"minx": c("cx") - c("radius_m"), "maxx": c("cx") + c("radius_m"), "miny": c("cy") - c("radius_m"), "maxy": c("cy") + c("radius_m")})
+    b = geom.with_bbox(v.buildings().select("osm_id", "ring", geom.area(c("ring")).alias("full_m2")), "ring", "l")
+    pairs = box_pairs(b, s, cell=500.0, left_id=["osm_id"], lbox=("lminx", "lminy", "lmaxx", "lmaxy"), rbox=("minx", "miny", "maxx", "maxy"), levels=4)
     part = geom.area(c("ring"))
-    return k.select("osm_id", F.round(part / c("full_m2"), 6).alias("share")).where(F.assert_true((part > 0) & (part <= c("full_m2") + 1e-6)).isNull())
+    return selection.clip_areas(pairs).where(part > 1e-6).select("site_id", "osm_id", F.round(part / c("full_m2"), 6).alias("share"))
 
 
 # --- projection -------------------------------------------------------------------------------
