@@ -129,53 +129,48 @@ def box_pairs(left: DataFrame, right: DataFrame, *, cell: float, left_id: Sequen
 
 def nearest_path(queries: DataFrame, paths: DataFrame, *, query_id: Sequence[str], by: Sequence[str],
                  query_path: str, path: str, path_order: Column, carry: Sequence[str],
-                 distance=geom.path_path_dist, coarse: float = 1600.0, fine: float = 200.0,
-                 fan: int = 1) -> DataFrame:
+                 distance=geom.path_path_dist, fine: float = 200.0, levels: int = 14) -> DataFrame:
     """Nearest path per query with no distance limit, exact, without all pairs.
 
-    ``by`` groups cover a bounded territory (a site), hence few coarse cells. Bounds shrink in two
-    steps, each an equi-join with early partial aggregation:
-    1. nearest representative vertex among the site's coarse cells,
-    2. nearest representative among fine cells inside that bound,
-    3. exact distance to the paths in fine cells inside the second bound.
-    Ties go to the smallest ``path_order``. Returns query ids with ``nearest`` = struct(dist, order, carry...).
+    A pyramid holds one vertex for every cell with a path, from ``fine`` cells up to a single one. A
+    query looks at the three by three cells around it on each floor, so at most nine rows a floor: the
+    nearest vertex met bounds the distance. The query's box grown by that bound then meets the boxes of
+    path segments (``box_pairs``, on the level of its size), and the exact distance decides. Ties go to
+    the smallest ``path_order``. Returns query ids with ``nearest`` = struct(dist, order, carry...).
     """
     by, query_id = list(by), list(query_id)
     same = paths.groupBy(*by, path).agg(
         F.min(F.struct(path_order.alias("ord"), *[F.col(c) for c in carry])).alias("_best")
-    ).withColumn("_pid", F.xxhash64(*by, path))
+    )
+    floors = list(range(0, levels, 2))
+    top = len(floors)  # one cell for everything
+    size = F.lit(float(fine)) * F.pow(F.lit(4.0), F.col("_lv").cast("double"))
+    at = lambda v: F.when(F.col("_lv") == top, F.lit(0).cast("bigint")).otherwise(_cell(v, size))
+    every = F.explode(F.sequence(F.lit(0), F.lit(top)))
     vertices = same.select(*by, F.explode(path).alias("_v")).select(*by, F.col("_v.x").alias("vx"), F.col("_v.y").alias("vy"))
-    fine_cells = vertices.groupBy(*by, _cell(F.col("vx"), F.lit(fine)).alias("_cx"), _cell(F.col("vy"), F.lit(fine)).alias("_cy")).agg(
+    cells = vertices.groupBy(*by, _cell(F.col("vx"), F.lit(fine)).alias("_kx"), _cell(F.col("vy"), F.lit(fine)).alias("_ky")).agg(
         F.min(F.struct("vx", "vy")).alias("_rep")
     )
-    k = coarse / fine
-    coarse_cells = fine_cells.groupBy(*by, F.floor(F.col("_cx") / k).alias("_kx"), F.floor(F.col("_cy") / k).alias("_ky")).agg(
-        F.min("_rep").alias("_rep")
-    ).select(*by, "_rep")
+    pyramid = cells.select(*by, "_rep", every.alias("_lv")).groupBy(*by, "_lv", at(F.col("_rep.vx")).alias("_cx"), at(F.col("_rep.vy")).alias("_cy")).agg(F.min("_rep").alias("_rep"))
     q = queries.select(*query_id, *by, F.col(query_path).alias("_q")).withColumns(
         {"_qx": F.get(F.col("_q"), F.lit(0)).x, "_qy": F.get(F.col("_q"), F.lit(0)).y}
     )
-    q = q.withColumns({"_" + k_: v for k_, v in geom.bbox(F.col("_q")).items()})
     ids = list(dict.fromkeys([*query_id, *by]))
-    box = ["_minx", "_miny", "_maxx", "_maxy"]
-    spot = q.select(*ids, "_qx", "_qy", *box)
+    around = lambda c: F.explode(F.when(F.col("_lv") == top, F.array(c)).otherwise(F.sequence(c - 1, c + 1)))
+    look = q.select(*ids, "_qx", "_qy", every.alias("_lv")).withColumns({"_hx": at(F.col("_qx")), "_hy": at(F.col("_qy"))})
+    look = look.withColumn("_cx", around(F.col("_hx"))).withColumn("_cy", around(F.col("_hy")))
     rep_d = geom.length_between(F.col("_qx"), F.col("_qy"), F.col("_rep.vx"), F.col("_rep.vy"))
-    bound1 = salted_join(spot, coarse_cells, by, query_id, fan=16).groupBy(*ids, "_qx", "_qy", *box).agg(F.min(rep_d).alias("_u"))
-
-    def around(df):
-        return _explode_cells(df, box, F.lit(fine), F.col("_u"))
-
-    bound2 = salted_join(around(bound1), fine_cells, [*by, "_cx", "_cy"], query_id, fan=fan).groupBy(
-        *ids, "_qx", "_qy", *box
-    ).agg(F.min(rep_d).alias("_u"))
-    # segments put a path into every cell it passes; a long segment covers its box of cells
-    segs = same.select(*by, "_pid", "_best", F.col(path).alias("_p"), F.explode(geom.segments(F.col(path))).alias("_s"))
-    segs = segs.withColumns({
-        "_sx0": F.least("_s.x0", "_s.x1"), "_sx1": F.greatest("_s.x0", "_s.x1"),
-        "_sy0": F.least("_s.y0", "_s.y1"), "_sy1": F.greatest("_s.y0", "_s.y1"),
+    bound = look.join(pyramid, [*by, "_lv", "_cx", "_cy"]).groupBy(*ids).agg(F.min(rep_d).alias("_u"))
+    q = q.join(bound, ids)
+    grow = F.col("_u") * (1 + 1e-9) + 1e-9
+    q = q.withColumns({f"_l{k}": v - grow if k.startswith("min") else v + grow for k, v in geom.bbox(F.col("_q")).items()})
+    segs = same.select(*by, "_best", F.explode(geom.segments(F.col(path))).alias("_s")).withColumns({
+        "minx": F.least("_s.x0", "_s.x1"), "maxx": F.greatest("_s.x0", "_s.x1"), "miny": F.least("_s.y0", "_s.y1"), "maxy": F.greatest("_s.y0", "_s.y1"),
     })
-    in_cells = _explode_cells(segs, ["_sx0", "_sy0", "_sx1", "_sy1"], F.lit(fine), 0.0).select(*by, "_best", "_s", "_cx", "_cy")
-    near = salted_join(around(bound2).join(q.select(*ids, "_q"), ids), in_cells, [*by, "_cx", "_cy"], query_id, fan=fan)
+    near = box_pairs(
+        q.select(*ids, "_q", "_lminx", "_lminy", "_lmaxx", "_lmaxy"), segs, cell=fine, left_id=query_id, by=by,
+        lbox=("_lminx", "_lminy", "_lmaxx", "_lmaxy"), rbox=BOX, levels=levels,
+    )
     seg_path = F.array(geom.point(F.col("_s.x0"), F.col("_s.y0")), geom.point(F.col("_s.x1"), F.col("_s.y1")))
     return near.groupBy(*ids).agg(
         F.min(F.struct(distance(F.col("_q"), seg_path).alias("dist"), F.col("_best").alias("hit"))).alias("nearest")
