@@ -31,7 +31,7 @@ from sitewright.llm.common import BLANK_WORDS, connected_components, mix, runs,
 K = 128
 MISS = 1e-8
 BATCH_BYTES = 2 << 20
-DOCS_PER_FILE = 20_000  # of the small tables between steps
+DOCS_PER_FILE = 100_000  # of the small tables between steps
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 19, 512  # of one block of a family: full sets of about 4 MB, overlap counts of about 1 MB
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
 
