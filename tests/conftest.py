@@ -10,6 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from sitewright.session import local_session
 
-    session = local_session("4", "tests", shuffle_partitions=4)
+    session = local_session("8", "tests", shuffle_partitions=4)
     yield session
     session.stop()

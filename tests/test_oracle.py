@@ -1,9 +1,4 @@
-"""Registered queries against their SQL on the smallest data.
-
-By default one query per kind of operator; SITEWRIGHT_ORACLE=all runs every one.
-"""
-
-import os
+"""Every registered query that has an SQL twin against it, on the smallest data."""
 
 import pytest
 
@@ -11,12 +6,6 @@ import __spark_entry__ as entry
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = {
-    "c01_tolerant_numbers", "c03_normalize_other_layers", "c13_projection", "c28_sun_position", "c35_site_selection", "s01_layer_router", "s03_zone_ingest",
-    "s14_tile_cache_work_list", "f01_radius_selection", "f11_need_calculation", "j04_zones_near_point", "j12_zone_overlaps", "j18_bilinear_sample", "j24_curbs",
-    "a07_cut_fill", "a13_height_calibration", "a22_job_status", "w02_zone_versions", "w04_longitudinal_smoothing", "w05_box_smoothing", "c29_overlay_blend",
-    "g01_tiles_covering_circle", "g11_grid_faces", "r02_versioned_zone_feed", "r05_alerts_with_hold", "x03_custom_normaliser",
-}
 
 
 @pytest.fixture(scope="module")
@@ -26,8 +15,6 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
-    if name not in SAMPLE and os.environ.get("SITEWRIGHT_ORACLE") != "all":
-        pytest.skip("in the full run only")
     problems = compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert [p for p in problems if p != "no rows"] == []
 
