@@ -16,7 +16,7 @@ from sitewright import rules
 from sitewright.functions import attributes as at
 from sitewright.functions import crs, geom, kernels, numbers, tilemath
 from sitewright.functions import tags as tg
-from sitewright.operators import audit, builders, lines, objects, relief, selection, siting, surfaces, tiles, zones
+from sitewright.operators import audit, builders, exports, lines, objects, relief, selection, siting, surfaces, tiles, zones
 from sitewright.plans import site_selection, steps
 from sitewright.sources import tables
 
@@ -110,13 +110,13 @@ def a20(spark, d):
     v = V(spark, d)
     b, z = overlap_inputs(v)
     l = v.lines().select(F.col("osm_id").alias("line_id"), "layer", "path")
-    none = F.lit(None).cast("string").alias("zone_type")
-    rows = siting.envelope_violations(envelopes(v), "osm_id").select(F.lit(rules.CHECK_ENVELOPE).alias("check_type"), "osm_id", none, F.col("outside_m2").alias("measure"))
-    rows = rows.unionByName(siting.zone_overlaps(b, z, "osm_id").select(F.lit(rules.CHECK_ZONE).alias("check_type"), "osm_id", "zone_type", F.col("overlap_m2").alias("measure")))
-    rows = rows.unionByName(siting.network_clearances(b, l, "osm_id").select(F.lit(rules.CHECK_NETWORK).alias("check_type"), "osm_id", F.col("layer").alias("zone_type"), F.col("distance_m").alias("measure")))
-    return rows.cube("check_type", "zone_type").agg(
-        F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("n"), F.countDistinct("osm_id").alias("n_buildings"), F.round(F.sum("measure"), 3).alias("total")
-    )
+    found = lambda df, zone, measure: df.select(F.col("osm_id").alias("building_id"), zone.alias("zone_type"), F.col(measure).alias("measure"))
+    total = exports.check_summary([
+        (rules.CHECK_ENVELOPE, found(siting.envelope_violations(envelopes(v), "osm_id"), F.lit(None).cast("string"), "outside_m2")),
+        (rules.CHECK_ZONE, found(siting.zone_overlaps(b, z, "osm_id"), F.col("zone_type"), "overlap_m2")),
+        (rules.CHECK_NETWORK, found(siting.network_clearances(b, l, "osm_id"), F.col("layer"), "distance_m")),
+    ])
+    return total.withColumn("total", F.round("total", 3))
 
 
 @query("a24_planting_counts", """WITH a AS (SELECT id, (maxx - minx) * (maxy - miny) AS m2, CASE id % 4 WHEN 0 THEN 500 WHEN 1 THEN 400 WHEN 2 THEN 350 ELSE 400 END AS dens FROM v_zones)

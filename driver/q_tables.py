@@ -9,7 +9,7 @@ from driver.views import V, lonlat, r6
 from sitewright import rules
 from sitewright.functions import geom, tilemath
 from sitewright.functions import tags as tg
-from sitewright.operators import audit, chunks, jobs, lines, relief, selection, tiles, zones
+from sitewright.operators import audit, chunks, exports, jobs, lines, relief, selection, tiles, zones
 from sitewright.sources import osm, raster, tables
 
 # --- elements with tags: every order is one map element ---------------------------------------
@@ -224,25 +224,16 @@ def s14(spark, d):
 s AS (SELECT event_type AS source_name, max(ts) AS ts FROM events GROUP BY 1)
 SELECT job_id, 'file' AS part, CAST(event_id AS VARCHAR) || '.bin' AS name, layer AS detail, size_bytes AS n FROM f
 UNION ALL SELECT job_id, 'layer', layer, 'расчётно', count(*) FROM f GROUP BY job_id, layer
-UNION ALL SELECT j.job_id, 'source', s.source_name, strftime(s.ts, '%Y-%m-%d'), CAST(1 AS BIGINT) FROM (SELECT DISTINCT job_id FROM f) j CROSS JOIN s
+UNION ALL SELECT j.job_id, 'source', s.source_name, strftime(s.ts, '%Y-%m-%d'), CAST(1 AS BIGINT) FROM (SELECT DISTINCT job_id, layer FROM f) j JOIN s ON s.source_name = j.layer
 UNION ALL SELECT job_id, 'total', 'size_bytes', CAST(count(*) AS VARCHAR), sum(size_bytes)::BIGINT FROM f GROUP BY job_id""")
 def s15(spark, d):
-    """Manifest rows per job: files, layers, deduplicated sources, totals. Rows, not one array per job."""
+    """Manifest rows per job; a file's layer is its source here."""
     v = V(spark, d)
     f = v.table("events").select(
-        F.col("user_id").alias("job_id"), "event_id", F.col("event_type").alias("layer"), F.floor(F.col("value") * 1000).cast("bigint").alias("size_bytes")
+        F.col("user_id").alias("job_id"), F.concat(F.col("event_id").cast("string"), F.lit(".bin")).alias("name"), F.col("event_type").alias("layer"),
+        F.col("event_type").alias("source_name"), F.floor(F.col("value") * 1000).cast("bigint").alias("size_bytes"),
     )
-    latest = v.imports().groupBy("source_name").agg(F.max("data_timestamp").alias("ts"))
-    files = f.select("job_id", F.lit("file").alias("part"), F.concat(F.col("event_id").cast("string"), F.lit(".bin")).alias("name"), F.col("layer").alias("detail"), F.col("size_bytes").alias("n"))
-    layers = f.groupBy("job_id", "layer").agg(F.count(F.lit(1)).alias("n")).select("job_id", F.lit("layer").alias("part"), F.col("layer").alias("name"), F.lit("расчётно").alias("detail"), "n")
-    # sources are one short list for all jobs: a single row holding at most one entry per registered source
-    listed = latest.agg(F.collect_list(F.struct("source_name", F.date_format("ts", "yyyy-MM-dd").alias("day"))).alias("src")).withColumn("_k", F.lit(1))
-    job_rows = f.groupBy("job_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes")).withColumn("_k", F.lit(1))
-    sources = job_rows.join(F.broadcast(listed), "_k").select("job_id", F.explode("src").alias("s")).select(
-        "job_id", F.lit("source").alias("part"), F.col("s.source_name").alias("name"), F.col("s.day").alias("detail"), F.lit(1).cast("bigint").alias("n")
-    )
-    total = job_rows.select("job_id", F.lit("total").alias("part"), F.lit("size_bytes").alias("name"), F.col("files").cast("string").alias("detail"), F.col("bytes").alias("n"))
-    return files.unionByName(layers).unionByName(sources).unionByName(total)
+    return exports.manifest(f, v.imports().groupBy("source_name").agg(F.max("data_timestamp").alias("ts")))
 
 
 @query("s17_alignment_export", """SELECT osm_id, CAST(0 AS INT) AS seq, round(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), 3) AS axis_length, x0, y0, x1, y1
@@ -262,18 +253,10 @@ SELECT 'P' AS part, id AS a, round((-1500 + (c + 0.5) * 25.0)::DOUBLE, 3) AS x,
 UNION ALL SELECT 'F', v0.id, NULL, NULL, v1.id, v2.id FROM t JOIN v v0 ON v0.r = r0 AND v0.c = c0 JOIN v v1 ON v1.r = r1 AND v1.c = c1 JOIN v v2 ON v2.r = r2 AND v2.c = c2""")
 def s18(spark, d):
     """1-based vertex numbers over the whole surface, numbered row by row, then faces by number."""
-    v = V(spark, d)
-    cells = v.cells()
-    full = cells.where(F.col("z").isNotNull())
-    num = chunks.sequenced(full, ["source_id"], ["r", "c"], F.col("r"), number="id")
-    pts = num.select(F.lit("P").alias("part"), F.col("id").alias("a"), F.round(-1500 + (F.col("c") + 0.5) * 25.0, 3).alias("x"), F.round("z", 3).alias("z"),
-                     F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("bigint").alias("d"))
-    f = relief.faces(cells)
-    corners = f.select("source_id", F.struct("r", "c", "half").alias("face"), F.posexplode(F.array(*[F.struct(F.col(f"r{i}").alias("r"), F.col(f"c{i}").alias("c")) for i in range(3)])).alias("k", "v"))
-    ids = corners.select("source_id", "face", "k", "v.r", "v.c").join(num.select("source_id", "r", "c", "id"), ["source_id", "r", "c"])
-    g = ids.groupBy("source_id", "face").agg(*[F.max(F.when(F.col("k") == i, F.col("id"))).alias(n) for i, n in enumerate(("a", "b", "d"))])
-    null = F.lit(None).cast("double")
-    return pts.unionByName(g.select(F.lit("F").alias("part"), "a", null.alias("x"), null.alias("z"), "b", "d"))
+    points, faces = exports.numbered_surface(V(spark, d).cells())
+    none, null = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    pts = points.select(F.lit("P").alias("part"), F.col("id").alias("a"), F.round(-1500 + (F.col("c") + 0.5) * 25.0, 3).alias("x"), F.round("z", 3).alias("z"), none.alias("b"), none.alias("d"))
+    return pts.unionByName(faces.select(F.lit("F").alias("part"), "a", null.alias("x"), null.alias("z"), "b", "d"))
 
 
 @query("s19_outline_export", """WITH o AS (SELECT 'Здания' AS drawing_layer, osm_id, cx - hx AS minx, cy - hy AS miny, cx + hx AS maxx, cy + hy AS maxy FROM v_buildings UNION ALL SELECT 'Вода', id, minx, miny, maxx, maxy FROM v_zones),
@@ -283,9 +266,7 @@ def s19(spark, d):
     v = V(spark, d)
     b = v.buildings().select(F.lit("Здания").alias("drawing_layer"), "osm_id", F.array("ring").alias("rings"))
     w = v.zones().select(F.lit("Вода").alias("drawing_layer"), F.col("id").alias("osm_id"), F.array("ring").alias("rings"))
-    o = b.unionByName(w).select("drawing_layer", "osm_id", F.posexplode("rings").alias("ring_no", "ring"))
-    o = o.select("drawing_layer", "osm_id", "ring_no", F.posexplode(F.slice("ring", F.lit(1), F.size("ring") - 1)).alias("pos", "p"))
-    return o.select("drawing_layer", "osm_id", "ring_no", "pos", "p.x", "p.y")
+    return exports.outline_rows(b.unionByName(w), ["drawing_layer", "osm_id"])
 
 
 @query("s20_city_objects", """SELECT CAST(osm_id AS BIGINT) AS osm_id, 'building-' || osm_id AS object_id, building_type, CAST(coalesce(TRY_CAST(height_tag AS DOUBLE), 9) AS DOUBLE) AS height_m, cx - hx AS minx, cy - hy AS miny, cx + hx AS maxx, cy + hy AS maxy FROM v_buildings
@@ -298,11 +279,7 @@ def s20(spark, d):
         "osm_id", F.concat(F.lit("building-"), F.col("osm_id").cast("string")).alias("object_id"), "building_type", h.alias("height_m"), "minx", "miny", "maxx", "maxy"
     )
     back = tables.write_and_read(obj, "city-objects", fmt="json")
-    ext = back.agg(
-        F.lit(None).cast("bigint").alias("osm_id"), F.lit("extent").alias("object_id"), F.lit(None).cast("string").alias("building_type"), F.max("height_m").alias("height_m"),
-        F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"),
-    )
-    return back.unionByName(ext)
+    return exports.with_extent(back, "object_id", ["height_m"])
 
 
 SITE_TILES = """tl AS (SELECT site_id, sx AS cx, sy AS cy, radius_m, tx, ty FROM v_sites, (SELECT CAST(i AS BIGINT) AS tx FROM range(-30, 30) t(i)), (SELECT CAST(i AS BIGINT) AS ty FROM range(-30, 30) t(i))
@@ -473,8 +450,8 @@ def f13(spark, d):
 
 @query("w01_latest_per_source", """SELECT source_name, id, epoch_us(data_timestamp) AS newest_us, notes FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY data_timestamp DESC, id DESC) AS rn FROM v_imports) WHERE rn = 1""")
 def w01(spark, d):
-    best = V(spark, d).imports().groupBy("source_name").agg(F.max(F.struct("data_timestamp", "id", "notes")).alias("b"))
-    return best.select("source_name", "b.id", F.unix_micros(F.col("b.data_timestamp").cast("timestamp")).alias("newest_us"), "b.notes")
+    best = exports.latest_per(V(spark, d).imports(), ["source_name"], ["data_timestamp", "id"], ["id", "data_timestamp", "notes"])
+    return best.select("source_name", "id", F.unix_micros(F.col("data_timestamp").cast("timestamp")).alias("newest_us"), "notes")
 
 
 @query("w02_zone_versions", """SELECT id, registry_number, CASE WHEN registry_number IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY registry_number ORDER BY load_seq) END::BIGINT AS version,
@@ -485,8 +462,7 @@ def w02(spark, d):
 
 @query("w07_first_source_by_priority", """SELECT source_name, id FROM (SELECT source_name, id, row_number() OVER (PARTITION BY source_name ORDER BY priority DESC, id) AS rn FROM v_zones) WHERE rn = 1""")
 def w07(spark, d):
-    g = V(spark, d).zones().groupBy("source_name").agg(F.min(F.struct((-F.col("priority")).alias("p"), "id")).alias("b"))
-    return g.select("source_name", "b.id")
+    return exports.first_per(V(spark, d).zones(), ["source_name"], [-F.col("priority"), F.col("id")], ["id"])
 
 
 @query("w08_zone_history", """WITH h AS (SELECT id, registry_number, zone_type, row_number() OVER w AS version, lag(zone_type) OVER w AS prev FROM v_zones WHERE registry_number IS NOT NULL WINDOW w AS (PARTITION BY registry_number ORDER BY load_seq))
@@ -504,8 +480,8 @@ def w09(spark, d):
 
 @query("l01_priority_order", "SELECT id, source_name, priority, row_number() OVER (ORDER BY priority, id) AS pos FROM v_zones")
 def l01(spark, d):
-    z = V(spark, d).zones()
-    return chunks.sequenced(z.withColumn("_all", F.lit(0)), ["_all"], ["priority", "id"], F.col("priority") * 1_000_000_000 + F.floor(F.col("id") / 1000.0), number="pos").select("id", "source_name", "priority", "pos").orderBy("priority", "id")
+    z = exports.priority_order(V(spark, d).zones(), "priority", "id")
+    return z.select("id", "source_name", "priority", "pos").orderBy("priority", "id")
 
 
 @query("l02_job_listing", """WITH j AS (SELECT job_id, min(started_at) AS created_at FROM v_steps GROUP BY job_id) SELECT s.job_id, epoch_us(created_at) AS created_us, step_order, status FROM v_steps s JOIN j ON j.job_id = s.job_id""")
@@ -523,8 +499,7 @@ def l03(spark, d):
     p = V(spark, d).table("orders").select(
         (k % 500).alias("shape_id"), k.alias("pos"), geom.rect_ring(F.lit(0.0), F.lit(0.0), 1 + (k * 37) % 97, 1 + (k * 53) % 89).alias("ring")
     )
-    g = p.withColumn("a", geom.area(F.col("ring"))).groupBy("shape_id").agg(F.max(F.struct("a", (-F.col("pos")).alias("p"))).alias("b"))
-    return g.select("shape_id", (-F.col("b.p")).alias("pos"), F.col("b.a").alias("area_m2"))
+    return exports.largest_part(p, ["shape_id"], "pos")
 
 
 @query("l04_latest_import", "SELECT id, source_name, epoch_us(data_timestamp) AS newest_us FROM v_imports WHERE source_name = 'view' ORDER BY data_timestamp DESC, id DESC LIMIT 1")
@@ -598,9 +573,7 @@ def a21(spark, d):
     from sitewright.functions import labels
 
     t = V(spark, d).texts()
-    un = t.where(labels.network_type(F.col("drawing_layer")).isNull()).groupBy(F.col("drawing_layer").alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("layer"))
-    blocks = t.where("seq % 5 = 4").groupBy(F.col("txt").alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("manhole"))
-    return un.unionByName(blocks).select("name", "part", "n")
+    return exports.unmatched_labels(t, "drawing_layer", labels.network_type(F.col("drawing_layer")).isNotNull(), t.where("seq % 5 = 4"), "txt")
 
 
 @query("a22_job_status", """SELECT job_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_and(status = 'done') THEN 'done' WHEN bool_or(status <> 'pending') THEN 'running' ELSE 'pending' END AS job_status,
