@@ -83,8 +83,10 @@ def ship(spark: SparkSession) -> None:
     _LOCAL["shipped"] = app
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+def table(spark: SparkSession, sf_dir: str, name: str, native: bool = False) -> DataFrame:
+    """One of the given tables; ``native`` for uses without any Python on the executors."""
+    if not native:
+        ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -83,7 +83,7 @@ def op8_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("license")
-    return scan(table(spark, sf_dir, "documents")).select(
+    return scan(table(spark, sf_dir, "documents", native=True)).select(
         "doc_id", x["n_words"].alias("n_words"), x["n_base"].alias("n_base"), x["first_word"].alias("first_word"), x["last_word"].alias("last_word"),
         F.array_join(x["base_labels"], ",").alias("base_labels"), F.array_join(x["labels"], ",").alias("labels"), x["score"].alias("score"),
     )
