@@ -9,7 +9,7 @@ from driver.views import V, lonlat, r6
 from sitewright import rules
 from sitewright.functions import geom, tilemath
 from sitewright.functions import tags as tg
-from sitewright.operators import audit, chunks, exports, jobs, lines, relief, selection, tiles, zones
+from sitewright.operators import audit, exports, jobs, lines, relief, selection, tiles, zones
 from sitewright.sources import osm, raster, tables
 
 # --- elements with tags: every order is one map element ---------------------------------------
