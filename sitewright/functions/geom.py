@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitewright import rules
+
 POINT_T = "struct<x:double,y:double>"
 PATH_T = f"array<{POINT_T}>"
 
@@ -292,7 +294,7 @@ def rotate_translate(path: Column, deg: Column, dx: Column, dy: Column) -> Colum
     return F.transform(path, lambda p: point(p.x * c - p.y * s + dx, p.x * s + p.y * c + dy))
 
 
-def repair_ring(ring: Column, min_area: float = 1.0, tol: float = 1e-9) -> Column:
+def repair_ring(ring: Column, min_area: float = rules.MIN_FOOTPRINT_AREA_M2, tol: float = 1e-9) -> Column:
     """Drop repeated vertices, close, orient counter-clockwise; null when fewer than 3 corners or too small."""
 
     def keep_new(acc, p):

@@ -33,6 +33,11 @@ def network_type(layer_name: Column) -> Column:
     return F.coalesce(by_code, by_word)
 
 
+def network_label(kind: Column) -> Column:
+    """Name of a network type."""
+    return lookup(kind, rules.NETWORK_LABELS)
+
+
 def diameter_mm(text: Column) -> Column:
     return _first_group(text, DIAMETER, 3).try_cast("double")
 

@@ -159,9 +159,10 @@ def spans(on_line: DataFrame, line_id: str, pole_id: str, band_m: float = 5000.0
 
 
 def strands(span_rows: DataFrame, cables: str = "cables", spacing: float = rules.PHASE_SPACING_M) -> DataFrame:
-    """One row per wire of a span with its sideways offset."""
-    s = span_rows.withColumn("strand", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(cables) - 1)))
-    return s.withColumn("offset_m", (F.col("strand") - (F.col(cables) - 1) / 2.0) * spacing)
+    """One row per wire of a span with its sideways offset; a span without a number of cables has the default."""
+    n = F.coalesce(F.col(cables).cast("bigint"), F.lit(rules.CABLES_DEFAULT).cast("bigint"))
+    s = span_rows.withColumn("strand", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    return s.withColumn("offset_m", (F.col("strand") - (n - 1) / 2.0) * spacing)
 
 
 def wire_points(strand_rows: DataFrame, samples: int = rules.WIRE_SAMPLES, sag: float = rules.SAG_RATIO) -> DataFrame:

@@ -171,7 +171,6 @@ DEGENERATE_AREA_M2 = 1e-6
 TRANSITION_WIDTH_M = 40.0
 SLOPE_RATIO = 1.5
 MAX_SLOPE_RUN_M = 5.0
-APRON_M = 1.0
 POINT_SOURCE_PRIORITY = {"building": 3, "water": 2, "road": 1, "terrain": 0}
 
 # --- tiles (fixed values) ---------------------------------------------------------------------
