@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements. Elements that are boilerplate by kind (menus, forms, scripts, adverts, comments ...) are left
-out. Every other node gets a density: characters per tag, adjusted by the share of link characters and link tags. The node
+A page becomes a tree of elements. Elements that are boilerplate by kind (menus, forms, scripts, footers ...) are left
+out, then what class, id or role mark as boilerplate (adverts, comments ...), unless a first choice by density falls into it or
+most of the page's text stands in it: that is a frame around the article. Every other node gets a density: characters per tag, adjusted by the share of link characters and link tags. The node
 whose children's densities sum highest holds the article; the least density on its path up to the body is the threshold for
 further blocks.
 """
@@ -11,7 +12,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,39 +55,68 @@ MARKS = frozenset(
     "subscribe subscription signup login signin comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations "
     "pagination pager search searchbox skip toolbar copyright disclaimer form contentinfo complementary dialog".split()
 )
+#: marks of what readers wrote
+TALK = frozenset("comment comments commentlist disqus reply replies respond".split())
 HEADERS = frozenset("header head topheader pageheader siteheader".split())
+#: words that may stand beside a mark in one name ("site-footer", "related-posts"); any other word makes it another thing ("has-sidebar", "related-work")
+BESIDE = frozenset(
+    "site page global main primary secondary left right top bottom upper lower first second container wrapper wrap holder box area section block panel module component "
+    "list lists item items inner outer bar link links button buttons btn btns icon icons post posts entry article articles story stories thread body title heading text "
+    "message msg policy blog js wp el mobile desktop sticky fixed floating group column col row slot unit space zone region placeholder google single default big small "
+    "media".split()
+)
+#: elements that an id names as a part of the page rather than of a text
+PARTS = frozenset("div ul ol table td".split())
 SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 ARTICLE = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAST_ARTICLE = 100  # characters beside comments that are an article for sure
+
+
+def _names(value: str) -> Iterator[set[str]]:
+    """Words of each name in a class, id or role."""
+    for name in value.split():
+        yield {w.lower() for w in SPLIT.split(name) if w}
 
 
-def _marked(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether class, id, role or state mark the element as boilerplate; whether it is a header."""
+def _marked(tag: str, attributes: str) -> tuple[bool, str, bool]:
+    """Whether the element is hidden; by which kind of name it is marked as boilerplate; whether it is a header.
+
+    Kinds: ``talk`` (what readers wrote), ``name``, ``id`` and ``id talk`` (marked by its id only), or none.
+    """
     header = tag == "header"
     if not attributes or tag in ("html", "body"):
-        return False, header
+        return False, "", header
     low = attributes.lower()
     if not ("class" in low or "id" in low or "role" in low or "hidden" in low or "style" in low):
-        return False, header
+        return False, "", header
+    kind = ""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in SPLIT.split(value) if w}
-            if words & MARKS and tag not in ARTICLE:
-                return True, header
-            header = header or bool(words & HEADERS)
+            for words in _names(value):
+                if words & MARKS and words <= MARKS | BESIDE and tag not in ARTICLE:
+                    talk = bool(words & TALK)
+                    if name != "id":
+                        kind = "talk" if talk or kind == "talk" else "name"
+                    elif not kind:
+                        kind = "id talk" if talk else "id"
+                elif words & HEADERS and words <= HEADERS | BESIDE:
+                    header = True
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True, header
+            return True, kind, header
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, header
-    return False, header
+            return True, kind, header
+    return False, kind, header
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "items", "link_chars", "link_tags", "parent", "sum", "tag", "tags", "link", "dropped", "header")
+    __slots__ = (
+        "attributes", "chars", "children", "density", "header", "items", "link", "link_chars", "link_tags", "mark", "parent", "plain", "sum", "tag", "tags", "dropped",
+    )
 
-    def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
+        self.tag, self.parent, self.attributes, self.mark = tag, parent, attributes, ""
         self.children: list[Node] = []
         self.items: list = []  # text pieces and child nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -149,9 +181,9 @@ def parse(page: str) -> Node:
                     del stack[k:], names[k:]
                     break
         parent, attributes = stack[-1], m[3] if m[2] else m[6]
-        node = Node(tag, parent)
-        marked, node.header = _marked(tag, attributes)
-        node.dropped = tag in DROPPED or marked
+        node = Node(tag, parent, attributes)
+        hidden, node.mark, node.header = _marked(tag, attributes)
+        node.dropped = tag in DROPPED or hidden
         node.link = parent.link or tag == "a"
         parent.children.append(node)
         parent.items.append(node)
@@ -168,22 +200,155 @@ def parse(page: str) -> Node:
 
 
 def _order(root: Node) -> list[Node]:
-    """Nodes that are not boilerplate, parents first."""
-    out, todo = [], [(root, False)]
+    """Nodes that are not left out, parents first."""
+    out, todo = [], [root]
     while todo:
-        node, inside = todo.pop()
-        if node.dropped or (node.header and not inside):
-            node.dropped = True  # a page's header; an article's own header stays
-            continue
-        out.append(node)
-        inside = inside or node.tag in ARTICLE
-        todo.extend((c, inside) for c in reversed(node.children))
+        node = todo.pop()
+        if not node.dropped:
+            out.append(node)
+            todo.extend(reversed(node.children))
     return out
 
 
+def _attribute(node: Node, name: str) -> str | None:
+    return next((m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(node.attributes) if m[1].lower() == name), None)
+
+
+def _weigh(nodes: list[Node]) -> None:
+    """Characters outside links, per subtree."""
+    for node in reversed(nodes):
+        node.plain = sum(x.plain for x in node.children if not x.dropped)
+        if not node.link:
+            node.plain += sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
+
+
+def _body(nodes: list[Node]) -> Node:
+    return next((x for x in nodes if x.tag == "body"), nodes[0])
+
+
+def _below(nodes: list[Node], body: Node) -> list[Node]:
+    inside, below = {id(body)}, [body]
+    for x in nodes:
+        if x.parent is not None and id(x.parent) in inside and x is not body:
+            inside.add(id(x))
+            below.append(x)
+    return below
+
+
+def _above(node: Node) -> Iterator[Node]:
+    """The node and what it stands in."""
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _titled(node: Node) -> bool:
+    """Whether the node's id is made from the heading it begins with."""
+    first = next((x for x in node.items if not isinstance(x, str) or x.strip()), None)
+    if isinstance(first, str) or first is None or first.tag not in HEADINGS:
+        return False
+    words = set().union(*_names(_attribute(node, "id") or ""))
+    todo, text = [first], []
+    while todo and len(text) < 100:  # a title, not what an open heading swallows
+        x = todo.pop()
+        if isinstance(x, str):
+            text.append(x.lower())
+        elif not x.dropped:
+            todo.extend(reversed(x.items))
+    return bool(words) and words <= set(SPLIT.split(" ".join(text)))
+
+
+def _leave_out(root: Node) -> list[Node]:
+    """Drop what is marked as boilerplate, but no frame around the article; returns the nodes that stay."""
+    nodes = _order(root)
+    if not any(x.mark or x.header for x in nodes):
+        return nodes
+    body = _body(nodes)
+    _weigh(nodes)
+
+    # what readers wrote counts as the article only where there is nothing else
+    talk = {id(x) for x in nodes if x.mark == "talk" or (x.mark == "id talk" and x.tag in PARTS)}
+    if talk:
+        holders: set[int] = set()
+        for x in nodes:
+            if x.tag in ("h1", "main"):
+                for y in _above(x):
+                    if id(y) in holders:
+                        break
+                    holders.add(id(y))
+        outer, within, said, heads = [], set(), 0, 0
+        for x in nodes:
+            if x.parent is not None and id(x.parent) in within:
+                within.add(id(x))
+            elif id(x) in talk and id(x) not in holders:
+                within.add(id(x))
+                outer.append(x)
+                said += x.plain
+            elif x.tag in HEADINGS:
+                heads += x.plain
+        rest = body.plain - said - heads
+        if rest > 0 and (rest >= LEAST_ARTICLE or 20 * rest >= said):
+            for x in outer:
+                x.dropped = True
+            nodes = _order(root)
+            _weigh(nodes)
+
+    measure(nodes, body)
+    best = max(_below(nodes, body), key=lambda x: x.sum)
+    if not best.sum:
+        best = body
+    path = {id(x) for x in _above(best)}
+    home = next((x for x in reversed(list(_above(best))) if x.tag in ARTICLE), best)
+    while home.tag == "section" and home is not body:
+        home = home.parent
+    starts = {id(x): i for i, x in enumerate(nodes)}
+    ends = dict(starts)
+    for x in reversed(nodes):
+        ends[id(x)] = max(ends[id(x)], starts[id(x)] + 1)
+        if x.parent is not None:
+            ends[id(x.parent)] = max(ends[id(x.parent)], ends[id(x)])
+    articles = [x for x in nodes if x.tag in ARTICLE]
+    before = sorted((ends[id(a)], a.plain) for a in articles)
+    after = sorted((-starts[id(a)], a.plain) for a in articles)
+    most_before = list(accumulate((n for _, n in before), max, initial=0))
+    most_after = list(accumulate((n for _, n in after), max, initial=0))
+
+    def frame(x: Node) -> bool:
+        if id(x) not in path and 2 * x.plain <= body.plain:
+            return False
+        other = max(most_before[bisect_right(before, (starts[id(x)], math.inf))], most_after[bisect_right(after, (-ends[id(x)], math.inf))])
+        return not other or 4 * other < x.plain  # else the author marked another place
+
+    todo = [(root, False, False)]
+    while todo:
+        x, in_article, in_home = todo.pop()
+        if x.dropped:
+            continue
+        mark = x.mark
+        if mark.startswith("id"):
+            section = x.tag not in PARTS or "section" in (_attribute(x, "class") or "").split()
+            if x.tag in HEADINGS:
+                mark = ""
+            elif in_home or in_article:
+                if section or (mark == "id" and _titled(x)):
+                    mark = ""
+            elif mark == "id" and _titled(x):
+                mark = ""
+        away = mark or (x.header and not in_article)
+        if away and x is not body and not frame(x):
+            x.dropped = True
+            continue
+        in_article = in_article or x.tag in ARTICLE
+        in_home = in_home or (x is home and x is not body)
+        todo.extend((c, in_article, in_home) for c in reversed(x.children))
+    return _order(root)
+
+
 def measure(nodes: list[Node], body: Node) -> None:
     """Composite text densities and the sums of the children's."""
     for node in reversed(nodes):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.sum = 0.0
         for x in node.items:
             if isinstance(x, str):
                 c = len("".join(x.split()))
@@ -245,15 +410,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    nodes = _order(root)
-    body = next((x for x in nodes if x.tag == "body"), root)
+    nodes = _leave_out(root)
+    body = _body(nodes)
     measure(nodes, body)
-    inside = {id(body)}
-    below = [body]
-    for x in nodes:
-        if x.parent is not None and id(x.parent) in inside and x is not body:
-            inside.add(id(x))
-            below.append(x)
+    below = _below(nodes, body)
     best = max(below, key=lambda x: x.sum)  # the first of equals is the outermost
     if not best.sum:
         best = body

@@ -47,3 +47,32 @@ def test_extract_keeps_rows_and_columns(spark):
     assert sorted(r["main_text"] for r in got.collect()) == ["", "", P1, P1]
     assert extract(df, name="text").columns == ["page_id", "url", "text"]
     assert extract(df.limit(0)).count() == 0
+
+
+ART = f"<h1>Title</h1><p>{P1}</p><p>{P2}</p>"
+TEXT = f"Title\n{P1}\n{P2}"
+SAID = "".join(f"<div class=comment><p>Reader {i} says: {P2}</p></div>" for i in range(9))
+
+
+@pytest.mark.parametrize(("body", "text"), [
+    (f"{NAV}<div class='layout has-sidebar'>{ART}</div>", TEXT),
+    (f"{NAV}<div id='page' class='comments-open'>{ART}</div><div class='site-footer'>{P3}</div>", TEXT),
+    (f"<div class='sidebar-left'>{ART}<div class='sidebar'><p>{P2}</p></div></div><div class='copyright'>{P3}</div>", TEXT),
+    (f"<div>{P3}</div><div class='social'>{ART}</div>", TEXT),
+    (f"<div class='fixed-header'>{ART}</div>", TEXT),
+    (f"<article>{ART}<h2 id='related-work'>Related work</h2><p>{P2}</p><h2 id='search'>Search</h2><p>{P1}</p></article>", f"{TEXT}\nRelated work\n{P2}\nSearch\n{P1}"),
+    (f"<div class=doc><h1>Title</h1><section id='search'><h2>Find</h2><p>{P1}</p></section><section id='copyright'><h2>C</h2><p>{P2}</p></section></div>", f"Title\nFind\n{P1}\nC\n{P2}"),
+    (f"<h1>Title</h1><section id='search'><h2>Search</h2><p>{P1}</p></section><section id='notice'><h2>Notice</h2><p>{P2}</p></section>", f"Title\nSearch\n{P1}\nNotice\n{P2}"),
+    (f"<div id=comments><div>{P1}</div><div>{P2}</div></div>", f"{P1}\n{P2}"),
+])
+def test_marks_on_a_frame_or_a_section_do_not_lose_the_article(body, text):
+    assert main_text(page(body)) == text
+    assert main_text(page(body, "")) == text
+
+
+@pytest.mark.parametrize("body", [
+    f"<div id=page><div class=post>{ART}</div><div id=comments>{SAID}</div></div>", f"<div>{ART}<div class='related-posts'><p>{P2}</p></div></div>",
+    f"<main>{ART}</main><div class=sidebar>{f'<p>{P2}</p>' * 6}</div>", f"<div class=post>{ART}</div><ol class=commentlist><li>{P1}<li>{P1}<li>{P1}</ol>",
+])
+def test_marks_still_leave_out_what_stands_beside_the_article(body):
+    assert main_text(page(body)) == TEXT
