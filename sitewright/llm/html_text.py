@@ -1,8 +1,8 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements. Elements that are boilerplate by kind (menus, forms, scripts, footers ...) are left
-out, then what class, id or role mark as boilerplate (adverts, comments ...), unless a first choice by density falls into it or
-most of the page's text stands in it: that is a frame around the article. Every other node gets a density: characters per tag, adjusted by the share of link characters and link tags. The node
+A page becomes a tree of elements. Elements that are boilerplate by kind (menus, scripts, footers ...) are left out, then forms
+that consist of controls, then what its class, id or role marks as boilerplate (adverts, comments ...), unless a first choice by
+density falls into it or most of the page's text stands in it: that is a frame around the article. Every other node gets a density: characters per tag, adjusted by the share of link characters and link tags. The node
 whose children's densities sum highest holds the article; the least density on its path up to the body is the threshold for
 further blocks.
 """
@@ -30,12 +30,16 @@ RAW = {k: re.compile(rf"</{k}(?=[\s/>])", re.I) for k in ("script", "style", "te
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements that are never article text
 DROPPED = frozenset(
-    "head script style textarea title iframe noembed noframes noscript template svg math canvas object embed audio video map "
-    "nav footer aside form button select option optgroup datalist label fieldset input menu dialog".split()
+    "head script style textarea title iframe noembed noframes noscript template svg canvas embed audio video map "
+    "nav footer aside button select option optgroup datalist input menu annotation annotation-xml".split()
 )
+#: elements that are left out where they are forms indeed, or windows that are not part of the article
+FORMS = frozenset("form fieldset dialog".split())
+CONTROLS = frozenset("input textarea select button".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup "
-    "time tt u var wbr nobr".split()
+    "time tt u var wbr nobr label math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow "
+    "ms mspace msqrt mstyle msub msubsup msup mtext munder munderover none semantics annotation annotation-xml".split()
 )
 #: what a start tag closes: these open elements, up to the scope they end at
 CLOSES_P = frozenset(
@@ -70,6 +74,7 @@ PARTS = frozenset("div ul ol table td".split())
 SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 ARTICLE = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTROL_CHARS = 100  # characters of prose that a form's control outweighs
 LEAST_ARTICLE = 100  # characters beside comments that are an article for sure
 
 
@@ -112,7 +117,8 @@ def _marked(tag: str, attributes: str) -> tuple[bool, str, bool]:
 
 class Node:
     __slots__ = (
-        "attributes", "chars", "children", "density", "header", "items", "link", "link_chars", "link_tags", "mark", "parent", "plain", "sum", "tag", "tags", "dropped",
+        "attributes", "chars", "children", "controls", "density", "header", "items", "labels", "link", "link_chars", "link_tags", "longest", "mark", "parent", "plain", "prose",
+        "sum", "tag", "tags", "dropped",
     )
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
@@ -215,11 +221,46 @@ def _attribute(node: Node, name: str) -> str | None:
 
 
 def _weigh(nodes: list[Node]) -> None:
-    """Characters outside links, per subtree."""
+    """Per subtree: characters outside links, those of prose and of labels, the longest block of prose, controls.
+
+    Text beside a control in one block is a label.
+    """
     for node in reversed(nodes):
-        node.plain = sum(x.plain for x in node.children if not x.dropped)
-        if not node.link:
-            node.plain += sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
+        node.plain = node.prose = node.labels = node.longest = node.controls = 0
+        text, here = 0, False
+        for x in node.items:
+            if isinstance(x, str):
+                text += 0 if node.link else len("".join(x.split()))
+            elif x.tag in CONTROLS:
+                if x.tag != "input" or (_attribute(x, "type") or "").lower() != "hidden":
+                    node.controls += 1
+                    here = True
+            elif not x.dropped:
+                node.plain += x.plain
+                node.controls += x.controls
+                node.labels += x.labels
+                if x.tag in INLINE:
+                    text += x.prose
+                    here = here or x.controls > 0
+                else:
+                    node.prose += x.prose
+                    node.longest = max(node.longest, x.longest)
+        node.plain += sum(len("".join(x.split())) for x in node.items if isinstance(x, str)) if not node.link else 0
+        if node.tag == "label" or (here and node.tag not in INLINE):
+            node.labels += text
+        else:
+            node.prose += text
+            node.longest = max(node.longest, text)
+
+
+def _is_form(node: Node, body: Node) -> bool:
+    """Whether a form, or a label, is one: mostly controls and labels, and not a frame around the page's text."""
+    if node.tag == "label":
+        up = node.parent
+        return node.controls > 0 or (up.controls > 0 and 2 * up.labels > up.labels + up.prose)
+    if not node.controls or node.prose > node.labels + CONTROL_CHARS * min(node.controls, 4):
+        return False
+    return not (node.longest >= CONTROL_CHARS and node.prose > node.labels and 2 * node.prose > body.prose)
 
 
 def _body(nodes: list[Node]) -> Node:
@@ -259,12 +300,18 @@ def _titled(node: Node) -> bool:
 
 
 def _leave_out(root: Node) -> list[Node]:
-    """Drop what is marked as boilerplate, but no frame around the article; returns the nodes that stay."""
+    """Drop forms and what is marked as boilerplate, but no frame around the article; returns the nodes that stay."""
     nodes = _order(root)
-    if not any(x.mark or x.header for x in nodes):
+    if not any(x.mark or x.header or x.tag in FORMS or x.tag == "label" for x in nodes):
         return nodes
     body = _body(nodes)
     _weigh(nodes)
+    forms = [x for x in nodes if x.tag in FORMS or x.tag == "label"]
+    for x in forms:
+        x.dropped = _is_form(x, body)
+    if forms:
+        nodes = _order(root)
+        _weigh(nodes)
 
     # what readers wrote counts as the article only where there is nothing else
     talk = {id(x) for x in nodes if x.mark == "talk" or (x.mark == "id talk" and x.tag in PARTS)}
@@ -334,7 +381,7 @@ def _leave_out(root: Node) -> list[Node]:
                     mark = ""
             elif mark == "id" and _titled(x):
                 mark = ""
-        away = mark or (x.header and not in_article)
+        away = mark or (x.header and not in_article) or (x.tag in FORMS and not (in_home or in_article or (home is body and x.tag != "dialog")))
         if away and x is not body and not frame(x):
             x.dropped = True
             continue

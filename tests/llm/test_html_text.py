@@ -76,3 +76,31 @@ def test_marks_on_a_frame_or_a_section_do_not_lose_the_article(body, text):
 ])
 def test_marks_still_leave_out_what_stands_beside_the_article(body):
     assert main_text(page(body)) == TEXT
+
+
+@pytest.mark.parametrize(("body", "text"), [
+    (f"<form id='aspnetForm'><input type=hidden name=state value=1><div><label>Search</label><input><button>Go</button></div><div>{ART}</div></form>", TEXT),
+    (f"<form id='aspnetForm'><input type=hidden name=state value=1>{ART}</form><footer>f</footer>", TEXT),
+    (f"<form><p>{P1}</p><input><input><select><option>a</select><input type=submit></form>", P1),
+    (f"<form><div><div class=post>{ART}</div><div class=comments>{SAID}</div><fieldset><label>Name</label><input><label>Text</label><textarea></textarea></fieldset></div></form>", TEXT),
+    (f"<article>{ART}<p>Let <math><mrow><mi>x</mi><mo>+</mo><mn>1</mn></mrow><annotation>x+1</annotation></math> be.</p></article>", f"{TEXT}\nLet x+1 be."),
+    (f"<article>{ART}<p>A <label>label's text</label> here</p><fieldset><legend>Note</legend><p>{P1}</p></fieldset></article>", f"{TEXT}\nA label's text here\nNote\n{P1}"),
+    (f"<article>{ART}<dialog open><p>{P1}</p></dialog><object data=x><p>{P2}</p></object></article>", f"{TEXT}\n{P1}\n{P2}"),
+])
+def test_forms_around_the_article_and_formulas_in_it_stay(body, text):
+    assert main_text(page(body)) == text
+    assert main_text(page(body, "")) == text
+
+
+@pytest.mark.parametrize(("body", "text"), [
+    ("<h1>Contact</h1><form><label>Name</label><input><label>Mail</label><input><textarea></textarea><button>Send</button></form>", "Contact"),
+    (f"<article>{ART}<form><p>Subscribe to our letter now.</p><input type=email><button>Go</button></form></article>", TEXT),
+    (f"<dialog open><p>{P1}</p></dialog><article>{ART}</article>", TEXT),
+])
+def test_forms_and_windows_are_still_left_out(body, text):
+    assert main_text(page(body)) == text
+
+
+@pytest.mark.parametrize("start", ["<form>", "<div class=ad>", "<section id=search>", "<article><div class=sidebar>", "<h1><div class=comment>", "<div id=search><h1>"])
+def test_deep_pages_with_marks_and_forms(start):
+    assert main_text(start * 2000 + "deep") == "deep"
