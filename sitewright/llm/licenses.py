@@ -80,12 +80,55 @@ NAMES: dict[str, tuple[str, str]] = {
 #: kind: (keyword, pattern around the name, priority, confidence)
 FORMS: dict[str, tuple[str, str, int, float]] = {
     "identifier": ("identifier", r"spdx license identifier {name}", 10, 1.0),
-    "grant": ("under", r"(?:licensed|released|distributed|redistributed|published|available|provided|covered|offered) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: licen[cs]e)?", 20, 0.95),
-    "subject": ("subject", r"subject to (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}(?: licen[cs]e)?", 30, 0.9),
+    "grant": ("under", r"(?:licensed|released|distributed|redistributed|published|available|provided|covered|offered) under (?:the )?(?:terms (?:and conditions )?of )?(?:the |this )?{name}(?: licen[cs]e)?", 20, 0.95),
+    "subject": ("subject", r"subject to (?:the )?(?:terms (?:and conditions )?of )?(?:the |this )?{name}(?: licen[cs]e)?", 30, 0.9),
     "field": ("licen", r"licen[cs]ed? (?:type )?(?:is )?(?:the )?{name}", 40, 0.8),
     "title": ("licen", r"{name} (?:public )?licen[cs]e", 50, 0.7),
 }
 
+#: bare titles of names that hold "license" themselves, or are used without it: label and pattern; {v} stands before a version
+TITLES: dict[str, str] = {
+    "afl-3.0": r"academic free licen[cs]e{v}3(?: 0)?",
+    "agpl-3.0": r"(?:gnu )?affero general public licen[cs]e{v}3(?: 0)?",
+    "apache-1.1": r"apache(?: software)? licen[cs]e{v}1 1",
+    "apache-2.0": r"apache(?: software)? licen[cs]e{v}2(?: 0)?",
+    "artistic-1.0": r"artistic licen[cs]e{v}1(?: 0)?",
+    "artistic-2.0": r"artistic licen[cs]e{v}2(?: 0)?",
+    "blueoak-1.0.0": r"blue oak model licen[cs]e{v}1 0 0",
+    "bsl-1.0": r"boost software licen[cs]e{v}1(?: 0)?",
+    "busl-1.1": r"business source licen[cs]e{v}1 1",
+    **{label: NAMES[label][1] for label in NAMES if label.startswith("cc-by")},
+    "cc0-1.0": r"(?:cc0|cc zero|creative commons zero){v}1 0(?: universal)?",
+    "cddl-1.0": r"common development and distribution licen[cs]e(?: cddl)?{v}1 0",
+    "cecill-2.1": r"cecill (?:free software )?licen[cs]e(?: agreement)?{v}2 1",
+    "cpl-1.0": r"common public licen[cs]e{v}1 0",
+    "ecl-2.0": r"educational community licen[cs]e{v}2(?: 0)?",
+    "elastic-2.0": r"elastic licen[cs]e{v}2(?: 0)?",
+    "epl-1.0": r"eclipse public licen[cs]e{v}1 0",
+    "epl-2.0": r"eclipse public licen[cs]e{v}2 0",
+    "eupl-1.2": r"european union public licen[cs]e(?: eupl)?{v}1 2",
+    "gpl-2.0": r"(?:gnu )?(?<!affero )(?<!lesser )(?<!library )general public licen[cs]e{v}2(?: 0)?",
+    "gpl-3.0": r"(?:gnu )?(?<!affero )(?<!lesser )(?<!library )general public licen[cs]e{v}3(?: 0)?",
+    "lgpl-2.1": r"(?:gnu )?lesser general public licen[cs]e{v}2 1",
+    "lgpl-3.0": r"(?:gnu )?lesser general public licen[cs]e{v}3(?: 0)?",
+    "lppl-1.3c": r"latex project public licen[cs]e(?: lppl)?{v}1 3c?",
+    "mit-0": r"mit no attribution",
+    "mpl-1.1": r"mozilla public licen[cs]e{v}1 1",
+    "mpl-2.0": r"mozilla public licen[cs]e{v}2 0",
+    "mulan-psl-2.0": r"mulan (?:permissive software licen[cs]e|psl){v}2(?: 0)?",
+    "odbl-1.0": r"open database licen[cs]e(?: odbl)?{v}1 0",
+    "ofl-1.1": r"(?:sil )?open font licen[cs]e{v}1 1",
+    "osl-3.0": r"open software licen[cs]e{v}3 0",
+    "php-3.01": r"php licen[cs]e{v}3 01",
+    "psf-2.0": r"python software foundation licen[cs]e{v}2(?: 0)?",
+    "sspl-1.0": r"server side public licen[cs]e{v}1(?: 0)?",
+    "unlicense": r"the unlicense",
+    "upl-1.0": r"universal permissive licen[cs]e(?: upl)?{v}1 0",
+    "wtfpl": r"do what the fuck you want to public licen[cs]e",
+    "zpl-2.1": r"zope public licen[cs]e(?: zpl)?{v}2 1",
+}
+BEFORE_VERSION = "(?: version| ver| v)? ?"
+
 #: texts that stand for a license or a notice: (label, keyword, pattern, priority, confidence)
 NOTICES: list[tuple[str, str, str, int, float]] = [
     ("mit", "granted", r"permission is hereby granted free of charge to any person obtaining a copy", 5, 1.0),
@@ -105,7 +148,7 @@ NOTICES: list[tuple[str, str, str, int, float]] = [
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 #: a text without any of these can't hold a rule's or base phrase's words; looked for in the raw text, ASCII case ignored
-GATE = r"(?i)licen[cs]e|(?<![a-z0-9])(?:identifier|under|subject|granted|redistribution|redistribute|permission|altered|unencumbered|domain|reserved|warrant)"
+GATE = r"(?i)licen[cs]e|(?<![a-z0-9])(?:identifier|under|subject|granted|redistribution|redistribute|permission|altered|unencumbered|domain|reserved|warrant|creative|mit[^a-z0-9]+no|cc0|cc[^a-z0-9]+(?:by|zero))"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,11 +156,13 @@ RULE_TYPE = "array<struct<label: string, any: array<string>, form: string, patte
 
 
 def rules() -> list[dict]:
-    """Every form of every name, then the notices: about 300 rules in order of priority."""
+    """Every form of every name, bare titles and notices: 346 rules in order of priority."""
     out = []
     for form, around, priority, confidence in FORMS.values():
         for label, (keyword, name) in NAMES.items():
             out.append({"label": label, "any": keyword.split("|"), "form": form, "pattern": around.replace("{name}", name), "priority": priority, "confidence": confidence})
+    for label, title in TITLES.items():
+        out.append({"label": label, "any": NAMES[label][0].split("|"), "form": " ", "pattern": title.replace("{v}", BEFORE_VERSION), "priority": 50, "confidence": 0.7})
     out += [{"label": a, "any": [k], "form": k, "pattern": p, "priority": n, "confidence": c} for a, k, p, n, c in NOTICES]
     for r in out:
         r["pattern"] = f"(?<= )(?:{r['pattern']})(?= )"

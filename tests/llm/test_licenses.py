@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from sitewright.llm.licenses import BASE, rules, scan
+from sitewright.llm.licenses import BASE, NAMES, rules, scan
 
 TEXTS = [
     None, "", "   \n", "plain words only", "MIT License", "mit-license, MIT\nLICENSE mit licenses", "Released under the MIT License.",
@@ -62,3 +62,37 @@ def test_plan_is_native_and_needs_no_shuffle(spark):
     plan = scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert scan(df.limit(0)).count() == 0
+
+
+BARE = {
+    "afl-3.0": "Academic Free License version 3.0", "agpl-3.0": "GNU Affero General Public License\nVersion 3, 19 November 2007", "apache-1.1": "Apache Software License, Version 1.1",
+    "apache-2.0": "Apache License\nVersion 2.0, January 2004", "artistic-1.0": "The Artistic License 1.0", "artistic-2.0": "The Artistic License 2.0", "blueoak-1.0.0": "Blue Oak Model License Version 1.0.0",
+    "bsd-2-clause": "BSD 2-Clause License", "bsd-3-clause": "BSD 3-Clause License", "bsd-4-clause": "BSD 4-Clause License", "bsl-1.0": "Boost Software License - Version 1.0",
+    "busl-1.1": "Business Source License 1.1", "cc-by-3.0": "Creative Commons Attribution 3.0 Unported", "cc-by-4.0": "Creative Commons Attribution 4.0 International",
+    "cc-by-nc-4.0": "Creative Commons Attribution-NonCommercial 4.0 International", "cc-by-nc-nd-4.0": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International",
+    "cc-by-nc-sa-4.0": "CC BY-NC-SA 4.0", "cc-by-nd-4.0": "Creative Commons Attribution-NoDerivatives 4.0 International", "cc-by-sa-3.0": "CC-BY-SA 3.0",
+    "cc-by-sa-4.0": "Creative Commons Attribution-ShareAlike 4.0 International", "cc0-1.0": "CC0 1.0 Universal", "cddl-1.0": "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0",
+    "cecill-2.1": "CeCILL FREE SOFTWARE LICENSE AGREEMENT\n\nVersion 2.1 dated 2013-06-21", "cpl-1.0": "Common Public License Version 1.0", "curl": "curl License",
+    "ecl-2.0": "Educational Community License, Version 2.0", "elastic-2.0": "Elastic License 2.0", "epl-1.0": "Eclipse Public License - v 1.0", "epl-2.0": "Eclipse Public License - v 2.0",
+    "eupl-1.2": "EUROPEAN UNION PUBLIC LICENCE v. 1.2", "gpl-2.0": "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "gpl-3.0": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "isc": "ISC License",
+    "lgpl-2.1": "GNU Lesser General Public License Version 2.1", "lgpl-3.0": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "lppl-1.3c": "LaTeX Project Public License Version 1.3c",
+    "mit": "MIT License", "mit-0": "MIT No Attribution", "mpl-1.1": "Mozilla Public License Version 1.1", "mpl-2.0": "Mozilla Public License Version 2.0", "ms-pl": "Microsoft Public License (Ms-PL)",
+    "ms-rl": "Microsoft Reciprocal License (Ms-RL)", "mulan-psl-2.0": "Mulan Permissive Software License, Version 2", "ncsa": "University of Illinois/NCSA Open Source License",
+    "odbl-1.0": "Open Database License (ODbL) v1.0", "ofl-1.1": "SIL OPEN FONT LICENSE Version 1.1", "osl-3.0": "Open Software License v. 3.0", "php-3.01": "The PHP License, version 3.01",
+    "postgresql": "PostgreSQL License", "psf-2.0": "Python Software Foundation License Version 2", "sspl-1.0": "Server Side Public License\nVERSION 1", "unlicense": "The Unlicense",
+    "upl-1.0": "The Universal Permissive License (UPL), Version 1.0", "vim": "Vim License", "wtfpl": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "x11": "X11 License", "zlib": "zlib License",
+    "zpl-2.1": "Zope Public License (ZPL) Version 2.1",
+}
+BASE_OF = {"apache-2.0": {"apache"}, "mit": {"mit"}} | dict.fromkeys(["agpl-3.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0"], {"gpl"})
+OTHER = {
+    "provided under the terms of this Eclipse Public License v. 2.0": {"epl-2.0"}, "subject to this Mozilla Public License, version 2.0": {"mpl-2.0"},
+    "GNU Library General Public License Version 2": {"gpl"}, "creative people and a mozilla public meeting": set(),
+}
+
+
+def test_bare_titles_of_every_name(spark):
+    assert BARE.keys() == NAMES.keys()
+    want = {t: {x} | BASE_OF.get(x, set()) for x, t in BARE.items()} | OTHER
+    for r in scan(spark.createDataFrame([(t,) for t in want], "text string")).collect():
+        assert set(r["license"]["labels"]) == want[r["text"]], r["text"]
+        assert r["license"]["labels"] == brute(r["text"])[5] and r["license"]["score"] == brute(r["text"])[6]
