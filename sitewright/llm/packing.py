@@ -99,7 +99,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 def token_pieces(
     docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, content: str = "ids",
-    vocabulary: str = VOCABULARY, ranks: str | None = RANKS,
+    vocabulary: str = VOCABULARY, ranks: str | None = RANKS, special: bool = False,
 ) -> DataFrame:
     """Rows (key, start, length, doc_tokens, chunk, rank, and ids as little-endian uint32 bytes or their crc32).
 
@@ -112,7 +112,7 @@ def token_pieces(
     last = "ids binary" if content == "ids" else "ids_crc32 bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, chunk = encoder(vocabulary, ranks), TaskContext.get().partitionId()
+        enc, chunk = encoder(vocabulary, ranks, special), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             raw, off = text_buffers(batch.column(1))

@@ -41,7 +41,7 @@ def op2_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = attribute_tokens(table(spark, sf_dir, "documents"))
+    t = attribute_tokens(table(spark, sf_dir, "documents"), special=True)
     by = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["field"], f["n_tokens"])))
     return t.select(
         "doc_id", "n_tokens", "n_sections", "n_crossing", "n_outside",
@@ -91,7 +91,7 @@ def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), content="crc32").select(
+    return pack(table(spark, sf_dir, "documents"), content="crc32", special=True).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
 

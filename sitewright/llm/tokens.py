@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -31,11 +32,13 @@ class Encoder:
 
     ``ranks`` names the same vocabulary as a rank file; texts up to U+023F go through it, as both libraries split those alike
     and it is four times as fast. All other texts go through the vocabulary's own library. Without ``ranks`` all do.
-    Strings of special tokens are ordinary text.
+    Strings of special tokens are ordinary text, or with ``special`` single ids, as the library reads them by default; texts that
+    hold one then go through the library.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> None:
-        self.vocabulary, self._full, self.fast = vocabulary, None, None
+    def __init__(self, vocabulary: str = VOCABULARY, ranks: str | None = RANKS, special: bool = False) -> None:
+        self.vocabulary, self._full, self.fast, self.special = vocabulary, None, None, special
+        self._added: tuple[bytes, ...] | None = None
         if ranks is not None:
             import public_tokenizers
             import tiktoken
@@ -52,13 +55,23 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._full = Tokenizer.from_file(vocabulary_file(self.vocabulary))
-            self._full.encode_special_tokens = True
+            self._full.encode_special_tokens = not self.special
         return self._full
 
+    @property
+    def added(self) -> tuple[bytes, ...]:
+        """Strings that are single ids wherever they stand."""
+        if self._added is None:
+            self._added = ()
+            if self.special:  # from the file, as most workers never need the library
+                with open(vocabulary_file(self.vocabulary), "rb") as f:
+                    self._added = tuple(t["content"].encode() for t in json.load(f)["added_tokens"])
+        return self._added
+
     def ids(self, raw: bytes) -> np.ndarray:
         if not raw:
             return np.zeros(0, np.uint32)
-        if self.fast is not None and np.frombuffer(raw, np.uint8).max() <= 0xC8:
+        if self.fast is not None and np.frombuffer(raw, np.uint8).max() <= 0xC8 and not any(t in raw for t in self.added):
             return np.asarray(self.fast.encode_to_numpy(raw.decode(), disallowed_special=()), dtype=np.uint32)
         return np.asarray(self.full.encode(raw.decode(), add_special_tokens=False).ids, dtype=np.uint32)
 
@@ -67,15 +80,17 @@ class Encoder:
         out = np.zeros(self.full.get_vocab_size(with_added_tokens=True), dtype=np.int64)
         for token, i in self.full.get_vocab(with_added_tokens=True).items():
             out[i] = len(token)
+        for i, t in self.full.get_added_tokens_decoder().items():
+            out[i] = len(t.content.encode())  # added tokens are text, not byte letters
         return out
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> Encoder:
+def encoder(vocabulary: str = VOCABULARY, ranks: str | None = RANKS, special: bool = False) -> Encoder:
     """One encoder per Python worker."""
-    key = (vocabulary, ranks)
+    key = (vocabulary, ranks, special)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]
@@ -147,7 +162,7 @@ SCHEMA = "n_tokens bigint, n_sections bigint, n_crossing bigint, n_outside bigin
 
 def attribute_tokens(
     docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), sections: str | None = None, rule: str = "most",
-    sectioner: Callable = sentence_sections, vocabulary: str = VOCABULARY, ranks: str | None = RANKS,
+    sectioner: Callable = sentence_sections, vocabulary: str = VOCABULARY, ranks: str | None = RANKS, special: bool = False,
 ) -> DataFrame:
     """Tokens per field of every row's text.
 
@@ -166,7 +181,7 @@ def attribute_tokens(
     names = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, ranks)
+        enc = encoder(vocabulary, ranks, special)
         lengths = enc.byte_lengths()
         out_type = None
         for batch in batches:

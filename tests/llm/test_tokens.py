@@ -128,3 +128,23 @@ def test_packing_round_trip(docs):
     assert {(r[0], r[1], r[2]) for r in crc} == {(r["doc_id"], r["start"], zlib.crc32(bytes(r["ids"]))) for r in rows}
     assert pack(docs.limit(0)).count() == 0
     assert pack(docs.union(docs)).count() == 2 * len(rows)
+
+
+def test_queries_read_added_tokens_as_the_library_does_by_default(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from sitewright.llm.queries import QUERIES
+
+    t = Tokenizer.from_file(vocabulary_file("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "漢 <|endoftext|><|endoftext|>", "<|endoftext|>", "<|endoftext| >", "plain. <|endoftext|>\nMore of it."]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[2] == [50256]
+    assert [encoder(special=True).ids(x.encode()).tolist() for x in texts] == want
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    counts = {r["doc_id"]: r["n_tokens"] for r in QUERIES["op3_token_counts"](spark, str(tmp_path)).collect()}
+    assert counts == {i: len(x) for i, x in enumerate(want)}
+    crcs = {i: zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for i, x in enumerate(want)}
+    for got in (QUERIES["op10_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        assert {r["doc_id"]: r["ids_crc32"] for r in got.collect()} == crcs
