@@ -50,17 +50,44 @@ def hilbert_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
 
 
 def as_number(df: DataFrame, column: str) -> Column:
-    """Order-preserving number of a column: texts by their first six bytes; nulls come first."""
+    """Order-preserving number of a column that holds no texts; nulls come first."""
     kind = df.schema[column].dataType.simpleString()
     c = F.col(column)
-    if kind == "string":
-        c = F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10)
-    elif kind in ("timestamp", "timestamp_ntz", "date"):
+    if kind in ("timestamp", "timestamp_ntz", "date"):
         c = F.unix_timestamp(c)
     number = c.cast("double")
     return F.when(number.isNull() | F.isnan(number), F.lit(float("-inf"))).otherwise(number)
 
 
+def text_cells(meta: DataFrame, column: str, rows: int, cells: int) -> DataFrame:
+    """Rows (value, cell): every distinct text and the cell its first row falls into when all rows are sorted by whole values.
+
+    Counts per value are sorted by ranges of values, so that any number of distinct texts spreads over tasks.
+    """
+    spark = meta.sparkSession
+    counts = meta.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, before = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part)), pa.array(before + np.cumsum(n) - n)], ["value", "n", "part", "before"])
+            before += int(n.sum())
+
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 50_000)))
+    ranged = counts.repartitionByRange(parts, F.asc_nulls_first("value")).sortWithinPartitions(F.asc_nulls_first("value"))
+    # written, as a second run of a range partitioning may draw other bounds
+    placed = written(ranged.mapInArrow(number, "value string, n bigint, part bigint, before bigint"), "shard-values")
+    w = W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)  # one row per range
+    starts = placed.groupBy("part").agg(F.sum("n").alias("all")).select("part", (F.sum("all").over(w) - F.col("all")).alias("first"))
+    at = F.col("first") + F.col("before")
+    # a cell for the middle of a value's rows: a frequent value does not take the cell of the one before it
+    cell = F.floor((2 * at + F.col("n")).cast("decimal(38,0)") * cells / (2 * max(rows, 1)))
+    return placed.join(starts, "part").select("value", F.least(cell, F.lit(cells - 1)).cast("double").alias("cell"))
+
+
 def assign(
     docs: DataFrame, dimensions: tuple[str, ...], shards: int, key: str = "doc_id", text: str = "text", law: str = "rows", bits: int = BITS,
 ) -> DataFrame:
@@ -78,13 +105,23 @@ def assign(
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     names = [f"__d{i}" for i in range(len(dimensions))]
+    texts = {d for d in dimensions if docs.schema[d].dataType.simpleString() == "string"}
     meta = written(docs.select(
         F.col(key).alias("key"), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("crc"),
-        *(as_number(docs, d).alias(n) for d, n in zip(dimensions, names, strict=True)),
+        *((F.col(d) if d in texts else as_number(docs, d)).alias(n) for d, n in zip(dimensions, names, strict=True)),
     ), "shard-meta")
+    rows = meta.count()
+    for d, n in zip(dimensions, names, strict=True):
+        if d in texts:
+            found = text_cells(meta, n, rows, 1 << bits).withColumnRenamed("cell", f"{n}c")
+            meta = meta.join(found, F.col(n).eqNullSafe(F.col("value")), "left").drop("value", n).withColumnRenamed(f"{n}c", n)
+    if texts:
+        meta = written(meta.select("key", "size", "crc", *names), "shard-cells")
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     found = meta.agg(*(F.percentile_approx(n, steps, 10_000).alias(n) for n in names), F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    cuts, total, size = [np.array(found[n] or [], dtype=float) for n in names], found["rows"], found["bytes"]
+    # a text's cell is its number already
+    cuts = [np.arange(1, 1 << bits, dtype=float) if d in texts else np.array(found[n] or [], dtype=float) for d, n in zip(dimensions, names, strict=True)]
+    total, size = found["rows"], found["bytes"]
     kind = docs.schema[key].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,3 +55,15 @@ def test_repeated_rows_and_pruning(spark):
     assert sum(r["min_source"] != "src0" or r["max_source"] != "src2" for r in stats) >= 2
     with pytest.raises(ValueError):
         assign(df, ("lang",), 8, law="key")
+
+
+def test_texts_with_a_common_start_are_told_apart(spark):
+    rows = [(i, "x", None if i % 50 == 0 else f"https://common.example.org/source_{i * 7919 % 320:03d}") for i in range(640)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    placed = assign(df, ("source",), 8)
+    assert placed.select("curve").distinct().count() > 8
+    stats = sorted(ranges(df, placed, ("source",)).collect(), key=lambda r: r["shard"])
+    assert [r["rows"] for r in stats] == [80] * 8
+    # one dimension is sorted by whole values, cut into cells: shards meet in a cell at most
+    width = [int(r["max_source"][-3:]) - int(r["min_source"][-3:]) for r in stats]
+    assert max(width) <= 60
