@@ -51,7 +51,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archive(table(spark, sf_dir, "pages"), unnamed=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query

@@ -50,16 +50,27 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()  # noqa: S324 the format's digest
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
-    """One record, compressed as a gzip member of its own. A revisit holds the response's head without the payload."""
+def target(url: str) -> str:
+    return quote(url, safe=chr(34) + '!#$%&()*+,-./:;<=>?@[]^_`{|}~' + chr(39) + chr(92))
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
+    """One record, compressed as a gzip member of its own. A revisit holds the response's head without the payload.
+
+    A page without an id has a record id of its own; it is a revisit that nothing refers to, and keeps its payload.
+    """
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}"]
+    name = f"urn:uuid:{uuid.uuid4()}" if page_id is None else f"urn:page:{page_id}"
+    kind = "response" if refers_to is None and page_id is not None else "revisit"
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}"]
     if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe=chr(34) + '!#$%&()*+,-./:;<=>?@[]^_`{|}~' + chr(39) + chr(92))}")
+        lines.append(f"WARC-Target-URI: {target(url)}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+    if kind == "revisit":
+        lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + z.flush()
@@ -76,12 +87,13 @@ def parse_record(raw: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
-    if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
+    whole = kind == "response" or fields["WARC-Record-ID"].startswith("<urn:uuid:")
+    if whole and (len(payload) != size or payload_digest(payload) != digest):
         raise ValueError("payload does not match its digest")
-    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
+    number = lambda x: None if x.startswith("<urn:uuid:") else int(x.removeprefix("<urn:page:").removesuffix(">"))
     return {
         "page_id": number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "record_type": kind, "payload_digest": digest, "payload_bytes": size,
-        "refers_to": number(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None, "payload": payload if kind == "response" else None,
+        "refers_to": number(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None, "payload": payload if whole else None,
     }
 
 
@@ -145,8 +157,12 @@ CAPTURES = pa.schema([("surt", pa.string()), ("page_id", pa.int64()), ("file", p
 PART = pa.schema([("first_surt", pa.string()), ("first_id", pa.int64()), ("blocks", pa.string()), ("directory", pa.string()), ("directory_bytes", pa.int64())])
 
 
-def _key(surt_: str, page_id: int) -> tuple[bytes, int]:
-    return surt_.encode(), page_id
+def _key(surt_: str, page_id: int | None) -> tuple[bytes, int]:
+    return surt_.encode(), -(1 << 63) - 1 if page_id is None else page_id  # pages without an id come first
+
+
+def _id(text: str) -> int | None:
+    return int(text) if text else None
 
 
 def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> list[tuple]:
@@ -161,9 +177,9 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
 
         def flush() -> None:
             nonlocal at
-            raw = zlib.compress("\n".join("\t".join(map(str, x)) for x in lines).encode())
+            raw = zlib.compress("\n".join("\t".join("" if y is None else str(y) for y in x) for x in lines).encode())
             out.write(raw)
-            directory.append(f"{lines[0][0]}\t{lines[0][1]}\t{at}\t{len(raw)}")
+            directory.append(f"{lines[0][0]}\t{'' if lines[0][1] is None else lines[0][1]}\t{at}\t{len(raw)}")
             at += len(raw)
             lines.clear()
 
@@ -181,7 +197,7 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
             with files.write(f"index-{name}.directory") as d:
                 d.write(raw)
             first = directory[0].split("\t")
-            yield pa.RecordBatch.from_pylist([dict(zip(PART.names, (first[0], int(first[1]), f"index-{name}.blocks", f"index-{name}.directory", len(raw)), strict=True))], schema=PART)
+            yield pa.RecordBatch.from_pylist([dict(zip(PART.names, (first[0], _id(first[1]), f"index-{name}.blocks", f"index-{name}.directory", len(raw)), strict=True))], schema=PART)
 
     found = ranged.mapInArrow(run, "first_surt string, first_id bigint, blocks string, directory string, directory_bytes bigint").collect()
     return sorted((tuple(r) for r in found), key=lambda r: _key(r[0], r[1]))  # one row per range of keys
@@ -206,18 +222,18 @@ class Index:
     def _directory(self, p: int):
         def load():
             rows = [x.split("\t") for x in self.files.read(self.parts[p][3], 0, self.parts[p][4]).decode().split("\n")]
-            return [_key(r[0], int(r[1])) for r in rows], [(int(r[2]), int(r[3])) for r in rows]
+            return [_key(r[0], _id(r[1])) for r in rows], [(int(r[2]), int(r[3])) for r in rows]
 
         return self._once(("d", p), load)
 
     def _block(self, p: int, offset: int, length: int):
         def load():
             rows = [x.split("\t") for x in zlib.decompress(self.files.read(self.parts[p][2], offset, length)).decode().split("\n")]
-            return [_key(r[0], int(r[1])) for r in rows], [(r[2], int(r[3]), int(r[4])) for r in rows]
+            return [_key(r[0], _id(r[1])) for r in rows], [(r[2], int(r[3]), int(r[4])) for r in rows]
 
         return self._once(("b", p, offset), load)
 
-    def find(self, surt_: str, page_id: int) -> list[tuple[str, int, int]]:
+    def find(self, surt_: str, page_id: int | None) -> list[tuple[str, int, int]]:
         """(file, offset, length) of every capture with this key; a run of equal keys may span blocks and parts."""
         key, out = _key(surt_, page_id), []
         p = max(bisect.bisect_left(self.firsts, key) - 1, 0)
@@ -244,11 +260,15 @@ def read_captures(requests: DataFrame, folder: str, parts: list[tuple], payload:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, archives = Index(folder, shared.value), Files(folder)
         for b in batches:
-            asked = sorted({(surt(u).encode(), p, surt(u)) for u, p in zip(*(c.to_pylist() for c in b.columns), strict=True)})
+            # pages without an id are told apart by their URL, as several may share a key
+            asked = sorted({(*_key(surt(u), p), surt(u), p is not None, target(u) if p is None and u is not None else "") for u, p in zip(*(c.to_pylist() for c in b.columns), strict=True)})
             out, size = [], 0
-            for _, page, key in asked:
-                for place in index.find(key, page):
-                    out.append(parse_record(archives.read(*place)))
+            for _, page, key, named, url in asked:
+                for place in index.find(key, page if named else None):
+                    found = parse_record(archives.read(*place))
+                    if not named and (found["url"] or "") != url:
+                        continue
+                    out.append(found)
                     size += len(out[-1]["payload"] or b"") if payload else 0
                     if not payload:
                         out[-1]["payload"] = None
@@ -261,13 +281,15 @@ def read_captures(requests: DataFrame, folder: str, parts: list[tuple], payload:
     return requests.select("url", "page_id").distinct().mapInArrow(run, kinds)
 
 
-def archive(pages: DataFrame, least: int = LEAST_REVISIT, payload: bool = False, block_lines: int = BLOCK_LINES) -> DataFrame:
+def archive(pages: DataFrame, least: int = LEAST_REVISIT, payload: bool = False, block_lines: int = BLOCK_LINES, unnamed: bool = False) -> DataFrame:
     """Write the pages to archives, index them, and read every page back through the index.
 
-    page_id must be an integer; rows without one are not archived; a null html is an empty payload; a null url is left out of the record. Of equal
+    page_id must be an integer; rows without one are archived where ``unnamed`` says so: as revisits that keep their payload and refer to nothing; a null html is an empty payload; a null url is left out of the record. Of equal
     payloads of at least ``least`` bytes the smallest page_id is the response; rows repeated under that id are responses too.
     Repeated rows each have a record. An empty table gives no rows and no files. Other columns are not archived.
     """
-    folder, pages = fresh_folder(pages.sparkSession, "warc"), pages.where("page_id is not null")
+    folder = fresh_folder(pages.sparkSession, "warc")
+    if not unnamed:
+        pages = pages.where("page_id is not null")
     captures = write_archives(pages, folder, least)
     return read_captures(pages, folder, build_index(captures, folder, block_lines), payload)

@@ -84,3 +84,17 @@ def test_index_finds_single_keys(spark, pages):
     assert [r["page_id"] for r in read_captures(one, folder, parts).collect()] == [120]
     system, path = fs.FileSystem.from_uri(folder)
     assert any(f.path.endswith(".warc.gz") for f in system.get_file_info(fs.FileSelector(path)))
+
+
+def test_pages_without_an_id_are_archived(spark, tmp_path):
+    from sitewright.llm.queries import QUERIES
+
+    none = [(None, "http://a/", "x", "y"), (None, "https://a/", "x", "y"), (None, "http://a/", "<p>same</p>", "y"), (None, None, None, "y"), (None, "http://z/ b", "", "y")]
+    df = spark.createDataFrame([*PAGES, *none, none[0]], "page_id long, url string, html string, file string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op4_warc_index"](spark, str(tmp_path))
+    want = [(None, len(h := (r[2] or "").encode()), digest(h), "revisit", None) for r in [*none, none[0]]]  # as the SQL twin
+    assert sorted(map(tuple, got.where("page_id is null").collect()), key=str) == sorted(want, key=str)
+    assert rows(got.where("page_id is not null")) == brute(PAGES)
+    kept = archive(df, payload=True, unnamed=True, block_lines=2).where("page_id is null").collect()
+    assert sorted(bytes(r["payload"]) for r in kept) == sorted((r[2] or "").encode() for r in [*none, none[0]])
