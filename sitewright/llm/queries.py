@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.llm.common import table
+from sitewright.llm.conversations import damaged, repair_report
 from sitewright.llm.decontamination import contaminated, find_phrases, hit_words
 from sitewright.llm.html_text import extract
 from sitewright.llm.licenses import scan
@@ -96,6 +97,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(talks), known=talks)
+
+
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')".format("text")
 _ALNUM_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format("text")
@@ -130,3 +137,43 @@ k AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, i,
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
 SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM w LEFT JOIN k ON k.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id"""
+
+
+#: CRC-32 bit by bit: the bytes of the key, each followed by eight shifts
+_KEY = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+_CRC = f"""xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({_KEY}, ''), lambda ch: [ord(ch), -1, -1, -1, -1, -1, -1, -1, -1]))),
+ lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)::BIGINT, 4294967295)"""
+
+
+def _plus(v: str, cost: str | int, audit: str) -> str:
+    """A state is its cost in nine digits and its audit, so that ``least`` compares both."""
+    return f"(lpad((left({v}, 9)::INTEGER + {cost})::VARCHAR, 9, '0') || substr({v}, 10) || '{audit}')"
+
+
+_U = f"least(u, {_plus('z', 3, 'I')}, {_plus('s', 3, 'I')}, {_plus('a', 3, 'I')})"  # states before a row, after insertions
+_A = f"least(a, {_plus('u', 3, 'I')}, {_plus('z', 6, 'II')}, {_plus('s', 6, 'II')})"
+
+
+def _kept(v: str, who: str) -> str:
+    return f"CASE WHEN fault <= 0 THEN least(CASE WHEN who = '{who}' THEN {_plus(v, 'late', 'K')} END, {_plus(v, '(3 + late)', 'R')}) END" if who != "s" else f"CASE WHEN fault <= 0 AND who = 's' THEN {_plus(v, 'late', 'K')} END"
+
+
+SQL["op12_grammar_repair"] = f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS d FROM conversations),
+e AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+ FROM k, LATERAL (SELECT unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))) WHERE d > 0),
+o AS (SELECT *, coalesce(conv_id::VARCHAR, '') AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM e),
+f AS (SELECT *, CASE WHEN t = '' THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 1 WHEN right(t, 1) IN ('.', '!', '?') THEN 0 ELSE -1 END AS fault, left(role, 1) AS who FROM o),
+g AS (SELECT *, CASE fault WHEN -1 THEN 3 ELSE 0 END AS late, lag(who) OVER (PARTITION BY conv_id ORDER BY i) || who AS pair FROM f),
+p AS (SELECT c, 0::BIGINT AS i, '000000000' AS z, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM (SELECT DISTINCT c FROM g)
+ UNION ALL SELECT g.c, g.i, {_plus('z', 4, 'D')}, least({_plus('s', 4, 'D')}, {_kept('z', 's')}), least({_plus(_U, 4, 'D')}, {_kept('z', 'u')}, {_kept('s', 'u')}, {_kept(_A, 'u')}), least({_plus(_A, 4, 'D')}, {_kept(_U, 'a')})
+ FROM p JOIN g ON g.c = p.c AND g.i = p.i + 1),
+w AS (SELECT c, least(z, {_plus('s', 6, 'II')}, {_plus('u', 3, 'I')}, a) AS v FROM p QUALIFY row_number() OVER (PARTITION BY c ORDER BY i DESC) = 1),
+x AS (SELECT c, j, substr(v, 9 + j, 1) AS l FROM w, LATERAL (SELECT unnest(range(1, length(v) - 8)) AS j)),
+y AS (SELECT *, sum(CASE WHEN l <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY j) AS i, sum(CASE WHEN l <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY j) AS n FROM x),
+r AS (SELECT y.c, j, n, l, role, text, coalesce(max(CASE WHEN n = 1 AND l = 'K' AND who = 's' THEN 1 END) OVER (PARTITION BY y.c), 0) AS sys FROM y LEFT JOIN g ON g.c = y.c AND g.i = y.i AND l <> 'I' WHERE l <> 'D'),
+h AS (SELECT c, sha256(string_agg(CASE WHEN l = 'K' THEN role WHEN (n - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS sha FROM r GROUP BY c),
+m AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 1) AS duplicate, count(*) FILTER (fault = -1) AS truncated,
+ count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+ coalesce(left(v, 9), '0')::BIGINT AS cost, coalesce(substr(v, 10), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '') AS c FROM conversations) LEFT JOIN m USING (c) LEFT JOIN w USING (c) LEFT JOIN h USING (c)"""
