@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitewright.llm.alignment import link_statistics
 from sitewright.llm.common import table
 from sitewright.llm.conversations import damaged, repair_report
 from sitewright.llm.decontamination import contaminated, find_phrases, hit_words
@@ -103,6 +104,11 @@ def op12_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(talks), known=talks)
 
 
+@query
+def op13_common_end_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_statistics(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')".format("text")
 _ALNUM_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format("text")
