@@ -13,6 +13,7 @@ from sitewright.llm.html_text import extract
 from sitewright.llm.licenses import scan
 from sitewright.llm.neardup import near_duplicates
 from sitewright.llm.packing import pack
+from sitewright.llm.quality import judged
 from sitewright.llm.sharding import assign
 from sitewright.llm.tokens import attribute_tokens
 from sitewright.llm.topk import top_k
@@ -98,6 +99,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 @query
 def op12_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations")
