@@ -19,7 +19,8 @@ from sitewright.llm.tokens import RANKS, VOCABULARY, encoder, vocabulary_file
 
 PIECES = "piece_bpe_32k.model"
 NEAR = 16  # ends on either side of the middle that are tried one by one before whole windows are
-BLOCK_BYTES = 1 << 22  # bytes of text that are aligned and counted at once
+PORTION_BYTES = 1 << 17  # bytes of text that are aligned at once
+BLOCK_BYTES = 1 << 22  # bytes of text whose linked pairs are looked up together
 
 # ---- common ends ---------------------------------------------------------------------------------------------------
 
@@ -56,7 +57,7 @@ def common_ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             cut[i] = _nearest(a, b, int(lo[i]), int(hi[i]), int(middle[i]))
         split = cut >= 0
         found.append(cut[split])
-        lo, hi = np.concatenate([lo[split], cut[split] + 1]), np.concatenate([cut[split], hi[split]])
+        lo, hi = np.stack([lo[split], cut[split] + 1], 1).ravel(), np.stack([cut[split], hi[split]], 1).ravel()  # in order: neighbours in memory
     return np.sort(np.concatenate(found))
 
 
@@ -85,6 +86,7 @@ class Pair:
         self.a = encoder(vocabulary, ranks, False)
         self.b = sentencepiece.SentencePieceProcessor(model_file=vocabulary_file(pieces))
         self.bytes_a, self.bytes_b = self._bytes_a(), self._bytes_b()
+        self._flat: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
 
     def _bytes_a(self) -> list[bytes]:
@@ -103,16 +105,12 @@ class Pair:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         return [bytes([int(m[1], 16)]) if (m := re.fullmatch("<0x([0-9A-F]{2})>", p)) else p.replace("▁", " ").encode() for p in names]
 
-    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both; None where there is no text or the tokens' bytes are not a space and the text."""
-        if not text:
-            return None
-        raw = b" " + text.encode()
-        a = self.a.ids(raw)
-        b = self.b.encode(text)
-        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
-            return None
-        return a, np.array(b, dtype=np.uint32)
+    def tables(self, side: str) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids of a side one after the other, and where each id's begin."""
+        if side not in self._flat:
+            t = self.bytes_a if side == "a" else self.bytes_b
+            self._flat[side] = np.frombuffer(b"".join(t), np.uint8), np.cumsum([0, *map(len, t)])[:-1]
+        return self._flat[side]
 
 
 _PAIRS: dict[tuple, Pair] = {}
@@ -126,30 +124,51 @@ def pair(vocabulary: str = VOCABULARY, ranks: str | None = RANKS, pieces: str =
     return _PAIRS[key]
 
 
-class Block:
+def spelled(flat: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Bytes of these ids one after the other."""
+    n = length[ids]
+    ends = np.cumsum(n)
+    return flat[np.repeat(start[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Portion:
     """Several texts aligned at once: their tokens stand one after the other, and every text's end is a common end."""
 
-    def __init__(self, two: Pair, texts: list) -> None:
+    def __init__(self, two: Pair, texts: list[bytes]) -> None:
+        raws = [b" " + t if t else b"" for t in texts]
+        a = [two.a.ids(r) for r in raws]
+        b = [np.array(x, dtype=np.uint32) for x in two.b.encode([t.decode() for t in texts], num_threads=1)]
+        sizes = np.array([len(r) for r in raws], np.int64)
+        good = sizes > 0
+        for ids, length, side in ((a, two.length_a, "a"), (b, two.length_b, "b")):  # tokens' bytes must be a space and the text
+            good &= np.array([int(length[x].sum()) for x in ids], np.int64) == sizes
+            at = np.flatnonzero(good)
+            if len(at):
+                same = spelled(*two.tables(side), length, np.concatenate([ids[k] for k in at])) == np.frombuffer(b"".join(raws[k] for k in at), np.uint8)
+                good[at] = np.logical_and.reduceat(same, np.cumsum(sizes[at]) - sizes[at])
         none = np.zeros(0, np.uint32)
-        ids = [two.ids(t) or (none, none) for t in texts]
-        self.n_a, self.n_b = (np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1))
-        self.a, self.b = (np.concatenate([x[k] for x in ids]).astype(np.int64) if ids else np.zeros(0, np.int64) for k in (0, 1))
+        a, b = ([x if g else none for x, g in zip(ids, good, strict=True)] for ids in (a, b))
+        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
+        self.a, self.b = (np.concatenate(ids).astype(np.int64) for ids in (a, b))
         self.end_a, self.end_b = np.cumsum(two.length_a[self.a]), np.cumsum(two.length_b[self.b])
+        size = int(self.end_a[-1]) + 1 if len(self.a) else 1
+        self.mark_a, self.mark_b = np.zeros(size, bool), np.zeros(size, bool)
+        self.mark_a[self.end_a] = self.mark_b[self.end_b] = True
+        self.upto_a, self.upto_b = np.cumsum(self.mark_a), np.cumsum(self.mark_b)
         self.last_a = common_ends(self.end_a, self.end_b)  # last token of each group
-        cuts = self.end_a[self.last_a]
-        self.last_b = np.searchsorted(self.end_b, cuts)
+        self.last_b = self.upto_b[self.end_a[self.last_a]] - 1
         self.stop_a = np.cumsum(self.n_a)  # tokens up to the end of each text
         self.n_groups = np.diff(np.searchsorted(self.last_a, self.stop_a), prepend=0)
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in A, in B and the text of every pair of overlapping tokens: one for each stretch between neighbouring ends of either."""
-        ends = np.union1d(self.end_a, self.end_b)
-        i, j = np.searchsorted(self.end_a, ends), np.searchsorted(self.end_b, ends)
-        return i, j, np.searchsorted(self.stop_a, i, side="right")
+        ends = np.flatnonzero(self.mark_a | self.mark_b)
+        i, j = self.upto_a[ends] - self.mark_a[ends], self.upto_b[ends] - self.mark_b[ends]
+        return i, j, np.repeat(np.arange(len(self.n_a)), self.n_a)[i]
 
-    def written_out(self, names: list[bytes]) -> list[bytes]:
-        """``a1,a2|b1;a3|b2,b3`` for each text; ``names``: decimal ids followed by , then | then ; then a line end."""
-        n = len(names) // 4
+    def written_out(self, names: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3`` for each text; ``names``: see :func:`marked_ids`."""
+        n = len(names[1]) // 4
         out = np.empty(len(self.a) + len(self.b), np.int64)
         first_a, first_b = (np.concatenate([[0], x[:-1] + 1]) if len(x) else x for x in (self.last_a, self.last_b))
         size_a, size_b = self.last_a - first_a + 1, self.last_b - first_b + 1
@@ -158,7 +177,8 @@ class Block:
         mark_b[np.cumsum(self.n_b)[self.n_b > 0] - 1] = 3
         out[np.arange(len(self.a)) + np.repeat(first_b, size_a)] = self.a + n * mark_a
         out[np.arange(len(self.b)) + np.repeat(self.last_a + 1, size_b)] = self.b + n * mark_b
-        lines = iter(b"".join(map(names.__getitem__, out.tolist())).split(b"\n"))
+        letters, width = names
+        lines = iter(letters[out][np.arange(letters.shape[1]) < width[out][:, None]].tobytes().split(b"\n"))
         return [next(lines) if k else b"" for k in self.n_a]
 
     def groups(self) -> list[list[dict]]:
@@ -172,12 +192,19 @@ class Block:
         return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], two: Pair, size: int) -> Iterator[tuple[pa.RecordBatch, Block]]:
-    """Rows, and the alignment of their texts (the last column), in portions of about ``size`` bytes; a longer text is a portion of its own."""
+def marked_ids(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal ids below ``n`` followed by , then | then ; then a line end: letters in rows, and how many of each row count."""
+    names = [b"%d%s" % (i, mark) for mark in (b",", b"|", b";", b"\n") for i in range(n)]
+    width = np.array([len(x) for x in names])
+    return np.array(names, dtype=f"S{width.max()}").view(np.uint8).reshape(len(names), -1), width
+
+
+def _portions(batches: Iterator[pa.RecordBatch], two: Pair, size: int) -> Iterator[tuple[pa.RecordBatch, Portion, int]]:
+    """Rows, the alignment of their texts (the last column) and the texts' bytes, about ``size`` bytes at a time; a longer text goes alone."""
     for batch in batches:
         raw, off = text_buffers(batch.column(batch.num_columns - 1))
         for i, k in runs(np.diff(off), size):
-            yield batch.slice(i, k - i), Block(two, [raw[off[n] : off[n + 1]].tobytes().decode() for n in range(i, k)])
+            yield batch.slice(i, k - i), Portion(two, [raw[off[n] : off[n + 1]].tobytes() for n in range(i, k)]), int(off[k] - off[i])
 
 
 def _picked(docs: DataFrame, text: str, keys: tuple[str, ...]) -> DataFrame:
@@ -186,7 +213,7 @@ def _picked(docs: DataFrame, text: str, keys: tuple[str, ...]) -> DataFrame:
 
 def align(
     docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY, ranks: str | None = RANKS, pieces: str = PIECES,
-    block_bytes: int = BLOCK_BYTES,
+    portion_bytes: int = PORTION_BYTES,
 ) -> DataFrame:
     """Groups of every text: the ``keys`` columns and groups array<struct<a: ids, b: ids, end: byte of space + text>>.
 
@@ -196,8 +223,8 @@ def align(
     kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, block in _blocks(batches, pair(vocabulary, ranks, pieces), block_bytes):
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keys)], pa.array(block.groups(), kind)], [*keys, "groups"])
+        for rows, portion, _ in _portions(batches, pair(vocabulary, ranks, pieces), portion_bytes):
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keys)], pa.array(portion.groups(), kind)], [*keys, "groups"])
 
     return _picked(docs, text, keys).mapInArrow(run, schema)
 
@@ -217,7 +244,7 @@ def _unpacked(x: bytes) -> np.ndarray:
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def _linked(docs: DataFrame, text: str, keys: tuple[str, ...], vocabulary: str, ranks: str | None, pieces: str, block_bytes: int) -> DataFrame:
+def _linked(docs: DataFrame, text: str, keys: tuple[str, ...], vocabulary: str, ranks: str | None, pieces: str, block_bytes: int, portion_bytes: int) -> DataFrame:
     """One row per block of texts: its texts' columns and counts, the distinct id pairs linked in it with the number of texts that hold
     each, and for every text the places of its pairs among those and how often it links them."""
     source = _picked(docs, text, keys)
@@ -228,29 +255,40 @@ def _linked(docs: DataFrame, text: str, keys: tuple[str, ...], vocabulary: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = pair(vocabulary, ranks, pieces)
         n_ids_a, n_ids_b = len(two.bytes_a), len(two.bytes_b)
-        names = [b"%d%s" % (i, mark) for mark in (b",", b"|", b";", b"\n") for i in range(max(n_ids_a, n_ids_b))]
+        names = marked_ids(max(n_ids_a, n_ids_b))
         fields = [*key_fields, *[pa.field(n, pa.int64()) for n in (*COUNTS, "n_pairs")], pa.field("groups_sha256", pa.string())]
-        for number, (rows, block) in enumerate(_blocks(batches, two, block_bytes)):
-            i, j, doc = block.links()
-            linked, times = np.unique((doc * n_ids_a + block.a[i]) * n_ids_b + block.b[j], return_counts=True)
-            doc, linked = np.divmod(linked, n_ids_a * n_ids_b)
-            distinct, place, n_docs = np.unique(linked, return_inverse=True, return_counts=True)
-            n_pairs = np.bincount(doc, minlength=rows.num_rows)
-            sha = [hashlib.sha256(x).hexdigest() if x else "" for x in block.written_out(names)]
-            per = [block.n_a, block.n_b, block.n_groups, np.where(block.n_a > 0, block.n_a + block.n_b - block.n_groups, 0), n_pairs]
-            told = pa.StructArray.from_arrays([*[c.cast(f.type) for c, f in zip(rows.columns, key_fields)], *map(pa.array, per), pa.array(sha)], fields=fields)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([TaskContext.get().partitionId() << 32 | number]), pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), told),
-                *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int64))) for x in (distinct, n_docs)],
-                pa.array([_packed(np.diff(place, prepend=0) % max(len(distinct), 1))], pa.binary()), pa.array([_packed(times)], pa.binary()),
-            ], ["block", "texts", "pairs", "n_texts", "places", "times"])
+        told, pairs, often, number, size = [], [], [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            texts = pa.concat_arrays(told)
+            distinct, place, n_texts = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (texts, pa.array(distinct.astype(np.int64)), pa.array(n_texts.astype(np.int64)))]
+            packed = [pa.array([_packed(x)], pa.binary()) for x in (np.diff(place, prepend=0) % max(len(distinct), 1), np.concatenate(often))]
+            return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | number]), *lists, *packed], ["block", "texts", "pairs", "n_texts", "places", "times"])
+
+        for rows, portion, n_bytes in _portions(batches, two, portion_bytes):
+            if told and size + n_bytes > block_bytes:
+                yield block()
+                told, pairs, often, number, size = [], [], [], number + 1, 0
+            i, j, text_no = portion.links()
+            linked, times = np.unique((text_no * n_ids_a + portion.a[i]) * n_ids_b + portion.b[j], return_counts=True)
+            text_no, linked = np.divmod(linked, n_ids_a * n_ids_b)
+            sha = [hashlib.sha256(x).hexdigest() if x else "" for x in portion.written_out(names)]
+            n_links = np.where(portion.n_a > 0, portion.n_a + portion.n_b - portion.n_groups, 0)
+            per = [portion.n_a, portion.n_b, portion.n_groups, n_links, np.bincount(text_no, minlength=rows.num_rows)]
+            told.append(pa.StructArray.from_arrays([*[c.cast(f.type) for c, f in zip(rows.columns, key_fields)], *map(pa.array, per), pa.array(sha, pa.string())], fields=fields))
+            pairs.append(linked)
+            often.append(times)
+            size += n_bytes
+        if told:
+            yield block()
 
     return written(source.mapInArrow(run, f"block bigint, texts array<struct<{inner}>>, pairs array<bigint>, n_texts array<bigint>, places binary, times binary"), "linked")
 
 
 def link_statistics(
     docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY, ranks: str | None = RANKS, pieces: str = PIECES,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, portion_bytes: int = PORTION_BYTES,
 ) -> DataFrame:
     """How two tokenizers agree on every text.
 
@@ -267,7 +305,7 @@ def link_statistics(
     corpus-wide counts: a common pair is one row per block, so that a join partition of a hot pair can be split, and what comes back to a
     block is bounded by it.
     """
-    blocks = _linked(docs, text, keys, vocabulary, ranks, pieces, block_bytes)
+    blocks = _linked(docs, text, keys, vocabulary, ranks, pieces, block_bytes, portion_bytes)
     asked = blocks.select("block", F.explode(F.arrays_zip("pairs", "n_texts")).alias("x")).select("block", F.col("x.pairs").alias("pair"), F.col("x.n_texts").alias("n"))
     n_ids_b = pair(vocabulary, ranks, pieces).b.get_piece_size()
     totals = asked.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.expr(f"pair div {n_ids_b}"))

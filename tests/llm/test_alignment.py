@@ -105,7 +105,7 @@ def docs(spark):
 @pytest.mark.parametrize("block", [1, 1 << 22])
 def test_statistics_against_all_pairs_of_tokens(docs, block):
     want, _ = brute(TEXTS)
-    got = {r[0]: tuple(r[1:]) for r in link_statistics(docs, block_bytes=block).collect()}
+    got = {r[0]: tuple(r[1:]) for r in link_statistics(docs, block_bytes=block, portion_bytes=min(block, 1 << 17)).collect()}
     assert got == dict(enumerate(want))
     assert want[8] == want[0] == (0, 0, 0, 0, 0, 0, "") and want[7][0] > 0
 
@@ -125,7 +125,7 @@ def test_random_texts_in_many_blocks(spark):
     texts = ["".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
     want, _ = brute(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    assert {r[0]: tuple(r[1:]) for r in link_statistics(df, block_bytes=900).collect()} == dict(enumerate(want))
+    assert {r[0]: tuple(r[1:]) for r in link_statistics(df, block_bytes=900, portion_bytes=300).collect()} == dict(enumerate(want))
 
 
 def test_empty_table_and_null_keys(spark):
