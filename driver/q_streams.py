@@ -17,6 +17,17 @@ def stream_of(v: V, table: str):
     return feeds.read_changes(v.spark, v.dir, schema, glob=f"{table}.parquet")
 
 
+def in_slices(df, time, n: int = 4):
+    """The rows as a stream of ``n`` files, one for each stretch of ``time`` (a number), read one by one in this order."""
+    folder = fresh_path(df.sparkSession, "slices")
+    lo, hi = df.agg(F.min(time), F.max(time)).first()
+    lo, width = lo or 0, ((hi or 0) - (lo or 0)) / n or 1
+    part = F.least(F.floor((time - lo) / width), F.lit(n - 1))
+    for i in range(n):  # one write after the other, as files are read by their times
+        df.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return feeds.read_changes(df.sparkSession, folder, df.schema, files_per_trigger=1)
+
+
 def places(spark):
     base = fresh_path(spark, "feed")
     return base + "/table", base + "/checkpoint"
@@ -32,11 +43,21 @@ def r01(spark, d):
 
 @query("r02_versioned_zone_feed", """SELECT coalesce(registry_number, '#' || load_seq) AS zone_key, count(*) AS version, max(load_seq) AS load_seq, arg_max(zone_type, load_seq) AS zone_type FROM v_zones GROUP BY 1""")
 def r02(spark, d):
-    v = V(spark, d)
+    """The versions that are current, of the same feed as below."""
+    return zone_feed(spark, d).where("superseded_by is null").select("zone_key", "version", "load_seq", "zone_type")
+
+
+@query("r02_zone_version_history", """SELECT coalesce(registry_number, '#' || load_seq) AS zone_key, load_seq, CASE WHEN registry_number IS NULL THEN 1 ELSE row_number() OVER w END AS version,
+CASE WHEN registry_number IS NOT NULL THEN lead(load_seq) OVER w END AS superseded_by, zone_type FROM v_zones WINDOW w AS (PARTITION BY registry_number ORDER BY load_seq)""")
+def r02_history(spark, d):
+    """Current and superseded versions, as W02 has them, from four micro-batches."""
+    return zone_feed(spark, d).select("zone_key", "load_seq", "version", "superseded_by", "zone_type")
+
+
+def zone_feed(spark, d):
+    z = V(spark, d).zones().select("registry_number", "load_seq", "zone_type")
     table, ck = places(spark)
-    v.table = lambda name: stream_of(V(spark, d), name)  # the same view over the stream
-    z = v.zones().select("registry_number", "load_seq", "zone_type")
-    return feeds.keyed_state(feeds.zone_feed(z), ["zone_key"], table, ck).select("zone_key", "version", "load_seq", "zone_type")
+    return feeds.zone_versions(in_slices(z, F.col("load_seq")), path=table, checkpoint=ck, carry=["zone_type"])
 
 
 @query("r03_step_windows", """SELECT epoch_us(date_trunc('hour', ts)) AS window_us, event_type, count(*) AS n, max(value) AS max_value, min(value) AS min_value FROM events GROUP BY 1, 2""")
@@ -68,9 +89,11 @@ def down(df):
 
 @query("r05_alerts_with_hold", f"WITH {RUNS} SELECT job_id, t0, t1, n_samples FROM u WHERE t1 - t0 >= 7200::BIGINT * 1000000")
 def r05(spark, d):
-    """Two hours stand for the two minutes of the rule: samples are hours apart here."""
+    """Two hours stand for the two minutes of the rule: samples are hours apart here. Four micro-batches, with rows up to two hours late."""
     table, ck = places(spark)
-    return feeds.alerts(down(stream_of(V(spark, d), "events")), key="job_id", ts="ts", bad="bad", hold_s=7200, path=table, checkpoint=ck)
+    e = V(spark, d).table("events").select("event_id", "user_id", "ts", "event_type")
+    late = in_slices(e, F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 3 * 3600)
+    return feeds.alerts(down(late), key="job_id", ts="ts", bad="bad", hold_s=7200, lateness_s=3 * 3600, path=table, checkpoint=ck)
 
 
 @query("r05_alerts_batch_twin", f"WITH {RUNS} SELECT job_id, t0, t1, n_samples FROM u WHERE t1 - t0 >= 7200::BIGINT * 1000000")
@@ -80,13 +103,12 @@ def r05_batch(spark, d):
 
 @query("r06_overdue_reminders", """SELECT id, strftime(sent_at, '%Y-%m-%d') AS sent_at FROM v_requests WHERE status = 'отправлен' AND sent_at + INTERVAL 30 DAY < (SELECT max(sent_at) FROM v_requests)""")
 def r06(spark, d):
-    v = V(spark, d)
+    """Every request is sent first; an answer follows in the same micro-batch. Time goes on over four of them."""
     table, ck = places(spark)
-    v.table = lambda name: stream_of(V(spark, d), name)
-    # every request is sent first; an answer follows, often in the same micro-batch
-    now = v.requests().withColumn("event_no", F.lit(1))
+    now = V(spark, d).requests().withColumn("event_no", F.lit(1))
     first = now.withColumns({"status": F.lit(rules.TU_SENT), "event_no": F.lit(0)})
-    r = feeds.reminders(now.union(first), path=table, checkpoint=ck, days=rules.TU_DEADLINE_DAYS, order="event_no")
+    events = in_slices(now.union(first), F.unix_date("sent_at"))
+    r = feeds.reminders(events, path=table, checkpoint=ck, days=rules.TU_DEADLINE_DAYS)
     return r.select("id", F.date_format("sent_at", "yyyy-MM-dd").alias("sent_at"))
 
 

@@ -1,4 +1,4 @@
-"""Feeds: keyed upserts, zone versions, windows over job events, alerts with hold time, reminders, notices.
+"""Feeds: keyed upserts, windows over job events and samples, notices; those with state of their own are in ``stateful``.
 
 Sinks are idempotent: a micro-batch writes its own folder, so a repeated batch overwrites itself.
 Readers take the latest state per key. Checkpoints and tables live in the shared folder of the cluster.
@@ -6,71 +6,18 @@ Readers take the latest state per key. Checkpoints and tables live in the shared
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 
-from sitewright import rules
-from sitewright.operators import jobs
+from sitewright.streaming.sinks import copied, event_time, keyed_state, read_changes, read_latest, run_available, write_batch
+from sitewright.streaming.stateful import alerts, reminders, zone_versions
 
-
-def read_changes(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, files_per_trigger: int = 4) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(path)
-
-
-def event_time(df: DataFrame, ts: str) -> DataFrame:
-    """Watermarks need a zoned timestamp; naive input counts as UTC."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
-
-
-def run_available(df: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None], mode: str = "update") -> StreamingQuery:
-    """Process what is there, then stop; the same code runs with a time trigger in service."""
-    q = (
-        df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(on_batch).start()
-    )
-    q.awaitTermination()
-    return q
-
-
-def batch_folder(path: str, batch_id: int) -> str:
-    return f"{path}/batch={batch_id}"
-
-
-def write_batch(path: str) -> Callable[[DataFrame, int], None]:
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(batch_folder(path, batch_id))
-
-    return write
-
-
-def read_latest(spark: SparkSession, path: str, key: Sequence[str], schema: T.StructType, order: str | None = None) -> DataFrame:
-    """Last written row per key: the newest batch wins, inside a batch the highest ``order``.
-
-    A batch that can hold several rows of a key needs the order of its events in a column.
-    """
-    rows = spark.read.schema(_copy(schema).add("batch", T.LongType())).parquet(path)
-    rest = [c for c in rows.columns if c not in key and c != "batch"]
-    rest.sort(key=lambda c: c != order)
-    g = rows.groupBy(*key).agg(F.max(F.struct("batch", *rest)).alias("_b"))
-    return g.select(*key, *[F.col(f"_b.{c}").alias(c) for c in rest])
-
-
-def _copy(schema: T.StructType) -> T.StructType:
-    return T.StructType(list(schema.fields))
-
-
-def keyed_state(updates: DataFrame, key: Sequence[str], path: str, checkpoint: str) -> DataFrame:
-    """Run an update-mode aggregation to a batch-folder table and return its latest rows."""
-    schema = _copy(updates.schema)
-    run_available(updates, checkpoint, write_batch(path))
-    return read_latest(updates.sparkSession, path, key, schema)
+__all__ = [
+    "alerts", "completion_notices", "event_time", "keyed_state", "latest_versions", "parse_samples", "peak_windows", "read_changes", "read_latest", "reminders", "run_available",
+    "step_windows", "write_batch", "zone_versions",
+]
 
 
 # --- versioned objects ------------------------------------------------------------------------
@@ -83,19 +30,6 @@ def latest_versions(changes: DataFrame, key: Sequence[str], version: str) -> Dat
     return g.select(*key, "_b.*")
 
 
-def zone_feed(zones: DataFrame, number: str = "registry_number", seq: str = "load_seq") -> DataFrame:
-    """Current zone per registry number with its version, kept up as zones arrive.
-
-    Zones without a number never version: each keeps its own row.
-    """
-    own = F.coalesce(F.col(number), F.concat(F.lit("#"), F.col(seq).cast("string")))
-    rest = [c for c in zones.columns if c not in (number, seq)]
-    g = zones.withColumn("zone_key", own).groupBy("zone_key").agg(
-        F.count(F.lit(1)).alias("version"), F.max(F.struct(seq, number, *rest)).alias("_b")
-    )
-    return g.select("zone_key", "version", "_b.*")
-
-
 # --- job events and samples -------------------------------------------------------------------
 
 
@@ -120,81 +54,11 @@ def peak_windows(samples: DataFrame, width: str = "1 minute", slide: str = "30 s
     return g.select(F.unix_micros("window.start").alias("window_us"), "peak_rss_kb")
 
 
-def alerts(states: DataFrame, *, key: str, ts: str, bad: str, hold_s: int, path: str, checkpoint: str, lateness_s: int = 3600) -> DataFrame:
-    """Bad-for-at-least alerts across micro-batches, the same as over all samples at once.
-
-    A sample may come up to ``lateness_s`` of event time after its key's newest one; what is older is
-    settled, and a sample for it is dropped. Samples that can still be joined by late ones stay as
-    they are; the settled part of a run that goes on is one row with its start, end and count. A run
-    behind which a good sample is settled is final; the others are the newest batch's view.
-    """
-    spark = states.sparkSession
-    key_t = states.schema[key].dataType
-    long = lambda *names: T.StructType([T.StructField(key, key_t), *(T.StructField(n, T.LongType()) for n in names)])
-    keys_schema, run_schema = long("closed_t", "last_t", "run_t0", "run_t1", "run_n"), long("t0", "t1", "n_samples")
-    open_schema = T.StructType([T.StructField(key, key_t), T.StructField("t", T.LongType()), T.StructField("bad", T.BooleanType()), T.StructField("n", T.LongType())])
-
-    def before(name: str, schema: T.StructType, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(batch_folder(f"{path}/{name}", batch_id - 1))
-
-    def put(df: DataFrame, name: str, schema: T.StructType, batch_id: int) -> DataFrame:
-        folder = batch_folder(f"{path}/{name}", batch_id)
-        df.select(*schema.names).write.mode("overwrite").parquet(folder)
-        return spark.read.schema(schema).parquet(folder)
-
-    def on_batch(df: DataFrame, batch_id: int) -> None:
-        known, waiting = before("keys", keys_schema, batch_id), before("open", open_schema, batch_id)
-        s = df.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(bad).alias("bad"), F.lit(1).cast("bigint").alias("n"))
-        s = s.join(known.select(key, "closed_t"), key, "left").where(F.col("closed_t").isNull() | (F.col("t") > F.col("closed_t"))).drop("closed_t")
-        seed = known.where(F.col("run_t0").isNotNull()).select(key, F.explode(F.array(
-            F.struct(F.col("run_t0").alias("t"), F.col("run_n").alias("n")), F.struct(F.col("run_t1").alias("t"), F.lit(0).cast("bigint").alias("n")),
-        )).alias("e")).select(key, "e.t", F.lit(True).alias("bad"), "e.n")
-        rows = s.unionByName(waiting).unionByName(seed).groupBy(key, "t").agg(F.bool_or("bad").alias("bad"), F.sum("n").alias("n"))
-        newest = rows.select(key, "t").unionByName(known.select(key, F.col("last_t").alias("t"))).groupBy(key).agg(F.max("t").alias("last_t"))
-        newest = newest.join(known.select(key, F.col("closed_t").alias("old")), key, "left")
-        newest = newest.select(key, "last_t", F.greatest("old", F.col("last_t") - lateness_s * 1_000_000).alias("closed_t"))
-        rows = rows.join(newest.select(key, "closed_t"), key)
-        settled = rows.groupBy(key).agg(F.max(F.when(~F.col("bad") & (F.col("t") <= F.col("closed_t")), F.col("t"))).alias("good_t"))
-        rows = rows.join(settled, key)
-        runs = jobs.bad_runs(rows.select(key, "t", "bad", "n"), key).join(settled, key)
-        long_enough = runs.where(F.col("t1") - F.col("t0") >= hold_s * 1_000_000)
-        final = F.coalesce(F.col("t0") < F.col("good_t"), F.lit(False))
-        put(long_enough.where(final), "alerts", run_schema, batch_id)
-        put(long_enough.where(~final), "open_alerts", run_schema, batch_id)
-        put(rows.where(F.col("t") > F.col("closed_t")), "open", open_schema, batch_id)
-        going = F.col("bad") & (F.col("t") <= F.col("closed_t")) & (F.col("good_t").isNull() | (F.col("t") > F.col("good_t")))
-        run = rows.where(going).groupBy(key).agg(F.min("t").alias("run_t0"), F.max("t").alias("run_t1"), F.sum("n").alias("run_n"))
-        put(newest.join(run, key, "left"), "keys", keys_schema, batch_id)
-
-    run_available(states, checkpoint, on_batch, mode="append")
-    with_batch = lambda name: spark.read.schema(_copy(run_schema).add("batch", T.LongType())).parquet(f"{path}/{name}")
-    view = with_batch("open_alerts")
-    last = spark.read.schema(_copy(keys_schema).add("batch", T.LongType())).parquet(f"{path}/keys").agg(F.max("batch").alias("batch"))  # one row
-    return with_batch("alerts").drop("batch").unionByName(view.join(last, "batch", "left_semi").drop("batch"))
-
-
-def reminders(requests: DataFrame, *, path: str, checkpoint: str, days: int, order: str | None = None) -> DataFrame:
-    """Overdue requests as time goes on: the clock is the newest sending date seen so far.
-
-    Each batch upserts the requests it brings and remembers its own latest date. ``order`` names the
-    column that orders the events of a request inside a batch.
-    """
-    spark = requests.sparkSession
-    schema = _copy(requests.schema)
-    run_available(requests, checkpoint, write_batch(path), mode="append")
-    known = read_latest(spark, path, ["id"], schema, order)
-    clock = known.agg(F.max("sent_at").alias("_now")).withColumn("_k", F.lit(1))
-    due = jobs.with_deadline(known, days).withColumn("_k", F.lit(1)).join(F.broadcast(clock), "_k")  # one clock row
-    return due.where((F.col("status") == rules.TU_SENT) & (F.col("deadline") < F.col("_now"))).drop("_k", "_now")
-
-
 def completion_notices(events: DataFrame, *, path: str, checkpoint: str, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """One notice per job and terminal status: repeats inside the watermark are dropped in flight, later
     ones fall on the same key of the sink."""
     spark = events.sparkSession
     d = event_time(events, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["job_id", "status"]).select("job_id", "status")
-    schema = _copy(d.schema)
+    schema = copied(d.schema)
     run_available(d, checkpoint, write_batch(path), mode="append")
     return read_latest(spark, path, ["job_id", "status"], schema)
