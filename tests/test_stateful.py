@@ -111,3 +111,37 @@ def test_empty_streams(spark):
     assert stateful.zone_versions(as_stream(spark, [[]], ZONES), **places(spark)).count() == 0
     assert stateful.alerts(as_stream(spark, [[]], SAMPLES), key="job_id", ts="ts", bad="bad", hold_s=1, **places(spark)).count() == 0
     assert stateful.reminders(as_stream(spark, [[]], REQUESTS), days=30, **places(spark)).count() == 0
+
+
+def test_runs_cover_all_batches_with_few_folders():
+    from sitewright.streaming.runs import covering
+
+    for n in range(300):
+        held, at = covering(n), -1
+        for level, upto in held:
+            assert at + 4**level == upto
+            at = upto
+        assert at == n - 1 and len(held) <= 3 * 5
+
+
+def test_run_merges_equal_batch_after_fifty_batches(spark):
+    from sitewright.streaming import runs
+
+    rng, path = random.Random(6), fresh_path(spark, "runs")
+    schema = spark.createDataFrame([], "id long, version long, v string").schema
+    put = runs.write_runs(path, ["id"], "version")
+    rows = []
+    for b in range(50):
+        batch = [(rng.choice([None, *range(30)]), rng.randint(0, 400), f"{b}") for _ in range(20)]
+        rows += batch
+        put(spark.createDataFrame(batch, schema).coalesce(1), b)
+        if b == 20:
+            put(spark.createDataFrame(batch, schema).coalesce(1), b)  # a batch that is repeated
+    got = runs.read_runs(spark, path, ["id"], "version", schema)
+    want = {}
+    for r in rows:
+        want[r[0]] = max(want.get(r[0], r[1:]), r[1:])
+    assert {r["id"]: (r["version"], r["v"]) for r in got.collect()} == want
+    opened = {f.rsplit("/", 2)[-3:-1][0] + "/" + f.rsplit("/", 2)[1] for f in got.inputFiles()}
+    assert runs.batches_written(spark, path) == 50 and len(opened) == len(runs.covering(50)) == 5
+    assert runs.read_runs(spark, path + "/none", ["id"], "version", schema).count() == 0
