@@ -49,7 +49,7 @@ def a11(spark, d):
         F.col("id").alias("zone_id"), "ring", "minx", "miny", "maxx", "maxy", F.col("zone_type").alias("label"),
         F.when(F.col("id") % 3 == 0, (9 + F.col("id") % 7).cast("double")).alias("limit_m"),
     )
-    return zones.envelope(s, regs, z, site_id="osm_id").select("osm_id", "zone_code", "footprint_area_m2", "max_height_m", "height_limit_source")
+    return zones.envelope(s, regs, z, site_id="osm_id").select("osm_id", "zone_code", r6("footprint_area_m2", "footprint_area_m2"), "max_height_m", "height_limit_source")
 
 
 @query("a12_bridge_clearance", f"""WITH {CROSS}, en AS (SELECT osm_id, 0 AS e, x0 AS x, y0 AS y FROM br UNION ALL SELECT osm_id, 1, x1, y1 FROM br), ez AS (SELECT osm_id, coalesce(max(z) FILTER (e = 0), 0) AS z0, coalesce(max(z) FILTER (e = 1), 0) AS z1 FROM {sampled('en', 'osm_id, e')} GROUP BY osm_id),
@@ -401,8 +401,8 @@ def c17_area(spark, d):
     s = s.withColumns({"minx": c("cx") - c("radius_m"), "maxx": c("cx") + c("radius_m"), "miny": c("cy") - c("radius_m"), "maxy": c("cy") + c("radius_m")})
     b = geom.with_bbox(v.buildings().select("osm_id", "ring", geom.area(c("ring")).alias("full_m2")), "ring", "l")
     pairs = box_pairs(b, s, cell=500.0, left_id=["osm_id"], lbox=("lminx", "lminy", "lmaxx", "lmaxy"), rbox=("minx", "miny", "maxx", "maxy"), levels=4)
-    part = geom.area(c("ring"))
-    return selection.clip_areas(pairs).where(part > 1e-6).select("site_id", "osm_id", F.round(part / c("full_m2"), 6).alias("share"))
+    parts = selection.clip_areas(pairs).groupBy("site_id", "osm_id").agg((F.sum(geom.area(c("ring"))) / F.max("full_m2")).alias("share"), F.sum(geom.area(c("ring"))).alias("m2"))
+    return parts.where("m2 > 1e-6").select("site_id", "osm_id", F.round("share", 6).alias("share"))
 
 
 # --- projection -------------------------------------------------------------------------------

@@ -13,6 +13,8 @@ from pyspark import cloudpickle
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from sitewright.functions import slabs
+
 # executors need not have this package installed: its functions travel with the task
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -160,7 +162,14 @@ def untangled_udf(ring: pd.Series) -> pd.Series:
 
 @pandas_udf(_DOUBLE)
 def overlap_area_udf(p: pd.Series, q: pd.Series) -> pd.Series:
-    return pd.Series([overlap_area(_open(a), _open(b)) if a is not None and b is not None and len(a) and len(b) else None for a, b in zip(p, q)], dtype="float64")
+    def one(a, b):
+        if a is None or b is None or not len(a) or not len(b):
+            return None
+        a, b = _open(a), _open(b)
+        # the same area either way: pairs of triangles for a few corners, slabs beyond, which grow with the corners and not with their product
+        return overlap_area(a, b) if len(a) * len(b) <= 64 else slabs.overlap_area(a, b)
+
+    return pd.Series([one(a, b) for a, b in zip(p, q)], dtype="float64")
 
 
 @pandas_udf(_OBB_T)
@@ -169,23 +178,6 @@ def oriented_box_udf(ring: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["cx", "cy", "length", "width", "ax", "ay"]).astype("float64")
 
 
-@pandas_udf(_PATH_T)
-def clip_to_circle_udf(ring: pd.Series, cx: pd.Series, cy: pd.Series, r: pd.Series) -> pd.Series:
-    """Ring clipped to a 64-corner circle; null when nothing is left."""
-    def one(ring_, x, y, rad):
-        if ring_ is None or len(ring_) == 0:
-            return None
-        circle = [
-            (x + rad * math.cos(2 * math.pi * k / 64), y + rad * math.sin(2 * math.pi * k / 64)) for k in range(64)
-        ]
-        pts = clip_convex(_open(ring_), circle)
-        if len(pts) < 3 or abs(shoelace(pts)) == 0.0:
-            return None
-        return [{"x": a, "y": b} for a, b in pts + pts[:1]]
-
-    return pd.Series([one(*row) for row in zip(ring, cx, cy, r)])
-
-
 def hull_rows(key: str):
     """mapInPandas function: hull vertices per key inside each Arrow batch (a map-side combine)."""
     def run(batches):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewright import rules
-from sitewright.functions import crs, geom, kernels
+from sitewright.functions import crs, geom, slabs
 from sitewright.operators.spatial import BOX, box_pairs, points_in_boxes
 
 EARTH_M = 6371008.8
@@ -85,13 +85,12 @@ def clip_lines(rows: DataFrame, path: str = "path") -> DataFrame:
 
 
 def clip_areas(rows: DataFrame, ring: str = "ring") -> DataFrame:
-    """Rings clipped to a 64-corner circle; rings wholly inside skip the kernel, empty results drop out."""
+    """Rings clipped to a 64-corner circle, one row per part that is left; rings wholly inside skip the kernel."""
     far = F.aggregate(ring, F.lit(0.0), lambda acc, p: F.greatest(acc, geom.length_between(p.x, p.y, F.col("cx"), F.col("cy"))))
     inner = far <= F.col("radius_m") * 0.9987  # inradius of the 64-gon
     whole = rows.where(inner)
-    cut = rows.where(~inner).withColumn(ring, kernels.clip_to_circle_udf(F.col(ring), F.col("cx"), F.col("cy"), F.col("radius_m")))
-    both = whole.unionByName(cut.where(F.col(ring).isNotNull()))
-    return both.withColumn(ring, geom.translate(F.col(ring), -F.col("cx"), -F.col("cy")))
+    cut = rows.where(~inner).withColumn(ring, F.explode(slabs.circle_parts_udf(F.col(ring), F.col("cx"), F.col("cy"), F.col("radius_m"))))
+    return whole.unionByName(cut).withColumn(ring, geom.translate(F.col(ring), -F.col("cx"), -F.col("cy")))
 
 
 def circle_box(sites: DataFrame) -> DataFrame:

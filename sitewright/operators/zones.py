@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewright import rules
-from sitewright.functions import geom
+from sitewright.functions import geom, slabs
 from sitewright.operators.chunks import sequenced
-from sitewright.operators.spatial import BOX, box_pairs, points_in_boxes, spread
+from sitewright.operators.spatial import BOX, box_pairs, points_in_boxes
 
 
 def versions(zones: DataFrame, number: str = "registry_number", seq: str = "load_seq", chunk_size: int = 1_000_000) -> DataFrame:
@@ -131,13 +131,12 @@ def rank_by_distance(near: DataFrame, *, point_id: str, zone_id: str, band_m: fl
     return ranked.join(first, [point_id, "distance_m"])
 
 
-def envelope(sites: DataFrame, regulations: DataFrame, obstacles: DataFrame, *, site_id: str, step_m: float = 1.0,
-             cell: float = 250.0) -> DataFrame:
+def envelope(sites: DataFrame, regulations: DataFrame, obstacles: DataFrame, *, site_id: str, cell: float = 250.0) -> DataFrame:
     """Permitted footprint area (outline minus setback minus zones) and the lowest height limit.
 
-    The area is a sum over ``step_m`` cells whose centre survives; exact for outlines on the cell
-    grid. sites: id, ring, zone_code; regulations: zone_code, setback_m, max_height_m;
-    obstacles: zone_id, ring, bbox, label, limit_m (nullable).
+    The area is exact for outlines of any form and direction, rounded inner corners included; a site is one row whatever its size, with the
+    distinct rings that meet it. A site without a regulation has no footprint. sites: id, ring, zone_code; regulations: zone_code, setback_m,
+    max_height_m; obstacles: zone_id, ring, bbox, label, limit_m (nullable).
     """
     s = geom.with_bbox(sites.join(regulations, "zone_code", "left"), "ring", "s")
     o = obstacles.select("zone_id", F.col("ring").alias("zring"), "label", "limit_m", *BOX)
@@ -145,34 +144,14 @@ def envelope(sites: DataFrame, regulations: DataFrame, obstacles: DataFrame, *,
     o = o.groupBy("zring", *BOX, "limit_m").agg(F.min(F.struct("zone_id", "label")).alias("_o"))
     pairs = box_pairs(s, o, cell=cell, left_id=[site_id], lbox=("sminx", "sminy", "smaxx", "smaxy"), rbox=BOX)
     hits = pairs.where(geom.areas_intersect(F.col("ring"), F.col("zring")))
-    first_zone = hits.where(F.col("limit_m").isNotNull()).groupBy(site_id).agg(
-        F.min(F.struct(F.col("limit_m"), F.col("_o.zone_id").alias("zid"), F.col("_o.label").alias("label"))).alias("_z")
-    )
-    k = lambda v: F.floor(v / step_m).cast("bigint")
-    grid = spread(s.select(site_id, "ring", "setback_m", "sminx", "sminy", "smaxx", "smaxy"), site_id).withColumn("i", F.explode(F.sequence(k(F.col("sminx")), k(F.col("smaxx"))))).withColumn(
-        "j", F.explode(F.sequence(k(F.col("sminy")), k(F.col("smaxy"))))
-    )
-    cx, cy = (F.col("i") + 0.5) * step_m, (F.col("j") + 0.5) * step_m
-    # a positive distance to the outline also rules out centres on it
-    d = geom.dist_to_path(cx, cy, F.col("ring"))
-    kept = grid.where(geom.inside_even_odd(cx, cy, F.col("ring")) & (d >= F.col("setback_m")) & (d > 0))
-    taken = hits.select(site_id, "zring", "minx", "miny", "maxx", "maxy", "sminx", "sminy", "smaxx", "smaxy")
-    lo = lambda a, b: k(F.greatest(F.col(a), F.col(b)))
-    hi = lambda a, b: k(F.least(F.col(a), F.col(b)))
-    taken = taken.withColumn("i", F.explode(F.sequence(lo("minx", "sminx"), hi("maxx", "smaxx")))).withColumn(
-        "j", F.explode(F.sequence(lo("miny", "sminy"), hi("maxy", "smaxy")))
-    )
-    taken = taken.where(geom.covers(cx, cy, F.col("zring"))).groupBy(site_id, "i", "j").agg(F.lit(1).alias("_t"))
-    free = kept.select(site_id, "i", "j").join(taken, [site_id, "i", "j"], "left_anti")
-    areas = free.groupBy(site_id).agg((F.count(F.lit(1)) * (step_m * step_m)).alias("footprint_area_m2"))
-    out = s.select(site_id, "zone_code", "setback_m", "max_height_m").join(areas, site_id, "left").join(first_zone, site_id, "left")
+    limited = F.when(F.col("limit_m").isNotNull(), F.struct(F.col("limit_m"), F.col("_o.zone_id").alias("zid"), F.col("_o.label").alias("label")))
+    met = hits.groupBy(site_id).agg(F.min(limited).alias("_z"), F.collect_set("zring").alias("_rings"))
+    out = s.select(site_id, "zone_code", "ring", "setback_m", "max_height_m").join(met, site_id, "left")
     rule_first = F.col("_z.limit_m").isNull() | (F.col("max_height_m") <= F.col("_z.limit_m"))
     limit = F.least("max_height_m", F.col("_z.limit_m"))
     return out.select(
-        site_id, "zone_code", "setback_m", F.coalesce("footprint_area_m2", F.lit(0.0)).alias("footprint_area_m2"),
+        site_id, "zone_code", "setback_m", F.coalesce(slabs.free_area_udf("ring", "setback_m", "_rings"), F.lit(0.0)).alias("footprint_area_m2"),
         limit.alias("max_height_m"),
         F.when(F.col("max_height_m").isNotNull() & rule_first, F.concat(F.lit("ПЗЗ "), F.col("zone_code")))
         .otherwise(F.col("_z.label")).alias("height_limit_source"),
     )
-
-

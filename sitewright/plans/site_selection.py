@@ -37,7 +37,7 @@ def select_shapes(features: DataFrame, sites: DataFrame, *, feature_id: str = "o
     """Lines and areas of many sites: pieces inside the circle, in local coordinates.
 
     features: feature_id, layer, geometry ('line' or 'area'), path (lon/lat), tags. A line gives one row
-    per segment piece (seq, ring null), an area one row with its clipped ring.
+    per segment piece (seq, ring null), an area one row per part that is left of its ring.
     """
     framed = selection.with_site_frame(sites.select("site_id", "center_lon", "center_lat", "radius_m"))
     hit = selection.shapes_in_radius(features, framed, feature_id, margin_m)
