@@ -17,7 +17,7 @@ from sitewright.functions import attributes as at
 from sitewright.functions import crs, geom, kernels, numbers, tilemath
 from sitewright.functions import tags as tg
 from sitewright.operators import audit, builders, exports, lines, objects, relief, selection, siting, surfaces, tiles, zones
-from sitewright.plans import site_selection, steps
+from sitewright.plans import site_selection
 from sitewright.sources import tables
 
 
@@ -683,13 +683,15 @@ def g04_shrubs(spark, d):
 
 @query("x04_resumable_steps", "SELECT layer, count(*) AS n, CAST(2 AS INT) AS ran_first, CAST(0 AS INT) AS ran_again FROM v_features GROUP BY layer")
 def x04(spark, d):
-    """Two named steps, run twice over one folder: the second run finds both tables finished."""
+    """The selected table is written and read by the step that follows; written again it is the same table, with no row twice."""
     v = V(spark, d)
-    plan = [("select", lambda t: v.features().select("osm_id", "layer")), ("count", lambda t: t["select"].groupBy("layer").agg(F.count(F.lit(1)).alias("n")))]
-    folder = tables.fresh_path(spark, "steps")
-    _, first = steps.run_steps(spark, plan, folder)
-    out, again = steps.run_steps(spark, plan, folder)
-    return out["count"].select("layer", "n", F.lit(len(first)).alias("ran_first"), F.lit(len(again)).alias("ran_again"))
+    path = tables.fresh_path(spark, "steps") + "/select"
+    selected = v.features().select("osm_id", "layer")
+    for _ in range(2):
+        selected.write.mode("overwrite").parquet(path)
+    per_layer = lambda df, name: df.groupBy("layer").agg(F.count(F.lit(1)).alias(name))
+    out = per_layer(spark.read.schema(selected.schema).parquet(path), "n").join(per_layer(selected, "want"), "layer")
+    return out.select("layer", "n", F.lit(2).alias("ran_first"), F.when(F.col("n") == F.col("want"), 0).otherwise(1).alias("ran_again"))
 
 
 @query("x05_geometry_kernels", f"WITH {OVERLAP} SELECT osm_id, zone_id, round(w * h, 6) AS overlap_m2, CAST(1 AS DOUBLE) AS box_fill FROM ov WHERE w > 0 AND h > 0")

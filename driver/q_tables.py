@@ -260,13 +260,18 @@ def s18(spark, d):
 
 
 @query("s19_outline_export", """WITH o AS (SELECT 'Здания' AS drawing_layer, osm_id, cx - hx AS minx, cy - hy AS miny, cx + hx AS maxx, cy + hy AS maxy FROM v_buildings UNION ALL SELECT 'Вода', id, minx, miny, maxx, maxy FROM v_zones),
+g AS (SELECT *, 0 AS ring_no, 0.0 AS cut FROM o UNION ALL SELECT *, 1, 1.0 FROM o WHERE osm_id % 3 = 0 UNION ALL SELECT *, 2, 1.5 FROM o WHERE osm_id % 6 = 0),
 k AS (SELECT * FROM (VALUES (0), (1), (2), (3)) t(pos))
-SELECT drawing_layer, osm_id, CAST(0 AS INT) AS ring_no, CAST(pos AS INT) AS pos, CASE WHEN pos IN (1, 2) THEN maxx ELSE minx END AS x, CASE WHEN pos >= 2 THEN maxy ELSE miny END AS y FROM o, k""")
+SELECT drawing_layer, osm_id, CAST(ring_no AS INT) AS ring_no, CAST(pos AS INT) AS pos, CAST(CASE WHEN pos IN (1, 2) THEN maxx - cut ELSE minx + cut END AS DOUBLE) AS x, CAST(CASE WHEN pos >= 2 THEN maxy - cut ELSE miny + cut END AS DOUBLE) AS y FROM g, k""")
 def s19(spark, d):
+    """Every third outline has an inner ring, every sixth two."""
     v = V(spark, d)
-    b = v.buildings().select(F.lit("Здания").alias("drawing_layer"), "osm_id", F.array("ring").alias("rings"))
-    w = v.zones().select(F.lit("Вода").alias("drawing_layer"), F.col("id").alias("osm_id"), F.array("ring").alias("rings"))
-    return exports.outline_rows(b.unionByName(w), ["drawing_layer", "osm_id"])
+    b = v.buildings().select(F.lit("Здания").alias("drawing_layer"), "osm_id", "ring")
+    o = b.unionByName(v.zones().select(F.lit("Вода").alias("drawing_layer"), F.col("id").alias("osm_id"), "ring"))
+    low, high = F.col("ring")[0], F.col("ring")[2]
+    inner = lambda cut: geom.rect_ring(low.x + cut, low.y + cut, high.x - cut, high.y - cut)
+    rings = F.when(F.col("osm_id") % 6 == 0, F.array("ring", inner(1.0), inner(1.5))).when(F.col("osm_id") % 3 == 0, F.array("ring", inner(1.0))).otherwise(F.array("ring"))
+    return exports.outline_rows(o.select("drawing_layer", "osm_id", rings.alias("rings")), ["drawing_layer", "osm_id"])
 
 
 @query("s20_city_objects", """SELECT CAST(osm_id AS BIGINT) AS osm_id, 'building-' || osm_id AS object_id, building_type, CAST(coalesce(TRY_CAST(height_tag AS DOUBLE), 9) AS DOUBLE) AS height_m, cx - hx AS minx, cy - hy AS miny, cx + hx AS maxx, cy + hy AS maxy FROM v_buildings

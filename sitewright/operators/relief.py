@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewright import rules
-from sitewright.functions import geom
+from sitewright.functions import geom, rasters
 from sitewright.operators.chunks import haloed, own_rows
 from sitewright.operators.spatial import BOX, points_in_boxes, salted_join
 
@@ -48,7 +48,7 @@ def sample(points: DataFrame, cells: DataFrame, grid: DataFrame, key: Sequence[s
     rest = [c for c in points.columns if c not in key and c != "source_id"]
     g = {n: F.col(f"_g_{n}") for n in ("x0", "y0", "px", "width", "height")}
     head = grid.select("source_id", *[F.col(n).alias(f"_g_{n}") for n in g])
-    p = points.join(F.broadcast(head), "source_id", "left")  # one row per source: bounded by the source registry
+    p = points.join(head, "source_id", "left")  # one row per source: bounded by the source registry
     p = p.withColumns({"_cf": (F.col(x) - g["x0"]) / g["px"] - 0.5, "_rf": (g["y0"] - F.col(y)) / g["px"] - 0.5})
     inside = (F.col("_cf") >= 0) & (F.col("_rf") >= 0) & (F.col("_cf") <= g["width"] - 1) & (F.col("_rf") <= g["height"] - 1)
     # points off the grid get spread-out negative rows: they match nothing and do not pile up in one partition
@@ -93,7 +93,7 @@ def ring_minimum(rings: DataFrame, cells: DataFrame, grid: DataFrame, key: str,
 
 def covered_cells(areas: DataFrame, grid: DataFrame, key: Sequence[str], ring: str = "ring") -> DataFrame:
     """Cells whose centre lies inside a ring: row and column ranges from its box, then the exact test."""
-    a = geom.with_bbox(areas, ring, "_").join(F.broadcast(grid), "source_id")
+    a = geom.with_bbox(areas, ring, "_").join(grid, "source_id")
     px = F.col("px")
     lo = lambda v: F.greatest(F.ceil(v).cast("bigint"), F.lit(0).cast("bigint"))
     r0, r1 = lo((F.col("y0") - F.col("_maxy")) / px - 0.5), F.least(F.floor((F.col("y0") - F.col("_miny")) / px - 0.5), F.col("height") - 1)
@@ -256,8 +256,8 @@ def merge_sources(sources: Sequence[DataFrame], px: float, width_m: float = rule
 
 def plane_corrected(cells: DataFrame, grid: DataFrame, model: DataFrame) -> DataFrame:
     """z + offset + gx (x - x0) + gy (y - y0); ``model`` holds one row per source."""
-    c = cells.join(F.broadcast(grid), "source_id").join(
-        F.broadcast(model.select("source_id", "offset", "gx", "gy", "ox", "oy")), "source_id"
+    c = cells.join(grid, "source_id").join(
+        model.select("source_id", "offset", "gx", "gy", "ox", "oy"), "source_id"
     )
     x, y = cell_centre(F.col("r"), F.col("c"))
     z = F.col("z") + F.col("offset") + F.col("gx") * (x - F.col("ox")) + F.col("gy") * (y - F.col("oy"))
@@ -298,6 +298,27 @@ def fit_height_offset(points: DataFrame, key: Sequence[str], order: str) -> Data
     )
 
 
+def other_side(w: DataFrame, key: str, inside: str = "_in") -> DataFrame:
+    """Adds _d2, the exact squared distance in cells to the nearest cell of the other kind within the same key's window; null for none.
+
+    ``w``: one row per (key, r, c), a full rectangle of cells for each key. Separable: first along columns, by windows over (key, column), then along rows as a lower envelope of
+    parabolas, (key, row) by (key, row). Both passes are linear in the cells, however wide the transition is.
+    """
+    up = Window.partitionBy(key, "c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(key, "c").orderBy("r").rowsBetween(0, Window.unboundedFollowing)
+    is_in = F.col(inside)
+
+    def along(kind: Column) -> Column:
+        at = F.when(kind, F.col("r"))
+        return F.least(F.col("r") - F.last(at, ignorenulls=True).over(up), F.first(at, ignorenulls=True).over(down) - F.col("r"))
+
+    rows = w.withColumns({"_to_in": along(is_in), "_to_out": along(~is_in)})
+    rows = rows.groupBy(key, "r").agg(F.array_sort(F.collect_list(F.struct("c", F.col(inside).alias("i"), "_to_in", "_to_out"))).alias("x"))
+    rows = rows.select(key, "r", F.col("x.c").alias("_c"), rasters.row_distance_udf("x.c", "x.i", "x._to_in", "x._to_out").alias("_d2"))
+    d = rows.select(key, "r", F.explode(F.arrays_zip("_c", "_d2")).alias("y")).select(key, "r", F.col("y._c").alias("c"), "y._d2")
+    return w.join(d, [key, "r", "c"], "left")
+
+
 def flatten_pad(cells: DataFrame, grid: DataFrame, pads: DataFrame, walls: DataFrame, key: str, px: float,
                 slope: float = rules.SLOPE_RATIO) -> DataFrame:
     """Relief of each site with its pad flattened to the design height.
@@ -309,7 +330,7 @@ def flatten_pad(cells: DataFrame, grid: DataFrame, pads: DataFrame, walls: DataF
     """
     p = pads.join(walls.select(key, "max_diff_m"), key)
     p = p.withColumn("width_m", F.greatest(F.col("max_diff_m") * slope, F.lit(1.0)))
-    p = geom.with_bbox(p, "pad_ring", "_").join(F.broadcast(grid), "source_id")
+    p = geom.with_bbox(p, "pad_ring", "_").join(grid, "source_id")
     half = F.col("width_m") / 2.0 + px
     at_least = lambda v: F.greatest(F.floor(v).cast("bigint"), F.lit(0).cast("bigint"))
     r0, r1 = at_least((F.col("y0") - F.col("_maxy") - half) / px - 0.5), F.least(F.ceil((F.col("y0") - F.col("_miny") + half) / px - 0.5), F.col("height") - 1)
@@ -318,16 +339,7 @@ def flatten_pad(cells: DataFrame, grid: DataFrame, pads: DataFrame, walls: DataF
     w = p.withColumn("r", F.explode(span(r0, r1))).withColumn("c", F.explode(span(c0, c1)))
     x, y = cell_centre(F.col("r"), F.col("c"))
     w = w.withColumns({"_in": geom.covers(x, y, F.col("pad_ring"))})
-    # nearest opposite cell inside the window, by explicit offsets up to half the width
-    k = F.ceil(F.col("width_m") / 2.0 / px).cast("bigint")
-    offs = w.select(key, "r", "c", "_in", k.alias("_k"))
-    offs = offs.withColumn("dr", F.explode(F.sequence(-F.col("_k"), F.col("_k")))).withColumn("dc", F.explode(F.sequence(-F.col("_k"), F.col("_k"))))
-    offs = offs.withColumns({"r2": F.col("r") + F.col("dr"), "c2": F.col("c") + F.col("dc")})
-    on_grid = w.select(key, F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("_in").alias("_in2"))
-    d = offs.join(on_grid, [key, "r2", "c2"]).where(F.col("_in") != F.col("_in2")).groupBy(key, "r", "c").agg(
-        F.min(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("_d2")
-    )
-    w = w.join(d, [key, "r", "c"], "left")
+    w = other_side(w, key)
     dist = F.coalesce(F.sqrt(F.col("_d2").cast("double")) * px, F.col("width_m"))
     signed = F.when(F.col("_in"), dist).otherwise(-dist)
     alpha = geom.clamp01((signed + F.col("width_m") / 2.0) / F.col("width_m"))
