@@ -236,22 +236,28 @@ def blend(cells: DataFrame, base: str, overlay: str, valid: str, px: float, widt
     return a.withColumn(out, F.col("alpha") * F.col(overlay) + (1.0 - F.col("alpha")) * F.col(base))
 
 
-def merge_sources(sources: Sequence[DataFrame], px: float, width_m: float = rules.TRANSITION_WIDTH_M) -> DataFrame:
-    """Fold sources from low to high priority (already ordered, all on one full grid of r, c, z).
+def merge_sources(sources: Sequence[DataFrame], px: float, width_m: float = rules.TRANSITION_WIDTH_M, block: int = 256) -> DataFrame:
+    """Fold sources from low to high priority (already ordered, all on one full grid of source_id, r, c, z).
 
-    Cells new in a source are copied, cells known before are blended, the rest stays.
+    Cells new in a source are copied, cells known before are blended, the rest stays. A source's weights depend on its own cells only, so all
+    sources meet at once: one shuffle into blocks of ``block`` x ``block`` cells, each with the border that its transitions need, and the fold runs
+    in the block. The number of exchanges does not grow with the sources; a task holds a block of those that cover it.
     """
     if not sources:
         raise LookupError("no relief coverage")
-    merged = sources[0].select("source_id", "r", "c", "z")
-    for nxt in sources[1:]:
-        both = merged.join(nxt.select("source_id", "r", "c", F.col("z").alias("_new")), ["source_id", "r", "c"], "full")
-        both = both.withColumn("_valid", F.col("_new").isNotNull())
-        both = transition_alpha(both, "_valid", px, width_m)
-        mixed = F.col("alpha") * F.col("_new") + (1.0 - F.col("alpha")) * F.col("z")
-        z = F.when(F.col("_valid") & F.col("z").isNotNull(), mixed).otherwise(F.coalesce("z", "_new"))
-        merged = both.select("source_id", "r", "c", z.alias("z"))
-    return merged
+    halo = int(width_m / 2.0 / px) + 1 if width_m > 0 else 0
+    block = max(block, halo, 1)
+    rows = None
+    for i, s in enumerate(sources):
+        s = s.select("source_id", F.lit(i).alias("_s"), F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), F.col("z").cast("double").alias("z"))
+        rows = s if rows is None else rows.unionByName(s)
+    at = lambda v, d: F.floor((F.col(v) + d) / float(block)).cast("bigint")
+    reach = lambda v: F.explode(F.array_distinct(F.array(at(v, -halo), at(v, 0), at(v, halo))))
+    rows = rows.withColumn("_br", reach("r")).withColumn("_bc", reach("c"))
+    kind = sources[0].schema
+    schema = f"source_id {kind['source_id'].dataType.simpleString()}, r bigint, c bigint, z double"
+    out = rows.groupBy("source_id", "_br", "_bc").applyInPandas(rasters.folded(px, width_m, halo, block), schema)
+    return out.select("source_id", F.col("r").cast(kind["r"].dataType).alias("r"), F.col("c").cast(kind["c"].dataType).alias("c"), "z")
 
 
 def plane_corrected(cells: DataFrame, grid: DataFrame, model: DataFrame) -> DataFrame:

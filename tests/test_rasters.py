@@ -30,3 +30,28 @@ def test_distance_plan_has_no_offset_rows(spark):
     df = spark.createDataFrame([(1, 0, 0, True)], "k int, r long, c long, _in boolean")
     plan = other_side(df, "k")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1 and "Cartesian" not in plan
+
+
+def test_three_overlapping_sources_against_cell_by_cell_fold(spark):
+    import math
+
+    from sitewright.operators.relief import merge_sources
+
+    rng, px, width = random.Random(5), 10.0, 60.0
+    masks = [lambda r, c: c < 30, lambda r, c: 10 < c < 36 and r > 8, lambda r, c: (r - 20) ** 2 + (c - 20) ** 2 < 120 or r == 39]
+    grids = [{(r, c): float(rng.randint(0, 99)) if m(r, c) and rng.random() < 0.97 else None for r in range(-3, 40) for c in range(40)} for m in masks]
+    want = dict(grids[0])
+    for g in grids[1:]:
+        for (r, c), new in g.items():
+            other = [(r - a) ** 2 + (c - b) ** 2 for a in range(r - 4, r + 5) for b in range(c - 4, c + 5) if (a, b) in g and (g[a, b] is None) == (new is not None)]
+            d = math.sqrt(min(other)) * px if other else width
+            a = min(1.0, max(0.0, ((d if new is not None else -d) + width / 2) / width))
+            old = want[r, c]
+            want[r, c] = a * new + (1 - a) * old if new is not None and old is not None else old if old is not None else new
+    dfs = [spark.createDataFrame([(1, r, c, z) for (r, c), z in g.items()], "source_id int, r int, c int, z double").repartition(3) for g in grids]
+    got = {(x["r"], x["c"]): x["z"] for x in merge_sources(dfs, px, width, block=16).collect()}
+    assert got.keys() == want.keys()
+    for k, z in want.items():
+        assert (got[k] is None) == (z is None) and (z is None or abs(got[k] - z) < 1e-9)
+    plan = lambda n: merge_sources([dfs[0]] * n, px, width)._jdf.queryExecution().executedPlan().toString()
+    assert plan(5).count("Exchange hashpartitioning(source_id") == plan(2).count("Exchange hashpartitioning(source_id") == 1
