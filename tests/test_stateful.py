@@ -145,3 +145,52 @@ def test_run_merges_equal_batch_after_fifty_batches(spark):
     opened = {f.rsplit("/", 2)[-3:-1][0] + "/" + f.rsplit("/", 2)[1] for f in got.inputFiles()}
     assert runs.batches_written(spark, path) == 50 and len(opened) == len(runs.covering(50)) == 5
     assert runs.read_runs(spark, path + "/none", ["id"], "version", schema).count() == 0
+
+
+EVENTS = "event_id long, job_id long, ts timestamp, event_type string, value double"
+
+
+def sliced_events(late_minutes: int, too_late: bool):
+    """Five slices in time order with rows up to ``late_minutes`` late, and where asked for one far behind the watermark at the end."""
+    rng, start = random.Random(11), datetime.datetime(2024, 3, 1)
+    rows = [(i, i % 7, start + datetime.timedelta(minutes=4 * i + rng.random()), rng.choice(["a", "b"]), float(rng.randint(0, 99))) for i in range(300)]
+    sent = sorted(rows, key=lambda r: r[2] + datetime.timedelta(minutes=rng.random() * late_minutes))
+    slices = [sent[i * 60 : (i + 1) * 60] for i in range(5)]
+    if too_late:
+        slices.append([(999, 1, start, "a", 1e6)])
+    return rows, slices
+
+
+@pytest.mark.parametrize("too_late", [False, True])
+def test_step_windows_over_micro_batches_with_late_rows(spark, too_late):
+    rows, slices = sliced_events(9, too_late)
+    at = places(spark)
+    got = feeds.keyed_state(feeds.step_windows(as_stream(spark, slices, EVENTS)), ["window_us", "event_type"], at["path"], at["checkpoint"])
+    df = spark.createDataFrame(rows, EVENTS)
+    want = df.groupBy(F.unix_micros(F.date_trunc("hour", "ts")).alias("window_us"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("max_value"), F.min("value").alias("min_value"))
+    pick = lambda x: sorted(map(tuple, x.select("window_us", "event_type", "n", "max_value", "min_value").collect()))
+    assert pick(got) == pick(want)  # late rows are in, the one behind the watermark is not
+    assert spark.read.parquet(at["path"]).select("batch").distinct().count() >= 5
+
+
+def test_peak_windows_over_micro_batches_with_late_rows(spark):
+    rows, slices = sliced_events(9, True)
+    samples = [[(f"{r[2].replace(tzinfo=datetime.timezone.utc).timestamp():.3f},{int(r[4])}",) for r in s] + [("broken",), ("1,x",), ("1,2,3",)] for s in slices]
+    at = places(spark)
+    w = feeds.peak_windows(feeds.parse_samples(as_stream(spark, samples, "value string")), "1 hour", "30 minutes")
+    got = {r["window_us"]: r["peak_rss_kb"] for r in feeds.keyed_state(w, ["window_us"], at["path"], at["checkpoint"]).collect()}
+    want = {}
+    for r in rows:
+        t = int(r[2].replace(tzinfo=datetime.timezone.utc).timestamp() // 1800) * 1800
+        for s in (t, t - 1800):
+            want[s * 1_000_000] = max(want.get(s * 1_000_000, 0), int(r[4]))
+    assert got == want
+
+
+def test_completion_notices_once_over_micro_batches(spark):
+    rows, slices = sliced_events(9, False)
+    kind = {"a": "done", "b": "failed"}
+    again = [[(r[1], kind[r[3]], r[2]) for r in s] for s in slices] + [[(slices[0][0][1], kind[slices[0][0][3]], slices[4][-1][2])]]
+    got = feeds.completion_notices(as_stream(spark, again, "job_id long, status string, ts timestamp"), **places(spark)).collect()
+    assert len(got) == len({(r["job_id"], r["status"]) for r in got})
+    assert {(r["job_id"], r["status"]) for r in got} == {(r[1], kind[r[3]]) for r in rows}
