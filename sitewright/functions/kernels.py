@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import types as T
@@ -117,39 +118,113 @@ def _open(ring):
     return pts[:-1] if len(pts) > 1 and pts[0] == pts[-1] else pts
 
 
-def _first_crossing(pts):
-    """Edges i < j that properly cross, and the point; None for a simple ring."""
-    n = len(pts)
-    for i in range(n):
-        (ax, ay), (bx, by) = pts[i], pts[(i + 1) % n]
-        for j in range(i + 2, n - (i == 0)):
-            (cx, cy), (dx, dy) = pts[j], pts[(j + 1) % n]
-            den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
-            if den:
-                t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den
-                u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
-                if 0 < t < 1 and 0 < u < 1:
-                    return i, j, (ax + t * (bx - ax), ay + t * (by - ay))
-    return None
+def crossings(points) -> list[tuple[int, float, int, float, tuple[float, float]]]:
+    """All proper crossings of a closed outline's edges: (edge i, how far along, edge j, how far along, point).
+
+    Edges are sorted by their left ends; each meets only those that begin before it ends, of which the ones beside it in height drop out at once.
+    """
+    a = np.array(points, dtype=np.float64)
+    d = np.roll(a, -1, axis=0) - a
+    low, high = np.minimum(a, a + d), np.maximum(a, a + d)
+    order = np.argsort(low[:, 0], kind="stable")
+    last = np.searchsorted(low[order, 0], high[order, 0], side="right")
+    out, n, at = [], len(a), 0
+    while at < n:
+        stop = at + 1  # as many edges at a time as have about a million partners
+        total = last[at] - at
+        while stop < n and total + last[stop] - stop < 1 << 20:
+            total += last[stop] - stop
+            stop += 1
+        counts = last[at:stop] - np.arange(at, stop) - 1
+        first = np.repeat(np.arange(at, stop), counts)
+        second = first + 1 + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        i, j = order[first], order[second]
+        near = (low[i, 1] <= high[j, 1]) & (low[j, 1] <= high[i, 1])
+        i, j = i[near], j[near]
+        den = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
+        gap = a[j] - a[i]
+        with np.errstate(all="ignore"):
+            t, u = (gap[:, 0] * d[j, 1] - gap[:, 1] * d[j, 0]) / den, (gap[:, 0] * d[i, 1] - gap[:, 1] * d[i, 0]) / den
+        beside = (np.abs(i - j) == 1) | (np.abs(i - j) == n - 1)
+        for k in np.flatnonzero((den != 0) & (0 < t) & (t < 1) & (0 < u) & (u < 1) & ~beside):
+            p = a[i[k]] + t[k] * d[i[k]]
+            out.append((int(i[k]), float(t[k]), int(j[k]), float(u[k]), (float(p[0]), float(p[1]))))
+        at = stop
+    return out
+
+
+def _encloses(ring, p) -> bool:
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        if (ay > p[1]) != (by > p[1]) and p[0] < ax + (p[1] - ay) / (by - ay) * (bx - ax):
+            odd = not odd
+    return odd
+
+
+def loops(points) -> list[tuple[list[tuple[float, float]], int]]:
+    """Simple loops of an outline that may cross itself, open, each with the winding number of what lies just inside it.
+
+    At every crossing the two passes change over, so that each goes on along the other's way: the outline falls into loops that do not cross.
+    A loop inside another one of its own direction is wound twice, one of the other direction is a hole.
+    """
+    pts = list(points)
+    on: dict[int, list[tuple[float, int]]] = {}
+    met = crossings(pts) if len(pts) > 3 else []
+    for k, (i, t, j, u, _) in enumerate(met):
+        on.setdefault(i, []).append((t, k))
+        on.setdefault(j, []).append((u, k))
+    walk: list[tuple[tuple[float, float], int]] = []  # place, crossing or -1
+    for e, p in enumerate(pts):
+        walk.append((p, -1))
+        walk += [(met[k][4], k) for _, k in sorted(on.get(e, ()))]
+    passes: dict[int, list[int]] = {}
+    for at, (_, k) in enumerate(walk):
+        if k >= 0:
+            passes.setdefault(k, []).append(at)
+    follow = [(at + 1) % len(walk) for at in range(len(walk))]
+    for x, y in passes.values():
+        follow[x], follow[y] = follow[y], follow[x]
+    rings, left = [], set(range(len(walk)))
+    for begin in range(len(walk)):
+        ring, at = [], begin
+        while at in left:
+            left.discard(at)
+            ring.append(walk[at][0])
+            at = follow[at]
+        if len(ring) > 2:
+            rings.append(ring)
+    turn = [(area > 0) - (area < 0) for area in map(shoelace, rings)]
+    out = []
+    for n, ring in enumerate(rings):
+        if not turn[n]:
+            continue
+        (ax, ay), (bx, by) = max(zip(ring, ring[1:] + ring[:1]), key=lambda s: math.hypot(s[1][0] - s[0][0], s[1][1] - s[0][1]))
+        inward = ((ax + bx) / 2 - (by - ay) * 1e-7 * turn[n], (ay + by) / 2 + (bx - ax) * 1e-7 * turn[n])
+        out.append((ring, turn[n] + sum(turn[m] for m, other in enumerate(rings) if m != n and _encloses(other, inward))))
+    return out
 
 
 def largest_loop(points):
     """A self-crossing ring falls apart at its crossings; the loop of largest area, open, or None."""
-    todo, best = [list(points)], None
-    while todo:
-        pts = todo.pop()
-        if len(pts) < 3:
-            continue
-        hit = _first_crossing(pts)
-        if hit is None:
-            if best is None or abs(shoelace(pts)) > abs(shoelace(best)):
-                best = pts
-        else:
-            i, j, x = hit
-            todo += [pts[: i + 1] + [x] + pts[j + 1 :], [x] + pts[i + 1 : j + 1]]
+    best = max((ring for ring, _ in loops(points)), key=lambda r: abs(shoelace(r)), default=None) if len(points) > 2 else None
     return best
 
 
+_LOOP_T = T.ArrayType(T.StructType([T.StructField("ring", _PATH_T), T.StructField("winding", T.IntegerType()), T.StructField("area_m2", _DOUBLE)]))
+
+
+@pandas_udf(_LOOP_T)
+def loops_udf(ring: pd.Series) -> pd.Series:
+    """All simple loops of a ring, closed, largest first, with the winding number inside; an empty list for none."""
+    def one(r):
+        if r is None or len(r) < 3:
+            return []
+        found = sorted(loops(_open(r)), key=lambda x: -abs(shoelace(x[0])))
+        return [{"ring": [{"x": a, "y": b} for a, b in p + p[:1]], "winding": w, "area_m2": abs(shoelace(p))} for p, w in found]
+
+    return pd.Series([one(r) for r in ring])
+
+
 @pandas_udf(_PATH_T)
 def untangled_udf(ring: pd.Series) -> pd.Series:
     """The largest simple loop of a ring, closed; null for none."""

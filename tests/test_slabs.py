@@ -111,3 +111,50 @@ def test_udfs(spark):
     ).first()
     assert abs(r["a"] - slabs.free_area(ELL, 1.0, ZONES[:2])) < 1e-9 and abs(r["b"] - slabs.free_area(ELL, 1.0, [])) < 1e-9
     assert r["c"] is None and (r["n"], r["none"]) == (1, 0)
+
+
+def test_loops_of_crossing_outlines():
+    loops = lambda p: sorted((round(abs(area(r)), 6), w) for r, w in kernels.loops(p))
+    assert loops(rect(0, 0, 2, 3)) == [(6.0, 1)] and loops(rect(0, 0, 2, 3)[::-1]) == [(6.0, -1)]
+    assert loops([(0, 0), (2, 2), (2, 0), (0, 2)]) == [(1.0, -1), (1.0, 1)]  # bow tie
+    double = [(0, 0), (10, 0), (10, 10), (1, 10), (1, 1), (8, 1), (8, 8), (0, 8)]  # round once, then again inside
+    found = kernels.loops(double)
+    assert sorted(w for _, w in found) == [1, 2] and len(kernels.crossings(double)) == 1
+    assert max(found, key=lambda x: abs(area(x[0])))[1] == 1  # the outer one stays, and the inner one is told as wound twice
+    touching = [(0, 0), (4, 0), (2, 2), (4, 4), (0, 4), (2, 2)]  # meets itself in a corner without crossing
+    assert kernels.crossings(touching) == [] and len(kernels.loops(touching)) == 1
+    assert kernels.loops([(0, 0), (1, 1)]) == [] and kernels.largest_loop([(0, 0), (1, 0)]) is None
+
+
+def test_loops_keep_the_signed_area_and_do_not_cross():
+    rng = random.Random(12)
+    for _ in range(150):
+        p = [(rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(rng.randint(4, 14))]
+        found = kernels.loops(p)
+        assert abs(sum(area(r) for r, _ in found) - area(p)) < 1e-6
+        pairs = 0
+        for i in range(len(p)):
+            for j in range(i + 2, len(p) - (i == 0)):
+                (a, b), (c, d) = (p[i], p[(i + 1) % len(p)]), (p[j], p[(j + 1) % len(p)])
+                side = lambda o, u, v: (u[0] - o[0]) * (v[1] - o[1]) - (u[1] - o[1]) * (v[0] - o[0])
+                pairs += side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+        assert len(kernels.crossings(p)) == pairs
+        # the winding number of a place is the number of loops around it, by direction
+        x, y = rng.uniform(0, 10), rng.uniform(0, 10)
+        turns = sum(math.atan2((ax - x) * (by - y) - (ay - y) * (bx - x), (ax - x) * (bx - x) + (ay - y) * (by - y)) for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1]))
+        assert round(turns / (2 * math.pi)) == sum((1 if area(r) > 0 else -1) for r, _ in found if slabs._holds(r, (x, y)))
+
+
+def test_many_corners_are_quick():
+    import time
+
+    n = 20_000
+    ring = [((100 + k % 2) * math.cos(2 * math.pi * k / n), (100 + k % 2) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    began = time.time()
+    assert kernels.crossings(ring) == [] and time.time() - began < 30
+
+
+def test_loops_udf(spark):
+    bow = F.array(*[geom.point(F.lit(float(x)), F.lit(float(y))) for x, y in [(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]])
+    r = spark.range(1).select(kernels.loops_udf(bow).alias("l"), kernels.loops_udf(F.lit(None).cast("array<struct<x: double, y: double>>")).alias("none")).first()
+    assert [(x["winding"], x["area_m2"]) for x in r["l"]] in ([(1, 1.0), (-1, 1.0)], [(-1, 1.0), (1, 1.0)]) and r["none"] == []
