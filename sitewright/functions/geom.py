@@ -24,6 +24,23 @@ def rect_ring(minx, miny, maxx, maxy) -> Column:
     return F.array(point(minx, miny), point(maxx, miny), point(maxx, maxy), point(minx, maxy), point(minx, miny))
 
 
+def is_rect(ring: Column) -> Column:
+    """Whether a closed ring is an axis-aligned rectangle of four corners; false for null."""
+    r = [F.get(ring, F.lit(i)) for i in range(5)]
+    wide = (r[0].y == r[1].y) & (r[1].x == r[2].x) & (r[2].y == r[3].y) & (r[3].x == r[0].x)
+    tall = (r[0].x == r[1].x) & (r[1].y == r[2].y) & (r[2].x == r[3].x) & (r[3].y == r[0].y)
+    return F.coalesce((F.size(ring) == 5) & (r[0] == r[4]) & (wide | tall), F.lit(False))
+
+
+def rect_overlap_area(p: Column, q: Column) -> Column:
+    """Common area of two rings that are axis-aligned rectangles."""
+    def common(axis: str) -> Column:
+        a, b, c, d = (F.get(ring, F.lit(i)).getField(axis) for ring in (p, q) for i in (0, 2))
+        return F.greatest(F.least(F.greatest(a, b), F.greatest(c, d)) - F.greatest(F.least(a, b), F.least(c, d)), F.lit(0.0))
+
+    return common("x") * common("y")
+
+
 def let(value: Column, body) -> Column:
     """Bind a value once inside an expression, so that a large one is not repeated at each use."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

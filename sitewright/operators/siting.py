@@ -22,11 +22,20 @@ def area_pairs(left: DataFrame, right: DataFrame, left_id: str, lring: str, rrin
     return box_pairs(l, r, cell=cell, left_id=[left_id], lbox=LBOX, rbox=BOX, reach=reach).drop(*LBOX, *BOX)
 
 
+def with_common_area(rows: DataFrame, p: str, q: str, name: str) -> DataFrame:
+    """Adds the common area of two rings. Pairs of axis-aligned rectangles stay in Columns: the kernel gets nulls for them."""
+    out = rows.withColumn("_rects", geom.is_rect(F.col(p)) & geom.is_rect(F.col(q)))
+    other = lambda ring: F.when(~F.col("_rects"), F.col(ring))
+    area = kernels.overlap_area_udf(other(p), other(q))
+    return out.withColumn(name, F.when(F.col("_rects"), geom.rect_overlap_area(F.col(p), F.col(q))).otherwise(area)).drop("_rects")
+
+
 def zone_overlaps(buildings: DataFrame, zones: DataFrame, building_id: str, ring: str = "ring", zring: str = "zring") -> DataFrame:
     """Buildings meeting zones with the common area; touching counts with area 0."""
     p = area_pairs(buildings, zones, building_id, ring, zring, cell=250.0)
-    p = p.where(geom.areas_intersect(F.col(ring), F.col(zring)))
-    return p.withColumn("overlap_m2", kernels.overlap_area_udf(F.col(ring), F.col(zring)))
+    # boxes that meet are all there is to say of two rectangles
+    p = p.where((geom.is_rect(F.col(ring)) & geom.is_rect(F.col(zring))) | geom.areas_intersect(F.col(ring), F.col(zring)))
+    return with_common_area(p, ring, zring, "overlap_m2")
 
 
 def network_clearances(buildings: DataFrame, segments: DataFrame, building_id: str, *, min_m: float = rules.NETWORK_CLEARANCE_M,
@@ -46,9 +55,8 @@ def network_clearances(buildings: DataFrame, segments: DataFrame, building_id: s
 def envelope_violations(buildings: DataFrame, building_id: str, ring: str = "ring", envelope: str = "envelope") -> DataFrame:
     """Buildings not wholly inside their envelope with the area outside."""
     outside = buildings.where(~geom.ring_within(F.col(ring), F.col(envelope)))
-    return outside.withColumn(
-        "outside_m2", geom.area(F.col(ring)) - kernels.overlap_area_udf(F.col(ring), F.col(envelope))
-    )
+    outside = with_common_area(outside, ring, envelope, "_common")
+    return outside.withColumn("outside_m2", geom.area(F.col(ring)) - F.col("_common")).drop("_common")
 
 
 def placement(buildings: DataFrame, ring: str = "local_ring", boundary: str = "boundary") -> DataFrame:
@@ -58,7 +66,7 @@ def placement(buildings: DataFrame, ring: str = "local_ring", boundary: str = "b
     """
     placed = geom.rotate_translate(F.col(ring), F.col("rotation_deg"), F.col("origin_x"), F.col("origin_y"))
     b = buildings.withColumn("placed", placed)
-    b = b.withColumn("_over", kernels.overlap_area_udf(F.col("placed"), F.col(boundary)))
+    b = with_common_area(b, "placed", boundary, "_over")
     a = geom.area(F.col("placed"))
     return b.withColumns({
         "is_within_site": geom.ring_within(F.col("placed"), F.col(boundary)),

@@ -158,3 +158,20 @@ def test_loops_udf(spark):
     bow = F.array(*[geom.point(F.lit(float(x)), F.lit(float(y))) for x, y in [(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]])
     r = spark.range(1).select(kernels.loops_udf(bow).alias("l"), kernels.loops_udf(F.lit(None).cast("array<struct<x: double, y: double>>")).alias("none")).first()
     assert [(x["winding"], x["area_m2"]) for x in r["l"]] in ([(1, 1.0), (-1, 1.0)], [(-1, 1.0), (1, 1.0)]) and r["none"] == []
+
+
+def test_common_area_of_rectangles_and_others(spark):
+    from sitewright.operators.siting import with_common_area
+
+    shapes = [rect(0, 0, 4, 3), rect(2, 1, 9, 9)[::-1], [(1, 1), (1, 5), (5, 5), (5, 1)], ELL, turned(rect(0, 0, 4, 4), 0.4), rect(4, 0, 6, 3), [(0, 0), (4, 0), (4, 4), (2, 4)]]
+    rows = [(i, j, [*a, a[0]], [*b, b[0]]) for i, a in enumerate(shapes) for j, b in enumerate(shapes)] + [(-1, 0, None, [*shapes[0], shapes[0][0]])]
+    ring = "array<struct<x: double, y: double>>"
+    rows = [(i, j, *[None if r is None else [(float(x), float(y)) for x, y in r] for r in (a, b)]) for i, j, a, b in rows]
+    df = spark.createDataFrame(rows, f"i int, j int, p {ring}, q {ring}")
+    for r in with_common_area(df, "p", "q", "m2").collect():
+        if r["i"] < 0:
+            assert r["m2"] is None
+        else:
+            assert abs(r["m2"] - slabs.overlap_area(shapes[r["i"]], shapes[r["j"]])) < 1e-6
+    got = {r["i"]: r["k"] for r in df.where("j = 0").select("i", geom.is_rect(F.col("p")).alias("k")).collect()}
+    assert got == {-1: False, 0: True, 1: True, 2: True, 3: False, 4: False, 5: True, 6: False}
