@@ -253,6 +253,23 @@ def oriented_box_udf(ring: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["cx", "cy", "length", "width", "ax", "ay"]).astype("float64")
 
 
+@pandas_udf(_PATH_T)
+def clip_to_circle_udf(ring: pd.Series, cx: pd.Series, cy: pd.Series, r: pd.Series) -> pd.Series:
+    """Ring clipped to a 64-corner circle as one ring, its parts joined along the circle; null when nothing is left."""
+    def one(ring_, x, y, rad):
+        if ring_ is None or len(ring_) == 0:
+            return None
+        circle = [
+            (x + rad * math.cos(2 * math.pi * k / 64), y + rad * math.sin(2 * math.pi * k / 64)) for k in range(64)
+        ]
+        pts = clip_convex(_open(ring_), circle)
+        if len(pts) < 3 or abs(shoelace(pts)) == 0.0:
+            return None
+        return [{"x": a, "y": b} for a, b in pts + pts[:1]]
+
+    return pd.Series([one(*row) for row in zip(ring, cx, cy, r)])
+
+
 def hull_rows(key: str):
     """mapInPandas function: hull vertices per key inside each Arrow batch (a map-side combine)."""
     def run(batches):
