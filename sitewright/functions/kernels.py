@@ -118,6 +118,12 @@ def _open(ring):
     return pts[:-1] if len(pts) > 1 and pts[0] == pts[-1] else pts
 
 
+def _first_crossing(pts):
+    """Edges i < j that properly cross, and the point, of the lowest i and then j; None for a simple ring."""
+    first = min(((min(i, j), max(i, j), p) for i, _, j, _, p in crossings(pts)), default=None) if len(pts) > 3 else None
+    return first
+
+
 def crossings(points) -> list[tuple[int, float, int, float, tuple[float, float]]]:
     """All proper crossings of a closed outline's edges: (edge i, how far along, edge j, how far along, point).
 

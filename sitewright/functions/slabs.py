@@ -221,7 +221,7 @@ def clip_parts(subject: Ring, clip: Ring) -> list[Ring]:
             left.discard(now)
             s = stretches[now]
             ring += s["pts"]
-            ahead = lambda k: (stretches[k]["in"] - s["out"]) % n  # noqa: E731, B023
+            ahead = lambda k: (stretches[k]["in"] - s["out"] + 1e-9) % n  # noqa: E731, B023 - a link to a hole comes back in where it went out
             nxt = min((k for k in (*left, first)), key=lambda k: (ahead(k), k))
             step = ahead(nxt)
             c = math.floor(s["out"]) + 1

@@ -175,3 +175,15 @@ def test_common_area_of_rectangles_and_others(spark):
             assert abs(r["m2"] - slabs.overlap_area(shapes[r["i"]], shapes[r["j"]])) < 1e-6
     got = {r["i"]: r["k"] for r in df.where("j = 0").select("i", geom.is_rect(F.col("p")).alias("k")).collect()}
     assert got == {-1: False, 0: True, 1: True, 2: True, 3: False, 4: False, 5: True, 6: False}
+
+
+def test_clip_of_outlines_with_linked_holes():
+    rng = random.Random(21)
+    c = slabs.circle(0, 0, 10)
+    for trial in range(120):
+        a = rng.uniform(0, 2 * math.pi)
+        x, y = rng.uniform(-8, 8), rng.uniform(-8, 8)
+        # a square with a square hole, the link between them walked both ways
+        linked = turned([(-9, -9), (9, -9), (9, 9), (-9, 9), (-9, -9), (-4, -3), (-4, 3), (3, 3), (3, -3), (-4, -3)], a, x, y)
+        parts = slabs.clip_parts(linked, c)
+        assert abs(sum(map(area, parts)) - slabs.overlap_area(linked, c)) < 1e-5, trial
