@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from sitewright.functions import slabs
+from sitewright.functions.slabs import overlap_area as slab_overlap_area  # the function alone: a module would travel with its used UDFs
 
 # executors need not have this package installed: its functions travel with the task
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -248,7 +248,7 @@ def overlap_area_udf(p: pd.Series, q: pd.Series) -> pd.Series:
             return None
         a, b = _open(a), _open(b)
         # the same area either way: pairs of triangles for a few corners, slabs beyond, which grow with the corners and not with their product
-        return overlap_area(a, b) if len(a) * len(b) <= 64 else slabs.overlap_area(a, b)
+        return overlap_area(a, b) if len(a) * len(b) <= 64 else slab_overlap_area(a, b)
 
     return pd.Series([one(a, b) for a, b in zip(p, q)], dtype="float64")
 
