@@ -27,15 +27,16 @@ def _site_boxes(sites: DataFrame, margin_m: float) -> DataFrame:
 
 
 def points_in_radius(features: DataFrame, sites: DataFrame, feature_id: str, margin_m: float = rules.SELECTION_MARGIN_M,
-                     cell_deg: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+                     cell_deg: float = 0.005, by: Sequence[str] = ()) -> DataFrame:
     """Point features (lon, lat) within radius + margin of each site, by great-circle distance.
 
     ``by`` names columns that must agree, such as the zone a feature is projected in.
 
-    The box test comes first: it is an equi-join on cells, and on a stored table it prunes row groups.
+    The box test comes first: it is an equi-join on cells as large as the circles, whatever their radius
+    (``cell_deg`` is the smallest).
     """
     boxes = _site_boxes(sites, margin_m)
-    p = points_in_boxes(features, boxes, cell=cell_deg, point_id=[feature_id], by=by, x="lon", y="lat", levels=2)
+    p = points_in_boxes(features, boxes, cell=cell_deg, point_id=[feature_id], by=by, x="lon", y="lat")
     d = crs.haversine_m(F.col("center_lon"), F.col("center_lat"), F.col("lon"), F.col("lat"))
     return p.drop(*BOX).withColumn("distance_m", d).where(F.col("distance_m") <= F.col("radius_m") + margin_m)
 
@@ -47,11 +48,11 @@ def local_path(path: Column, lon: Column, lat: Column) -> Column:
 
 
 def shapes_in_radius(features: DataFrame, sites: DataFrame, feature_id: str, margin_m: float = rules.SELECTION_MARGIN_M,
-                     cell_deg: float = 0.05, path: str = "path") -> DataFrame:
+                     cell_deg: float = 0.005, path: str = "path") -> DataFrame:
     """Line and area features (lon/lat path) by distance of the geometry itself; ``geometry`` tells the kind."""
     f = geom.with_bbox(features, path, "f")
     boxes = _site_boxes(sites, margin_m)
-    p = box_pairs(f, boxes, cell=cell_deg, left_id=[feature_id], lbox=("fminx", "fminy", "fmaxx", "fmaxy"), rbox=BOX, levels=3)
+    p = box_pairs(f, boxes, cell=cell_deg, left_id=[feature_id], lbox=("fminx", "fminy", "fmaxx", "fmaxy"), rbox=BOX)
     p = p.withColumn("_lp", local_path(F.col(path), F.col("center_lon"), F.col("center_lat")))
     zero = F.lit(0.0)
     d = F.when(F.col("geometry") == "area", geom.dist_to_area(zero, zero, F.col("_lp"))).otherwise(geom.dist_to_path(zero, zero, F.col("_lp")))
@@ -119,7 +120,7 @@ def parcels_near(parcels: DataFrame, points: DataFrame, half_deg: float = 0.01)
         "minx": F.col("center_lon") - half_deg, "maxx": F.col("center_lon") + half_deg,
         "miny": F.col("center_lat") - half_deg, "maxy": F.col("center_lat") + half_deg,
     })
-    hit = points_in_boxes(p, b, cell=2 * half_deg, point_id=["id"], x="lon", y="lat", levels=2)
+    hit = points_in_boxes(p, b, cell=2 * half_deg, point_id=["id"], x="lon", y="lat")
     near = (F.abs(F.col("lon") - F.col("center_lon")) <= half_deg) & (F.abs(F.col("lat") - F.col("center_lat")) <= half_deg)
     return hit.where(near).drop(*BOX)
 

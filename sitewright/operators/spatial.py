@@ -1,7 +1,8 @@
 """Spatial joins as equi-joins on grid cells.
 
-* Boxes live on the grid level whose cell is at least as large as the box, so each covers at most
-  four cells; points carry one cell per level. A pair meets exactly once.
+* Boxes live on the grid level whose cell is at least as large as the box, whatever its size, so each
+  covers at most four cells; points carry one cell per level that occurs among the boxes (a scalar
+  subquery over the box columns: an array of at most 61 numbers). A pair meets exactly once.
 * A hot cell (one cell may hold a third of all rows) is split by adaptive skew handling, which cuts
   the hot partition at run time; nothing is repeated for keys that are not hot.
 * Exact predicates run right behind the join, inside the same stage.
@@ -47,12 +48,21 @@ def _cell(v: Column, size: Column) -> Column:
     return F.floor(v / size).cast("bigint")
 
 
-def _level(box: Sequence[str], cell: float, levels: int, reach) -> Column:
+TOP = 60
+
+
+def _level(box: Sequence[str], cell: float, levels: int | None, reach) -> Column:
+    """Power of two of the smallest cell that is as large as the box."""
     side = F.greatest(F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1])) + 2.0 * reach
-    out = F.lit(levels - 1)
-    for lv in range(levels - 2, -1, -1):
-        out = F.when(side <= cell * 2**lv, F.lit(lv)).otherwise(out)
-    return out
+    out = F.greatest(F.ceil(F.log2(F.greatest(side, F.lit(cell)) / cell)).cast("int"), F.lit(0))
+    return F.least(out, F.lit(TOP if levels is None else levels - 1))
+
+
+def _present(df: DataFrame, level: str, levels: int | None) -> Column:
+    """Levels that occur in a column, or all of a given number of levels."""
+    if levels is not None:
+        return F.array(*[F.lit(i) for i in range(levels)])
+    return df.agg(F.array_sort(F.collect_set(level))).scalar()
 
 
 def _size(level: Column, cell: float) -> Column:
@@ -67,17 +77,17 @@ def _explode_cells(df: DataFrame, box: Sequence[str], size: Column, reach) -> Da
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, *, cell: float, point_id: Sequence[str],
                     by: Sequence[str] = (), x: str = "x", y: str = "y", box: Sequence[str] = BOX,
-                    reach=0.0, levels: int = 3, fan: int = 1) -> DataFrame:
+                    reach=0.0, levels: int | None = None, fan: int = 1) -> DataFrame:
     """Every (point, box) pair with the point in the box grown by ``reach``, each pair once.
 
-    Column names of the two sides must differ, except ``by``.
+    Column names of the two sides must differ, except ``by``. ``levels`` fixes the number of levels where
+    the boxes are dear to compute and of known sizes; larger ones then cover more cells.
     """
     reach = F.lit(float(reach)) if not isinstance(reach, Column) else reach
-    lv = F.array(*[F.lit(i) for i in range(levels)])
-    p = points.withColumn("_lv", F.explode(lv))
+    b = boxes.withColumns({"_lv": _level(box, cell, levels, reach), "_reach": reach})
+    p = points.withColumn("_lv", F.explode(_present(b, "_lv", levels)))
     size = _size(F.col("_lv"), cell)
     p = p.withColumns({"_cx": _cell(F.col(x), size), "_cy": _cell(F.col(y), size)})
-    b = boxes.withColumns({"_lv": _level(box, cell, levels, reach), "_reach": reach})
     b = _explode_cells(b, box, size, F.col("_reach"))
     keys = [*by, "_lv", "_cx", "_cy"]
     pairs = salted_join(p, b, keys, point_id, fan=fan)
@@ -90,29 +100,31 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, *, cell: float, point_i
 
 
 def box_pairs(left: DataFrame, right: DataFrame, *, cell: float, left_id: Sequence[str], by: Sequence[str] = (),
-              lbox: Sequence[str], rbox: Sequence[str], reach: float = 0.0, levels: int = 3,
+              lbox: Sequence[str], rbox: Sequence[str], reach: float = 0.0, levels: int | None = None,
               fan: int = 1) -> DataFrame:
     """Every pair of boxes within ``reach`` of each other (box distance per axis), each pair once.
 
     Pairs meet on the coarser of their two levels, in the cell of the lower-left corner of the
-    common box, so no distinct is needed.
+    common box, so no distinct is needed. A box is repeated only on coarser levels of the other side.
     """
     l = left.withColumn("_ll", _level(lbox, cell, levels, reach))
     r = right.withColumn("_rl", _level(rbox, cell, levels, 0.0))
     size = _size(F.col("_lv"), cell)
 
-    def cells(df, level, box, rch, start):
-        up = F.sequence(start, F.lit(levels - 1)) if start is not None else F.array(level)
-        if start is not None:
-            up = F.when(start <= levels - 1, up).otherwise(F.array().cast("array<int>"))
-        return _explode_cells(df.withColumn("_lv", F.explode(up)), box, size, rch)
-
     ll, rl = F.col("_ll"), F.col("_rl")
     keys = [*by, "_lv", "_cx", "_cy"]
-    l_up = cells(l, ll, lbox, reach, ll)
-    r_native = cells(r, rl, rbox, 0.0, None)
-    l_native = cells(l, ll, lbox, reach, None)
-    r_above = cells(r, rl, rbox, 0.0, rl + 1)
+
+    def native(df, level, box, rch):
+        return _explode_cells(df.withColumn("_lv", level), box, size, rch)
+
+    def above(df, other, name, box, rch, wanted):
+        up = df.withColumn("_up", _present(other, name, levels)).withColumn("_lv", F.explode(F.filter("_up", wanted))).drop("_up")
+        return _explode_cells(up, box, size, rch)
+
+    l_up = above(l, r, "_rl", lbox, reach, lambda v: v >= ll)
+    r_native = native(r, rl, rbox, 0.0)
+    l_native = native(l, ll, lbox, reach)
+    r_above = above(r, l, "_ll", rbox, 0.0, lambda v: v > rl)
     pairs = salted_join(l_up, r_native, keys, left_id, fan=fan).unionByName(
         salted_join(l_native, r_above, keys, left_id, fan=fan)
     )

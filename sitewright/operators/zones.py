@@ -126,9 +126,9 @@ def rank_by_distance(near: DataFrame, *, point_id: str, zone_id: str, band_m: fl
 
     Distance bands are the chunks, so a point with very many zones is ranked in pieces.
     """
-    ranked = sequenced(near, [point_id], ["distance_m", zone_id], F.floor(F.col("distance_m") / band_m), number="pos")
-    first = ranked.groupBy(point_id, "distance_m").agg(F.min("pos").alias("rank"))
-    return ranked.join(first, [point_id, "distance_m"])
+    return sequenced(
+        near, [point_id], ["distance_m", zone_id], F.floor(F.col("distance_m") / band_m), number="pos", rank=("rank", ["distance_m"])
+    )
 
 
 def envelope(sites: DataFrame, regulations: DataFrame, obstacles: DataFrame, *, site_id: str, cell: float = 250.0) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitewright.functions import geom
@@ -170,3 +171,47 @@ def test_alert_stream_over_several_files_equals_batch(spark, tmp_path):
     want = jobs.held_alerts(df, key="k", ts="ts", bad="bad", hold_s=120)
     cols = ["k", "t0", "t1", "n_samples"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+@pytest.mark.parametrize("keys", [("k",), ("k", "g")])
+def test_sequenced_ranks_ties_nulls_and_null_keys(spark, keys):
+    rows = [("a", 1, 1.0, i) for i in range(5)] + [("a", 1, 2.0, 7), ("a", 1, 900.0, 8), ("a", 1, None, 9), (None, 2, 5.0, 1), (None, 2, 5.0, 2), ("b", None, 3.0, 4)]
+    df = spark.createDataFrame(rows, "k string, g int, d double, i int")
+    out = chunks.sequenced(df, keys, ["d", "i"], F.floor("d"), number="n", rank=("rk", ["d"]))
+    w = Window.partitionBy(*keys).orderBy("d", "i")
+    want = df.select("*", F.row_number().over(w).cast("bigint").alias("n"), F.rank().over(Window.partitionBy(*keys).orderBy("d")).cast("bigint").alias("rk"))
+    assert sorted(map(repr, out.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbering_scans_and_shuffles_its_input_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(2000).select((F.col("id") % 7).alias("k"), F.col("id").alias("s"), F.col("id").alias("v"), F.lit("x").alias("unused")).write.parquet(path)
+    df = spark.read.parquet(path).select("k", "s", "v")
+    out = chunks.sequenced(df, ["k"], ["s"], F.floor(F.col("s") / 100.0), number="n", following={"nx": "v"}, preceding={"pv": "v"})
+    for cut in (out, out.select("s", "n"), out.where(F.col("nx").isNull()).select("s"), out.where("v > 5").select("k", "pv")):
+        plan = final_plan(cut)
+        plan = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+        assert plan.count("FileScan parquet") == 1, plan
+        assert "ReusedExchange" in plan and "unused" not in plan
+
+
+def test_a_box_covers_at_most_four_cells_whatever_its_size(spark):
+    boxes = spark.createDataFrame([(i, 13.0 * i, -7.0 * i, 13.0 * i + side, -7.0 * i + side / 3) for i, side in enumerate([0.0, 1.0, 249.0, 250.0, 251.0, 1e4, 1e5, 1e7])],
+                                  "bid int, minx double, miny double, maxx double, maxy double")
+    b = boxes.withColumn("_lv", spatial._level(spatial.BOX, 250.0, None, F.lit(0.0)))
+    cells = spatial._explode_cells(b, spatial.BOX, spatial._size(F.col("_lv"), 250.0), F.lit(0.0))
+    assert cells.groupBy("bid").count().agg(F.max("count")).first()[0] <= 4
+    rnd = random.Random(1)
+    pts = [(i, rnd.uniform(-1e5, 1e5), rnd.uniform(-1e5, 1e5)) for i in range(300)] + [(300, 0.0, 0.0), (301, 13.0, -7.0)]
+    got = spatial.points_in_boxes(spark.createDataFrame(pts, "pid int, x double, y double"), boxes, cell=250.0, point_id=["pid"])
+    want = {(p, b.bid) for p, x, y in pts for b in boxes.collect() if b.minx <= x <= b.maxx and b.miny <= y <= b.maxy}
+    rows = [(r.pid, r.bid) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    none = spatial.points_in_boxes(spark.createDataFrame(pts, "pid int, x double, y double"), boxes.limit(0), cell=250.0, point_id=["pid"])
+    assert none.count() == 0
