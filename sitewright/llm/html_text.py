@@ -134,9 +134,31 @@ def parse(page: str) -> Node:
     """The page's elements below a root. End tags that match nothing are ignored, open elements end with their parent."""
     root = Node("#root", None)
     stack, at, n = [root], 0, len(page)
-    names = ["#root"]
+    places: dict[str, list[int]] = {}  # per tag where it stands in the stack, so that no step walks the stack
+    blocks: list[int] = []  # where elements other than inline ones stand
+    scopes: list[int] = []
     body_seen = False
 
+    def push(node: Node) -> None:
+        k = len(stack)
+        stack.append(node)
+        places.setdefault(node.tag, []).append(k)
+        if node.tag not in INLINE:
+            blocks.append(k)
+        if node.tag in SCOPES:
+            scopes.append(k)
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            tag = stack.pop().tag
+            places[tag].pop()
+            for marks in (blocks, scopes):
+                if marks and marks[-1] == len(stack):
+                    marks.pop()
+
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def text(piece: str) -> None:
         if piece:
             stack[-1].items.append(html.unescape(piece) if "&" in piece else piece)
@@ -153,39 +175,29 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            if tag in ("body", "html") or tag not in names:
+            k = last(tag)
+            if tag in ("body", "html") or not k:
                 continue
-            k = len(names) - 1 - names[::-1].index(tag)
-            if tag in INLINE and any(x not in INLINE for x in names[k + 1 :]):
+            if tag in INLINE and blocks and blocks[-1] > k:
                 continue  # an inline end does not close blocks opened since
-            del stack[k:], names[k:]
+            cut(k)
             continue
         if tag in ("html", "body"):
             if tag == "body" and not body_seen:  # head ends
                 body_seen = True
-                del stack[1:], names[1:]
+                cut(1)
                 if root.children and root.children[0].tag == "html":
-                    stack.append(root.children[0])
-                    names.append("html")
-            elif tag in names or tag == "body":
+                    push(root.children[0])
+            elif last(tag) or tag == "body":
                 continue
-        elif names[-1] == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
-            stack.pop(), names.pop()
-        if tag in CLOSES_P:
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] == "p":
-                    del stack[k:], names[k:]
-                    break
-                if names[k] in SCOPES:
-                    break
+        elif stack[-1].tag == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
+            cut(len(stack) - 1)
+        if tag in CLOSES_P and last("p") > (scopes[-1] if scopes else 0):
+            cut(last("p"))
         if tag in SIBLINGS:
             ends, scope = SIBLINGS[tag]
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] in scope:
-                    break
-                if names[k] in ends:
-                    del stack[k:], names[k:]
-                    break
+            if last(*ends) > last(*scope):
+                cut(last(*ends))
         parent, attributes = stack[-1], m[3] if m[2] else m[6]
         node = Node(tag, parent, attributes)
         hidden, node.mark, node.header = _marked(tag, attributes)
@@ -200,8 +212,7 @@ def parse(page: str) -> Node:
                 close = page.find(">", at)
                 at = n if close < 0 else close + 1
         elif tag not in VOID:
-            stack.append(node)
-            names.append(tag)
+            push(node)
     return root
 
 

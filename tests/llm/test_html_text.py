@@ -104,3 +104,12 @@ def test_forms_and_windows_are_still_left_out(body, text):
 @pytest.mark.parametrize("start", ["<form>", "<div class=ad>", "<section id=search>", "<article><div class=sidebar>", "<h1><div class=comment>", "<div id=search><h1>"])
 def test_deep_pages_with_marks_and_forms(start):
     assert main_text(start * 2000 + "deep") == "deep"
+
+
+def test_depth_costs_linear_time():
+    import time
+
+    started = time.perf_counter()
+    assert main_text("<div>" * 200_000 + "hello world") == "hello world"
+    assert "end" in main_text("<p>" + "<b><i></b>" * 50_000 + "end")
+    assert time.perf_counter() - started < 30
