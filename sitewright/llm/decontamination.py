@@ -193,11 +193,10 @@ def search_shard(texts: list[bytes], phrases: Phrases, size: int = WINDOW) -> li
         rows = np.repeat(lo - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
         place = index.locate(rows)
         d = np.searchsorted(first[:-1] + np.arange(len(distinct)), place, side="right") - 1
-        # items of each document
-        per = phrases.begins[which + 1] - phrases.begins[which]
-        items = phrases.owners[np.repeat(phrases.begins[which] - (np.cumsum(per) - per), per) + np.arange(per.sum())]
-        for k, i in np.unique(np.stack([np.repeat(d, per), items]), axis=1).T:
-            found[k][2].add(int(i))
+        # items of each document: its distinct phrases first, so that neither places nor items multiply
+        once = np.unique(d * len(hits) + which)
+        for k, w in zip((once // len(hits)).tolist(), (once % len(hits)).tolist(), strict=True):
+            found[k][2].update(phrases.owners[phrases.begins[w] : phrases.begins[w + 1]].tolist())
         # words covered
         cover = np.zeros(len(seq) + 1, np.int64)
         np.add.at(cover, place, 1)

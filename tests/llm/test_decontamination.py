@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from sitewright.llm.decontamination import FMIndex, cut_spans, contaminated, find_phrases, hit_words, suffix_array
+from sitewright.llm.decontamination import FMIndex, cut_spans, contaminated, Phrases, find_phrases, hit_words, search_shard, suffix_array
 
 WORDS = [f"w{i}" for i in range(9)]
 
@@ -76,3 +76,9 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert find_phrases(docs.limit(0), bench).count() == 0
     assert find_phrases(docs, bench.limit(0)).first()["contamination"]["spans"] == []
+
+
+def test_many_items_that_share_a_short_window_on_many_places():
+    items = [(str(i), "the") for i in range(800)] + [("x", "absent")]
+    words, spans, found = search_shard([b"the " * 20_000], Phrases(items))[0]
+    assert words == 20_000 and [s[:2] for s in spans] == [(0, 20_000)] and found == set(range(800))
