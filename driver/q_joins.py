@@ -86,7 +86,7 @@ NEAR = f"near AS (SELECT b.osm_id, z.id AS zone_id, zone_type, status, registry_
 
 def near_zones(v: V):
     pts = v.buildings().select("osm_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
-    z = zones.current(versioned(v)).select(F.col("id").alias("zone_id"), "zone_type", "status", "registry_number", "source_name", "ring", "minx", "miny", "maxx", "maxy")
+    z = zones.latest(v.zones()).select(F.col("id").alias("zone_id"), "zone_type", "status", "registry_number", "source_name", "ring", "minx", "miny", "maxx", "maxy")
     return pts, z
 
 
@@ -205,7 +205,7 @@ OVERLAP = """ov AS (SELECT b.osm_id, z.id AS zone_id, zone_type, least(cx + hx,
 
 
 def overlap_inputs(v: V):
-    z = zones.current(versioned(v)).select(F.col("id").alias("zone_id"), "zone_type", F.col("ring").alias("zring"))
+    z = zones.latest(v.zones()).select(F.col("id").alias("zone_id"), "zone_type", F.col("ring").alias("zring"))
     return v.buildings().select("osm_id", "ring"), z
 
 

@@ -45,7 +45,7 @@ def a11(spark, d):
     s = v.buildings().select("osm_id", "ring", code(F.col("osm_id") % 3))
     p = F.col("id")
     regs = spark.range(3).select(code(p), (1 + p).cast("double").alias("setback_m"), F.when(p < 2, 12.0 + p).alias("max_height_m"))
-    z = zones.current(versioned(v)).select(
+    z = zones.latest(v.zones()).select(
         F.col("id").alias("zone_id"), "ring", "minx", "miny", "maxx", "maxy", F.col("zone_type").alias("label"),
         F.when(F.col("id") % 3 == 0, (9 + F.col("id") % 7).cast("double")).alias("limit_m"),
     )
@@ -544,7 +544,7 @@ SELECT osm_id, zone_id, row_number() OVER (PARTITION BY osm_id ORDER BY dist, zo
 def w11(spark, d):
     v = V(spark, d)
     pts = v.buildings().select("osm_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
-    z = zones.current(versioned(v)).select(F.col("id").alias("zone_id"), "ring", "minx", "miny", "maxx", "maxy")
+    z = zones.latest(v.zones()).select(F.col("id").alias("zone_id"), "ring", "minx", "miny", "maxx", "maxy")
     near = zones.near_points(pts, z, point_id="osm_id").select("osm_id", "zone_id", "distance_m")
     return zones.rank_by_distance(near, point_id="osm_id", zone_id="zone_id").select("osm_id", "zone_id", "pos", "rank")
 

@@ -28,6 +28,12 @@ def current(zones: DataFrame) -> DataFrame:
     return zones.where(F.col("superseded_by").isNull())
 
 
+def latest(zones: DataFrame, number: str = "registry_number", seq: str = "load_seq") -> DataFrame:
+    """The rows that ``current(versions(...))`` keeps, without numbering: one aggregate that combines before the shuffle."""
+    best = zones.where(F.col(number).isNotNull()).groupBy(number).agg(F.max_by(F.struct(*[c for c in zones.columns if c != number]), F.col(seq)).alias("_z"))
+    return zones.where(F.col(number).isNull()).unionByName(best.select(number, "_z.*"))
+
+
 def history(versioned: DataFrame, number: str = "registry_number", seq: str = "load_seq",
             watch: str = "zone_type", chunk_size: int = 1_000_000) -> DataFrame:
     """All versions newest first with a flag where the watched column changed against the version before."""
