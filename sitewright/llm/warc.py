@@ -57,12 +57,12 @@ def target(url: str) -> str:
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
     """One record, compressed as a gzip member of its own. A revisit holds the response's head without the payload.
 
-    A page without an id has a record id of its own; it is a revisit that nothing refers to, and keeps its payload.
+    A page without an id has a record id of its own, to which nothing refers.
     """
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
     name = f"urn:uuid:{uuid.uuid4()}" if page_id is None else f"urn:page:{page_id}"
-    kind = "response" if refers_to is None and page_id is not None else "revisit"
+    kind = "response" if refers_to is None else "revisit"
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {target(url)}")
@@ -87,7 +87,7 @@ def parse_record(raw: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
-    whole = kind == "response" or fields["WARC-Record-ID"].startswith("<urn:uuid:")
+    whole = kind == "response"
     if whole and (len(payload) != size or payload_digest(payload) != digest):
         raise ValueError("payload does not match its digest")
     number = lambda x: None if x.startswith("<urn:uuid:") else int(x.removeprefix("<urn:page:").removesuffix(">"))
@@ -119,17 +119,19 @@ class Files:
 
 
 def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """Rows (page_id, sha, refers_to): pages whose payload another page with a smaller id has too."""
+    """Rows (page_id, sha, refers_to): pages whose payload a page with a smaller id has too, or any with an id for a page without."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     all_ = pages.select("page_id", F.sha1(body).alias("sha"), F.octet_length(body).alias("n")).where(F.col("n") >= least).select("page_id", "sha").distinct()
-    first = all_.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return all_.join(first, "sha").where("page_id <> refers_to")
+    first = all_.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    return all_.join(first, "sha").where("not (page_id <=> refers_to)")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Write one record per row of ``pages`` (page_id, url, html) below ``folder``; returns the captures, written as a table."""
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", F.col("html"), F.sha1(body.cast("binary")).alias("sha")).join(revisits(pages, least), ["page_id", "sha"], "left")
+    rows = pages.select("page_id", "url", F.col("html"), F.sha1(body.cast("binary")).alias("sha"))
+    to = revisits(pages, least).select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "refers_to")
+    rows = rows.join(to, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, name, out, at = Files(folder), None, None, 0
@@ -248,22 +250,38 @@ class Index:
         return out
 
 
-def read_captures(requests: DataFrame, folder: str, parts: list[tuple], payload: bool = False) -> DataFrame:
+def read_tasks(captures: DataFrame) -> int:
+    """Tasks that read all captures back: 4 MB of archive each, as many as a shuffle has; beyond that 256 MB each."""
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    usual = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(-(-size // (4 << 20)), max(usual, -(-size // (256 << 20)))))
+
+
+def read_captures(requests: DataFrame, folder: str, parts: list[tuple], payload: bool = False, tasks: int | None = None) -> DataFrame:
     """The archived records of distinct requests (url, page_id), found through the index and read by range.
 
+    A request with an id is one for the key of its URL and that id, whatever scheme the URL has; pages without an id are told
+    apart by their URL. Requests are dealt to ``tasks`` tasks, in key order inside each.
     Columns page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload (of responses) where asked for.
     """
     spark = requests.sparkSession
     shared = spark.sparkContext.broadcast(parts)  # one entry per half a million captures
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), *([("payload", pa.binary())] if payload else [])])
 
+    wanted = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("url", pa.string())])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            urls, ids = (c.to_pylist() for c in b.columns)
+            plain = [target(u) if p is None and u is not None else "" for u, p in zip(urls, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in urls], pa.string()), pa.array(ids, pa.int64()), pa.array(plain, pa.string())], schema=wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, archives = Index(folder, shared.value), Files(folder)
         for b in batches:
-            # pages without an id are told apart by their URL, as several may share a key
-            asked = sorted({(*_key(surt(u), p), surt(u), p is not None, target(u) if p is None and u is not None else "") for u, p in zip(*(c.to_pylist() for c in b.columns), strict=True)})
             out, size = [], 0
-            for _, page, key, named, url in asked:
+            for key, page, url in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                named = page is not None
                 for place in index.find(key, page if named else None):
                     found = parse_record(archives.read(*place))
                     if not named and (found["url"] or "") != url:
@@ -278,13 +296,17 @@ def read_captures(requests: DataFrame, folder: str, parts: list[tuple], payload:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     kinds = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + (", payload binary" if payload else "")
-    return requests.select("url", "page_id").distinct().mapInArrow(run, kinds)
+    columns = ("key", "page_id", "url")
+    asked = requests.select("url", F.col("page_id").cast("bigint")).mapInArrow(keys, "key string, page_id bigint, url string")
+    asked = asked.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), *columns).distinct().sortWithinPartitions(*columns)
+    return asked.mapInArrow(run, kinds)
 
 
 def archive(pages: DataFrame, least: int = LEAST_REVISIT, payload: bool = False, block_lines: int = BLOCK_LINES, unnamed: bool = False) -> DataFrame:
     """Write the pages to archives, index them, and read every page back through the index.
 
-    page_id must be an integer; rows without one are archived where ``unnamed`` says so: as revisits that keep their payload and refer to nothing; a null html is an empty payload; a null url is left out of the record. Of equal
+    page_id must be an integer; rows without one are archived where ``unnamed`` says so: as revisits of the page that has their payload and
+    the smallest id, as responses where no page with an id has it; a null html is an empty payload; a null url is left out of the record. Of equal
     payloads of at least ``least`` bytes the smallest page_id is the response; rows repeated under that id are responses too.
     Repeated rows each have a record. An empty table gives no rows and no files. Other columns are not archived.
     """
@@ -292,4 +314,4 @@ def archive(pages: DataFrame, least: int = LEAST_REVISIT, payload: bool = False,
     if not unnamed:
         pages = pages.where("page_id is not null")
     captures = write_archives(pages, folder, least)
-    return read_captures(pages, folder, build_index(captures, folder, block_lines), payload)
+    return read_captures(pages, folder, build_index(captures, folder, block_lines), payload, read_tasks(captures))
