@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitewright.functions import geom
-from sitewright.operators import chunks, jobs, lines, relief, spatial, tiles
+from sitewright.operators import chunks, jobs, lines, relief, spatial, tiles, zones
 from sitewright.sources import raster, tables
 from sitewright.streaming import feeds
 
@@ -215,3 +215,11 @@ def test_a_box_covers_at_most_four_cells_whatever_its_size(spark):
     assert set(rows) == want and len(rows) == len(want)
     none = spatial.points_in_boxes(spark.createDataFrame(pts, "pid int, x double, y double"), boxes.limit(0), cell=250.0, point_id=["pid"])
     assert none.count() == 0
+
+
+def test_latest_zones_are_those_in_force(spark):
+    rows = [(i, None if i % 5 == 0 else f"n{i % 3}", i * 7 % 31, f"t{i}", [(1.0 * i, 2.0)]) for i in range(30)]
+    z = spark.createDataFrame(rows, "id int, registry_number string, load_seq long, zone_type string, ring array<struct<x: double, y: double>>")
+    want = zones.current(zones.versions(z, chunk_size=4)).select(z.columns)
+    got = zones.latest(z).select(z.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 9
