@@ -86,6 +86,10 @@ FORMS: dict[str, tuple[str, str, int, float]] = {
     "title": ("licen", r"{name} (?:public )?licen[cs]e", 50, 0.7),
 }
 
+#: names that are ordinary words or tools besides: a sentence must go on with "license" (or another license) to mean these
+WORDS_TOO = ("curl", "isc", "mit", "ncsa", "postgresql", "psf-2.0", "vim", "x11", "zlib")
+GOES_ON = r"(?: style)?(?: public)?(?: licen[cs]es?| or (?:the )?(?:apache|bsd|gpl|gnu|mpl)| and (?:the )?(?:apache|bsd|gpl|gnu|mpl))"
+
 #: bare titles of names that hold "license" themselves, or are used without it: label and pattern; {v} stands before a version
 TITLES: dict[str, str] = {
     "afl-3.0": r"academic free licen[cs]e{v}3(?: 0)?",
@@ -129,16 +133,44 @@ TITLES: dict[str, str] = {
 }
 BEFORE_VERSION = "(?: version| ver| v)? ?"
 
+#: the sentence all BSD texts share, and at most so many words to the clause that tells them apart
+BSD = r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+BSD_ENDORSE = r"(?:neither the names? of|the names? of (?:the )?(?:[^ ]+ ){1,12}?may not be used to endorse)"
+PERMIT = r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+
 #: texts that stand for a license or a notice: (label, keyword, pattern, priority, confidence)
 NOTICES: list[tuple[str, str, str, int, float]] = [
     ("mit", "granted", r"permission is hereby granted free of charge to any person obtaining a copy", 5, 1.0),
-    ("bsd-3-clause", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 5, 0.9),
-    ("gpl", "redistribute", r"free software you can redistribute it and or modify it under the terms of the gnu general public license", 5, 1.0),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 5, 1.0),
-    ("zlib", "altered", r"altered source versions must be plainly marked as such", 5, 0.9),
+    ("mit-0", "granted", PERMIT + r"the software is provided", 4, 1.0),
+    ("x11", "advertising", PERMIT + r"subject to the following conditions (?:[^ ]+ ){20,200}?except as contained in this notice the names? of", 4, 1.0),
+    ("ncsa", "granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction", 4, 1.0),
+    ("ofl-1.1", "granted", r"permission is hereby granted free of charge to any person obtaining a copy of the font software", 4, 1.0),
     ("bsl-1.0", "granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy", 5, 1.0),
+    ("bsd-4-clause", "redistribution", BSD + r"(?:[^ ]+ ){20,120}?all advertising materials mentioning (?:[^ ]+ ){5,80}?" + BSD_ENDORSE, 3, 1.0),
+    ("bsd-3-clause", "redistribution", BSD + r"(?:[^ ]+ ){20,120}?" + BSD_ENDORSE, 4, 1.0),
+    ("bsd-2-clause", "redistribution", BSD + r"(?:[^ ]+ ){20,80}?materials provided with the distribution this software is provided", 4, 1.0),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 5, 0.8),
+    ("isc", "permission", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted", 5, 1.0),
+    ("postgresql", "permission", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 5, 1.0),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such", 5, 0.9),
     ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain", 5, 1.0),
+    ("wtfpl", "permitted", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", 5, 1.0),
     ("apache-2.0", "apache", r"you may not use this file except in compliance with the license", 5, 0.9),
+    ("apache-2.0", "contributor", r"subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", 5, 1.0),
+    ("gpl", "redistribute", r"free software you can redistribute it and or modify it under the terms of the gnu general public license", 5, 1.0),
+    ("agpl", "redistribute", r"free software you can redistribute it and or modify it under the terms of the gnu affero general public license", 5, 1.0),
+    ("lgpl", "redistribute", r"free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 5, 1.0),
+    ("gpl-2.0", "activities", r"activities other than copying distribution and modification are not covered by this license they are outside its scope the act of running the program", 5, 1.0),
+    ("gpl-3.0", "copyleft", r"the gnu general public license is a free copyleft license for software and other kinds of works", 5, 1.0),
+    ("agpl-3.0", "copyleft", r"the gnu affero general public license is a free copyleft license for software and other kinds of works", 5, 1.0),
+    ("lgpl-2.1", "library", r"activities other than copying distribution and modification are not covered by this license they are outside its scope the act of running a program using the library", 5, 1.0),
+    ("lgpl-3.0", "incorporates", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license", 5, 1.0),
+    ("mpl-2.0", "contributor", r"each contributor hereby grants you a world wide royalty free non exclusive license under intellectual property rights", 5, 1.0),
+    ("epl", "accompanying", r"the accompanying program is provided under the terms of this eclipse public license", 5, 0.9),
+    ("artistic-1.0", "package", r"the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control", 5, 1.0),
+    ("artistic-2.0", "package", r"this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed", 5, 1.0),
+    ("cc0-1.0", "relinquish", r"certain owners wish to permanently relinquish those rights to a work", 5, 1.0),
+    ("cc-by-4.0", "creative", r"you accept and agree to be bound by the terms and conditions of this creative commons attribution 4 0 international public license", 5, 1.0),
     ("public-domain", "domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain", 25, 0.9),
     ("proprietary", "reserved", r"all rights reserved", 60, 0.5),
     ("warranty-disclaimer", "warrant", r"without (?:any )?warrant(?:y|ies) (?:of any kind|express or implied)", 60, 0.3),
@@ -148,7 +180,7 @@ NOTICES: list[tuple[str, str, str, int, float]] = [
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 #: a text without any of these can't hold a rule's or base phrase's words; looked for in the raw text, ASCII case ignored
-GATE = r"(?i)licen[cs]e|(?<![a-z0-9])(?:identifier|under|subject|granted|redistribution|redistribute|permission|altered|unencumbered|domain|reserved|warrant|creative|mit[^a-z0-9]+no|cc0|cc[^a-z0-9]+(?:by|zero))"
+GATE = r"(?i)licen[cs]e|(?<![a-z0-9])(?:identifier|under|subject|granted|redistribution|redistribute|permission|altered|unencumbered|activities|package|relinquish|domain|reserved|warrant|creative|mit[^a-z0-9]+no|cc0|cc[^a-z0-9]+(?:by|zero))"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -156,10 +188,12 @@ RULE_TYPE = "array<struct<label: string, any: array<string>, form: string, patte
 
 
 def rules() -> list[dict]:
-    """Every form of every name, bare titles and notices: 346 rules in order of priority."""
+    """Every form of every name, bare titles and notices: hundreds of rules in order of priority."""
     out = []
-    for form, around, priority, confidence in FORMS.values():
+    for kind, (form, around, priority, confidence) in FORMS.items():
         for label, (keyword, name) in NAMES.items():
+            if label in WORDS_TOO and kind in ("grant", "subject"):
+                name = f"(?:{name}){GOES_ON}"
             out.append({"label": label, "any": keyword.split("|"), "form": form, "pattern": around.replace("{name}", name), "priority": priority, "confidence": confidence})
     for label, title in TITLES.items():
         out.append({"label": label, "any": NAMES[label][0].split("|"), "form": " ", "pattern": title.replace("{v}", BEFORE_VERSION), "priority": 50, "confidence": 0.7})

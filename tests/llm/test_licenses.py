@@ -96,3 +96,70 @@ def test_bare_titles_of_every_name(spark):
     for r in scan(spark.createDataFrame([(t,) for t in want], "text string")).collect():
         assert set(r["license"]["labels"]) == want[r["text"]], r["text"]
         assert r["license"]["labels"] == brute(r["text"])[5] and r["license"]["score"] == brute(r["text"])[6]
+
+
+BSD_HEAD = """Copyright (c) 1998, The Authors. All rights reserved.
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+"""
+BSD_ADVERTS = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.\n"
+BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+BSD_TAIL = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to
+deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so"""
+CONDITIONS = """, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
+FULL = {
+    BSD_HEAD + BSD_TAIL: "bsd-2-clause", BSD_HEAD + "3. " + BSD_NAMES + BSD_TAIL: "bsd-3-clause", BSD_HEAD + BSD_ADVERTS + "4. " + BSD_NAMES + BSD_TAIL: "bsd-4-clause",
+    BSD_HEAD + "3. The name of the author may not be used to endorse or promote products derived from this software.\n" + BSD_TAIL: "bsd-3-clause",
+    BSD_HEAD[:180] + BSD_TAIL: "bsd", GRANT + CONDITIONS: "mit", GRANT + '.\n\nTHE SOFTWARE IS PROVIDED "AS IS".': "mit-0",
+    GRANT + CONDITIONS + "\nExcept as contained in this notice, the name of the consortium shall not be used in advertising.": "x11",
+    GRANT.replace("deal in", "deal with") + CONDITIONS: "ncsa", GRANT.replace("this software and associated documentation files", "the Font Software"): "ofl-1.1",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that": "isc",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.": "isc",
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted": "postgresql",
+    "Altered source versions must be plainly marked as such, and must not be misrepresented": "zlib",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.": "wtfpl",
+    "This is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "lgpl",
+    "This is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License": "agpl",
+    "The GNU General Public License is a free, copyleft license for software and other kinds of works.": "gpl-3.0",
+    "Activities other than copying, distribution and modification are not covered by this License; they are outside its scope. The act of running the Program is not restricted": "gpl-2.0",
+    "they are outside. Activities other than copying, distribution and modification are not covered by this License; they are outside its scope. The act of running a program using the Library": "lgpl-2.1",
+    "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: under intellectual property rights": "mpl-2.0",
+    "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE": "epl",
+    "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.": "artistic-2.0",
+    "The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control": "artistic-1.0",
+    "Certain owners wish to permanently relinquish those rights to a Work": "cc0-1.0",
+    "You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License": "cc-by-4.0",
+    "released under the MIT license": "mit", "distributed under vim license terms": "vim", "published under a zlib style license": None,
+}
+BY_THE_WAY = {"proprietary", "warranty-disclaimer", "gpl"}
+TOOLS = ("vim", "curl", "MIT", "X11", "zlib", "PostgreSQL", "ISC", "NCSA", "PSF")
+SENTENCES = (
+    "This plugin is available under {} and emacs.", "The course is offered under {} professors.", "Reports were published under {} last year.",
+    "All of this is subject to {} rules.", "The images, released under {}, are large.", "Logs are provided under {} and other tools.",
+)
+
+
+def test_license_texts_by_their_clauses(spark):
+    for r in scan(spark.createDataFrame([(t,) for t in FULL], "text string")).collect():
+        labels, want = r["license"]["labels"], FULL[r["text"]]
+        assert labels == brute(r["text"])[5], r["text"]
+        if want is not None:
+            assert want in labels and set(labels) - {want} <= BY_THE_WAY, (labels, r["text"])
+
+
+def test_sentences_that_name_tools_have_no_license(spark):
+    texts = [s.format(t) for s in SENTENCES for t in TOOLS]
+    assert len(texts) > 50
+    for r in scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        assert r["license"]["labels"] == [], r["text"]
+
+
+def test_an_older_license_column_is_replaced(spark):
+    df = spark.createDataFrame([(1, "MIT License", "old")], "doc_id long, text string, license string")
+    assert scan(df).columns == df.columns and scan(df).first()["license"]["labels"] == ["mit"]
