@@ -2,13 +2,16 @@
 
 Vectors and queries are cut into blocks; a task holds one block of each and indexes both with cover trees. The search descends
 pairs of nodes, most promising first, and drops a pair when no query below its query node can find anything below its data
-node that beats that query's worst k-th score so far. Scores are integers, so results are exact.
+node that beats that query's worst k-th score so far. Scores are integers, so results are exact. Vectors with components so
+large that a score might leave 64 bits (``wide``) are scored with integers of any length against every other one.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,7 @@ BLOCK_BYTES = 16 << 20  # of one block's vectors, eight bytes a component
 MAX_ROWS, MAX_QUERIES = 16_384, 2_048
 LEAF, CENTERS = 48, 64
 NOTHING = np.iinfo(np.int64).min + 1  # its negative is a number too
+LEAST, MOST = -(1 << 63), (1 << 63) - 1  # scores beyond are returned as these
 
 
 class Node:
@@ -154,25 +158,46 @@ def dual_search(queries: np.ndarray, data: np.ndarray, k: int, leaf: int = LEAF)
     return best, found, scored
 
 
+def saturated(score: int) -> tuple[int, bytes]:
+    """A score within 64 bits, and what orders those beyond (bytes that compare as the scores do; empty within)."""
+    if LEAST < score < MOST:
+        return score, b""
+    size = abs(score)
+    raw = size.to_bytes((size.bit_length() + 7) // 8, "big")
+    raw = len(raw).to_bytes(4, "big") + raw
+    return (MOST, raw) if score > 0 else (LEAST, bytes(255 - x for x in raw))
+
+
 def quantised(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
-    """Rows (id, dim, v): floor(scale * component) as little-endian 64-bit integers; vectors with anything missing or not finite go."""
+    """Rows (id, dim, wide, v): floor(scale * component); vectors with anything missing or not finite go.
+
+    v holds little-endian 64-bit integers, or decimal numbers with commas where ``wide``: there a component is so large that
+    the inner product of two such vectors could leave 62 bits.
+    """
     c = F.col(vector)
     good = c.isNotNull() & F.col(key).isNotNull() & F.forall(c, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     kind = vectors.schema[key].dataType.simpleString()
 
+    def whole_of(x: float) -> int:
+        product = scale * x
+        return math.floor(product) if math.isfinite(product) else math.floor(Fraction(scale) * Fraction(x))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(1)
             flat, off = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            whole = np.floor(scale * flat)
-            if len(whole) and np.abs(whole).max() >= 2**62:
-                raise OverflowError("components beyond 64 bits")
-            whole = whole.astype("<i8")
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(off)), pa.array([whole[x:y].tobytes() for x, y in zip(off, off[1:], strict=False)], pa.binary())], ["id", "dim", "v"]
-            )
+            with np.errstate(over="ignore"):
+                whole = np.floor(scale * flat)
+            dims = np.diff(off)
+            over = np.abs(whole) >= np.repeat(2.0**31 / np.sqrt(np.maximum(dims, 1)), dims)
+            wide = np.diff(np.concatenate([[0], np.cumsum(over)])[off]) > 0
+            plain = np.where(over, 0.0, whole).astype("<i8")
+            made = [
+                ",".join(str(whole_of(float(v))) for v in flat[x:y]).encode() if w else plain[x:y].tobytes() for x, y, w in zip(off, off[1:], wide, strict=False)
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dims), pa.array(wide), pa.array(made, pa.binary())], ["id", "dim", "wide", "v"])
 
-    return vectors.where(good).select(F.col(key), c.cast("array<double>").alias("__v")).mapInArrow(run, f"id {kind}, dim bigint, v binary")
+    return vectors.where(good).select(F.col(key), c.cast("array<double>").alias("__v")).mapInArrow(run, f"id {kind}, dim bigint, wide boolean, v binary")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -181,13 +206,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     ``is_query`` says, by the column ``id``, which rows are queries. Candidates are all rows with another id and as many
     components; with fewer than ``k``, all of them. Vectors that are null or hold a null or a non-finite component take no
     part, nor do null ids. Of rows repeated whole one query is made, as candidates each counts. Copies of a vector are indexed
-    once per block, with the k + 1 smallest ids, as more can't be among the k best.
+    once per block, with the k + 1 smallest ids, as more can't be among the k best. Ranks follow the exact scores; a score
+    beyond 64 bits is returned as the nearest 64-bit number.
     """
     rows = written(quantised(vectors, key, vector, scale), "vectors")
     # copies first: only the k + 1 smallest ids of a vector can matter; two steps, so that a very common vector spreads over tasks
     part = F.pmod(F.xxhash64("id"), F.lit(1 + rows.count() // 100_000))
-    kept = rows.groupBy("dim", "v", part.alias("p")).agg(F.array_sort(F.collect_list("id")).alias("ids")).select("dim", "v", F.slice("ids", 1, k + 1).alias("ids"))
-    kept = written(kept.groupBy("dim", "v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")), "distinct-vectors")
+    kept = rows.groupBy("dim", "wide", "v", part.alias("p")).agg(F.array_sort(F.collect_list("id")).alias("ids")).select("dim", "wide", "v", F.slice("ids", 1, k + 1).alias("ids"))
+    kept = written(kept.groupBy("dim", "wide", "v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")), "distinct-vectors")
     queries = rows.where(is_query).distinct()
     n, widest = kept.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
     size = max(1, min(MAX_ROWS, BLOCK_BYTES // (8 * max(widest, 1))))
@@ -195,30 +221,49 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     kind = rows.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    out = pa.schema([("query_id", to_arrow_type(kind)), ("query", pa.binary()), ("id", to_arrow_type(kind)), ("score", pa.int64())])
+    out = pa.schema([("query_id", to_arrow_type(kind)), ("query", pa.binary()), ("id", to_arrow_type(kind)), ("score", pa.int64()), ("beyond", pa.binary())])
     b, g = F.pmod(F.xxhash64("v"), F.lit(blocks)), F.pmod(F.xxhash64("id", "v"), F.lit(groups))
-    left = kept.select("dim", b.alias("b"), F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("g"), "v", "ids")
-    right = queries.select("dim", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"), g.alias("g"), "id", "v")
+    left = kept.select("dim", b.alias("b"), F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("g"), "wide", "v", "ids")
+    right = queries.select("dim", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"), g.alias("g"), "id", "wide", "v")
+
+    def numbers(raw: bytes, wide: bool) -> np.ndarray:
+        return np.array([int(x) for x in raw.split(b",")] if wide else np.frombuffer(raw, "<i8").tolist(), dtype=object)
 
     def search(data: pa.Table, asked: pa.Table) -> pa.Table:
         if not data.num_rows or not asked.num_rows:
             return out.empty_table()
         dim = data.column("dim")[0].as_py()
-        ids = data.column("ids").to_pylist()
+        ids, values, wide = (data.column(c).to_pylist() for c in ("ids", "v", "wide"))
         order = sorted(range(len(ids)), key=lambda i: ids[i][0])  # index order is the order of smallest ids
-        ids, values = [ids[i] for i in order], data.column("v").to_pylist()
-        x = np.frombuffer(b"".join(values[i] for i in order), "<i8").reshape(len(ids), dim)
-        names, raw = asked.column("id").to_pylist(), asked.column("v").to_pylist()
-        q = np.frombuffer(b"".join(raw), "<i8").reshape(len(raw), dim)
-        best, found, _ = dual_search(q, x, k + 1) if dim else (np.zeros((len(raw), 1), np.int64), np.zeros((len(raw), 1), np.int64), 0)
+        names, raw, wide_q = (asked.column(c).to_pylist() for c in ("id", "v", "wide"))
+        best: list[list[tuple[int, int]]] = [[] for _ in names]  # (score, row of data)
+        rows, asks = [i for i in order if not wide[i]], [i for i in range(len(names)) if not wide_q[i]]
+        if rows and asks:
+            x = np.frombuffer(b"".join(values[i] for i in rows), "<i8").reshape(len(rows), dim)
+            q = np.frombuffer(b"".join(raw[i] for i in asks), "<i8").reshape(len(asks), dim)
+            score, found, _ = dual_search(q, x, k + 1) if dim else (np.zeros((len(asks), 1), np.int64), np.zeros((len(asks), 1), np.int64), 0)
+            for i, s, f in zip(asks, score, found, strict=True):
+                best[i] = [(int(a), rows[j]) for a, j in zip(s, f, strict=True) if j >= 0]
+        big = [i for i in order if wide[i]]
+        big_x = np.stack([numbers(values[i], True) for i in big]) if big else None
+        all_x = None
+        for i in range(len(names)) if big else [i for i in range(len(names)) if wide_q[i]]:
+            q = numbers(raw[i], wide_q[i])
+            if wide_q[i] and all_x is None:
+                all_x = np.stack([numbers(values[j], wide[j]) for j in order])
+            those, x = (order, all_x) if wide_q[i] else (big, big_x)
+            # of equal scores the first in order has the smallest ids
+            best[i] += heapq.nlargest(k + 1, zip((x @ q).tolist(), those, strict=True), key=lambda e: e[0])
         made = []
-        for name, r, s, f in zip(names, raw, best, found, strict=True):
-            entries = sorted((-int(a), i) for a, j in zip(s, f, strict=True) if j >= 0 for i in ids[j] if i != name)[:k]
-            made += [{"query_id": name, "query": r, "id": i, "score": -a} for a, i in entries]
+        for name, value, entries in zip(names, raw, best, strict=True):
+            nearest = sorted((-a, i) for a, j in entries for i in ids[j] if i != name)[:k]
+            for a, i in nearest:
+                shown, beyond = saturated(-a)
+                made.append({"query_id": name, "query": value, "id": i, "score": shown, "beyond": beyond})
         return pa.Table.from_pylist(made, schema=out)
 
     t = kind.simpleString()
     keys = ("dim", "g", "b")
-    each = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, f"query_id {t}, query binary, id {t}, score bigint")
-    w = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "id")
+    each = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, f"query_id {t}, query binary, id {t}, score bigint, beyond binary")
+    w = W.partitionBy("query_id", "query").orderBy(F.desc("score"), F.desc("beyond"), "id")
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitewright.llm.topk import cover_tree, dual_search, top_k
+from sitewright.llm.topk import LEAST, MOST, cover_tree, dual_search, saturated, top_k
 
 
 def clusters(rng, n, d, spread=8):
@@ -69,3 +69,23 @@ def test_query_with_odd_vectors(spark):
                 want[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert got == want
     assert top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
+
+
+def test_components_of_any_size(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 3)]) for i in range(60)]
+    rows += [(100, [1e300, 1.0, -2.0]), (101, [-1e300, 0.0, 1.0]), (102, [1.7e308, -1.7e308, 1.7e308]), (103, [3e8, -3e8, 5.0]), (104, [3e8, -3e8, 5.0]), (150, [1e17, 1e16, 0.0]), (151, [2.0**55, 1.0, 0.5])]
+    whole = {i: [int(np.floor(256.0 * x)) if abs(x) < 1e300 else int(x) * 256 for x in v] for i, v in rows}
+    got = {}
+    for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    want = {}
+    for q in (0, 50, 100, 150):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        want[q] = [(i, max(LEAST, min(MOST, -s))) for s, i in best]
+    assert got == want
+
+
+def test_order_of_scores_beyond_64_bits():
+    scores = sorted([0, 5, -7, MOST - 1, MOST, MOST + 1, 2**64, 2**200, 2**200 + 1, LEAST + 1, LEAST, LEAST - 1, -(2**64), -(2**200)])
+    assert sorted(scores, key=saturated) == scores
