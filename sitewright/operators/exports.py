@@ -60,11 +60,9 @@ def numbered_surface(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices of a surface numbered from 1 row by row (source_id, id, r, c, z), and faces by vertex number (source_id, a, b, d)."""
     full = cells.where(F.col("z").isNotNull())
     num = sequenced(full, ["source_id"], ["r", "c"], F.col("r"), number="id")
-    corner = F.array(*[F.struct(F.col(f"r{i}").alias("r"), F.col(f"c{i}").alias("c")) for i in range(3)])
-    corners = relief.faces(cells).select("source_id", F.struct("r", "c", "half").alias("face"), F.posexplode(corner).alias("k", "v"))
-    ids = corners.select("source_id", "face", "k", "v.r", "v.c").join(num.select("source_id", "r", "c", "id"), ["source_id", "r", "c"])
-    faces = ids.groupBy("source_id", "face").agg(*[F.max(F.when(F.col("k") == i, F.col("id"))).alias(n) for i, n in enumerate(("a", "b", "d"))])
-    return num.select("source_id", "id", "r", "c", "z"), faces.drop("face")
+    # the numbers take the place of the heights, so a face comes with them: no join of corners
+    faces = relief.faces(num.select("source_id", "r", "c", F.col("id").alias("z")))
+    return num.select("source_id", "id", "r", "c", "z"), faces.select("source_id", *[F.col(f"fz{i}").alias(n) for i, n in enumerate(("a", "b", "d"))])
 
 
 def outline_rows(outlines: DataFrame, keys: Sequence[str], rings: str = "rings") -> DataFrame:
